@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, mixing, quality
+from . import chat, decontamination, langid, mixing, quality, tokencount, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,14 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"))
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(docs.filter(~F.col("held_out")).join(labels, "doc_id"))
+    return toxicity.predict(docs, model, ("doc_id", "held_out"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -39,9 +47,28 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumn("chosen_loss", ranges("chosen_loss")).withColumn("rejected_loss", ranges("rejected_loss"))
 
 
+def op9_tokencount(spark: SparkSession, sf_dir: str, tokenizer: str | None = None, limit: int = 1024) -> DataFrame:
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    counts = tokencount.count_tokens(_table(spark, sf_dir, "documents"), tokenizer)
+    return counts.withColumn("over_limit", F.col("n_tokens") > limit)
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out.alias("held_out"))
+    model = langid.fit(docs.filter(~F.col("held_out")))
+    return langid.predict(docs, model, ("doc_id", "held_out"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_mixing": op2_mixing,
+    "op3_toxicity": op3_toxicity,
     "op7_decontamination": op7_decontamination,
     "op8_chat": op8_chat,
+    "op9_tokencount": op9_tokencount,
+    "op10_langid": op10_langid,
 }
