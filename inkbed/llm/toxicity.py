@@ -176,6 +176,40 @@ def _curve(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a, 1e-3)), float(b)
 
 
+def _surprise(pos: np.ndarray, neg: np.ndarray, base: float) -> np.ndarray:
+    """Log-likelihood gain of a word's own share of toxic documents over the general one; 0 where it is lower."""
+    n = np.maximum(pos + neg, 1)
+    seen = np.clip(pos / n, 1e-9, 1)
+    gain = n * (seen * np.log(seen / base) + (1 - seen) * np.log(np.maximum(1 - seen, 1e-9) / max(1 - base, 1e-9)))
+    return np.where(pos > base * n, gain, 0)
+
+
+def _cover(docs: list[np.ndarray], toxic: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> np.ndarray:
+    """Words that explain the toxic documents: from the most surprising one down, each that holds a document not yet
+    explained or is about as surprising as the first.
+
+    A word that is frequent only because its document was copied is passed over, as its copies are explained already.
+    """
+    gain = _surprise(pos, neg, max(toxic.mean(), 1e-9))
+    ranked = np.argsort(-gain, kind="stable")
+    enough = np.log(len(pos)) + 1
+    ranked = ranked[: max(10, int((gain > enough).sum()))]
+    holders: dict[int, list[int]] = {int(w): [] for w in ranked}
+    left = {int(i) for i in np.flatnonzero(toxic == 1)}
+    for i in left:
+        for w in docs[i]:
+            if int(w) in holders:
+                holders[int(w)].append(i)
+    taken: list[int] = []
+    for w in map(int, ranked):
+        if len(taken) == LANDMARKS // 2 or gain[w] <= 0:
+            break
+        if not left.isdisjoint(holders[w]) or gain[w] >= 0.5 * gain[ranked[0]]:
+            taken.append(w)
+            left.difference_update(holders[w])
+    return np.array(taken, np.int64)
+
+
 def train(texts: list[str | None], toxic: np.ndarray) -> Model:
     """Fits the machine on documents and their labels (0 or 1)."""
     toxic = np.asarray(toxic)
@@ -193,14 +227,9 @@ def train(texts: list[str | None], toxic: np.ndarray) -> Model:
     of = np.concatenate(docs).astype(np.int64)
     label = np.repeat(toxic, [len(d) for d in docs])
     pos, neg = np.bincount(of[label == 1], minlength=len(words)), np.bincount(of[label == 0], minlength=len(words))
-    base = toxic.mean()
-    # surprise that a word is in toxic documents as often as it is, against the share of these
-    n, seen = pos + neg, np.maximum(pos / np.maximum(pos + neg, 1), 1e-9)
-    surprise = np.where(seen > base, n * (seen * np.log(seen / base) + (1 - seen) * np.log(np.maximum(1 - seen, 1e-9) / (1 - base))), 0)
-    ranked = np.argsort(-surprise, kind="stable")
-    likely = ranked[surprise[ranked] > np.log(len(words)) + 2][: LANDMARKS // 2]
+    likely = _cover(docs, toxic, pos, neg)
     score = np.full(len(words), -1.0)
-    score[likely if len(likely) else ranked[:20]] = surprise[likely if len(likely) else ranked[:20]]
+    score[likely] = np.arange(len(likely), 0, -1)
     clean = np.unique(np.concatenate([docs[i] for i in np.flatnonzero(toxic == 0)]))
     joined = np.frombuffer(b" ".join(words), np.uint8)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
@@ -247,7 +276,9 @@ def _table(model: Model) -> np.ndarray:
     return table
 
 
-_tables = lru_cache(maxsize=1)(lambda key, keys, weights: _table(Model(np.frombuffer(keys, np.uint32), np.frombuffer(weights, np.float32), 0, 0, 0)))
+@lru_cache(maxsize=1)
+def _worker_table(keys: bytes, weights: bytes) -> np.ndarray:
+    return _table(Model(np.frombuffer(keys, np.uint32), np.frombuffer(weights, np.float32), 0.0, 0.0, 0.0))
 
 
 def fit(labelled: DataFrame, rows: int = ROWS) -> Model:
@@ -267,7 +298,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     keys, weights = model.keys.tobytes(), model.weights.tobytes()
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _tables(hash(keys), keys, weights)
+        table = _worker_table(keys, weights)
         for batch in batches:
             parts = [model.score(text_decisions(data, offsets, table, model.bias)) for _, _, data, offsets in each_slice(batch.column("_text"))]
             if parts:
