@@ -9,8 +9,10 @@ only what shares its digit with something else:
    anchor; they travel as one run.
 2. Second digit: the whole run.  Runs of equal bytes hold the same windows; all but the earliest of equal runs are
    repeated throughout.
-3. Last digit: the window itself, for the few runs that share an anchor but are not equal as a whole (at the edges of a
-   repeated passage).
+3. Third digit: the core.  Of the runs that share an anchor but are not equal as a whole (at the edges of a repeated
+   passage, or around a common line), windows by thirds of the anchor's places have bytes in common, 78 of 100; only
+   thirds whose core some other run has are sent on.
+4. Last digit: the window itself.
 
 Hashes are 64 bits each and used in independent pairs (128 bits) wherever they decide.
 
@@ -59,15 +61,16 @@ def leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, depth: int = DEPTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(text, lo, hi, anchor, run): windows lo..hi (both in) of a text that share an anchor, its hash and that of all their bytes.
+    """(text, lo, hi, anchor, run, off, cores): windows lo..hi (both in) of a text that share an anchor.
 
-    Places are relative to the text.
+    anchor and run are the hashes of the anchor and of all bytes of the windows, off is the anchor's place after lo, and cores
+    has 21 bits of the hash of each third's core.  Places are relative to the text.
     """
     grams = mixed(span_hash(1).windows(span_hash(1).prefix(data), gram))
     least = leftmost_least(grams, depth - gram + 1)
     if not len(least):
         none = np.zeros(0, np.int64)
-        return none, none, none, none, none
+        return none, none, none, none, none, none, none
     lengths = np.diff(offsets)
     text = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)[: len(least)]
     place = np.arange(len(least))
@@ -78,9 +81,23 @@ def runs(data: np.ndarray, offsets: np.ndarray, depth: int = DEPTH, gram: int =
     last[:-1] &= new[1:] | ~valid[1:]
     lo, hi = np.flatnonzero(new), np.flatnonzero(last)
     whole = span_hash(2)
-    run = mixed(whole.spans(whole.prefix(data), lo, hi + depth) + (least[lo] - lo).astype(np.uint64))
+    sums = whole.prefix(data)
+    run = mixed(whole.spans(sums, lo, hi + depth) + (least[lo] - lo).astype(np.uint64))
+    anchor = least[lo].astype(np.int64)
+    cores = np.zeros(len(lo), np.uint64)
+    for i, (near, far) in enumerate(thirds(depth, gram)):
+        inside = (anchor - lo >= near) & (anchor - hi <= far)
+        begin, end = anchor[inside] - near, anchor[inside] - far + depth
+        cores[inside] |= (mixed(whole.spans(sums, begin, end)) >> np.uint64(43)) << np.uint64(21 * i)
     base = offsets[text[lo]]
-    return text[lo].astype(np.int64), lo - base, hi - base, grams[least[lo]].view(np.int64), run.view(np.int64)
+    return text[lo].astype(np.int64), lo - base, hi - base, grams[least[lo]].view(np.int64), run.view(np.int64), anchor - lo, cores.view(np.int64)
+
+
+def thirds(depth: int, gram: int) -> list[tuple[int, int]]:
+    """Ranges (both ends in) of the places that an anchor can have in a window."""
+    n = depth - gram + 1
+    cuts = [n * i // 3 for i in range(4)]
+    return [(a, b - 1) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
 
 
 def _repeated(key: np.ndarray, doc: np.ndarray, lo: np.ndarray) -> np.ndarray:
@@ -114,24 +131,27 @@ def _merged(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray
     return doc[begin], lo[begin], reach[np.append(begin[1:], len(doc)) - 1]
 
 
-_RUN = "kind int, anchor bigint, run bigint, doc_id bigint, lo bigint, hi bigint"
+_RUN = "kind int, anchor bigint, run bigint, doc_id bigint, lo bigint, hi bigint, off int, cores bigint"
 
 
-def _rows(kind: int, anchor, run, doc, lo, hi) -> pa.RecordBatch:
+def _rows(kind: int, anchor, run, doc, lo, hi, off, cores) -> pa.RecordBatch:
     arrays = [pa.array(np.full(len(doc), kind, np.int32)), *(pa.array(np.asarray(x, np.int64)) for x in (anchor, run, doc, lo, hi))]
-    return pa.RecordBatch.from_arrays(arrays, ["kind", "anchor", "run", "doc_id", "lo", "hi"])
+    arrays += [pa.array(np.asarray(off, np.int32)), pa.array(np.asarray(cores, np.int64))]
+    return pa.RecordBatch.from_arrays(arrays, ["kind", "anchor", "run", "doc_id", "lo", "hi", "off", "cores"])
 
 
 def _sent(parts: list[tuple[np.ndarray, ...]], depth: int) -> Iterator[pa.RecordBatch]:
     """Rows of kind 0 (to compare with those of other tasks) and of kind 1 (spans that are repeats for certain)."""
     if not parts:
         return
-    anchor, run, doc, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
+    columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+    anchor, run, doc, lo, hi = columns[:5]
     old = _repeated(run ^ (anchor * np.int64(0x61C88647)), doc, lo)
-    yield _rows(0, anchor[~old], run[~old], doc[~old], lo[~old], hi[~old])
+    yield _rows(0, *(x[~old] for x in columns))
     d, a, b = _merged(doc[old], lo[old], hi[old] + depth)
     if len(d):
-        yield _rows(1, np.zeros(len(d)), np.zeros(len(d)), d, a, b)
+        none = np.zeros(len(d))
+        yield _rows(1, none, none, d, a, b, none, none)
 
 
 def _runs_of(depth: int, gram: int):
@@ -140,8 +160,8 @@ def _runs_of(depth: int, gram: int):
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for lo, hi, data, offsets in each_slice(batch.column("text")):
-                text, a, b, anchor, run = runs(data, offsets, depth, gram)
-                parts.append((anchor, run, ids[lo:hi][text], a, b))
+                text, a, b, anchor, run, off, cores = runs(data, offsets, depth, gram)
+                parts.append((anchor, run, ids[lo:hi][text], a, b, off, cores))
                 size += len(data)
                 if size >= FLUSH_BYTES:
                     yield from _sent(parts, depth)
@@ -166,7 +186,8 @@ def _windows_of(depth: int):
                 lo, n = lo[hi >= lo], (hi - lo + 1)[hi >= lo]
                 at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
                 a, b = (mixed(h.spans(h.prefix(raw), at, at + depth)).view(np.int64) for h in (one, two))
-                parts.append((a, b, np.full(len(at), doc), at, at))
+                none = np.zeros(len(at), np.int64)
+                parts.append((a, b, np.full(len(at), doc), at, at, none, none))
                 size += 24 * len(at)
                 if size >= FLUSH_BYTES:
                     yield from _sent(parts, depth)
@@ -184,22 +205,32 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> Dat
     # one pass over the text: rows of kind 1 are few and pass through, those of kind 0 are sorted by their digits
     place = W.partitionBy("anchor", "run").orderBy("doc_id", "lo")
     whole = W.partitionBy("anchor")
+    shared = []
+    for i in range(len(thirds(depth, gram))):
+        core = W.partitionBy("anchor", F.shiftrightunsigned("cores", 21 * i).bitwiseAND(F.lit((1 << 21) - 1)))
+        shared.append(F.min("run").over(core) != F.max("run").over(core))
     sorted_ = (
         first.withColumn("anchor", F.when(F.col("kind") == 0, F.col("anchor")).otherwise(F.xxhash64("doc_id", "lo")))
         .repartition("anchor")
-        .withColumn("_rank", F.rank().over(place))
+        .withColumn("covered", (F.col("kind") == 1) | (F.rank().over(place) > 1))
         .withColumn("_mixed", F.min("run").over(whole) != F.max("run").over(whole))
-        .filter((F.col("kind") == 1) | (F.col("_rank") > 1) | F.col("_mixed"))
-    )
-    found = kept(
-        sorted_.select(
-            "doc_id",
-            "lo",
-            F.when((F.col("kind") == 0) & (F.col("_rank") > 1), F.col("hi") + depth).otherwise(F.col("hi")).alias("hi"),
-            ((F.col("kind") == 1) | (F.col("_rank") > 1)).alias("covered"),
-        ),
-        "runs",
+        .filter(F.col("covered") | F.col("_mixed"))
+        .withColumns({f"_shared{i}": x for i, x in enumerate(shared)})
     )
+    # what is left of a run that is not covered: its windows in the thirds that are shared, up to three ranges
+    parts = [
+        F.when(
+            F.col(f"_shared{i}"),
+            F.struct(
+                F.greatest("lo", F.col("lo") + F.col("off") - far).alias("lo"),
+                F.least("hi", F.col("lo") + F.col("off") - near).alias("hi"),
+            ),
+        )
+        for i, (near, far) in enumerate(thirds(depth, gram))
+    ]
+    end = F.when(F.col("kind") == 1, F.col("hi")).otherwise(F.col("hi") + depth)
+    ranges = F.when(F.col("covered"), F.array(F.struct(F.col("lo").alias("lo"), end.alias("hi")))).otherwise(F.filter(F.array(*parts), lambda x: x.isNotNull() & (x["lo"] <= x["hi"])))
+    found = kept(sorted_.select("doc_id", "covered", F.inline(ranges)), "runs")
     covered = found.filter("covered").select("doc_id", "lo", "hi")
     edges = found.filter("NOT covered").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     if found.filter("NOT covered").count() <= BROADCAST_ROWS:
