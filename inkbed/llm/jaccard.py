@@ -5,15 +5,17 @@ numbers (100 * intersection >= percent * union):
 
 1. Unique shingles.  A set with more than a quarter of shingles that no other set has (at 75 %) can't be linked.  A
    fixed share of all shingles, chosen by their hash, is enough to tell that of almost all sets; the others go on.
-2. Prefixes.  Shingles are put in one order, rare ones first (by a count-min sketch of the sets that are left; the sketch
-   bears only on speed).  Linked sets share a shingle within their first n - ceil(t n) + 1.
-3. Light sets, of up to a boundary size, meet by fixed-size subsets: linked sets share two shingles within prefixes longer by
+2. Shared shingles.  Among the sets that are left all shingles are counted so, and those that only one has are set aside: no
+   intersection holds them, so the others bound each set's intersections.
+3. Prefixes.  Shingles are put in one order, unique ones first and then rare ones (by a count-min sketch; it bears only on
+   speed).  Linked sets share a shingle within their first n - ceil(t n) + 1.
+4. Light sets, of up to a boundary size, meet by fixed-size subsets: linked sets share two shingles within prefixes longer by
    one, so they meet under pairs of shingles, which are far more selective.  Heavy sets are found by scanning inverted
    lists of single shingles.  The boundary is where the number of subsets outgrows the length of the lists, summed over
    the sets of each size.
-4. Lists.  Each entry of a list is first compared with its neighbour by size and with the list's most copied set.  Links
-   make components; then whatever shares a list but not yet a component is compared, entries of a list's largest component only
-   with others.  So a group of near copies costs rows in proportion to its size and all links between components are found.
+5. Lists.  Each entry of a list is first compared with its neighbour by size and with the list's most copied set, its hub.
+   Links make components; then whatever has a hub in common but not yet a component is compared, entries of a group's largest
+   component only with others, in tiles of bounded size.  So a group of near copies costs rows in proportion to its size and all links between components are found.
 
 Scale: shuffles carry a share of the shingles' hashes (once), prefixes of the sets that are left, and the sets of candidate
 pairs.  Tasks send at most two rows for a shingle that many documents share.
@@ -45,6 +47,8 @@ FLUSH_ROWS = 1 << 20
 BROADCAST_ROWS = 1_000_000
 #: Largest size of a set that is considered as light.
 LIGHT_MOST = 48
+#: Entries of a tile's two sides, about.
+ONE_BLOCK, OTHER_BLOCK = 256, 2048
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,6 +129,39 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts, size = [], 0
+    for batch in batches:
+        for node, x in zip(batch.column("node").to_numpy(), batch.column("shingles"), strict=True):
+            h = _hashes(x)
+            parts.append((h, np.full(len(h), node).view(np.uint64)))
+            size += len(h)
+            if size >= FLUSH_ROWS:
+                yield _first_and_last(*map(np.concatenate, zip(*parts, strict=True)))
+                parts, size = [], 0
+    if size:
+        yield _first_and_last(*map(np.concatenate, zip(*parts, strict=True)))
+
+
+def _without_unique(percent: int):
+    """Sets of shared shingles only; sets that are too few of these for any link are gone."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, rest = [], []
+            for i, (x, alone, n) in enumerate(zip(batch.column("shingles"), batch.column("unique"), batch.column("n").to_pylist(), strict=True)):
+                h = _hashes(x)
+                if alone.is_valid:
+                    h = h[np.isin(h, alone.values.to_numpy().view(np.uint64), invert=True)]
+                if len(h) >= _needed(n, percent):
+                    keep.append(i)
+                    rest.append(h.tobytes())
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("node", "copies", "n")), pa.array([len(x) // 8 for x in rest], pa.int64()), pa.array(rest, pa.binary())], ["node", "copies", "n", "shared", "shingles"])
+
+    return task
+
+
 def _hashes(value: pa.Scalar) -> np.ndarray:
     return np.frombuffer(value.as_buffer(), np.uint64)
 
@@ -182,48 +219,47 @@ def _costs(sets: DataFrame, counts_: object, percent: int) -> dict[int, tuple[fl
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, total = counts_.value, {}
         for batch in batches:
-            for x in batch.column("shingles"):
+            for x, n in zip(batch.column("shingles"), batch.column("n").to_pylist(), strict=True):
                 h = _hashes(x)
-                need = _needed(len(h), percent)
-                if need < 2:
+                need = _needed(n, percent)
+                p = len(h) - need + 1  # the unique ones come first in the prefix and are in no list
+                if need < 2 or p < 1:
                     continue
-                p = len(h) - need + 1
                 est = np.sort(counts[_counter(h)])[:p].sum()
-                a, b = total.get(len(h), (0.0, 0.0))
-                total[len(h)] = (a + (p + 1) * p / 2, b + float(est))
+                a, b = total.get(n, (0.0, 0.0))
+                total[n] = (a + (p + 1) * p / 2, b + float(est))
         keys = sorted(total)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([total[k][0] for k in keys], pa.float64()), pa.array([total[k][1] for k in keys], pa.float64())], ["n", "subsets", "lists"])
 
-    rows = sets.filter(F.col("n") <= LIGHT_MOST).select("shingles").mapInArrow(task, "n bigint, subsets double, lists double")
+    rows = sets.filter(F.col("n") <= LIGHT_MOST).select("n", "shingles").mapInArrow(task, "n bigint, subsets double, lists double")
     return {r["n"]: (r["subsets"], r["lists"]) for r in rows.groupBy("n").agg(F.sum("subsets").alias("subsets"), F.sum("lists").alias("lists")).collect()}
 
 
 def _postings(counts_: object, light: int, percent: int):
-    """Rows (key, node, copies, n): where a set is to be met."""
+    """Rows (key, node, copies, n, shared): where a set is to be met."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = counts_.value
         for batch in batches:
             keys, which = [], []
-            for i, x in enumerate(batch.column("shingles")):
+            for i, (x, n) in enumerate(zip(batch.column("shingles"), batch.column("n").to_pylist(), strict=True)):
                 h = _hashes(x)
-                n = len(h)
                 need = _needed(n, percent)
                 if need < 1:
                     continue
                 rare = _ordered(h, counts)
                 if n > light or need < 2 or 100 * n >= percent * (light + 1):  # met by heavy sets, or too small for subsets
-                    keys.append(rare[: n - need + 1])
+                    keys.append(rare[: len(h) - need + 1])
                     which.append(np.full(len(keys[-1]), i))
                 if n <= light and need >= 2:
-                    longer = rare[: n - need + 2]
+                    longer = rare[: len(h) - need + 2]
                     a, b = np.triu_indices(len(longer), 1)
                     keys.append(mixed(longer[a] * np.uint64(0x9E3779B97F4A7C15) + longer[b] + np.uint64(1)))
                     which.append(np.full(len(a), i))
             if keys:
                 at = pa.array(np.concatenate(which))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), *(batch.column(c).take(at) for c in ("node", "copies", "n"))], ["key", "node", "copies", "n"]
+                    [pa.array(np.concatenate(keys).view(np.int64)), *(batch.column(c).take(at) for c in ("node", "copies", "n", "shared"))], ["key", "node", "copies", "n", "shared"]
                 )
 
     return task
@@ -233,13 +269,14 @@ def _verified(percent: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
+            total = (batch.column("m").to_numpy() + batch.column("n").to_numpy()).tolist()
             for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
                 a, b = _hashes(x), _hashes(y)
                 if len(a) > len(b):
                     a, b = b, a
                 at = np.searchsorted(b, a)
                 both = int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
-                if 100 * both >= percent * (len(a) + len(b) - both):
+                if 100 * both >= percent * (total[i] - both):
                     keep.append(i)
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], ["a", "b"])
@@ -248,10 +285,52 @@ def _verified(percent: int):
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the candidate pairs (a, b), those that are linked, by their whole sets."""
-    x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return kept(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verified(percent), "a bigint, b bigint"), "links")
+    """Of the candidate pairs (a, b), those that are linked, by all their shared shingles."""
+    x = sets.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("shingles").alias("x"))
+    y = sets.select(F.col("node").alias("b"), "n", F.col("shingles").alias("y"))
+    return kept(pairs.join(x, "a").join(y, "b").select("a", "b", "m", "n", "x", "y").mapInArrow(_verified(percent), "a bigint, b bigint"), "links")
+
+
+def _tile(percent: int):
+    """Links between a block of entries outside the largest component and a block of all entries of a group."""
+    import pandas as pd
+
+    def task(rows: pd.DataFrame) -> pd.DataFrame:
+        one, other = rows[rows["one"]], rows[~rows["one"]]
+        out = []
+        if len(one) and len(other):
+            sets = [np.frombuffer(x, np.uint64) for x in other["shingles"]]
+            ids, at = np.unique(np.concatenate(sets), return_inverse=True)
+            cuts = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+            nodes, n, part = (other[c].to_numpy() for c in ("node", "n", "part"))
+            for node, size, own, raw in zip(one["node"], one["n"], one["part"], one["shingles"], strict=True):
+                h = np.frombuffer(raw, np.uint64)
+                place = np.minimum(np.searchsorted(ids, h), len(ids) - 1)
+                mark = np.zeros(len(ids), np.int64)
+                mark[place[ids[place] == h]] = 1
+                sums = np.concatenate([[0], np.cumsum(mark[at])])
+                both = sums[cuts[1:]] - sums[cuts[:-1]]
+                for m in nodes[(100 * both >= percent * (size + n - both)) & (part != own)]:
+                    out.append((min(node, m), max(node, m)))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return task
+
+
+def _tiles(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Compares the entries of a group that are outside its largest component with all of it, in tiles of bounded size.
+
+    Rows grow with the entries times the number of blocks, not with the pairs.
+    """
+    ones, others = F.ceil((F.col("_all") - F.col("_most")) / ONE_BLOCK), F.ceil(F.col("_all") / OTHER_BLOCK)
+    one = open_.filter("part != _largest").select(
+        "hub", "node", "part", F.lit(True).alias("one"), F.pmod(F.xxhash64("node"), ones).alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), others - 1)).alias("j")
+    )
+    other = open_.select(
+        "hub", "node", "part", F.lit(False).alias("one"), F.explode(F.sequence(F.lit(0).cast("bigint"), ones - 1)).alias("i"), F.pmod(F.xxhash64("node"), others).alias("j")
+    )
+    whole = one.unionByName(other).join(sets.select("node", "n", "shingles"), "node")
+    return whole.groupBy("hub", "i", "j").applyInPandas(_tile(percent), "a bigint, b bigint").distinct()
 
 
 def classes_and_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -274,44 +353,45 @@ def classes_and_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFram
         wanted = F.broadcast(wanted)
     sets = texts.join(wanted, "doc_id").dropDuplicates(["doc_id"])  # a doc_id may be repeated
     sets = kept(sets.select("doc_id", "copies", "text").mapInArrow(_sets, "node bigint, copies bigint, n bigint, shingles binary"), "sets")
+    owned = sets.select("node", "shingles").mapInArrow(_owned, "h bigint, class bigint").groupBy("h").agg(F.min("class").alias("node"), F.max("class").alias("_last"))
+    alone = owned.filter("node = _last").groupBy("node").agg(F.collect_list("h").alias("unique"))
+    shared = sets.join(alone, "node", "left").select("node", "copies", "n", "shingles", "unique")
+    sets = kept(shared.mapInArrow(_without_unique(percent), "node bigint, copies bigint, n bigint, shared bigint, shingles binary"), "shared")
     counts = docs.sparkSession.sparkContext.broadcast(sketch(sets))  # COUNTERS * 4 bytes
     light = boundary(_costs(sets, counts, percent))
-    lists = sets.mapInArrow(_postings(counts, light, percent), "key bigint, node bigint, copies bigint, n bigint")
+    lists = sets.mapInArrow(_postings(counts, light, percent), "key bigint, node bigint, copies bigint, n bigint, shared bigint")
     whole = W.partitionBy("key")
-    top = F.max(F.struct("copies", -F.col("n"), -F.col("node"))).over(whole)
-    near = whole.orderBy("n", "node")
+    top = F.max(F.struct("copies", (-F.col("n")).alias("n"), (-F.col("node")).alias("node"), "shared")).over(whole)
+    before = F.lag(F.struct("n", "node", "shared")).over(whole.orderBy("n", "node"))
+    own = F.struct("n", "node", "shared")
     lists = kept(
         lists.withColumn("_top", top)
-        .withColumn("hub", -F.col("_top.col3"))
-        .withColumn("hub_n", -F.col("_top.col2"))
-        .withColumn("before", F.lag("node").over(near))
-        .withColumn("before_n", F.lag("n").over(near))
-        .withColumn("_after", F.lead("node").over(near))
+        .withColumn("hub", F.struct((-F.col("_top.n")).alias("n"), (-F.col("_top.node")).alias("node"), F.col("_top.shared").alias("shared")))
+        .withColumn("before", before)
+        .withColumn("_after", F.lead("node").over(whole.orderBy("n", "node")))
         .filter("before IS NOT NULL OR _after IS NOT NULL")
-        .select("key", "node", "n", "hub", "hub_n", "before", "before_n"),
+        .select("key", own.alias("x"), "hub", "before"),
         "lists",
     )
 
-    def fits(n: str, m: str):
-        """Sizes that allow a link."""
-        return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    def fits(x: str, y: str):
+        """Sizes, and shingles that any other set has, which allow a link."""
+        return (100 + percent) * F.least(f"{x}.shared", f"{y}.shared") >= percent * (F.col(f"{x}.n") + F.col(f"{y}.n"))
 
     def ordered(rows: DataFrame, x: str, y: str) -> DataFrame:
-        return rows.filter(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+        fit = rows.filter(fits(x, y) & (F.col(f"{x}.node") != F.col(f"{y}.node")))
+        return fit.select(F.least(f"{x}.node", f"{y}.node").alias("a"), F.greatest(f"{x}.node", f"{y}.node").alias("b"))
 
-    first = kept(ordered(lists.filter(fits("n", "hub_n")), "node", "hub").unionByName(ordered(lists.filter("before IS NOT NULL").filter(fits("n", "before_n")), "node", "before")).distinct(), "pairs")
+    first = kept(ordered(lists, "x", "hub").unionByName(ordered(lists.filter("before IS NOT NULL"), "x", "before")).distinct(), "pairs")
     links = _linked(first, sets, percent)
-    known = components(links)
-    parts = known.select("node", F.col("component").alias("part"))
-    placed = lists.select("key", "node", "n").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    in_part = placed.groupBy("key", "part").agg(F.count("*").alias("_many"))
-    largest = in_part.groupBy("key").agg(F.max(F.struct("_many", "part")).alias("_l"), F.count("*").alias("_parts")).filter("_parts > 1").select("key", F.col("_l.part").alias("_largest"))
-    open_ = kept(placed.join(largest, "key"), "open")
-    one = open_.filter("part != _largest").select("key", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("part").alias("xp"))
-    other = open_.select("key", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("part").alias("yp"))
-    rest = one.join(other, "key").filter(F.col("xp") != F.col("yp")).filter(fits("xn", "yn"))
-    rest = ordered(rest, "x", "y").distinct().join(first, ["a", "b"], "left_anti")
-    more = _linked(kept(rest, "pairs"), sets, percent)
+    parts = components(links).select(F.col("node").alias("_node"), F.col("component").alias("part"))
+    # everything that shares a list is in the group of the list's hub
+    groups = lists.select(F.col("hub.node").alias("hub"), F.col("x.node").alias("node")).distinct()
+    groups = groups.join(parts, F.col("node") == F.col("_node"), "left").select("hub", "node", F.coalesce("part", "node").alias("part"))
+    per_part = groups.groupBy("hub", "part").agg(F.count("*").alias("_many"))
+    largest = per_part.groupBy("hub").agg(F.max(F.struct("_many", "part")).alias("_l"), F.sum("_many").alias("_all"), F.count("*").alias("_parts")).filter("_parts > 1")
+    open_ = kept(groups.join(largest.select("hub", F.col("_l.part").alias("_largest"), F.col("_l._many").alias("_most"), "_all"), "hub"), "open")
+    more = kept(_tiles(open_, sets, percent), "links")
     return profiles.join(classes.select("class", "node"), "class"), links.unionByName(more)
 
 
