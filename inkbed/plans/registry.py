@@ -2,5 +2,6 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import base, graph_queries, match_queries, text_queries  # noqa: F401  they register themselves
+
+QUERIES, ORACLES = base.QUERIES, base.ORACLES
