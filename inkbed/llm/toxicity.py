@@ -281,13 +281,18 @@ def _worker_table(keys: bytes, weights: bytes) -> np.ndarray:
     return _table(Model(np.frombuffer(keys, np.uint32), np.frombuffer(weights, np.float32), 0.0, 0.0, 0.0))
 
 
-def fit(labelled: DataFrame, rows: int = ROWS) -> Model:
-    """Learns from columns doc_id, text and toxic; at most ``rows`` of either label, chosen by a hash."""
-    known = labelled.filter(F.col("toxic").isin(0, 1) & F.col("text").isNotNull() & (F.length("text") <= ROW_CHARS))
+def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
+    """Learns from texts (doc_id, text) and labels (doc_id, toxic); at most ``rows`` labels of either kind, chosen by a hash.
+
+    Only the chosen labels, a bounded number, are sent to the texts.
+    """
+    known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     place = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 20)) / (1 << 20)
     fraction = F.when(F.col("toxic") == 1, F.lit(min(1.0, rows / max(1, counts.get(1, 0))))).otherwise(F.lit(min(1.0, rows / max(1, counts.get(0, 0)))))
-    sample = known.filter(place < fraction).select("doc_id", "text", "toxic").limit(3 * rows).toPandas().sort_values("doc_id", kind="stable")
+    chosen = known.filter(place < fraction).limit(3 * rows)
+    sample = docs.filter(F.col("text").isNotNull() & (F.length("text") <= ROW_CHARS)).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    sample = sample.toPandas().sort_values(["doc_id", "text"], kind="stable")
     return train(list(sample["text"]), sample["toxic"].to_numpy(np.int64))
 
 
