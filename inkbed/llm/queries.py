@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, jaccard, langid, mixing, quality, suffixes, tokencount, toxicity
+from . import chat, decontamination, jaccard, langid, mixing, quality, suffixes, tokencount, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.removed(_table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read(warc.write(_table(spark, sf_dir, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -76,6 +81,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_toxicity": op3_toxicity,
     "op4_suffixes": op4_suffixes,
+    "op5_warc": op5_warc,
     "op6_jaccard": op6_jaccard,
     "op7_decontamination": op7_decontamination,
     "op8_chat": op8_chat,
