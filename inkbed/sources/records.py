@@ -28,11 +28,16 @@ def jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame
     return spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
 
 
+def _listed(value: str, schema: str):
+    """The records of a JSON list, or of an object's list called records."""
+    from_object = F.from_json(value, f"struct<records:array<struct<{schema}>>>")["records"]
+    return F.when(F.ltrim(value).startswith("["), F.from_json(value, f"array<struct<{schema}>>")).otherwise(from_object)
+
+
 def json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """S-04, S-06: whole files that hold a list, or an object with a list called records."""
     text = spark.read.text(path, wholetext=True).select(F.col("value"), F.input_file_name().alias("file"))
-    rows = F.coalesce(F.from_json("value", f"array<struct<{schema}>>"), F.from_json("value", f"struct<records:array<struct<{schema}>>>")["records"])
-    return text.select("file", F.explode(rows).alias("r")).select("file", "r.*")
+    return text.select("file", F.explode(_listed("value", schema)).alias("r")).select("file", "r.*")
 
 
 def csv_records(spark: SparkSession, path: str) -> DataFrame:
@@ -171,8 +176,7 @@ def imports(spark: SparkSession, folder: str, fields: list[str]) -> DataFrame:
     schema = ", ".join(f"{f}:string" for f in fields)
     whole = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True).select("value", F.regexp_extract(F.input_file_name(), "([^/]+)$", 1).alias("file"))
     sidecars = whole.filter(F.col("file").endswith(".meta.json")).select(F.regexp_replace("file", "\\.meta\\.json$", "").alias("of"), F.get_json_object("value", "$.database").alias("database"))
-    rows = F.coalesce(F.from_json("value", f"array<struct<{schema}>>"), F.from_json("value", f"struct<records:array<struct<{schema}>>>")["records"])
-    from_json = whole.filter(F.col("file").endswith(".json") & ~F.col("file").endswith(".meta.json")).select("file", F.explode(rows).alias("r")).select("file", *[f"r.{f}" for f in fields])
+    from_json = whole.filter(F.col("file").endswith(".json") & ~F.col("file").endswith(".meta.json")).select("file", F.explode(_listed("value", schema)).alias("r")).select("file", *[f"r.{f}" for f in fields])
     table = spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true").csv(folder, header=True, multiLine=True, escape='"').withColumn("file", F.regexp_extract(F.input_file_name(), "([^/]+)$", 1))
     from_csv = table.select("file", *[F.col(f) if f in table.columns else F.lit(None).cast("string").alias(f) for f in fields])
     found = from_json.unionByName(from_csv)
