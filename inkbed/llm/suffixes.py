@@ -18,8 +18,7 @@ Hashes are 64 bits each and used in independent pairs (128 bits) wherever they d
 
 Scale: one row for about 24 bytes of text is shuffled, by the anchor's hash.  Before that each task removes the repeats
 that it sees itself, so a passage that a third of all documents share has a row for each batch and not for each
-document.  Text is shuffled once, to meet its spans; runs at edges meet it by a broadcast while they are fewer than
-BROADCAST_ROWS and else by a shuffle.
+document.  Text is shuffled once; the runs at edges and, in the end, the spans meet it in the same partitions.
 
 Defined cases: null texts are empty; texts shorter than the depth lose nothing; documents without doc_id lose nothing and
 make no other lose anything; rows repeated with the same doc_id are one document and get the same result; extra columns are
@@ -43,7 +42,8 @@ from .tables import kept
 DEPTH, GRAM = 100, 32
 #: Bytes of text after which a task removes the repeats that it has seen and sends the rest on.
 FLUSH_BYTES = 16 << 20
-BROADCAST_ROWS = 1_000_000
+#: Bits of a row's place for its windows and its anchor, and the anchor that marks a span of kind "covered".
+PLACE_BITS, COVERED = 12, (1 << 12) - 1
 
 
 def leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -131,27 +131,25 @@ def _merged(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray
     return doc[begin], lo[begin], reach[np.append(begin[1:], len(doc)) - 1]
 
 
-_RUN = "kind int, anchor bigint, run bigint, doc_id bigint, lo bigint, hi bigint, off int, cores bigint"
+_RUN = "anchor bigint, run bigint, doc_id bigint, place bigint, cores bigint"
 
 
-def _rows(kind: int, anchor, run, doc, lo, hi, off, cores) -> pa.RecordBatch:
-    arrays = [pa.array(np.full(len(doc), kind, np.int32)), *(pa.array(np.asarray(x, np.int64)) for x in (anchor, run, doc, lo, hi))]
-    arrays += [pa.array(np.asarray(off, np.int32)), pa.array(np.asarray(cores, np.int64))]
-    return pa.RecordBatch.from_arrays(arrays, ["kind", "anchor", "run", "doc_id", "lo", "hi", "off", "cores"])
+def _rows(anchor, run, doc, place, cores) -> pa.RecordBatch:
+    """place is lo, the windows after it and the anchor's offset in one number; a covered span has its end as run."""
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (anchor, run, doc, place, cores)], ["anchor", "run", "doc_id", "place", "cores"])
 
 
 def _sent(parts: list[tuple[np.ndarray, ...]], depth: int) -> Iterator[pa.RecordBatch]:
-    """Rows of kind 0 (to compare with those of other tasks) and of kind 1 (spans that are repeats for certain)."""
+    """Rows to compare with those of other tasks, and rows of spans that are repeats for certain."""
     if not parts:
         return
-    columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-    anchor, run, doc, lo, hi = columns[:5]
+    anchor, run, doc, lo, hi, off, cores = (np.concatenate(x) for x in zip(*parts, strict=True))
     old = _repeated(run ^ (anchor * np.int64(0x61C88647)), doc, lo)
-    yield _rows(0, *(x[~old] for x in columns))
+    place = (lo << 2 * PLACE_BITS) | ((hi - lo) << PLACE_BITS) | off
+    yield _rows(*(x[~old] for x in (anchor, run, doc, place, cores)))
     d, a, b = _merged(doc[old], lo[old], hi[old] + depth)
     if len(d):
-        none = np.zeros(len(d))
-        yield _rows(1, none, none, d, a, b, none, none)
+        yield _rows(mixed((d * np.int64(0x9E3779B1) + a).view(np.uint64)).view(np.int64), b, d, (a << 2 * PLACE_BITS) | COVERED, np.zeros(len(d)))
 
 
 def _runs_of(depth: int, gram: int):
@@ -180,6 +178,8 @@ def _windows_of(depth: int):
         for batch in batches:
             spans = batch.column("spans")
             for i, (doc, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True)):
+                if not spans[i].is_valid:
+                    continue
                 raw = np.frombuffer((text.as_py() or "").encode(), np.uint8)
                 lo, hi = (np.array(x, np.int64) for x in zip(*((s["lo"], s["hi"]) for s in spans[i].as_py()), strict=True))
                 hi = np.minimum(hi, len(raw) - depth)
@@ -197,58 +197,65 @@ def _windows_of(depth: int):
     return task
 
 
+def _placed(rows: DataFrame) -> DataFrame:
+    """Adds lo, hi, off and covered, so far by the tasks alone."""
+    width = F.shiftright("place", PLACE_BITS).bitwiseAND(F.lit(COVERED))
+    rows = rows.withColumn("off", F.col("place").bitwiseAND(F.lit(COVERED))).withColumn("lo", F.shiftright("place", 2 * PLACE_BITS))
+    return rows.withColumn("covered", F.col("off") == COVERED).withColumn("hi", F.when(F.col("covered"), F.col("run")).otherwise(F.col("lo") + width))
+
+
 def repeated_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, lo, hi: half-open byte spans that are covered by repeated windows; spans may overlap."""
+    """doc_id, lo, hi: half-open byte spans that are covered by repeated windows; spans may overlap.
+
+    docs: doc_id bigint, text and any other columns.
+    """
     gram = min(gram, depth)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= depth))
-    first = texts.mapInArrow(_runs_of(depth, gram), _RUN)
-    # one pass over the text: rows of kind 1 are few and pass through, those of kind 0 are sorted by their digits
-    place = W.partitionBy("anchor", "run").orderBy("doc_id", "lo")
-    whole = W.partitionBy("anchor")
+    if depth - gram >= COVERED:
+        raise ValueError("the depth may exceed the gram by 4094 at most")
+    long_ = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= depth))
+    equal, whole = W.partitionBy("anchor", "run"), W.partitionBy("anchor")
+    later = F.rank().over(equal.orderBy("doc_id", "place")) > 1
+    cells = thirds(depth, gram)
     shared = []
-    for i in range(len(thirds(depth, gram))):
+    for i in range(len(cells)):
         core = W.partitionBy("anchor", F.shiftrightunsigned("cores", 21 * i).bitwiseAND(F.lit((1 << 21) - 1)))
         shared.append(F.min("run").over(core) != F.max("run").over(core))
     sorted_ = (
-        first.withColumn("anchor", F.when(F.col("kind") == 0, F.col("anchor")).otherwise(F.xxhash64("doc_id", "lo")))
-        .repartition("anchor")
-        .withColumn("covered", (F.col("kind") == 1) | (F.rank().over(place) > 1))
-        .withColumn("_mixed", F.min("run").over(whole) != F.max("run").over(whole))
-        .filter(F.col("covered") | F.col("_mixed"))
+        _placed(
+            long_.mapInArrow(_runs_of(depth, gram), _RUN)
+            .repartition("anchor")
+            .withColumn("_later", later)
+            .withColumn("_mixed", F.min("run").over(whole) != F.max("run").over(whole))
+            .filter(F.col("_later") | F.col("_mixed") | (F.col("place").bitwiseAND(F.lit(COVERED)) == COVERED))
+        )
+        .withColumn("hi", F.when(F.col("_later"), F.col("hi") + depth).otherwise(F.col("hi")))
+        .withColumn("covered", F.col("covered") | F.col("_later"))
         .withColumns({f"_shared{i}": x for i, x in enumerate(shared)})
     )
     # what is left of a run that is not covered: its windows in the thirds that are shared, up to three ranges
     parts = [
         F.when(
             F.col(f"_shared{i}"),
-            F.struct(
-                F.greatest("lo", F.col("lo") + F.col("off") - far).alias("lo"),
-                F.least("hi", F.col("lo") + F.col("off") - near).alias("hi"),
-            ),
+            F.struct(F.greatest("lo", F.col("lo") + F.col("off") - far).alias("lo"), F.least("hi", F.col("lo") + F.col("off") - near).alias("hi")),
         )
-        for i, (near, far) in enumerate(thirds(depth, gram))
+        for i, (near, far) in enumerate(cells)
     ]
-    end = F.when(F.col("kind") == 1, F.col("hi")).otherwise(F.col("hi") + depth)
-    ranges = F.when(F.col("covered"), F.array(F.struct(F.col("lo").alias("lo"), end.alias("hi")))).otherwise(F.filter(F.array(*parts), lambda x: x.isNotNull() & (x["lo"] <= x["hi"])))
+    ranges = F.when(F.col("covered"), F.array(F.struct("lo", "hi"))).otherwise(F.filter(F.array(*parts), lambda x: x.isNotNull() & (x["lo"] <= x["hi"])))
     found = kept(sorted_.select("doc_id", "covered", F.inline(ranges)), "runs")
     covered = found.filter("covered").select("doc_id", "lo", "hi")
-    edges = found.filter("NOT covered").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    if found.filter("NOT covered").count() <= BROADCAST_ROWS:
-        edges = F.broadcast(edges)
-    windows = texts.join(edges, "doc_id").select("doc_id", "text", "spans").mapInArrow(_windows_of(depth), _RUN)
-    equal = W.partitionBy("anchor", "run").orderBy("doc_id", "lo")
-    again = windows.withColumn("anchor", F.when(F.col("kind") == 0, F.col("anchor")).otherwise(F.xxhash64("doc_id", "lo"))).withColumn("_rank", F.rank().over(equal))
-    last = again.filter((F.col("kind") == 1) | (F.col("_rank") > 1)).select(
-        "doc_id", "lo", F.when(F.col("kind") == 1, F.col("hi")).otherwise(F.col("lo") + depth).alias("hi")
-    )
+    edges = found.filter("NOT covered").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    # the same side as in removed(), all columns and a left join, so that its exchange is used again
+    windows = docs.join(edges, F.col("doc_id") == F.col("_doc"), "left").drop("_doc").mapInArrow(_windows_of(depth), _RUN)
+    again = _placed(windows.withColumn("_later", later)).filter(F.col("covered") | F.col("_later"))
+    last = again.select("doc_id", "lo", F.when(F.col("covered"), F.col("hi")).otherwise(F.col("lo") + depth).alias("hi"))
     return covered.unionByName(last)
 
 
-def _cut(keep_text: bool):
+def _cut(keep_text: bool, keep: tuple[str, ...]):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("spans"), strict=True):
+            for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
                 raw = (text.as_py() or "").encode()
                 pieces, at, removed, n = [], 0, 0, 0
                 if spans.is_valid:
@@ -259,22 +266,24 @@ def _cut(keep_text: bool):
                         at, removed, n = b, removed + b - a, n + 1
                 pieces.append(raw[at:])
                 rest = b"".join(pieces)
-                rows.append((doc, len(raw), removed, n, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if keep_text else None))
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+                rows.append((len(raw), removed, n, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if keep_text and text.is_valid else None))
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
+            own = ["doc_id", *keep]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [*own, *names])
 
     return task
 
 
-def removed(docs: DataFrame, depth: int = DEPTH, keep_text: bool = False) -> DataFrame:
-    """For each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept_text.
+def removed(docs: DataFrame, depth: int = DEPTH, keep_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """For each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, the columns in keep and, if asked for, kept_text.
 
-    kept_text leaves out the bytes of a character that a span cuts in two.
+    kept_text leaves out the bytes of a character that a span cuts in two; it is null where the text is.
     """
-    spans = repeated_spans(docs, depth).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string"
-    cut = texts.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_cut(keep_text), schema)
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *keep)
+    spans = repeated_spans(texts, depth).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.select("doc_id", *keep).schema.fields)
+    schema = f"{own}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string"
+    cut = texts.join(spans, F.col("doc_id") == F.col("_doc"), "left").drop("_doc").mapInArrow(_cut(keep_text, keep), schema)
     return cut if keep_text else cut.drop("kept_text")
