@@ -176,7 +176,7 @@ def _windows_of(depth: int):
         one, two = span_hash(1), span_hash(2)
         parts, size = [], 0
         for batch in batches:
-            spans = batch.column("spans")
+            spans = batch.column("_spans")
             for i, (doc, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True)):
                 if not spans[i].is_valid:
                     continue
@@ -243,7 +243,7 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> Dat
     ranges = F.when(F.col("covered"), F.array(F.struct("lo", "hi"))).otherwise(F.filter(F.array(*parts), lambda x: x.isNotNull() & (x["lo"] <= x["hi"])))
     found = kept(sorted_.select("doc_id", "covered", F.inline(ranges)), "runs")
     covered = found.filter("covered").select("doc_id", "lo", "hi")
-    edges = found.filter("NOT covered").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    edges = found.filter("NOT covered").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
     # the same side as in removed(), all columns and a left join, so that its exchange is used again
     windows = docs.join(edges, F.col("doc_id") == F.col("_doc"), "left").drop("_doc").mapInArrow(_windows_of(depth), _RUN)
     again = _placed(windows.withColumn("_later", later)).filter(F.col("covered") | F.col("_later"))
@@ -255,7 +255,7 @@ def _cut(keep_text: bool, keep: tuple[str, ...]):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
+            for text, spans in zip(batch.column("text"), batch.column("_spans"), strict=True):
                 raw = (text.as_py() or "").encode()
                 pieces, at, removed, n = [], 0, 0, 0
                 if spans.is_valid:
@@ -282,7 +282,7 @@ def removed(docs: DataFrame, depth: int = DEPTH, keep_text: bool = False, keep:
     kept_text leaves out the bytes of a character that a span cuts in two; it is null where the text is.
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *keep)
-    spans = repeated_spans(texts, depth).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = repeated_spans(texts, depth).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.select("doc_id", *keep).schema.fields)
     schema = f"{own}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string"
     cut = texts.join(spans, F.col("doc_id") == F.col("_doc"), "left").drop("_doc").mapInArrow(_cut(keep_text, keep), schema)

@@ -37,6 +37,8 @@ ROWS, ROW_CHARS = 1200, 200_000
 LANDMARKS, ROUNDS = 320, 4
 #: Places of the second and third byte of a subsequence, and what each byte in between costs.
 GAPS, DECAY = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)), 0.75
+#: Characters that training inserts in strings, and after how many bytes.
+GAP_MARKS, GAP_STEPS = (b".", b"-", b"*"), (1, 2)
 #: Length beyond which a string's norm grows no more.
 NORM_LENGTH = 24
 
@@ -146,7 +148,7 @@ def _dense(words: list[bytes], columns: np.ndarray) -> np.ndarray:
     return out
 
 
-def _svm(x: np.ndarray, y: np.ndarray, share: np.ndarray, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def _svm(x: np.ndarray, y: np.ndarray, share: np.ndarray, steps: int = 600, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Linear SVM (squared hinge) by Adam."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w, m, v = np.zeros(x.shape[1]), 0, 0
@@ -210,6 +212,11 @@ def _cover(docs: list[np.ndarray], toxic: np.ndarray, pos: np.ndarray, neg: np.n
     return np.array(taken, np.int64)
 
 
+def gapped(word: bytes) -> list[bytes]:
+    """The word with characters inserted after each one and after each two bytes."""
+    return [GAP_MARKS[len(word) % len(GAP_MARKS)].join(word[i : i + step] for i in range(0, len(word), step)) for step in GAP_STEPS]
+
+
 def train(texts: list[str | None], toxic: np.ndarray) -> Model:
     """Fits the machine on documents and their labels (0 or 1)."""
     toxic = np.asarray(toxic)
@@ -254,11 +261,15 @@ def train(texts: list[str | None], toxic: np.ndarray) -> Model:
         val, vec = np.linalg.eigh(k)
         good = val > 1e-6 * max(val.max(), 1e-12)
         white = vec[:, good] / np.sqrt(val[good])
-        both = np.concatenate([up, down])
-        x = np.vstack([_dense([words[j] for j in part], columns) @ c.T for part in np.array_split(both, max(1, len(both) // 1000))]).astype(np.float64) @ white
-        y = np.where(np.arange(len(both)) < len(up), 1.0, -1.0)
-        often = np.sqrt(np.where(y > 0, pos[both], 1.0).clip(1))
-        share = often / np.where(y > 0, often[y > 0].sum(), often[y < 0].sum() if (y < 0).any() else 1.0) / 2
+        # insults with inserted characters are insults, too; other words with such characters are not
+        strings = [words[j] for j in up] + [g for j in up for g in gapped(words[j])]
+        weight = [pos[j] for j in up] + [pos[j] / 4 for j in up for _ in GAP_STEPS]
+        n_up = len(strings)
+        strings += [words[j] for j in down] + [g for j in down[::4] for g in gapped(words[j])]
+        x = np.vstack([_dense(strings[i : i + 1000], columns) @ c.T for i in range(0, len(strings), 1000)]).astype(np.float64) @ white
+        y = np.where(np.arange(len(strings)) < n_up, 1.0, -1.0)
+        often = np.sqrt(np.concatenate([weight, np.ones(len(strings) - n_up)]).clip(1))
+        share = often / np.where(y > 0, 3 * often[y > 0].sum(), 1.5 * often[y < 0].sum() if (y < 0).any() else 1.0)
         w, bias = _svm(x, y, share)
         weights = (c.T @ (white @ w)).astype(np.float32)
         model = Model(columns.astype(np.uint32), weights, bias, 1.0, 0.0)
