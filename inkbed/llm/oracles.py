@@ -18,16 +18,16 @@ line AS (
 m AS (
   SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, length(regexp_replace(text, '[^A-Z]+', '', 'g')) AS n_upper,
-         coalesce(n_lines, 0) AS n_lines, coalesce(n_dup, 0) AS n_dup_lines, coalesce(hit.n, 0) AS n_repeat_words
+         len(list_filter(list_zip(w[:-2], w[2:]), lambda z: z[1] = z[2])) AS n_echoes, coalesce(n_lines, 0) AS n_lines, coalesce(n_dup, 0) AS n_dup_lines, coalesce(hit.n, 0) AS n_repeat_words
   FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN line USING (doc_id)
 ),
 r AS (
   SELECT *, (n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT
-         + 8 * (10 * n_dup_lines > 3 * n_lines)::BIGINT + 16 * (word_chars > 15 * n_words)::BIGINT
-         + 32 * (2 * word_chars < 3 * n_words)::BIGINT + 64 * (2 * n_upper > word_chars)::BIGINT AS rule_mask FROM m
+         + 8 * (10 * n_dup_lines > 6 * n_lines)::BIGINT + 16 * (word_chars > 15 * n_words)::BIGINT
+         + 32 * (2 * word_chars < 3 * n_words)::BIGINT + 64 * (2 * n_upper > word_chars)::BIGINT + 128 * (3 * n_echoes > n_words)::BIGINT AS rule_mask FROM m
 )
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
-       n_repeat_words::BIGINT AS n_repeat_words, (rule_mask & 3) <> 0 AS base_failed, (rule_mask & 127) = 0 AS kept, rule_mask::BIGINT AS rule_mask
+       n_repeat_words::BIGINT AS n_repeat_words, (rule_mask & 3) <> 0 AS base_failed, (rule_mask & 255) = 0 AS kept, rule_mask::BIGINT AS rule_mask
 FROM r
 """
 

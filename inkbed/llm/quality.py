@@ -35,15 +35,16 @@ RULES = (
     Rule("few_words", 0, "n_words < 10"),
     Rule("repeated_words", 1, "100 * n_repeat_words > 20 * n_words"),
     Rule("symbols", 2, "10 * n_symbols > n_words"),
-    Rule("duplicate_lines", 3, "10 * n_dup_lines > 3 * n_lines"),
+    Rule("duplicate_lines", 3, "10 * n_dup_lines > 6 * n_lines"),
     Rule("long_words", 4, "word_chars > 15 * n_words"),
     Rule("short_words", 5, "2 * word_chars < 3 * n_words"),
     Rule("capitals", 6, "2 * n_upper > word_chars"),
+    Rule("echoes", 7, "3 * n_echoes > n_words"),
 )
 #: Rules of each policy version.
 POLICIES: Mapping[str, tuple[str, ...]] = {
     "base": ("few_words", "repeated_words"),
-    "v1": ("few_words", "repeated_words", "symbols", "duplicate_lines", "long_words", "short_words", "capitals"),
+    "v1": ("few_words", "repeated_words", "symbols", "duplicate_lines", "long_words", "short_words", "capitals", "echoes"),
 }
 
 
@@ -98,6 +99,7 @@ def measure(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             F.length(F.array_join(v["w"], "")).cast("bigint").alias("word_chars"),
             F.size(v["l"]).cast("bigint").alias("n_lines"),
             (F.size(v["l"]) - F.size(F.array_distinct(v["l"]))).cast("bigint").alias("n_dup_lines"),
+            F.size(F.filter(v["w"], lambda x, i: x == F.get(v["w"], i - 1))).cast("bigint").alias("n_echoes"),
             _repeat_words(v["w"], window).alias("n_repeat_words"),
         ),
     )
