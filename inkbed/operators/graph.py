@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkbed.session import ensure_checkpoints
+
 
 def array_edges(concepts: DataFrame, graph: str, node: str, prerequisites: str) -> DataFrame:
     """N-01: one edge for each prerequisite."""
@@ -20,12 +22,14 @@ def levels(nodes: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
 
     nodes and edges must be cheap to read again; each round reads them once.
     """
+    ensure_checkpoints(nodes.sparkSession)
+    edges = edges.checkpoint()  # read in each round
     level = nodes.join(edges.select("graph", F.col("dependent").alias("node")).distinct(), ["graph", "node"], "left_anti").withColumn("level", F.lit(0).cast("bigint"))
     found, current = level, level
     for depth in range(1, most + 1):
         following = edges.join(current.withColumnRenamed("node", "prerequisite"), ["graph", "prerequisite"]).select("graph", F.col("dependent").alias("node")).distinct()
-        current = following.withColumn("level", F.lit(depth).cast("bigint")).checkpoint(eager=True) if depth % 8 == 0 else following.withColumn("level", F.lit(depth).cast("bigint"))
-        if current.limit(1).count() == 0:
+        current = following.withColumn("level", F.lit(depth).cast("bigint")).checkpoint()
+        if current.isEmpty():
             break
         found = found.unionByName(current)
     return found.groupBy("graph", "node").agg(F.max("level").alias("level"))
@@ -108,6 +112,7 @@ def cycles(edges: DataFrame) -> DataFrame:
 
 def label_components(links: DataFrame, rounds: int = 40) -> DataFrame:
     """N-02: node and component (least node) of undirected links (a, b), by labels that travel and jump; checkpoints each round."""
+    ensure_checkpoints(links.sparkSession)
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct().checkpoint()
     labels = both.groupBy("u").agg(F.least("u", F.min("v")).alias("label"))
     for _ in range(rounds):

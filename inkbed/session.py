@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -19,3 +21,15 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
         .config("spark.checkpoint.dir", "/tmp/inkbed-checkpoints")
         .getOrCreate()
     )
+
+
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """Names a folder for checkpoint() if there is none: the one in spark.checkpoint.dir, or a local one in local mode."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = f"{tempfile.gettempdir()}/inkbed-checkpoints"
+        context.setCheckpointDir(folder)
