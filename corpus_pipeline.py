@@ -24,8 +24,9 @@ def _holding(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any text in a language go."""
     learned = docs.filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
-    found = langid.predict(docs, langid.fit(learned), tuple(docs.columns))
-    return found.filter(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    rows = docs.select("text", F.struct("*").alias("_row"))  # as one column, no name can clash with a result's
+    found = langid.predict(rows, langid.fit(learned), ("_row",))
+    return found.filter(F.col("lang_pred") != langid.UNKNOWN).select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +41,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of passages that also start earlier are cut out of the texts."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    cut = suffixes.removed(docs, keep_text=True, keep=others)
-    text = F.col("kept_text").alias("text")
-    return cut.select(*[text if c == "text" else F.length("kept_text").cast("bigint").alias(c) if c == "n_chars" else c for c in docs.columns])
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    rows = docs.select("doc_id", "text", F.struct(F.lit(True).alias("_is"), *others).alias("_others"))
+    cut = suffixes.removed(rows, keep_text=True, keep=("_others",))
+    new = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("bigint")}
+    return cut.select(*[new.get(c, F.col("_others")[c]).alias(c) for c in docs.columns])
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

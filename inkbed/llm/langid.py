@@ -144,7 +144,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             best, score, close = [], [], []
-            for _, _, data, offsets in each_slice(batch.column("_text")):
+            for _, _, data, offsets in each_slice(batch.column(len(kinds))):
                 letters = _has_letter(data, offsets)
                 if not model.languages:
                     letters[:] = False
@@ -156,7 +156,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
                 close.append((two[:, -1] - two[:, 0] < MARGIN) & letters if two.shape[1] > 1 else np.zeros(len(letters), bool))
             if best:
                 out = [pa.array(languages[np.concatenate(best)], pa.string()), pa.array(np.concatenate(score)), pa.array(np.concatenate(close))]
-                own = [batch.column(f.name) for f in kinds]
+                own = [batch.column(i) for i in range(len(kinds))]
                 yield pa.RecordBatch.from_arrays([*own, *out], [*(f.name for f in kinds), "lang_pred", "score", "ambiguous"])
 
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(scored, schema)

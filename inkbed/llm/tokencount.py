@@ -98,12 +98,12 @@ def count_tokens(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)
         count = _counter(path, shared.value)
         for batch in batches:
             n_bytes, n_tokens = [], []
-            for x in batch.column("_text"):  # one text at a time is a Python string
+            for x in batch.column(len(kinds)):  # one text at a time is a Python string
                 text = x.as_py() or ""
                 n_bytes.append(len(text) if text.isascii() else len(text.encode()))
                 n_tokens.append(count(text))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(f.name) for f in kinds), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())],
+                [*(batch.column(i) for i in range(len(kinds))), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())],
                 [*(f.name for f in kinds), "n_bytes", "n_tokens"],
             )
 

@@ -316,11 +316,11 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _worker_table(keys, weights)
         for batch in batches:
-            parts = [model.score(text_decisions(data, offsets, table, model.bias)) for _, _, data, offsets in each_slice(batch.column("_text"))]
+            parts = [model.score(text_decisions(data, offsets, table, model.bias)) for _, _, data, offsets in each_slice(batch.column(len(kinds)))]
             if parts:
                 score = np.concatenate(parts)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(f.name) for f in kinds), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*(f.name for f in kinds), "score", "predicted"]
+                    [*(batch.column(i) for i in range(len(kinds))), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*(f.name for f in kinds), "score", "predicted"]
                 )
 
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(scored, schema)

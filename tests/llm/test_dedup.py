@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from inkbed.llm import components, jaccard, queries, suffixes
@@ -187,3 +188,16 @@ def test_pipeline_keeps_one_of_repeated_rows(spark, sf_dir):
     rows = docs(spark, [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (3, "h i j k l m")])
     out = corpus_pipeline.near_duplicates(spark, rows, sf_dir)
     assert sorted(r.doc_id for r in out.collect()) == [1, 3]
+
+
+def test_pipeline_with_clashing_names(spark, sf_dir):
+    names = ["score", "lang_pred", "_text", "n_bytes", "kept_text", "spans", "component_id", "node", "_id", "size", "target"]
+    rows = docs(spark, [(1, "a b c d e f g"), (2, "the cat sat on the mat"), (3, None)]).drop("spans", "node")
+    for i, n in enumerate(names):
+        rows = rows.withColumn(n, F.lit(i))
+    out = rows
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = corpus_pipeline.kept(stage(spark, out, sf_dir))
+        assert out.columns == rows.columns, name
+    assert sorted((r.doc_id, r.score, r._text, r.node) for r in out.collect()) == [(1, 0, 2, 7), (2, 0, 2, 7)]
+    assert corpus_pipeline.mix(spark, out, sf_dir).count() == 2
