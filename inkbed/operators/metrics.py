@@ -39,7 +39,7 @@ def exemplar_position(values: DataFrame, by: str, value: str) -> DataFrame:
     """A-14: median, least and greatest of a value for each group, and the median over the overall one."""
     per = values.groupBy(by).agg(F.percentile(value, F.lit(0.5)).alias("median"), F.min(value).alias("least"), F.max(value).alias("greatest"))
     overall = values.agg(F.percentile(value, F.lit(0.5)).alias("_all"))
-    return per.crossJoin(F.broadcast(overall)).select(by, "median", "least", "greatest", ratio(F.col("median"), F.col("_all")).alias("relative"))
+    return per.withColumn("_all", overall.scalar()).select(by, "median", "least", "greatest", ratio(F.col("median"), F.col("_all")).alias("relative"))
 
 
 def introductions(tokens: DataFrame, key: str) -> DataFrame:

@@ -36,7 +36,8 @@ def doc_audit_funnel(t):
         F.sum("members").alias("candidates"), F.count("*").alias("identities"), F.count_if(F.col("route") == "auto_exclude").alias("auto_excluded"),
         F.count_if(F.col("route") == "screen").alias("to_screen"), F.count_if("known").alias("known_items"),
     )
-    return counts.crossJoin(queue.agg(F.count("*").alias("queued"), F.sum("hits").cast("bigint").alias("queued_hits")))
+    queued = queue.agg(F.struct(F.count("*").alias("queued"), F.sum("hits").cast("bigint").alias("queued_hits")).alias("q"))
+    return counts.withColumn("q", queued.scalar()).select(*counts.columns, "q.*")
 
 
 @query("line_spans", f"WITH {LINES} SELECT doc_id, line_no, start, \"end\", length(line)::BIGINT AS n_chars FROM l")
