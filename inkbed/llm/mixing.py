@@ -109,7 +109,7 @@ def schedule(targets_: DataFrame, slots: int, buckets: int) -> DataFrame:
     point = F.col("slot") * GOLDEN_STEP % CIRCLE
     found = F.element_at(F.filter("bounds", lambda b: b["_to"] > F.col("point")), 1)["rank"]
     slots_ = spark.range(slots).select(F.col("id").alias("slot")).withColumn("point", point)
-    dealt = slots_.join(F.broadcast(bounds), F.lit(True)).select("slot", found.alias("rank")).withColumn(
+    dealt = slots_.withColumn("bounds", bounds.scalar()).select("slot", found.alias("rank")).withColumn(
         "_bucket", F.floor(F.col("slot") * buckets / slots)
     )
     return _prefix(dealt, ["rank"], "_bucket", [F.col("slot")], F.lit(1).cast("bigint"), "k").drop("_bucket")
