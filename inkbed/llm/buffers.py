@@ -32,19 +32,20 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of texts [lo, hi) of at most so many bytes, or of one text."""
+def slices(offsets: np.ndarray, most: int = SLICE_BYTES, texts: int = 1 << 16) -> Iterator[tuple[int, int]]:
+    """Ranges of texts [lo, hi) of at most so many bytes, or of one text, and of at most so many texts."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1)
-        yield lo, min(hi, n)
-        lo = min(hi, n)
+        hi = min(hi, n, lo + texts)
+        yield lo, hi
+        lo = hi
 
 
-def each_slice(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def each_slice(column: pa.Array, most: int = SLICE_BYTES, texts: int = 1 << 16) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(lo, hi, bytes, offsets) of each slice of a column."""
     data, offsets = text_bytes(column)
-    for lo, hi in slices(offsets, most):
+    for lo, hi in slices(offsets, most, texts):
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
 
 

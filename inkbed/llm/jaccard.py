@@ -43,6 +43,8 @@ from .tables import kept
 WORDS, PERCENT = 5, 75
 #: Share of all shingles whose uniqueness is counted, and counters of the sketch (4 bytes each).
 UNIQUE_SHARE, COUNTERS = 0.36, 1 << 18
+#: Blocks in which the counters are added up, and groups of tasks in the first step.
+BLOCKS, SALTS = 16, 256
 FLUSH_ROWS = 1 << 20
 BROADCAST_ROWS = 1_000_000
 #: Largest size of a set that is considered as light.
@@ -175,14 +177,20 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for x in batch.column("shingles"):
             np.add.at(counts, _counter(_hashes(x)), 1)
-    blocks = counts.reshape(64, -1)
-    some = [i for i in range(64) if blocks[i].any()]
+    blocks = counts.reshape(BLOCKS, -1)
+    some = [i for i in range(BLOCKS) if blocks[i].any()]
     if some:
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([blocks[i].tobytes() for i in some], pa.binary())], ["block", "counts"])
+        from pyspark import TaskContext
+
+        salt = pa.array([TaskContext.get().partitionId() % SALTS] * len(some), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), salt, pa.array([blocks[i].tobytes() for i in some], pa.binary())], ["block", "salt", "counts"])
 
 
 def sketch(sets: DataFrame) -> np.ndarray:
-    """Counters of the shingles' sets: a fixed number, whatever the input."""
+    """Counters of the shingles' sets: a fixed number, whatever the input.
+
+    Tasks' counters are added up by block and salt and then by block, so no group holds a row for each task.
+    """
 
     def added(key, rows):
         import pandas as pd
@@ -190,8 +198,10 @@ def sketch(sets: DataFrame) -> np.ndarray:
         total = sum(np.frombuffer(x, np.int32).astype(np.int64) for x in rows["counts"])
         return pd.DataFrame({"block": [int(key[0])], "counts": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
 
-    out = np.zeros((64, COUNTERS // 64), np.int32)
-    for r in sets.select("shingles").mapInArrow(_counted, "block int, counts binary").groupBy("block").applyInPandas(added, "block int, counts binary").collect():
+    out = np.zeros((BLOCKS, COUNTERS // BLOCKS), np.int32)
+    parts = sets.select("shingles").mapInArrow(_counted, "block int, salt int, counts binary")
+    some = parts.groupBy("block", "salt").applyInPandas(added, "block int, counts binary")
+    for r in some.groupBy("block").applyInPandas(added, "block int, counts binary").collect():
         out[r["block"]] = np.frombuffer(r["counts"], np.int32)
     return out.reshape(-1)
 

@@ -32,6 +32,8 @@ ROWS, ROW_CHARS = 600, 200_000
 #: Two codewords whose losses differ by less than this share of a bit are ambiguous.
 MARGIN = 0.1
 UNKNOWN = "und"
+#: Texts whose features are made at once: BUCKETS numbers each.
+TEXTS = 256
 
 #: Bytes as they are hashed: letters in lower case and bytes beyond ASCII as they are, all others a blank.
 _FOLD = np.full(256, 32, np.uint8)
@@ -121,7 +123,7 @@ def fit(labelled: DataFrame, rows: int = ROWS) -> Model:
         fraction = F.when(F.col("lang") == k, F.lit(min(1.0, rows / c))).otherwise(fraction)
     place = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 20)) / (1 << 20)
     sample = known.filter((place < fraction) & (F.length("text") <= ROW_CHARS)).select("text", "lang").limit(2 * rows * len(languages)).toArrow()
-    x = np.vstack([features(data, offsets) for _, _, data, offsets in each_slice(sample["text"])] or [np.zeros((0, BUCKETS))])
+    x = np.vstack([features(data, offsets) for _, _, data, offsets in each_slice(sample["text"], texts=TEXTS)] or [np.zeros((0, BUCKETS))])
     at = {k: i for i, k in enumerate(languages)}
     y = code[[at[k] for k in sample["lang"].to_pylist()]]
     return Model(languages, code, fit_logistic(x, y))
@@ -136,7 +138,8 @@ def _has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in keep, and lang_pred, score (0 to 1) and ambiguous."""
+    """The columns in keep, and lang_pred, score (0 to 1) and ambiguous.  The text is sent to workers once, be it in keep or not."""
+    at = keep.index("text") if "text" in keep else len(keep)
     kinds = docs.select(*keep).schema.fields
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds), "lang_pred string", "score double", "ambiguous boolean"])
     languages = np.array([*model.languages, UNKNOWN], object)
@@ -144,7 +147,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             best, score, close = [], [], []
-            for _, _, data, offsets in each_slice(batch.column(len(kinds))):
+            for _, _, data, offsets in each_slice(batch.column(at), texts=TEXTS):
                 letters = _has_letter(data, offsets)
                 if not model.languages:
                     letters[:] = False
@@ -159,4 +162,4 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
                 own = [batch.column(i) for i in range(len(kinds))]
                 yield pa.RecordBatch.from_arrays([*own, *out], [*(f.name for f in kinds), "lang_pred", "score", "ambiguous"])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(scored, schema)
+    return docs.select(*keep, *([] if "text" in keep else [F.col("text").alias("_text")])).mapInArrow(scored, schema)
