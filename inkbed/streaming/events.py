@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 def read_events(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
-    """A stream over a folder of Parquet files, with event time as a timestamp."""
+    """A stream over a folder (not a file) of Parquet files, with event time as a timestamp."""
     schema = spark.read.parquet(path).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
