@@ -146,6 +146,13 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_components_of_a_shuffled_path(spark):
+    ids = list(range(1000))
+    random.Random(1).shuffle(ids)
+    rows = components.components(spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "a bigint, b bigint")).collect()
+    assert len(rows) == 1000 and {r.component for r in rows} == {0}
+
+
 def test_queries_on_small_tables(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     pairs = [tuple(r) for r in table]
