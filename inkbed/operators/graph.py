@@ -17,22 +17,42 @@ def array_edges(concepts: DataFrame, graph: str, node: str, prerequisites: str)
     return concepts.select(F.col(graph).alias("graph"), F.col(node).alias("dependent"), F.explode(prerequisites).alias("prerequisite"))
 
 
-def levels(nodes: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
-    """Longest distance of each node from one without prerequisites, by rounds of one join; nodes on cycles are left out.
+def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Longest distance of each node from one without prerequisites; nodes on cycles, and all that need them, are left out.
 
-    nodes and edges must be cheap to read again; each round reads them once.
+    Prerequisites that can't be reached from such a node don't count.  Rounds of joins until one adds nothing; nodes and
+    edges must be cheap to read again.
     """
     ensure_checkpoints(nodes.sparkSession)
-    edges = edges.checkpoint()  # read in each round
-    level = nodes.join(edges.select("graph", F.col("dependent").alias("node")).distinct(), ["graph", "node"], "left_anti").withColumn("level", F.lit(0).cast("bigint"))
-    found, current = level, level
-    for depth in range(1, most + 1):
+    edges = edges.select("graph", "dependent", "prerequisite").distinct().checkpoint()  # read in each round
+    roots = nodes.select("graph", "node").distinct().join(edges.select("graph", F.col("dependent").alias("node")).distinct(), ["graph", "node"], "left_anti").checkpoint()
+    found, left = _peeled(roots, edges)
+    if left.isEmpty():
+        return found
+    reached = current = roots
+    while not current.isEmpty():
         following = edges.join(current.withColumnRenamed("node", "prerequisite"), ["graph", "prerequisite"]).select("graph", F.col("dependent").alias("node")).distinct()
-        current = following.withColumn("level", F.lit(depth).cast("bigint")).checkpoint()
+        current = following.join(reached, ["graph", "node"], "left_anti").checkpoint()
+        reached = reached.unionByName(current).checkpoint()
+    counted = edges.join(reached.withColumnRenamed("node", "prerequisite"), ["graph", "prerequisite"], "left_semi").checkpoint()
+    return _peeled(roots, counted)[0]
+
+
+def _peeled(roots: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(levels, edges that are left): a node gets the round in which the last of its edges goes; on cycles none does."""
+    current = roots.withColumn("level", F.lit(0).cast("bigint"))
+    found, depth = current, 0
+    while True:
+        depth += 1
+        waiting = edges.join(current.select("graph", F.col("node").alias("prerequisite")), ["graph", "prerequisite"], "left_anti").checkpoint()
+        nodes = lambda rows: rows.select("graph", F.col("dependent").alias("node")).distinct()
+        current = nodes(edges).join(nodes(waiting), ["graph", "node"], "left_anti").withColumn("level", F.lit(depth).cast("bigint")).checkpoint()
+        edges = waiting
         if current.isEmpty():
-            break
+            return found, edges
         found = found.unionByName(current)
-    return found.groupBy("graph", "node").agg(F.max("level").alias("level"))
+        if depth % 16 == 0:  # a short plan, however deep the graph is
+            found = found.checkpoint()
 
 
 def order_violations(edges: DataFrame, positions: DataFrame, strict: bool = False) -> DataFrame:
@@ -110,20 +130,24 @@ def cycles(edges: DataFrame) -> DataFrame:
     return edges.groupBy("graph").applyInPandas(walk, "graph bigint, cycle bigint, path string, length bigint")
 
 
-def label_components(links: DataFrame, rounds: int = 40) -> DataFrame:
-    """N-02: node and component (least node) of undirected links (a, b), by labels that travel and jump; checkpoints each round."""
+def label_components(links: DataFrame) -> DataFrame:
+    """N-02: node and component (least node) of undirected links (a, b); checkpoints each round.
+
+    Labels travel, hook the node that the old label names, and jump; they only fall, so rounds go on until none changes.
+    """
     ensure_checkpoints(links.sparkSession)
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct().checkpoint()
-    labels = both.groupBy("u").agg(F.least("u", F.min("v")).alias("label"))
-    for _ in range(rounds):
+    labels = both.groupBy("u").agg(F.least("u", F.min("v")).alias("label")).checkpoint()
+    while True:
         near = both.join(labels.select(F.col("u").alias("v"), F.col("label").alias("_l")), "v").groupBy("u").agg(F.min("_l").alias("_l"))
-        least = labels.join(near, "u").select("u", F.col("label").alias("_old"), F.least("label", "_l").alias("label"))
+        own = labels.join(near, "u").select("u", F.col("label").alias("_old"), F.least("label", "_l").alias("label"), "_l")
+        hooked = own.select(F.col("_old").alias("u"), F.lit(None).alias("_old"), F.col("_l").alias("label"))
+        least = own.drop("_l").unionByName(hooked).groupBy("u").agg(F.max("_old").alias("_old"), F.min("label").alias("label"))
         jump = labels.select(F.col("u").alias("label"), F.col("label").alias("_j"))
         after = least.join(jump, "label").select("u", "_old", F.least("label", "_j").alias("label")).checkpoint()
         labels = after.select("u", "label")
         if not after.filter("label != _old").limit(1).count():
-            break
-    return labels.select(F.col("u").alias("node"), F.col("label").alias("component"))
+            return labels.select(F.col("u").alias("node"), F.col("label").alias("component"))
 
 
 def pack_units(rows: DataFrame, most: float) -> DataFrame:

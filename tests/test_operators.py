@@ -76,6 +76,28 @@ def test_graph(spark):
     assert {r.component for r in graph.label_components(links).collect()} == {0, 30}
 
 
+def test_components_of_a_shuffled_path(spark):
+    ids = list(range(1000))
+    random.Random(1).shuffle(ids)
+    links = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "a bigint, b bigint")
+    rows = graph.label_components(links).collect()
+    assert len(rows) == 1000 and {r.component for r in rows} == {0}
+
+
+def test_levels_of_a_deep_chain(spark):
+    nodes = spark.createDataFrame([(0, x) for x in range(67)], "graph bigint, node bigint")
+    chain = spark.createDataFrame([(0, x, x - 1) for x in range(1, 67)] + [(0, 66, 0)], "graph bigint, dependent bigint, prerequisite bigint")
+    assert {(r.node, r.level) for r in graph.levels(nodes, chain).collect()} == {(x, x) for x in range(67)}
+
+
+def test_levels_with_cycles(spark):
+    """A cycle and what needs it have none; prerequisites that no root leads to don't count."""
+    nodes = spark.createDataFrame([(0, x) for x in range(5)], "graph bigint, node bigint")
+    edges = [(0, 1, 0), (0, 1, 2), (0, 2, 1), (0, 3, 2), (0, 4, 0), (0, 4, 99)]
+    rows = graph.levels(nodes, spark.createDataFrame(edges, "graph bigint, dependent bigint, prerequisite bigint")).collect()
+    assert {(r.node, r.level) for r in rows} == {(0, 0), (4, 1)}
+
+
 def test_matching(spark):
     a = spark.createDataFrame([(1, 1, 0), (1, 2, 10)], "k int, id bigint, at bigint")
     b = spark.createDataFrame([(1, 7, 9), (1, 8, 500)], "k int, id bigint, at bigint")
