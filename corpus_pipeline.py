@@ -31,13 +31,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents that with the least doc_id stays, once."""
-    found = kept(jaccard.near_duplicates(docs), "components")
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = first.select(F.col("doc_id").alias("_id")).distinct()
-    rest = _holding(docs, ids)
-    repeated = first.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return rest.dropDuplicates(["doc_id"]) if repeated else rest
+    """Of each group of linked documents that with the least doc_id stays, once; documents without doc_id all stay."""
+    found = kept(jaccard.grouped(docs), "components")
+    first = found.filter("doc_id = component_id")
+    named, others = docs.filter("doc_id IS NOT NULL"), docs.filter("doc_id IS NULL")
+    if found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        # a doc_id doesn't tell the texts apart: the group's row is that of a doc_id and a class
+        chosen = first.groupBy("doc_id", "part").agg(F.min("class").alias("class")).select(F.col("doc_id").alias("_id"), "class")
+        rows = jaccard.classed(named).withColumn("_id", F.col("_row.doc_id").cast("bigint"))
+        rest = rows.join(chosen, ["_id", "class"], "left_semi").dropDuplicates(["_id", "class"]).select("_row.*")
+    else:
+        rest = _holding(named, first.select(F.col("doc_id").alias("_id")))
+    return rest.unionByName(others)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .buffers import LOWER_BYTE, each_slice, mixed, sorted_distinct, span_hash, word_spans
 from .components import components
@@ -114,6 +115,14 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _first_and_last(*map(np.concatenate, zip(*parts, strict=True)))
 
 
+def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The columns as they come, and the class of the text."""
+    for batch in batches:
+        for lo, hi, data, offsets in each_slice(batch.column("text")):
+            whole = shingles(data, offsets)[2]
+            yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns), pa.array(whole.view(np.int64))], [*batch.schema.names, "class"])
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, offsets in each_slice(batch.column("text")):
@@ -122,7 +131,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = h.tobytes()
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id").slice(lo, hi - lo),
+                    batch.column("class").slice(lo, hi - lo),
                     batch.column("copies").slice(lo, hi - lo),
                     pa.array(np.diff(cuts) // 8),
                     pa.array([raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
@@ -344,7 +353,7 @@ def _tiles(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def classes_and_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(profiles, links): doc_id, class, n and node (the class's least doc_id) of every document; linked nodes (a, b).
+    """(profiles, links): doc_id, class, n and least (the class's least doc_id) of every document; linked classes (a, b).
 
     Links are as many as it takes to connect all that is connected; copies are links of their class.
     """
@@ -355,14 +364,17 @@ def classes_and_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFram
         .groupBy("h").agg(F.min("class").alias("class"), F.max("class").alias("_last")).filter("class = _last")
         .groupBy("class").agg(F.count("*").alias("unique"))
     )
-    classes = profiles.groupBy("class").agg(F.min("doc_id").alias("node"), F.max("n").alias("n"), F.count("*").alias("copies"))
+    classes = profiles.groupBy("class").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.count("*").alias("copies"))
     classes = kept(classes.join(unique, "class", "left").withColumn("unique", F.coalesce("unique", F.lit(0))), "classes")
-    left = classes.filter((F.col("n") > 0) & F.col("node").isNotNull() & (100 * (F.col("n") - F.col("unique")) >= percent * F.col("n")))
-    wanted = left.select(F.col("node").alias("doc_id"), "copies")
+    left = classes.filter((F.col("n") > 0) & F.col("least").isNotNull() & (100 * (F.col("n") - F.col("unique")) >= percent * F.col("n")))
+    wanted = left.select(F.col("least").alias("doc_id"), "class", "copies")
+    some = texts
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    sets = texts.join(wanted, "doc_id").dropDuplicates(["doc_id"])  # a doc_id may be repeated
-    sets = kept(sets.select("doc_id", "copies", "text").mapInArrow(_sets, "node bigint, copies bigint, n bigint, shingles binary"), "sets")
+        some = texts.join(F.broadcast(left.select(F.col("least").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    # a doc_id may be repeated, with the same text or another
+    sets = some.mapInArrow(_classed, "doc_id bigint, text string, class bigint").join(wanted, ["doc_id", "class"]).dropDuplicates(["doc_id", "class"])
+    sets = kept(sets.select("class", "copies", "text").mapInArrow(_sets, "node bigint, copies bigint, n bigint, shingles binary"), "sets")
     owned = sets.select("node", "shingles").mapInArrow(_owned, "h bigint, class bigint").groupBy("h").agg(F.min("class").alias("node"), F.max("class").alias("_last"))
     alone = owned.filter("node = _last").groupBy("node").agg(F.collect_list("h").alias("unique"))
     shared = sets.join(alone, "node", "left").select("node", "copies", "n", "shingles", "unique")
@@ -371,12 +383,12 @@ def classes_and_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFram
     light = boundary(_costs(sets, counts, percent))
     lists = sets.mapInArrow(_postings(counts, light, percent), "key bigint, node bigint, copies bigint, n bigint, shared bigint")
     whole = W.partitionBy("key")
-    top = F.max(F.struct("copies", (-F.col("n")).alias("n"), (-F.col("node")).alias("node"), "shared")).over(whole)
+    top = F.max(F.struct("copies", (-F.col("n")).alias("n"), F.bitwise_not("node").alias("node"), "shared")).over(whole)
     before = F.lag(F.struct("n", "node", "shared")).over(whole.orderBy("n", "node"))
     own = F.struct("n", "node", "shared")
     lists = kept(
         lists.withColumn("_top", top)
-        .withColumn("hub", F.struct((-F.col("_top.n")).alias("n"), (-F.col("_top.node")).alias("node"), F.col("_top.shared").alias("shared")))
+        .withColumn("hub", F.struct((-F.col("_top.n")).alias("n"), F.bitwise_not("_top.node").alias("node"), F.col("_top.shared").alias("shared")))
         .withColumn("before", before)
         .withColumn("_after", F.lead("node").over(whole.orderBy("n", "node")))
         .filter("before IS NOT NULL OR _after IS NOT NULL")
@@ -402,13 +414,27 @@ def classes_and_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFram
     largest = per_part.groupBy("hub").agg(F.max(F.struct("_many", "part")).alias("_l"), F.sum("_many").alias("_all"), F.count("*").alias("_parts")).filter("_parts > 1")
     open_ = kept(groups.join(largest.select("hub", F.col("_l.part").alias("_largest"), F.col("_l._many").alias("_most"), "_all"), "hub"), "open")
     more = kept(_tiles(open_, sets, percent), "links")
-    return profiles.join(classes.select("class", "node"), "class"), links.unionByName(more)
+    return profiles.join(classes.select("class", "least"), "class"), links.unionByName(more)
+
+
+def grouped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """For each document: doc_id, class, n_shingles, part (the least class that links lead to) and component_id."""
+    profiles, links = classes_and_links(docs, percent)
+    found = components(links).select(F.col("node").alias("class"), F.col("component").alias("part"))
+    named = found.join(profiles.select("class", "least").distinct(), "class")
+    found = found.join(named.groupBy("part").agg(F.min("least").alias("_least")), "part")
+    rows = profiles.join(found, "class", "left")
+    own = F.when(F.col("n") > 0, F.coalesce("_least", "least")).otherwise(F.col("doc_id"))
+    return rows.select("doc_id", "class", F.col("n").alias("n_shingles"), F.coalesce("part", "class").alias("part"), own.alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """For each document: doc_id, n_shingles and component_id, the least doc_id that links lead to, itself included."""
-    profiles, links = classes_and_links(docs, percent)
-    found = components(links)
-    rows = profiles.join(found, "node", "left")
-    own = F.when(F.col("n") > 0, F.coalesce("component", "node")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return grouped(docs, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def classed(docs: DataFrame) -> DataFrame:
+    """All columns of docs as the struct _row, and the class of the text."""
+    rows = docs.select("text", F.struct(*docs.columns).alias("_row"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("class", T.LongType())])
+    return rows.mapInArrow(_classed, schema).select("_row", "class")

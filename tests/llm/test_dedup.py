@@ -208,3 +208,15 @@ def test_pipeline_with_clashing_names(spark, sf_dir):
         assert out.columns == rows.columns, name
     assert sorted((r.doc_id, r.score, r._text, r.node) for r in out.collect()) == [(1, 0, 2, 7), (2, 0, 2, 7)]
     assert corpus_pipeline.mix(spark, out, sf_dir).count() == 2
+
+
+def test_near_duplicates_with_repeated_and_missing_ids(spark, sf_dir):
+    """A repeated doc_id costs neither another text under it nor documents without doc_id, and loses no link."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    pairs = [(5, a), (5, b), (5, b), (6, b + " end"), (3, c), (8, c + " end"), (8, d), (8, d + " end"), (None, "p q"), (None, "r s"), (None, c), (9, ""), (9, "")]
+    out = corpus_pipeline.near_duplicates(spark, docs(spark, pairs), sf_dir).collect()
+    got = sorted(((r.doc_id or 0, r.text) for r in out), key=lambda x: (x[0], x[1].split(" end")[0]))
+    want = [(0, c), (0, "p q"), (0, "r s"), (3, c), (5, a), (5, b), (8, d), (9, "")]
+    assert [(i, t.removesuffix(" end")) for i, t in got] == want
+    rows = jaccard.near_duplicates(docs(spark, pairs)).collect()
+    assert sorted(r.component_id for r in rows if r.doc_id == 8) == [3, 8, 8] and {r.component_id for r in rows if r.doc_id in (5, 6)} == {5}
