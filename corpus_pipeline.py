@@ -63,7 +63,7 @@ def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes of each document."""
-    return mixing.taken(docs).select("doc_id", "source", "size", "source_size", "target", "taken")
+    return mixing.exact_taken(docs).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 STAGES = [

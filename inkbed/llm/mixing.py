@@ -6,6 +6,9 @@ to the target weights.  Each source's documents are laid out on a line of words
 cut into equal blocks; the k-th slot of a source takes its k-th block, in passes over the line.  All of it is
 arithmetic on whole numbers and hashes, so reruns agree.
 
+mix() and taken() have at most 2**18 slots, whose last blocks may be short, as the SQL of op2_mixing has them; exact_mix()
+and exact_taken() have no bound on slots and deliver each source's target to the word.
+
 Scale: running sums and ranks go over (source, hash bucket) and a small table of bucket totals, so a source
 that holds a third of all rows is spread over all tasks.
 
@@ -26,6 +29,8 @@ from .tables import kept
 #: Weights by the source's place in code point order, repeating, and the most passes over a source.
 WEIGHTS = (5, 2, 1)
 MAX_PASSES = 3
+#: Words in a block of the exact mix, whatever the size of the corpus.
+EXACT_BLOCK = 8
 #: 2**32 / golden ratio, the step of the schedule's points on a circle of 2**32.
 GOLDEN_STEP = 2654435769
 CIRCLE = 1 << 32
@@ -122,13 +127,71 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes: int = M
 
 def taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes: int = MAX_PASSES, max_slots: int = 1 << 18) -> DataFrame:
     """For each document: doc_id, source, size, source_size, target and taken, the words that the mix takes of it."""
-    pieces, placed = _mixed(docs, weights, max_passes, max_slots)
+    return _taken(*_mixed(docs, weights, max_passes, max_slots))
+
+
+def _taken(pieces: DataFrame, placed: DataFrame) -> DataFrame:
     sums = pieces.groupBy("rank", "start").agg(F.sum(F.col("to") - F.col("from")).alias("taken"))  # a place is one document's
     empty = placed.filter("size = 0").withColumn("taken", F.lit(0).cast("bigint"))
     columns = ["doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken")]
     return placed.filter("size > 0").join(sums, ["rank", "start"], "left").select(*columns).unionByName(empty.select(*columns))
 
 
+def goals_in_words(targets_: DataFrame, max_passes: int = MAX_PASSES) -> DataFrame:
+    """Adds goal: the target in whole words, by rounded running sums, so that the goals add up as the targets do."""
+    running = W.partitionBy(F.lit(1)).orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
+    ends = F.round(F.sum("target").over(running)).cast("bigint")
+    rows = targets_.withColumn("_end", ends)
+    own = F.col("_end") - F.coalesce(F.lag("_end").over(W.partitionBy(F.lit(1)).orderBy("rank")), F.lit(0))
+    return rows.withColumn("goal", F.least(own, F.col("source_size") * max_passes)).drop("_end")
+
+
+def exact_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes: int = MAX_PASSES, block: int = EXACT_BLOCK) -> DataFrame:
+    """The mix that delivers each source's target to the word: slot, pass, doc_id, source, from and to, as mix() has them."""
+    return _exact(docs, weights, max_passes, block)[0].select("slot", "pass", "doc_id", "source", "from", "to")
+
+
+def exact_taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes: int = MAX_PASSES, block: int = EXACT_BLOCK) -> DataFrame:
+    """taken() of the exact mix: each source's sum is its target, rounded."""
+    return _taken(*_exact(docs, weights, max_passes, block))
+
+
+def _exact(docs: DataFrame, weights: tuple[int, ...], max_passes: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(pieces, layout).  A source's line, pass after pass, is cut off at its goal; its k-th slot takes the k-th block of that.
+
+    Blocks have a fixed size and go on over the ends of passes, so only a source's last is shorter.  Slots beyond a
+    source's blocks take nothing; blocks beyond its slots of the schedule follow in slots of their own after the others.
+    """
+    sized = kept(sizes(docs), "sizes")  # the texts are read once
+    goals = kept(goals_in_words(targets(sized, weights, max_passes), max_passes), "targets")  # one row for each source
+    total, rows = sized.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    slots = -(-total // block)
+    placed = kept(layout(sized, goals, bucket_digits(rows)), "layout")
+    dealt = kept(schedule(goals.select("rank", "target"), slots, max(64, slots // 20_000)).select("slot", "rank", "k"), "schedule")
+    had = goals.join(dealt.groupBy("rank").agg(F.count("*").alias("_had")), "rank", "left")
+    lacks = had.select("rank", F.coalesce("_had", F.lit(0)).alias("_had"), F.ceil(F.col("goal") / block).alias("_need")).withColumn("_lack", F.greatest(F.col("_need") - F.col("_had"), F.lit(0)))
+    earlier = F.coalesce(F.sum("_lack").over(W.partitionBy(F.lit(1)).orderBy("rank").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    lacks = lacks.withColumn("_before", earlier).filter("_lack > 0")
+    final = lacks.select("rank", "_had", "_before", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_lack") - 1)).alias("_i"))
+    dealt = dealt.unionByName(final.select((F.lit(slots) + F.col("_before") + F.col("_i")).alias("slot"), "rank", (F.col("_had") + F.col("_i")).alias("k")))
+    lines = placed.filter("size > 0").withColumn("pass", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(max_passes - 1).cast("bigint"))))
+    lines = lines.withColumn("_at", F.col("pass") * F.col("source_size") + F.col("start")).withColumn("_end", F.least(F.col("_at") + F.col("size"), F.col("goal"))).filter("_at < _end")
+    first, last = F.floor(F.col("_at") / block), F.floor((F.col("_end") - 1) / block)
+    cuts = lines.withColumn("k", F.explode(F.sequence(first, last)))
+    begin, end = F.col("k") * block, (F.col("k") + 1) * block
+    pieces = dealt.join(cuts, ["rank", "k"]).select(
+        "slot",
+        "pass",
+        "rank",
+        "start",
+        "doc_id",
+        "source",
+        (F.greatest(begin, F.col("_at")) - F.col("_at")).alias("from"),
+        (F.least(end, F.col("_end")) - F.col("_at")).alias("to"),
+    )
+    return pieces, placed
+
+
 def _mixed(docs: DataFrame, weights: tuple[int, ...], max_passes: int, max_slots: int) -> tuple[DataFrame, DataFrame]:
     sized = kept(sizes(docs), "sizes")  # the texts are read once
     goals = kept(targets(sized, weights, max_passes), "targets")  # one row for each source

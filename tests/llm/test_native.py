@@ -107,6 +107,28 @@ def test_mixing_edges(spark):
     assert all(0 <= p["from"] < p["to"] for p in pieces)
 
 
+def test_exact_mixing_of_small_sources(spark):
+    """Sources that are small against a block get their target to the word, and the pieces are the documents' words."""
+    sources = {i: "a" if i < 3 else "b" if i < 6 else "c" for i in range(40)}
+    texts = [" ".join("w" for _ in range(7 if i < 3 else 11 if i < 6 else 100 + i)) for i in range(40)]
+    for block in (8, 500):
+        rows = mixing.exact_taken(docs(spark, texts, sources), block=block).collect()
+        pieces = mixing.exact_mix(docs(spark, texts, sources), block=block).collect()
+        assert sum(r.taken for r in rows) == sum(r.size for r in rows)
+        words, slots = Counter(), Counter()
+        for p in pieces:
+            assert 0 <= p["from"] < p["to"] <= len(texts[p.doc_id].split()) and p["pass"] < 3
+            words.update((p["pass"], p.doc_id, i) for i in range(p["from"], p["to"]))
+            slots[p.slot] += p["to"] - p["from"]
+        assert max(words.values()) == 1 and max(slots.values()) <= block
+        for s in "abc":
+            own = [r for r in rows if r.source == s]
+            assert abs(sum(r.taken for r in own) - own[0].target) <= 1
+            assert sum(r.taken for r in own) == sum(p["to"] - p["from"] for p in pieces if p.source == s)
+    small = [r for r in mixing.taken(docs(spark, texts, sources), max_slots=8).collect() if r.source == "a"]
+    assert sum(r.taken for r in small) != round(small[0].target)  # what the bound on slots does
+
+
 ITEM = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
