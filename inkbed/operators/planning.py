@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from inkbed.session import ensure_checkpoints
+
 
 def numbered(rows: DataFrame, by: list[str], order: list, pattern: str, name: str) -> DataFrame:
     """W-07, W-08: identifiers like S-0001 in order, counted for each group ``by``."""
@@ -63,21 +65,26 @@ def split_leaves(items: DataFrame, key: str, order: str, size: str, most: int, d
     return out.withColumn("leaf", F.replace("leaf", F.lit("."), F.lit("")))
 
 
-def expand_includes(files: DataFrame, includes: DataFrame, root: str, most: int = 8) -> DataFrame:
+def expand_includes(files: DataFrame, includes: DataFrame, root: str, most: int | None = None) -> DataFrame:
     """S-21 to S-23: files reached from ``root`` with depth and the path of places, which sorts them in reading order; none is entered within itself.
 
-    files: path; includes: path, place, target.
+    files: path; includes: path, place, target.  Rounds go on until one adds nothing, or to depth ``most`` where that is given.
     """
-    at = files.filter(F.col("path") == root).select("path", F.lit(0).cast("bigint").alias("depth"), F.lit("").alias("ordinal"), F.array("path").alias("_seen"))
-    found = at
-    for depth in range(1, most + 1):
+    ensure_checkpoints(files.sparkSession)
+    at = files.filter(F.col("path") == root).select("path", F.lit(0).cast("bigint").alias("depth"), F.lit("").alias("ordinal"), F.array("path").alias("_seen")).checkpoint()
+    found, depth = at, 0
+    while depth != most and not at.isEmpty():
+        depth += 1
         at = (
             at.join(includes, "path")
             .filter(~F.array_contains("_seen", F.col("target")))
             .select(F.col("target").alias("path"), F.lit(depth).cast("bigint").alias("depth"), F.concat("ordinal", F.format_string("/%06d", "place")).alias("ordinal"), F.concat("_seen", F.array("target")).alias("_seen"))
             .join(files.select("path"), "path", "left_semi")
+            .checkpoint()
         )
         found = found.unionByName(at)
+        if depth % 16 == 0:  # a short plan, however deep the includes are
+            found = found.checkpoint()
     return found.drop("_seen")
 
 

@@ -4,7 +4,7 @@ import shutil
 from pyspark.sql import functions as F
 
 from inkbed.functions import text as T
-from inkbed.operators import gates, graph, intervals, matching, patching
+from inkbed.operators import gates, graph, intervals, matching, patching, planning
 from inkbed.sources import latex, records
 from inkbed.streaming import events as E
 
@@ -98,6 +98,14 @@ def test_levels_with_cycles(spark):
     assert {(r.node, r.level) for r in rows} == {(0, 0), (4, 1)}
 
 
+def test_includes_to_any_depth(spark):
+    """A chain of 12 files with a file that includes the first again."""
+    files = spark.createDataFrame([(f"f{i}",) for i in range(12)], "path string")
+    includes = spark.createDataFrame([(f"f{i}", 0, f"f{(i + 1) % 12}") for i in range(12)] + [("f2", 1, "none")], "path string, place bigint, target string")
+    rows = planning.expand_includes(files, includes, "f0").collect()
+    assert sorted((r.depth, r.path, r.ordinal) for r in rows) == [(i, f"f{i}", "/000000" * i) for i in range(12)]
+
+
 def test_matching(spark):
     a = spark.createDataFrame([(1, 1, 0), (1, 2, 10)], "k int, id bigint, at bigint")
     b = spark.createDataFrame([(1, 7, 9), (1, 8, 500)], "k int, id bigint, at bigint")
