@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from inkbed.functions import text as T
 from inkbed.operators import gates, graph, intervals, matching, patching, planning
+from inkbed.plans import registry
 from inkbed.sources import latex, records
 from inkbed.streaming import events as E
 
@@ -98,6 +99,27 @@ def test_levels_with_cycles(spark):
     assert {(r.node, r.level) for r in rows} == {(0, 0), (4, 1)}
 
 
+def test_order_components_by_hand(spark, sf_dir, tmp_path):
+    """All of lineitem, and a fixture of several components with orders and parts that the filter of span_components leaves out."""
+    for lines in (spark.read.parquet(f"{sf_dir}/lineitem.parquet"), spark.createDataFrame([(1, 2), (900, 2), (900, 3), (7, 3), (500, 4), (501, 4), (600, 5)], "l_orderkey bigint, l_partkey bigint")):
+        path = f"{tmp_path}/{len(lines.columns)}"
+        lines.write.parquet(f"{path}/lineitem.parquet")
+        root = {}
+
+        def find(x, root=root):
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for r in lines.select("l_orderkey", "l_partkey").collect():
+            one, other = find((1, r.l_partkey)), find((0, r.l_orderkey))
+            root[max(one, other)] = min(one, other)  # orders sort before parts
+        want = {x[1]: find(x)[1] for x in root if not x[0]}
+        got = registry.QUERIES["order_components"](spark, path).collect()
+        assert len(got) == len(want) and {r.node: r.component for r in got} == want
+
+
 def test_includes_to_any_depth(spark):
     """A chain of 12 files with a file that includes the first again."""
     files = spark.createDataFrame([(f"f{i}",) for i in range(12)], "path string")
