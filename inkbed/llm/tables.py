@@ -24,3 +24,13 @@ def kept(rows: DataFrame, name: str = "table") -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
+
+
+#: Rows of a batch that is sent to a Python worker, in operators on whole texts.
+BATCH_ROWS = 512
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Where the session has Spark's default of 10,000 rows for Arrow batches, sets one that fits whole texts (some MB)."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -1,26 +1,32 @@
 """Toxicity by a support vector machine on a gapped-subsequence string kernel with Nyström landmarks.
 
-Strings are the words of a sentence and runs of single letters written apart.  The kernel compares the
-subsequences of three bytes that two strings share, with up to two other bytes in between, so that inserted
-characters ("id.iot", "i d i o t") and endings that were never seen cost weight but don't hide an insult.  A
-document's labels say only that some sentence is toxic; training therefore alternates (multiple instances):
-fit on the strings that score highest in each document, then choose them again.
-
-The kernel's values against the landmarks, whitened (Nyström), are the features of a linear SVM.  Its decision is
-linear in the landmarks' subsequences, so the fitted machine folds into one weight for each subsequence and a
-text is scored in a few table lookups for each byte.  A logistic curve on the training documents turns the
-highest decision of a document into a score from 0 to 1.
-
-Training takes at most ROWS labelled rows of either label, chosen by a hash; scoring reads whole texts in
-slices of bounded memory, without a shuffle.
-
-Defined cases: a null or empty text has the decision of a string that shares nothing with any landmark; null labels
-are not learned; repeated rows give repeated rows; extra columns are not read; with labels of one kind or none all scores
-are 0.
+Strings are spans of sentences, blanks included.  Text is read as symbols: letters (A-Z in lower case, accents taken off) and
+blanks; punctuation, digits, symbols and characters of no width are left out, so "d.u*m_b​o" is the string "dumbo".  The
+kernel compares the subsequences of three symbols that two strings share, with up to two other symbols after either of the
+first two, each at a cost.  So letters that are inserted ("dxuxmxbxo"), or blanks ("d u m b o", "du mbo"), and endings
+that were never seen cost weight but hide nothing.
+
+Documents' labels say only that some sentence is toxic, so training alternates (multiple instances): fit on the spans that
+score highest in each labelled document, and choose them again.  The first choice takes the subsequences that toxic documents
+have oftener than others, near copies counted once.  Spans with inserted letters and blanks are learned from beside the plain
+ones, of both labels.
+
+The kernel's values against the landmarks, whitened (Nyström), are the features of a linear SVM.  Its decision is linear in the
+landmarks' subsequences, so the fitted machine folds into one weight for each subsequence (a table of 1 MB), and a text's
+decision is the highest of its spans'.  A logistic curve on the training documents turns it into a score from 0 to 1.
+
+Training takes at most ROWS labelled rows of either label, of at most ROW_CHARS characters, chosen by a hash; scoring reads
+whole texts in pieces of bounded memory, without a shuffle.
+
+Defined cases: a null or empty text has the decision of a string that shares nothing with any landmark; very long texts are read
+in overlapping pieces; null labels and texts are not learned; a repeated row is scored as often as it comes and learned from
+like a near copy; equal decisions get equal scores; extra columns, of whatever name, are not read; with labels of one kind
+or none all scores are 0; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -30,42 +36,86 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buffers import LOWER_BYTE, each_slice, word_spans
+from .buffers import each_slice
+from .tables import short_batches
 
 #: Labelled rows of either label in training, and the characters that such a row may have.
-ROWS, ROW_CHARS = 1200, 200_000
-LANDMARKS, ROUNDS = 320, 4
-#: Places of the second and third byte of a subsequence, and what each byte in between costs.
-GAPS, DECAY = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)), 0.75
-#: Characters that training inserts in strings, and after how many bytes.
-GAP_MARKS, GAP_STEPS = (b".", b"-", b"*"), (1, 2)
-#: Length beyond which a string's norm grows no more.
-NORM_LENGTH = 24
+ROWS, ROW_CHARS = 1200, 20_000
+LANDMARKS, ROUNDS = 400, 6
+#: Steps from a symbol of a subsequence to the next one, and what each symbol that is left out costs.
+STEPS, DECAY = (1, 2, 3), 0.75
+#: Lengths of spans in subsequences that begin there, for the text as it is and for every second or third symbol of it.
+SPANS = {1: (7, 14, 24), 2: (4, 7), 3: (4, 7)}
+#: Symbols are numbers below 64: none, blank, a to z, and other letters by their code point.
+NONE, BLANK, BITS = 0, 1, 6
+PAD = max(step * (sizes[-1] + 2) for step, sizes in SPANS.items()) + 2 * STEPS[-1]
+#: Bytes of a very long text that are read at once, and how far pieces overlap.
+PIECE, OVERLAP = 1 << 20, 1 << 12
+#: (second symbol's place, third one's, weight): all of them for the text as it is, neighbours for every second or third symbol.
+PATTERNS = {step: [(a, a + b, DECAY ** (a + b - 2)) for a in STEPS for b in STEPS] if step == 1 else [(1, 2, 1.0)] for step in SPANS}
+
+
+def _norm(step: int, length: int) -> float:
+    """A span's norm, by its kind and length alone."""
+    return (length * sum(w * w for *_, w in PATTERNS[step])) ** 0.5
 
 
-def _weight(gap: tuple[int, int]) -> float:
-    return DECAY ** (gap[1] - 2)
-
-
-_NORMS = np.array([max(1e-9, sum(_weight(g) ** 2 * max(0, n - g[1]) for g in GAPS)) ** 0.5 for n in range(NORM_LENGTH + 1)])
-_NORMS[:3] = 1.0  # no subsequence at all
-
-
-def _norm(lengths: np.ndarray) -> np.ndarray:
-    return _NORMS[np.minimum(lengths, NORM_LENGTH)]
+@lru_cache(maxsize=1)
+def symbols() -> np.ndarray:
+    """The symbol of each code point up to 0xFFFF, and of all above (none)."""
+    out = np.zeros(0x10001, np.uint8)
+    for i in range(0x10000):
+        if 0xD800 <= i < 0xE000:
+            continue
+        c = chr(i)
+        if c.isspace():
+            out[i] = BLANK
+        elif c.isalpha():
+            base = unicodedata.normalize("NFKD", c)[0].lower() if i > 127 else c.lower()
+            out[i] = ord(base) - 95 if "a" <= base <= "z" else 28 + ord(base[0]) % 36
+    return out
 
 
-def _keys(data: np.ndarray, gap: tuple[int, int]) -> np.ndarray:
-    a, b = gap
-    n = max(0, len(data) - b)
-    wide = data.astype(np.uint32)
-    return (wide[:n] << 16) | (wide[a : a + n] << 8) | wide[b : b + n]
+def sequence(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, starts): the texts' symbols, PAD places of none before, between and after them, and where each text begins."""
+    n = len(offsets) - 1
+    points = np.frombuffer(bytes(data).decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    ends = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets] if len(points) == int(((data & 0xC0) != 0x80).sum()) else _point_offsets(data, offsets)
+    found = symbols()[np.minimum(points, 0x10000)]
+    text = np.repeat(np.arange(n), np.diff(ends))
+    some = found != NONE
+    found, text = found[some], text[some]
+    if len(found):
+        again = found == BLANK  # a blank after a blank, or first in its text
+        again[1:] &= (found[:-1] == BLANK) | (text[1:] != text[:-1])
+        found, text = found[~again], text[~again]
+    sizes = np.bincount(text, minlength=n)
+    starts = np.concatenate([[0], np.cumsum(sizes + PAD)[:-1]]) + PAD
+    out = np.zeros(int(sizes.sum()) + PAD * (n + 1), np.uint8)
+    if len(found):
+        out[np.arange(len(found)) - (np.cumsum(sizes) - sizes)[text] + starts[text]] = found
+        full = sizes > 0
+        out[starts[full] - 1] = BLANK
+        last = starts[full] + sizes[full]
+        out[last] = np.where(out[last - 1] == BLANK, NONE, BLANK)
+    return out, starts
+
+
+def _point_offsets(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For bytes that are no UTF-8: code points before each offset, text by text."""
+    counts = [len(bytes(data[a:b]).decode("utf-8", "replace")) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    return np.concatenate([[0], np.cumsum(counts)])
+
+
+def _keys(s: np.ndarray, first: int, second: int) -> np.ndarray:
+    n = max(0, len(s) - second)
+    wide = s.astype(np.int32)
+    return (wide[:n] << 2 * BITS) | (wide[first : first + n] << BITS) | wide[second : second + n]
 
 
 @dataclass(frozen=True)
 class Model:
-    keys: np.ndarray  # of subsequences, ascending
-    weights: np.ndarray
+    table: np.ndarray  # a weight for each subsequence
     bias: float
     slope: float
     offset: float
@@ -74,81 +124,90 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * decisions + self.offset, -40, 40)))
 
 
-EMPTY = Model(np.zeros(0, np.uint32), np.zeros(0, np.float32), 0.0, 0.0, -40.0)
-
-
-def decisions(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray, bias: float) -> np.ndarray:
-    """Decision of each word of lower-cased bytes."""
-    if not len(starts):
-        return np.zeros(0)
-    word = np.zeros(len(data) + 1, np.int32)
-    word[starts] += 1
-    word = np.cumsum(word[:-1], dtype=np.int32)
-    inside = np.zeros(len(data) + 1, np.int8)
-    inside[starts] += 1
-    inside[ends] -= 1  # a word that begins where one ends stays inside
-    word *= np.cumsum(inside[:-1], dtype=np.int8)
-    sums = np.zeros(len(data), np.float32)
-    for gap in GAPS:
-        n = max(0, len(data) - gap[1])
-        own = (word[:n] == word[gap[1] : gap[1] + n]) & (word[:n] > 0)
-        sums[:n] += np.where(own, table[_keys(data, gap)], 0) * np.float32(_weight(gap))
-    return np.add.reduceat(sums, starts) / _norm(ends - starts) + bias
-
-
-def spaced_out(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(text, bytes) of each run of three or more words of one byte, joined."""
-    single = np.flatnonzero(ends - starts == 1)
-    if len(single) < 3:
-        return
-    text = np.searchsorted(first, single, "right") - 1
-    breaks = np.flatnonzero((np.diff(single) != 1) | (np.diff(text) != 0)) + 1
-    for lo, hi in zip(np.concatenate([[0], breaks]), np.concatenate([breaks, [len(single)]]), strict=True):
-        if hi - lo >= 3:
-            yield int(text[lo]), data[starts[single[lo:hi]]]
-
-
-def text_decisions(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, bias: float) -> np.ndarray:
+EMPTY = Model(np.zeros(1 << 3 * BITS, np.float32), 0.0, 0.0, -40.0)
+
+
+def _filled(s: np.ndarray, step: int) -> np.ndarray:
+    """True where what stands after a symbol, up to the step, is what stands after the next one, too: it fills gaps."""
+    n = max(0, len(s) - 2 * step)
+    own = np.ones(n, bool)
+    for j in range(1, step):
+        own &= s[j : j + n] == s[j + step : j + step + n]
+    return own
+
+
+def span_decisions(s: np.ndarray, table: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(decision, step, length) of the best span that begins at each place."""
+    wide = s.astype(np.int32)
+    high, middle = wide << 2 * BITS, wide << BITS
+    best, steps, length = np.full(len(s), -np.inf, np.float32), np.ones(len(s), np.int8), np.zeros(len(s), np.int8)
+    for step, sizes in SPANS.items():
+        rows = -(-len(s) // step)
+        here = np.zeros(rows * step, np.float32)
+        for first, second, w in PATTERNS[step]:
+            n = max(0, len(s) - step * second)
+            found = table[high[:n] | middle[step * first : step * first + n] | wide[step * second : step * second + n]]
+            here[:n] += found * (np.float32(w) if step == 1 else _filled(s, step))
+        sums = np.zeros((rows + 1, step))
+        np.cumsum(here.reshape(rows, step), axis=0, out=sums[1:])
+        for size in sizes:
+            own = ((sums[size:] - sums[: rows + 1 - size]) / _norm(step, size) + bias).reshape(-1)[: len(s)].astype(np.float32)
+            better = own > best[: len(own)]
+            best[: len(own)][better] = own[better]
+            steps[: len(own)][better] = step
+            length[: len(own)][better] = size
+    return best, steps, length
+
+
+def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same with very long texts cut in overlapping pieces, and the text of each piece."""
+    if len(offsets) == 1 or int(np.diff(offsets).max()) <= 2 * PIECE:
+        return data, offsets, np.arange(len(offsets) - 1)
+    parts, of = [], []
+    for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        for at in range(a, max(a + 1, b), PIECE):
+            parts.append((at, min(b, at + PIECE + OVERLAP)))
+            of.append(i)
+    return np.concatenate([data[a:b] for a, b in parts]), np.concatenate([[0], np.cumsum([b - a for a, b in parts])]), np.array(of)
+
+
+def text_decisions(data: np.ndarray, offsets: np.ndarray, model: Model) -> np.ndarray:
     """The highest decision in each text."""
-    data = LOWER_BYTE[data]
-    starts, ends, first = word_spans(data, offsets)
-    out = np.full(len(offsets) - 1, bias)
-    found = decisions(data, starts, ends, table, bias)
-    some = np.flatnonzero(first[1:] > first[:-1])
-    if len(some):
-        out[some] = np.maximum(out[some], np.maximum.reduceat(found, first[:-1][some]))
-    for text, joined in spaced_out(data, starts, ends, first):
-        one = decisions(joined, np.array([0]), np.array([len(joined)]), table, bias)
-        out[text] = max(out[text], one[0])
+    out = np.full(len(offsets) - 1, model.bias)
+    data, offsets, of = _pieces(data, offsets)
+    at = 0
+    while at < len(of):  # pieces of bounded size together
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE, "right")) - 1)
+        s, starts = sequence(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+        found = np.maximum.reduceat(span_decisions(s, model.table, model.bias)[0], starts - 1)
+        np.maximum.at(out, of[at:to], found)
+        at = to
     return out
 
 
-def _vectors(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, key, value) of the kernel's features, scaled by the norms."""
-    which, keys, values = [], [], []
-    data = np.frombuffer(b"".join(words), np.uint8)
-    lengths = np.array([len(w) for w in words])
-    word = np.repeat(np.arange(len(words)), lengths)
-    for gap in GAPS:
-        n = max(0, len(data) - gap[1])
-        own = word[:n] == word[gap[1] : gap[1] + n]
-        which.append(word[:n][own])
-        keys.append(_keys(data, gap)[own])
-        values.append(np.full(int(own.sum()), _weight(gap)))
-    which = np.concatenate(which)
-    return which, np.concatenate(keys), np.concatenate(values) / _norm(lengths)[which]
-
-
-def _dense(words: list[bytes], columns: np.ndarray) -> np.ndarray:
-    which, keys, values = _vectors(words)
-    at = np.minimum(np.searchsorted(columns, keys), len(columns) - 1)
-    hit = columns[at] == keys
-    out = np.zeros((len(words), len(columns)), np.float32)
-    np.add.at(out, (which[hit], at[hit]), values[hit])
+# --- training
+
+
+def _features(step: int, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(subsequences, values) of a span of symbols, with what its subsequences reach, read in steps."""
+    if step > 1:
+        return _keys(s, step, 2 * step)[::step][: len(s)], _filled(s, step)[::step] / _norm(step, max(1, len(s) // step - 2))
+    parts = [(_keys(s, a, b), w) for a, b, w in PATTERNS[1]]
+    return np.concatenate([k for k, _ in parts]), np.concatenate([np.full(len(k), w) for k, w in parts]) / _norm(1, max(1, len(s) - 2))
+
+
+def _dense(spans: list[tuple[int, np.ndarray]], columns: np.ndarray) -> np.ndarray:
+    """The kernel's features of spans, in the given subsequences only."""
+    out = np.zeros((len(spans), len(columns)), np.float32)
+    for i, (step, s) in enumerate(spans):
+        keys, values = _features(step, s)
+        at = np.minimum(np.searchsorted(columns, keys), len(columns) - 1)
+        hit = columns[at] == keys
+        np.add.at(out[i], at[hit], values[hit])
     return out
 
 
-def _svm(x: np.ndarray, y: np.ndarray, share: np.ndarray, steps: int = 600, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def _svm(x: np.ndarray, y: np.ndarray, share: np.ndarray, steps: int = 500, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Linear SVM (squared hinge) by Adam."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w, m, v = np.zeros(x.shape[1]), 0, 0
@@ -178,43 +237,66 @@ def _curve(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a, 1e-3)), float(b)
 
 
-def _surprise(pos: np.ndarray, neg: np.ndarray, base: float) -> np.ndarray:
-    """Log-likelihood gain of a word's own share of toxic documents over the general one; 0 where it is lower."""
-    n = np.maximum(pos + neg, 1)
-    seen = np.clip(pos / n, 1e-9, 1)
-    gain = n * (seen * np.log(seen / base) + (1 - seen) * np.log(np.maximum(1 - seen, 1e-9) / max(1 - base, 1e-9)))
-    return np.where(pos > base * n, gain, 0)
-
-
-def _cover(docs: list[np.ndarray], toxic: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> np.ndarray:
-    """Words that explain the toxic documents: from the most surprising one down, each that holds a document not yet
-    explained or is about as surprising as the first.
-
-    A word that is frequent only because its document was copied is passed over, as its copies are explained already.
-    """
-    gain = _surprise(pos, neg, max(toxic.mean(), 1e-9))
-    ranked = np.argsort(-gain, kind="stable")
-    enough = np.log(len(pos)) + 1
-    ranked = ranked[: max(10, int((gain > enough).sum()))]
-    holders: dict[int, list[int]] = {int(w): [] for w in ranked}
-    left = {int(i) for i in np.flatnonzero(toxic == 1)}
-    for i in left:
-        for w in docs[i]:
-            if int(w) in holders:
-                holders[int(w)].append(i)
-    taken: list[int] = []
-    for w in map(int, ranked):
-        if len(taken) == LANDMARKS // 2 or gain[w] <= 0:
+def _copies(docs: list[np.ndarray]) -> np.ndarray:
+    """About how many near copies each document has, itself included: those with the same least hash of 12 symbols."""
+    least = []
+    for padded in docs:
+        s = padded[PAD - 1 : len(padded) - PAD + 1]
+        h, n = np.zeros(max(0, len(s) - 11), np.uint64), len(s)
+        for j in range(12):
+            h = h * np.uint64(0x100000001B3) + s[j : n - 11 + j].astype(np.uint64)
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        least.append(int((h ^ (h >> np.uint64(32))).min()) if len(h) else hash(s.tobytes()))
+    _, at, counts = np.unique(np.array([x & (2**63 - 1) for x in least]), return_inverse=True, return_counts=True)
+    return counts[at]
+
+
+def _first_weights(docs: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Of each subsequence without gaps, how much likelier it makes a document toxic (log-likelihood gain); 0 if it doesn't."""
+    pos, neg = np.zeros(1 << 3 * BITS), np.zeros(1 << 3 * BITS)
+    for s, t, w in zip(docs, toxic, weight, strict=True):
+        np.add.at(pos if t else neg, np.unique(_keys(s, 1, 2)), w)
+    base = (toxic * weight).sum() / weight.sum()
+    n = np.maximum(pos + neg, 1e-9)
+    seen = np.clip(pos / n, 1e-9, 1 - 1e-9)
+    gain = n * (seen * np.log(seen / base) + (1 - seen) * np.log((1 - seen) / (1 - base)))
+    return np.where((pos > base * n) & (gain > np.log(len(docs)) / 2), gain, 0.0)
+
+
+def stretched(s: np.ndarray, rng: np.random.Generator) -> list[np.ndarray]:
+    """The string with one letter, two letters or a blank after each of its letters, and with one of them anywhere; padded."""
+    out = []
+    for fill in ([int(rng.integers(2, 28))], [int(x) for x in rng.integers(2, 28, 2)], [BLANK]):
+        parts = []
+        for i, c in enumerate(s):
+            parts.append(c)
+            if c > BLANK and i + 1 < len(s) and s[i + 1] > BLANK:
+                parts += fill
+        out.append(parts)
+    cut = int(rng.integers(1, max(2, len(s) - 1)))
+    out.append([*s[:cut], int(rng.choice([BLANK, int(rng.integers(2, 28))])), *s[cut:]])
+    return [np.concatenate([np.zeros(PAD, np.uint8), np.array(x, np.uint8), np.zeros(PAD, np.uint8)]) for x in out]
+
+
+def _top(s: np.ndarray, table: np.ndarray, many: int) -> list[tuple[int, np.ndarray]]:
+    """The best spans of a padded document that lie apart: (step, symbols)."""
+    best, steps, length = span_decisions(s, table, 0.0)
+    out = []
+    for _ in range(many):
+        i = int(best.argmax())
+        if not np.isfinite(best[i]) or not length[i]:
             break
-        if not left.isdisjoint(holders[w]) or gain[w] >= 0.5 * gain[ranked[0]]:
-            taken.append(w)
-            left.difference_update(holders[w])
-    return np.array(taken, np.int64)
+        step = int(steps[i])
+        out.append((step, s[i : i + step * (int(length[i]) + 2)]))
+        best[max(0, i - PAD) : i + PAD] = -np.inf
+    return out
 
 
-def gapped(word: bytes) -> list[bytes]:
-    """The word with characters inserted after each one and after each two bytes."""
-    return [GAP_MARKS[len(word) % len(GAP_MARKS)].join(word[i : i + step] for i in range(0, len(word), step)) for step in GAP_STEPS]
+def _around(s: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The symbols of a padded document's best plain span."""
+    n = int(span_decisions(s, table, 0.0)[0].argmax())
+    part = s[max(0, n - 2) : n + SPANS[1][0] + 4]
+    return part[part != NONE]
 
 
 def train(texts: list[str | None], toxic: np.ndarray) -> Model:
@@ -223,73 +305,64 @@ def train(texts: list[str | None], toxic: np.ndarray) -> Model:
     if not len(toxic) or toxic.min() == toxic.max():
         return EMPTY
     rng = np.random.default_rng(11)
-    ids: dict[bytes, int] = {}
     docs = []
     for t in texts:
-        raw = bytes((t or "").encode()).translate(bytes(LOWER_BYTE))
-        docs.append(np.array([ids.setdefault(w, len(ids)) for w in set(raw.split()) if len(w) > 2], np.int64))
-    words = list(ids)
-    if not words:
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        docs.append(sequence(raw, np.array([0, len(raw)]))[0])
+    weight = 1 / _copies(docs)
+    table, bias = _first_weights(docs, toxic, weight).astype(np.float32), 0.0
+    if not table.any():
         return EMPTY
-    of = np.concatenate(docs).astype(np.int64)
-    label = np.repeat(toxic, [len(d) for d in docs])
-    pos, neg = np.bincount(of[label == 1], minlength=len(words)), np.bincount(of[label == 0], minlength=len(words))
-    likely = _cover(docs, toxic, pos, neg)
-    score = np.full(len(words), -1.0)
-    score[likely] = np.arange(len(likely), 0, -1)
-    clean = np.unique(np.concatenate([docs[i] for i in np.flatnonzero(toxic == 0)]))
-    joined = np.frombuffer(b" ".join(words), np.uint8)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    model = EMPTY
+    clean = [int(i) for i in np.flatnonzero(toxic == 0) if len(docs[i]) > 2 * PAD + 4]
+    down: list[tuple[int, np.ndarray]] = []
+    boost, best = weight.copy(), (np.inf, EMPTY)
     for turn in range(ROUNDS):
-        tops = [d[np.argmax(score[d])] if len(d) else -1 for d in docs]
-        up = np.array(sorted({t for t, x in zip(tops, toxic, strict=True) if t >= 0 and x and (turn or score[t] > 0)}), np.int64)
-        up = np.union1d(up, likely).astype(np.int64)
-        up = up[neg[up] <= 0.2 * (pos[up] + neg[up])]  # what is common in clean documents is no insult
-        if not len(up):
-            break
-        hard = np.array(sorted({t for t, x in zip(tops, toxic, strict=True) if t >= 0 and not x}), np.int64)
-        down = np.setdiff1d(np.union1d(hard, rng.choice(clean, min(len(clean), 3000), replace=False) if len(clean) else hard), up)
-        marks = np.concatenate([up[np.argsort(-pos[up], kind="stable")][: LANDMARKS // 2], rng.permutation(down)[: LANDMARKS // 2]])
-        z = [words[i] for i in marks]
-        columns = np.unique(_vectors(z)[1])
+        up, share = [], []
+        for i in np.flatnonzero(toxic == 1):
+            for x in [docs[i], *stretched(_around(docs[i], table), rng)]:
+                up += _top(x, table, 1)
+                share += [boost[i] if x is docs[i] else boost[i] / 3] * (len(up) - len(share))
+        for i in clean:
+            down += _top(docs[i], table, 1 if turn else 2)
+        for i in rng.choice(clean, min(len(clean), 800), replace=False) if clean else []:  # any spans of clean documents, and stretched ones
+            at = int(rng.integers(PAD - 1, len(docs[i]) - PAD))
+            part = docs[i][at : at + SPANS[1][1]]
+            down.append((1, docs[i][at : at + int(rng.choice(SPANS[1])) + 2]))
+            for x in stretched(part[part != NONE], rng):
+                down += _top(x, table, 1)
+        down = list({(step, d.tobytes()): (step, d) for step, d in down}.values())
+        if not up:
+            return EMPTY
+        if len(down) > 9000:
+            down = [down[i] for i in rng.permutation(len(down))[:9000]]
+        # landmarks: spans of toxic documents, and of the others those that look most like them and any
+        likely = np.argsort([-float((table[k] * v).sum()) for k, v in (_features(*z) for z in down)], kind="stable")
+        marks = [up[i] for i in rng.permutation(len(up))[: LANDMARKS // 2]] + [down[i] for i in likely[: LANDMARKS // 4]]
+        marks += [down[i] for i in rng.permutation(len(down))[: LANDMARKS // 4]]
+        columns = np.unique(np.concatenate([_features(*z)[0] for z in marks]))
+        columns = columns[((columns & 63) != NONE) & ((columns >> BITS & 63) != NONE) & (columns >> 2 * BITS != NONE)]
         if not len(columns):
-            break
-        c = _dense(z, columns)
-        k = c.astype(np.float64) @ c.T
-        val, vec = np.linalg.eigh(k)
+            return EMPTY
+        c = _dense(marks, columns)
+        val, vec = np.linalg.eigh(c.astype(np.float64) @ c.T)
         good = val > 1e-6 * max(val.max(), 1e-12)
         white = vec[:, good] / np.sqrt(val[good])
-        # insults with inserted characters are insults, too; other words with such characters are not
-        strings = [words[j] for j in up] + [g for j in up for g in gapped(words[j])]
-        weight = [pos[j] for j in up] + [pos[j] / 4 for j in up for _ in GAP_STEPS]
-        n_up = len(strings)
-        strings += [words[j] for j in down] + [g for j in down[::4] for g in gapped(words[j])]
-        x = np.vstack([_dense(strings[i : i + 1000], columns) @ c.T for i in range(0, len(strings), 1000)]).astype(np.float64) @ white
-        y = np.where(np.arange(len(strings)) < n_up, 1.0, -1.0)
-        often = np.sqrt(np.concatenate([weight, np.ones(len(strings) - n_up)]).clip(1))
-        share = often / np.where(y > 0, 3 * often[y > 0].sum(), 1.5 * often[y < 0].sum() if (y < 0).any() else 1.0)
-        w, bias = _svm(x, y, share)
-        weights = (c.T @ (white @ w)).astype(np.float32)
-        model = Model(columns.astype(np.uint32), weights, bias, 1.0, 0.0)
-        score = decisions(joined, starts, ends, _table(model), bias)
-    if model is EMPTY:
-        return EMPTY
-    top = np.array([max(score[d].max(), model.bias) if len(d) else model.bias for d in docs])
-    slope, offset = _curve(top, toxic.astype(float))
-    return Model(model.keys, model.weights, model.bias, slope, offset)
-
-
-def _table(model: Model) -> np.ndarray:
-    table = np.zeros(1 << 24, np.float32)
-    table[model.keys] = model.weights
-    return table
-
-
-@lru_cache(maxsize=1)
-def _worker_table(keys: bytes, weights: bytes) -> np.ndarray:
-    return _table(Model(np.frombuffer(keys, np.uint32), np.frombuffer(weights, np.float32), 0.0, 0.0, 0.0))
+        spans = up + down
+        x = np.vstack([_dense(spans[i : i + 500], columns) @ c.T for i in range(0, len(spans), 500)]).astype(np.float64) @ white
+        y = np.where(np.arange(len(spans)) < len(up), 1.0, -1.0)
+        many = np.concatenate([share, np.ones(len(down))])
+        part = many / np.where(y > 0, 2 * many[y > 0].sum(), 2 * max(1.0, many[y < 0].sum()))
+        w, bias = _svm(x, y, part)
+        table = np.zeros(1 << 3 * BITS, np.float32)
+        table[columns] = c.T @ (white @ w)
+        top = np.array([max(bias, span_decisions(d, table, bias)[0].max()) for d in docs])
+        slope, offset = _curve(top, toxic.astype(float))
+        wrong = (slope * top + offset >= 0) != (toxic == 1)
+        rate = wrong[toxic == 1].mean() + wrong[toxic == 0].mean()
+        if rate <= best[0]:
+            best = rate, Model(table, bias, slope, offset)
+        boost = np.where((toxic == 1) & (top < 0.8), 2 * boost, boost)  # a toxic document that isn't told counts more from now on
+    return best[1]
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
@@ -303,20 +376,21 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     fraction = F.when(F.col("toxic") == 1, F.lit(min(1.0, rows / max(1, counts.get(1, 0))))).otherwise(F.lit(min(1.0, rows / max(1, counts.get(0, 0)))))
     chosen = known.filter(place < fraction).limit(3 * rows)
     sample = docs.filter(F.col("text").isNotNull() & (F.length("text") <= ROW_CHARS)).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    sample = sample.toPandas().sort_values(["doc_id", "text"], kind="stable")
+    sample = sample.limit(6 * rows).toPandas().sort_values(["doc_id", "text"], kind="stable")
     return train(list(sample["text"]), sample["toxic"].to_numpy(np.int64))
 
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in keep, score (0 to 1) and predicted (1 from a score of 0.5 on)."""
+    short_batches(docs.sparkSession)
     kinds = docs.select(*keep).schema.fields
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds), "score double", "predicted int"])
-    keys, weights = model.keys.tobytes(), model.weights.tobytes()
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 1 MB
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _worker_table(keys, weights)
+        own = shared.value
         for batch in batches:
-            parts = [model.score(text_decisions(data, offsets, table, model.bias)) for _, _, data, offsets in each_slice(batch.column(len(kinds)))]
+            parts = [own.score(text_decisions(data, offsets, own)) for _, _, data, offsets in each_slice(batch.column(len(kinds)))]
             if parts:
                 score = np.concatenate(parts)
                 yield pa.RecordBatch.from_arrays(

@@ -68,10 +68,14 @@ def test_language_edges(spark):
     assert langid.predict(rows.limit(0), model).count() == 0
 
 
-def test_toxicity_finds_gapped_insults():
+SYLLABLES = ["an", "the", "or", "ing", "re", "th", "er", "on"]
+
+
+@pytest.fixture(scope="module")
+def insults():
+    """A machine trained on invented prose in which toxic documents hold one of three plain insults."""
     rng = random.Random(2)
-    syllable = ["an", "the", "or", "ing", "re", "th", "er", "on"]
-    word = lambda: "".join(rng.choice(syllable) for _ in range(rng.randrange(1, 4)))
+    word = lambda: "".join(rng.choice(SYLLABLES) for _ in range(rng.randrange(1, 4)))
     texts, labels = [], []
     for i in range(400):
         t = [word() for _ in range(rng.randrange(5, 60))]
@@ -79,11 +83,46 @@ def test_toxicity_finds_gapped_insults():
             t.insert(rng.randrange(len(t)), rng.choice(["dumbo", "scumbag", "moronic"]))
         texts.append(" ".join(t))
         labels.append(int(i % 4 == 0))
-    model = toxicity.train(texts, np.array(labels))
-    probes = ["an the dumbo or", "re scum.bag on", "the m o r o n i c an", "the mor-onic", "an the or ing", "", None, "theorer anthere"]
-    table = toxicity._table(model)
-    found = [model.score(toxicity.text_decisions(d, o, table, model.bias)) for _, _, d, o in buffers.each_slice(pa.array(probes, pa.string()))]
-    assert (np.concatenate(found) >= 0.5).tolist() == [True, True, True, True, False, False, False, False]
+    return toxicity.train(texts, np.array(labels))
+
+
+def scores(model, texts):
+    return np.concatenate([model.score(toxicity.text_decisions(d, o, model)) for _, _, d, o in buffers.each_slice(pa.array(texts, pa.string()))])
+
+
+FILLERS = [".", "-", "*", "_", "x", "é", " ", "..", "xx", "\u200b", "\u00b7", "7", ""]
+
+
+@pytest.mark.parametrize("context", ["{}", "an the {} or re"])
+def test_toxicity_finds_gapped_insults(insults, context):
+    forms = [f.join(w) for w in ("dumbo", "scumbag", "moronic") for f in FILLERS]
+    forms += ["scum.bag", "mor-onic", "du mbo", "scum bag", "dumbos", "DUMBO", "dúmbo"]
+    found = scores(insults, [context.format(x) for x in forms])
+    assert [x for x, s in zip(forms, found, strict=True) if s < 0.5] == []
+
+
+@pytest.mark.parametrize("context", ["{}", "an the {} or re"])
+def test_toxicity_leaves_gapped_clean_words(insults, context):
+    forms = [f.join(w) for w in ("anthe", "theorer", "reingth", "thingore", "oneranon") for f in FILLERS] + ["an the or ing", "theorer anthere"]
+    found = scores(insults, [context.format(x) for x in forms])
+    assert [x for x, s in zip(forms, found, strict=True) if s >= 0.5] == []
+
+
+def test_toxicity_of_odd_texts(insults):
+    clean = " ".join(SYLLABLES) + " "
+    long_ = clean * (3 * toxicity.PIECE // len(clean))
+    found = scores(insults, ["", None, "7 !", "\u65e5\u672c \U0001f642", long_, long_ + "dumbo", "dumbo " + long_])
+    assert (found >= 0.5).tolist() == [False, False, False, False, False, True, True]
+    for i in (200, 2 * toxicity.PIECE + 3):  # wherever a very long text is cut
+        assert scores(insults, [long_[:i] + " scumbag " + long_[i:]])[0] >= 0.5
+    assert len(scores(insults, ["dumbo"] * 3)) == 3
+
+
+def test_toxicity_held_out(spark):
+    """Folds that are not learned from, on the tables."""
+    sf = "/root/testdata/sf0.01"
+    rows = queries.op3_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out AND toxic IS NOT NULL").collect()
+    assert np.mean([r.predicted for r in rows if r.toxic]) >= 0.5 and np.mean([r.predicted for r in rows if not r.toxic]) <= 0.1
 
 
 def test_toxicity_query_and_edges(spark, sf_dir):
@@ -95,6 +134,10 @@ def test_toxicity_query_and_edges(spark, sf_dir):
     model = toxicity.fit(rows, labels)
     assert model is toxicity.EMPTY and {r.predicted for r in toxicity.predict(rows, model).collect()} == {0}
     assert toxicity.predict(rows.limit(0), model).count() == 0
+    clash = rows.withColumns({c: F.lit("z") for c in ("score", "predicted", "toxic", "symbols")})
+    twice = clash.unionByName(clash)
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 0), (0, 1)], "doc_id bigint, toxic int")
+    assert toxicity.predict(twice, toxicity.fit(twice, labels)).count() == 6
 
 
 @pytest.fixture(scope="module")
