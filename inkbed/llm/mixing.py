@@ -1,20 +1,21 @@
 """Mixing sources to target weights by a low-discrepancy schedule (native).
 
-The mix is a sequence of slots of ``block`` words each.  Slot t belongs to the source in whose share of the
-cumulative weights the t-th point of a golden-ratio sequence falls, so every stretch of the schedule is close
-to the target weights.  Each source's documents are laid out on a line of words in a hashed (shuffled) order and
-cut into equal blocks; the k-th slot of a source takes its k-th block, in passes over the line.  All of it is
-arithmetic on whole numbers and hashes, so reruns agree.
-
-mix() and taken() have at most 2**18 slots, whose last blocks may be short, as the SQL of op2_mixing has them; exact_mix()
-and exact_taken() have no bound on slots and deliver each source's target to the word.
-
-Scale: running sums and ranks go over (source, hash bucket) and a small table of bucket totals, so a source
-that holds a third of all rows is spread over all tasks.
-
-Defined cases: a null source is a source of its own, last in order; null and empty texts have size 0 and are
-taken 0 words; repeated rows are laid out one after another; extra columns are not carried; an empty table
-gives an empty mix.
+The mix is a sequence of slots of ``block`` words each, a number that doesn't depend on the corpus.  Slot t belongs to the
+source in whose share of the cumulative weights the t-th point of a golden-ratio sequence falls, so every stretch of the
+schedule is close to the target weights.  Each source's documents are laid out on a line of words in a hashed (shuffled)
+order; the line, pass after pass, is cut off at the source's target in whole words and cut into equal blocks; the k-th slot
+of a source takes its k-th block.  Blocks that the schedule has no slot for (a few for each source, by rounding) follow in
+slots of their own at the end.  So each source delivers its target to the word.  All of it is arithmetic on whole
+numbers and hashes, and reruns agree.
+
+Scale: running sums and ranks go over (source, hash bucket) and a small table of bucket totals, so a source that holds a third
+of all rows is spread over all tasks; slots find their source by a join on cells of the circle, so many sources cost no more
+for each slot than few; the schedule meets the blocks by (source, number), which no source can make hot.  Tables of one row for
+each source, and for each source and bucket, are gathered.
+
+Defined cases: a null source is a source of its own, last in order; null and empty texts have size 0 and are taken 0 words; a
+very long text is many blocks of many slots; repeated rows, and rows without doc_id, are laid out one after another, those of
+one hash in order of size; extra columns are not carried, so their names don't matter; an empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -29,11 +30,15 @@ from .tables import kept
 #: Weights by the source's place in code point order, repeating, and the most passes over a source.
 WEIGHTS = (5, 2, 1)
 MAX_PASSES = 3
-#: Words in a block of the exact mix, whatever the size of the corpus.
-EXACT_BLOCK = 8
+#: Words in a block, whatever the size of the corpus.
+BLOCK = 256
 #: 2**32 / golden ratio, the step of the schedule's points on a circle of 2**32.
 GOLDEN_STEP = 2654435769
 CIRCLE = 1 << 32
+#: The circle has 2**32 / 2**CELL_BITS cells, by which points meet shares.
+CELL_BITS = 20
+#: The most sources whose shares are broadcast (24 bytes each, and as many again for the cells).
+BROADCAST_SOURCES = 100_000
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -65,11 +70,6 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes: in
     )
 
 
-def block_words(total: int, max_slots: int = 1 << 18, least: int = 8) -> int:
-    """Words in a block: small enough for a fine mix, and so large that no more than max_slots slots arise."""
-    return max(least, -(-total // max_slots))
-
-
 def _prefix(rows: DataFrame, keys: list[str], bucket: str, order: list[Column], value: Column, name: str) -> DataFrame:
     """Sum of value over the earlier rows of the same keys, in order of (bucket, order), without one task for each key."""
     totals = rows.groupBy(*keys, bucket).agg(F.sum(value).alias("_in_bucket"))
@@ -106,62 +106,43 @@ def layout(sized: DataFrame, ranks: DataFrame, digits: int) -> DataFrame:
 def schedule(targets_: DataFrame, slots: int, buckets: int) -> DataFrame:
     """slot, rank of its source, and k: its number among the source's slots (0, 1, ...)."""
     spark = targets_.sparkSession
-    share = W.partitionBy(F.lit(1)).orderBy("rank")
-    ends = targets_.filter("target > 0").withColumn("_sum", F.sum("target").over(share.rowsBetween(W.unboundedPreceding, 0)))
-    bounds = ends.select(
-        "rank", F.round(F.col("_sum") / F.max("_sum").over(W.partitionBy(F.lit(1))) * CIRCLE).cast("bigint").alias("_to")
-    ).agg(F.sort_array(F.collect_list(F.struct("_to", "rank"))).alias("bounds"))  # one entry for each source
-    point = F.col("slot") * GOLDEN_STEP % CIRCLE
-    found = F.element_at(F.filter("bounds", lambda b: b["_to"] > F.col("point")), 1)["rank"]
-    slots_ = spark.range(slots).select(F.col("id").alias("slot")).withColumn("point", point)
-    dealt = slots_.withColumn("bounds", bounds.scalar()).select("slot", found.alias("rank")).withColumn(
-        "_bucket", F.floor(F.col("slot") * buckets / slots)
-    )
+    whole = W.partitionBy(F.lit(1))
+    ends = targets_.filter("target > 0").withColumn("_sum", F.sum("target").over(whole.orderBy("rank").rowsBetween(W.unboundedPreceding, 0)))
+    bounds = ends.select("rank", F.round(F.col("_sum") / F.max("_sum").over(whole) * CIRCLE).cast("bigint").alias("_to"))
+    bounds = bounds.withColumn("_since", F.lag("_to", 1, 0).over(whole.orderBy("rank"))).filter("_since < _to")
+    cells = bounds.withColumn("_cell", F.explode(F.sequence(F.shiftright("_since", CELL_BITS), F.shiftright(F.col("_to") - 1, CELL_BITS))))
+    if targets_.count() <= BROADCAST_SOURCES:
+        cells = F.broadcast(cells)
+    points = spark.range(slots).select(F.col("id").alias("slot"), (F.col("id") * GOLDEN_STEP % CIRCLE).alias("_point"))
+    dealt = points.withColumn("_cell", F.shiftright("_point", CELL_BITS)).join(cells, "_cell").filter("_point >= _since AND _point < _to")
+    dealt = dealt.select("slot", "rank", F.floor(F.col("slot") * buckets / slots).alias("_bucket"))
     return _prefix(dealt, ["rank"], "_bucket", [F.col("slot")], F.lit(1).cast("bigint"), "k").drop("_bucket")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes: int = MAX_PASSES, max_slots: int = 1 << 18) -> DataFrame:
-    """The mix itself: slot, pass, doc_id, source and the words [from, to) of the document that the slot takes."""
-    return _mixed(docs, weights, max_passes, max_slots)[0].select("slot", "pass", "doc_id", "source", "from", "to")
+def goals_in_words(targets_: DataFrame, max_passes: int = MAX_PASSES) -> DataFrame:
+    """Adds goal: the target in whole words, by rounded running sums, so that the goals add up as the targets do."""
+    by_rank = W.partitionBy(F.lit(1)).orderBy("rank")
+    rows = targets_.withColumn("_end", F.round(F.sum("target").over(by_rank.rowsBetween(W.unboundedPreceding, 0))).cast("bigint"))
+    own = F.col("_end") - F.coalesce(F.lag("_end").over(by_rank), F.lit(0))
+    return rows.withColumn("goal", F.least(own, F.col("source_size") * max_passes)).drop("_end")
 
 
-def taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes: int = MAX_PASSES, max_slots: int = 1 << 18) -> DataFrame:
-    """For each document: doc_id, source, size, source_size, target and taken, the words that the mix takes of it."""
-    return _taken(*_mixed(docs, weights, max_passes, max_slots))
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes: int = MAX_PASSES, block: int = BLOCK) -> DataFrame:
+    """The mix itself: slot, pass, doc_id, source and the words [from, to) of the document that the slot takes."""
+    return _mixed(docs, weights, max_passes, block)[0].select("slot", "pass", "doc_id", "source", "from", "to")
 
 
-def _taken(pieces: DataFrame, placed: DataFrame) -> DataFrame:
+def taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes: int = MAX_PASSES, block: int = BLOCK) -> DataFrame:
+    """For each document: doc_id, source, size, source_size, target and taken, the words that the mix takes of it."""
+    pieces, placed = _mixed(docs, weights, max_passes, block)
     sums = pieces.groupBy("rank", "start").agg(F.sum(F.col("to") - F.col("from")).alias("taken"))  # a place is one document's
     empty = placed.filter("size = 0").withColumn("taken", F.lit(0).cast("bigint"))
     columns = ["doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken")]
     return placed.filter("size > 0").join(sums, ["rank", "start"], "left").select(*columns).unionByName(empty.select(*columns))
 
 
-def goals_in_words(targets_: DataFrame, max_passes: int = MAX_PASSES) -> DataFrame:
-    """Adds goal: the target in whole words, by rounded running sums, so that the goals add up as the targets do."""
-    running = W.partitionBy(F.lit(1)).orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
-    ends = F.round(F.sum("target").over(running)).cast("bigint")
-    rows = targets_.withColumn("_end", ends)
-    own = F.col("_end") - F.coalesce(F.lag("_end").over(W.partitionBy(F.lit(1)).orderBy("rank")), F.lit(0))
-    return rows.withColumn("goal", F.least(own, F.col("source_size") * max_passes)).drop("_end")
-
-
-def exact_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes: int = MAX_PASSES, block: int = EXACT_BLOCK) -> DataFrame:
-    """The mix that delivers each source's target to the word: slot, pass, doc_id, source, from and to, as mix() has them."""
-    return _exact(docs, weights, max_passes, block)[0].select("slot", "pass", "doc_id", "source", "from", "to")
-
-
-def exact_taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes: int = MAX_PASSES, block: int = EXACT_BLOCK) -> DataFrame:
-    """taken() of the exact mix: each source's sum is its target, rounded."""
-    return _taken(*_exact(docs, weights, max_passes, block))
-
-
-def _exact(docs: DataFrame, weights: tuple[int, ...], max_passes: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """(pieces, layout).  A source's line, pass after pass, is cut off at its goal; its k-th slot takes the k-th block of that.
-
-    Blocks have a fixed size and go on over the ends of passes, so only a source's last is shorter.  Slots beyond a
-    source's blocks take nothing; blocks beyond its slots of the schedule follow in slots of their own after the others.
-    """
+def _mixed(docs: DataFrame, weights: tuple[int, ...], max_passes: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(pieces, layout)."""
     sized = kept(sizes(docs), "sizes")  # the texts are read once
     goals = kept(goals_in_words(targets(sized, weights, max_passes), max_passes), "targets")  # one row for each source
     total, rows = sized.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
@@ -179,7 +160,8 @@ def _exact(docs: DataFrame, weights: tuple[int, ...], max_passes: int, block: in
     first, last = F.floor(F.col("_at") / block), F.floor((F.col("_end") - 1) / block)
     cuts = lines.withColumn("k", F.explode(F.sequence(first, last)))
     begin, end = F.col("k") * block, (F.col("k") + 1) * block
-    pieces = dealt.join(cuts, ["rank", "k"]).select(
+    # a table of slots is small as a file, but not in memory: never broadcast
+    pieces = cuts.hint("merge").join(dealt, ["rank", "k"]).select(
         "slot",
         "pass",
         "rank",
@@ -190,29 +172,3 @@ def _exact(docs: DataFrame, weights: tuple[int, ...], max_passes: int, block: in
         (F.least(end, F.col("_end")) - F.col("_at")).alias("to"),
     )
     return pieces, placed
-
-
-def _mixed(docs: DataFrame, weights: tuple[int, ...], max_passes: int, max_slots: int) -> tuple[DataFrame, DataFrame]:
-    sized = kept(sizes(docs), "sizes")  # the texts are read once
-    goals = kept(targets(sized, weights, max_passes), "targets")  # one row for each source
-    total, rows = sized.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    block = block_words(total, max_slots)
-    slots = -(-total // block)
-    placed = kept(layout(sized, goals, bucket_digits(rows)), "layout")
-    first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
-    cuts = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
-    blocks = F.ceil(F.col("source_size") / block)
-    passes = schedule(goals, slots, max(64, slots // 20_000)).join(goals.select("rank", "source_size"), "rank")
-    passes = passes.select("slot", "rank", (F.col("k") % blocks).alias("block"), F.floor(F.col("k") / blocks).alias("pass")).filter(F.col("pass") < max_passes)
-    begin, end = F.col("block") * block, (F.col("block") + 1) * block
-    pieces = passes.join(cuts, ["rank", "block"]).select(
-        "slot",
-        "pass",
-        "rank",
-        "start",
-        "doc_id",
-        "source",
-        (F.greatest(begin, F.col("start")) - F.col("start")).alias("from"),
-        (F.least(end, F.col("start") + F.col("size")) - F.col("start")).alias("to"),
-    )
-    return pieces, placed

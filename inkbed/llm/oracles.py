@@ -44,25 +44,17 @@ goal AS (
   SELECT source, rank, source_size, CASE WHEN capped THEN (3 * source_size)::DOUBLE
          ELSE (SELECT level FROM g WHERE NOT capped ORDER BY source_size / weight, rank LIMIT 1) * weight END AS target FROM g
 ),
-p AS (SELECT sum(size) AS total, greatest(8, ((sum(size) + 262143) // 262144)::BIGINT) AS block FROM d),
-b AS (
-  SELECT rank, round(s / max(s) OVER () * 4294967296)::BIGINT AS upto FROM
-  (SELECT rank, sum(target) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM goal WHERE target > 0)
+words AS (
+  SELECT *, least(upto - lag(upto, 1, 0) OVER (ORDER BY rank), 3 * source_size) AS words FROM
+  (SELECT *, round(sum(target) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS upto FROM goal)
 ),
-b2 AS (SELECT rank, upto, lag(upto, 1, 0) OVER (ORDER BY rank) AS since FROM b),
-slot AS (SELECT slot, slot * 2654435769 % 4294967296 AS point FROM (SELECT unnest(range(((total + block - 1) // block)::BIGINT)) AS slot FROM p)),
-n AS (SELECT rank, count(*) AS slots FROM slot JOIN b2 ON point >= since AND point < upto GROUP BY rank),
 placed AS (
-  SELECT doc_id, size, source_size, target, rank,
+  SELECT doc_id, size, source_size, target, words,
          sum(size) OVER (PARTITION BY rank ORDER BY md5(coalesce(doc_id::VARCHAR, '')), size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS start
-  FROM d JOIN goal ON d.source IS NOT DISTINCT FROM goal.source
-),
-u AS (
-  SELECT placed.*, block, greatest((source_size + block - 1) // block, 1) AS blocks, least(coalesce(slots, 0), 3 * ((source_size + block - 1) // block)) AS used
-  FROM placed CROSS JOIN p LEFT JOIN n USING (rank)
+  FROM d JOIN words ON d.source IS NOT DISTINCT FROM words.source
 )
 SELECT doc_id, size, source_size, target,
-       (size * (used // blocks) + greatest(0, least(size, (used % blocks) * block - start)))::BIGINT AS taken FROM u
+       CASE WHEN size = 0 THEN 0 ELSE size * (words // source_size) + greatest(0, least(size, words % source_size - start)) END::BIGINT AS taken FROM placed
 """
 
 ITEM_WORD = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"

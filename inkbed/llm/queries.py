@@ -21,11 +21,6 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def op2_mixing_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mix without a bound on slots, each source's target to the word; op2_mixing is the one that its SQL describes."""
-    return mixing.exact_taken(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
-
-
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"))
@@ -84,7 +79,6 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_mixing": op2_mixing,
-    "op2_mixing_exact": op2_mixing_exact,
     "op3_toxicity": op3_toxicity,
     "op4_suffixes": op4_suffixes,
     "op5_warc": op5_warc,
