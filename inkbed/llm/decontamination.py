@@ -10,13 +10,14 @@ by their n-grams of just that length (winnowing with a window of one).
 
 Words: A-Z in lower case, runs of ASCII digits, a-z and characters beyond ASCII.
 
-Scale: fingerprints of items are broadcast only while there are no more than BROADCAST_ROWS of them (16 bytes
-each), else they are shuffled; documents that share a popular item are rows of a join, never gathered in one
-task; hits are gathered by document.
-
-Defined cases: null and empty texts have no words and no hits; items without words have no window; repeated rows
-of a document are judged one by one if their doc_id differs, and as one set of hits if it doesn't; extra columns
-are not read; an empty benchmark or empty documents give no hits or no rows.
+Scale: one pass over the corpus makes the kept hashes and the n-grams of short items' lengths and meets them at once with those
+of the items, which are broadcast only while there are no more than BROADCAST_ROWS of them (16 bytes each), else everything is
+shuffled; documents that share a popular item are rows of a join, never gathered in one task; hits are gathered by document.
+
+Defined cases: null and empty texts have no words and no hits; items without words have no window; a document is its doc_id and
+text, so rows without doc_id and rows of one doc_id with different texts are judged one by one, and repeated rows alike;
+very long texts are arrays of words in one row; an item's repeated rows are one item; extra columns are not read, so
+their names don't matter; an empty benchmark or empty documents give no hits or no rows.
 """
 
 from __future__ import annotations
@@ -72,62 +73,78 @@ def item_windows(items: DataFrame, span: int = SPAN) -> DataFrame:
     parts = []
     for n in range(1, span + 1):
         own = words.filter(F.size("w") >= span if n == span else F.size("w") == n)
-        parts.append(_windows(own, "item_id", n))
+        parts.append(_windows(own, ["item_id"], n))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.select("item_id", "n", "h", "g").distinct()
 
 
-def _windows(words: DataFrame, key: str, n: int) -> DataFrame:
-    """key, n, at, h, g: each run of n words (column w) with its place."""
+def _windows(words: DataFrame, key: list[str], n: int) -> DataFrame:
+    """The key's columns, n, at, h, g: each run of n words (column w) with its place."""
     pairs = F.arrays_zip(
         gram_hashes(_hashes(F.col("w")), n).alias("h"),
         gram_hashes(_hashes(F.col("w"), F.lit("g")), n).alias("g"),
     )
-    return words.select(key, F.posexplode(pairs).alias("at", "x")).select(key, F.lit(n).alias("n"), "at", F.col("x.h").alias("h"), F.col("x.g").alias("g"))
+    return words.select(*key, F.posexplode(pairs).alias("at", "x")).select(*key, F.lit(n).alias("n"), "at", F.col("x.h").alias("h"), F.col("x.g").alias("g"))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and two hashes of both, _a and _b, that tell documents apart, be doc_id null or repeated."""
+    own = [F.col("doc_id"), F.coalesce("text", F.lit(""))]
+    return docs.select("doc_id", "text", F.xxhash64(F.lit("a"), *own).alias("_a"), F.xxhash64(F.lit("b"), *own).alias("_b"))
 
 
 def hits(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = K) -> tuple[DataFrame, DataFrame]:
-    """(counts, found): doc_id and n_words of every document; doc_id, at, n, item_id of each window of an item in a document."""
+    """(counts, found): doc_id, key (_a, _b) and n_words of every document; key, at, n, item_id of each window of an item in one."""
     windows = kept(item_windows(items, span), "windows")
     short = sorted(r["n"] for r in windows.filter(F.col("n") < span).select("n").distinct().collect())  # less than span numbers
-    prints = kept(fingerprints(docs, "doc_id", span, k), "prints")
-    wanted = kept(fingerprints(items, "item_id", span, k).filter(F.col("n_words") >= span).select(F.explode("prints").alias("print")).distinct(), "wanted")
-    candidates = prints.select("doc_id", F.explode("prints").alias("print")).join(_sized(wanted), "print", "left_semi").select("doc_id")
-    for n in short:
-        own = windows.filter(F.col("n") == n).select("h").distinct()
-        grams = docs.select("doc_id", F.explode(F.array_distinct(gram_hashes(_hashes(item_words(F.col("text"))), n))).alias("h"))
-        candidates = candidates.unionByName(grams.join(_sized(own), "h", "left_semi").select("doc_id"))
-    candidates = kept(candidates.distinct(), "candidates")
-    words = docs.select("doc_id", "text").join(_sized(candidates), "doc_id", "left_semi").select("doc_id", item_words(F.col("text")).alias("w"))
-    if short:
-        words = kept(words, "words")
+    salted = lambda n: lambda h: F.xxhash64(h, F.lit(n))  # noqa: E731  so that lengths don't meet
+    prints = fingerprints(items, "item_id", span, k).filter(F.col("n_words") >= span).select(F.explode("prints").alias("h"))
+    wanted = prints.unionByName(windows.filter(F.col("n") < span).select(F.xxhash64("h", "n").alias("h"))).distinct()
+    wanted = kept(wanted.withColumn("_hit", F.lit(True)), "wanted")
+    hashes = lambda w: F.concat(
+        winnow(w, k, span - k + 1), *[F.transform(F.array_distinct(gram_hashes(w, n)), salted(n)) for n in short]
+    )
+    words = keyed(docs).select("doc_id", "_a", "_b", item_words(F.col("text")).alias("w"))
+    made = words.select("doc_id", "_a", "_b", F.size("w").cast("bigint").alias("n_words"), let(_hashes(F.col("w")), hashes).alias("_h"))
+    met = made.select("doc_id", "_a", "_b", "n_words", F.posexplode_outer("_h").alias("_at", "h")).join(_sized(wanted), "h", "left")
+    first = F.coalesce("_at", F.lit(0)) == 0
+    met = kept(met.filter(first | F.col("_hit")).select("doc_id", "_a", "_b", "n_words", first.alias("_first"), F.col("_hit").isNotNull().alias("_hit")), "met")
+    candidates = kept(met.filter("_hit").select("_a", "_b").distinct(), "candidates")
+    own = keyed(docs).select("_a", "_b", "text").join(_sized(candidates), ["_a", "_b"], "left_semi").dropDuplicates(["_a", "_b"])
+    own = kept(own.select("_a", "_b", item_words(F.col("text")).alias("w")), "words")
     places = None
     for n in [*short, span]:
-        part = _windows(words, "doc_id", n)
+        part = _windows(own, ["_a", "_b"], n)
         places = part if places is None else places.unionByName(part)
-    found = places.join(_sized(windows), ["n", "h", "g"]).select("doc_id", "at", "n", "item_id")
-    return prints.select("doc_id", "n_words"), found
+    found = places.join(_sized(windows), ["n", "h", "g"]).select("_a", "_b", "at", "n", "item_id")
+    return met.filter("_first").select("doc_id", "_a", "_b", "n_words"), found
 
 
 def judge(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = K, share: int = SHARE) -> DataFrame:
     """For each document: doc_id, n_words, n_hit, n_items, items_sha256 and contaminated."""
+    return judged(docs, items, span, k, share).drop("_a", "_b")
+
+
+def judged(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = K, share: int = SHARE) -> DataFrame:
+    """judge() with the documents' keys, _a and _b."""
     counts, found = hits(docs, items, span, k)
-    found = kept(found, "found")
-    spans = found.groupBy("doc_id", "at").agg(F.max("n").alias("n"))
-    before = W.partitionBy("doc_id").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    found, key = kept(found, "found"), ["_a", "_b"]
+    spans = found.groupBy(*key, "at").agg(F.max("n").alias("n"))
+    before = W.partitionBy(*key).orderBy("at").rowsBetween(W.unboundedPreceding, -1)
     end = F.col("at") + F.col("n")
-    fresh = spans.withColumn("_to", F.max(end).over(before)).select("doc_id", F.greatest(F.lit(0), end - F.greatest("at", F.coalesce("_to", F.lit(0)))).alias("fresh"))
-    covered = fresh.groupBy("doc_id").agg(F.sum("fresh").alias("n_hit"))
-    named = found.select("doc_id", F.col("item_id").cast("string").alias("item")).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    fresh = spans.withColumn("_to", F.max(end).over(before)).select(*key, F.greatest(F.lit(0), end - F.greatest("at", F.coalesce("_to", F.lit(0)))).alias("fresh"))
+    covered = fresh.groupBy(*key).agg(F.sum("fresh").alias("n_hit"))
+    named = found.select(*key, F.col("item_id").cast("string").alias("item")).distinct().groupBy(*key).agg(F.sort_array(F.collect_list("item")).alias("items"))
     none = F.array().cast("array<string>")
     return (
-        counts.join(covered, "doc_id", "left")
-        .join(named, "doc_id", "left")
-        .select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce("items", none).alias("_items"))
+        counts.join(covered, key, "left")
+        .join(named, key, "left")
+        .select("doc_id", *key, "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce("items", none).alias("_items"))
         .select(
             "doc_id",
+            *key,
             "n_words",
             "n_hit",
             F.size("_items").cast("bigint").alias("n_items"),
@@ -135,3 +152,10 @@ def judge(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = K, share
             ((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).alias("contaminated"),
         )
     )
+
+
+def clean(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = K, share: int = SHARE) -> DataFrame:
+    """The rows of docs that are not contaminated, with all their columns."""
+    bad = kept(judged(docs, items, span, k, share).filter("contaminated").select("_a", "_b").distinct(), "contaminated")
+    text = [docs["doc_id"], F.coalesce(docs["text"], F.lit(""))]
+    return docs.join(_sized(bad), (F.xxhash64(F.lit("a"), *text) == bad["_a"]) & (F.xxhash64(F.lit("b"), *text) == bad["_b"]), "left_anti")

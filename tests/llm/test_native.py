@@ -194,6 +194,21 @@ def test_decontamination_empty(spark):
     assert decontamination.judge(docs(spark, []), none).count() == 0
 
 
+def test_decontamination_of_odd_rows(spark):
+    """Documents without doc_id, repeated ones, and very long ones are judged by their own text."""
+    item = " ".join(f"i{j}" for j in range(20))
+    bench = spark.createDataFrame([(7, item), (7, item), (8, "two words"), (None, item)], "item_id bigint, text string")
+    clean = " ".join(f"c{j}" for j in range(30))
+    long_ = " ".join(f"l{j}" for j in range(30_000))
+    rows = [(None, item), (None, clean), (None, None), (1, item), (1, clean), (1, item), (2, long_ + " " + item), (3, "two words"), (4, long_ * 2)]
+    table = spark.createDataFrame([(i, t, 1, 2, 3, "h") for i, t in rows], "doc_id bigint, text string, _a int, _b int, n_words int, h string")
+    out = decontamination.judge(table, bench)
+    got = sorted((r.doc_id or 0, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in out.collect())
+    assert got == sorted([(0, 20, 20, 1, True), (0, 30, 0, 0, False), (0, 0, 0, 0, False), (1, 20, 20, 1, True), (1, 30, 0, 0, False), (1, 20, 20, 1, True), (2, 30_020, 20, 1, False), (3, 2, 2, 1, True), (4, 59_999, 0, 0, False)])
+    left = decontamination.clean(table, bench)
+    assert left.columns == table.columns and sorted((r.doc_id or 0, len(r.text or "")) for r in left.collect()) == sorted((i or 0, len(t or "")) for i, t in rows if t in (clean, None) or i in (2, 4))
+
+
 def test_winnowing_guarantee(spark):
     """Texts that share 13 words share a kept hash."""
     rng = random.Random(4)
