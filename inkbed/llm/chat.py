@@ -8,9 +8,10 @@ Scale: turns meet by pair key in one shuffle for each side and the sides by a jo
 row, as any rendering of it must.
 
 Defined cases: a null role is "unknown", a null text empty, null turns come first; turns of one number are
-ordered by role and text, repeated rows are repeated turns; a pair that lacks one side has an empty one there;
-equal conversations have all turns in the prompt and empty completions; extra columns are not read; empty tables
-give no rows.
+ordered by role and text, repeated rows are repeated turns; a null key is a key like any other; a pair that lacks one side has
+an empty one there; equal conversations have all turns in the prompt and empty completions; a pair with an empty completion
+teaches no preference and is marked as degenerate; very long texts are parts of one row; extra columns are not read, so their
+names don't matter; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -59,13 +60,14 @@ def common_turns(a: Column, b: Column) -> Column:
 
 
 def preference_pairs(chosen: DataFrame, rejected: DataFrame, key: str = "pair_id") -> DataFrame:
-    """key, n_common, prompt, chosen, rejected and the ranges chosen_loss and rejected_loss.
+    """key, n_common, prompt, chosen, rejected, the ranges chosen_loss and rejected_loss, and degenerate.
 
     Both inputs have key, turn, role and text.
     """
     none = F.array().cast("array<struct<role:string,text:string>>")
-    both = conversations(chosen, key, "_c").join(conversations(rejected, key, "_r"), key, "full")
-    both = both.select(key, F.coalesce("_c", none).alias("_c"), F.coalesce("_r", none).alias("_r"))
+    left, right = conversations(chosen, key, "_c"), conversations(rejected, key, "_r").withColumnRenamed(key, "_key")
+    both = left.join(right, left[key].eqNullSafe(right["_key"]), "full")
+    both = both.select(F.coalesce(key, "_key").alias(key), F.coalesce("_c", none).alias("_c"), F.coalesce("_r", none).alias("_r"))
     both = both.withColumn("n_common", common_turns(F.col("_c"), F.col("_r")))
     rest = lambda c: F.slice(c, F.col("n_common") + 1, F.size(c))
     both = both.select(key, "n_common", render(F.slice("_c", F.lit(1), F.col("n_common"))).alias("prompt"), rest("_c").alias("_c"), rest("_r").alias("_r"))
@@ -77,4 +79,5 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame, key: str = "pair_id
         render(F.col("_r")).alias("rejected"),
         loss_ranges(F.col("_c")).alias("chosen_loss"),
         loss_ranges(F.col("_r")).alias("rejected_loss"),
+        ((F.size("_c") == 0) | (F.size("_r") == 0)).alias("degenerate"),
     )

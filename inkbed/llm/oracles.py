@@ -4,7 +4,7 @@ from __future__ import annotations
 
 WORD = "'[^\\x20\\x09-\\x0D]+'"
 
-OP1 = f"""
+LEDGER = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {WORD}) AS w FROM documents),
 win AS (
   SELECT doc_id, i, w[i:i + 4] AS g, count(*) OVER (PARTITION BY doc_id, w[i:i + 4]) AS c
@@ -25,12 +25,20 @@ r AS (
   SELECT *, (n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT
          + 8 * (10 * n_dup_lines > 6 * n_lines)::BIGINT + 16 * (word_chars > 15 * n_words)::BIGINT
          + 32 * (2 * word_chars < 3 * n_words)::BIGINT + 64 * (2 * n_upper > word_chars)::BIGINT + 128 * (3 * n_echoes > n_words)::BIGINT AS rule_mask FROM m
-)
+)"""
+
+OP1 = f"""{LEDGER}
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
        n_repeat_words::BIGINT AS n_repeat_words, (rule_mask & 3) <> 0 AS base_failed, (rule_mask & 255) = 0 AS kept, rule_mask::BIGINT AS rule_mask
 FROM r
 """
 
+ABLATION = f"""{LEDGER},
+rules AS (SELECT unnest(['few_words', 'repeated_words', 'symbols', 'duplicate_lines', 'long_words', 'short_words', 'capitals', 'echoes']) AS rule, unnest(range(8)) AS bit)
+SELECT rule, count(*) FILTER (WHERE rule_mask >> bit & 1 = 1)::BIGINT AS n_failed, count(*) FILTER (WHERE rule_mask = 1 << bit)::BIGINT AS n_only,
+       count(*) FILTER (WHERE rule_mask IN (0, 1 << bit))::BIGINT AS n_kept_without FROM r CROSS JOIN rules GROUP BY rule
+"""
+
 OP2 = f"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, {WORD})), 0)::BIGINT AS size FROM documents),
 t AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS rank FROM d GROUP BY source),
@@ -105,8 +113,9 @@ c AS (SELECT pair_id, string_agg(head || tail, '' ORDER BY i) AS chosen,
 j AS (SELECT pair_id, string_agg(head || tail, '' ORDER BY i) AS rejected,
       string_agg((upto - length(tail))::BIGINT || '-' || upto::BIGINT, ',' ORDER BY i) FILTER (WHERE role = 'assistant') AS rejected_loss FROM rp GROUP BY pair_id)
 SELECT pair_id, n_common::BIGINT AS n_common, coalesce(prompt, '') AS prompt, coalesce(chosen, '') AS chosen, coalesce(rejected, '') AS rejected,
-       coalesce(chosen_loss, '') AS chosen_loss, coalesce(rejected_loss, '') AS rejected_loss
+       coalesce(chosen_loss, '') AS chosen_loss, coalesce(rejected_loss, '') AS rejected_loss,
+       coalesce(chosen, '') = '' OR coalesce(rejected, '') = '' AS degenerate
 FROM n LEFT JOIN p USING (pair_id) LEFT JOIN c USING (pair_id) LEFT JOIN j USING (pair_id)
 """
 
-ORACLES = {"op1_quality": OP1, "op2_mixing": OP2, "op7_decontamination": OP7, "op8_chat": OP8}
+ORACLES = {"op1_quality": OP1, "quality_ablation": ABLATION, "op2_mixing": OP2, "op7_decontamination": OP7, "op8_chat": OP8}

@@ -5,7 +5,8 @@ measurements, so that policies (versioned sets of bits) and ablations are bitwis
 never touch the texts again.
 
 Defined cases: a null or empty text has no words and fails ``few_words``; nulls in other columns don't
-matter; repeated rows give repeated rows; extra columns are not carried; an empty table gives an empty one.
+matter; a very long text is an array of words in one row; repeated rows give repeated rows, with the same bits; extra columns
+are not carried, so their names don't matter; an empty table gives an empty ledger, and an ablation of zeros.
 """
 
 from __future__ import annotations

@@ -17,6 +17,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule_mask")
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy does, from the ledger's bits: documents that fail it, that fail only it, and that stay without it."""
+    return quality.ablation(quality.ledger(_table(spark, sf_dir, "documents")))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -47,11 +52,15 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chosen: the conversation.  Rejected: the same up to its last assistant turn, which says what its first one said."""
+    """Chosen: the conversation.  Rejected: the same up to its last assistant turn, which says what its first one said.
+
+    There is no table of preferences, so pairs are made; those of conversations with fewer than two different assistant turns are
+    marked as degenerate.
+    """
     turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
-    said = turns.filter("role = 'assistant'").groupBy("pair_id").agg(F.max("turn").alias("_last"), F.min_by("text", "turn").alias("_first"))
+    said = turns.filter("role = 'assistant'").groupBy(F.col("pair_id").alias("_id")).agg(F.max("turn").alias("_last"), F.min_by("text", "turn").alias("_first"))
     rejected = (
-        turns.join(said, "pair_id")
+        turns.join(said, turns["pair_id"].eqNullSafe(said["_id"]))
         .filter("turn <= _last")
         .select("pair_id", "turn", "role", F.when(F.col("turn") == F.col("_last"), F.col("_first")).otherwise(F.col("text")).alias("text"))
     )
@@ -78,6 +87,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "quality_ablation": quality_ablation,
     "op2_mixing": op2_mixing,
     "op3_toxicity": op3_toxicity,
     "op4_suffixes": op4_suffixes,

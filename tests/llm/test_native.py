@@ -62,7 +62,20 @@ def test_quality_empty_and_ablation(spark):
     assert quality.apply_policy(quality.ledger(docs(spark, []))).count() == 0
     rows = quality.apply_policy(quality.ledger(docs(spark, ["word " * 3, " ".join(f"w{i}" for i in range(40))])))
     out = {r.rule: (r.n_failed, r.n_only, r.n_kept_without) for r in quality.ablation(rows).collect()}
-    assert out["few_words"] == (1, 1, 2) and out["symbols"] == (0, 0, 1)
+    assert out["few_words"] == (1, 0, 1) and out["symbols"] == (0, 0, 1)  # echoes fail it, too
+    rows = quality.apply_policy(quality.ledger(docs(spark, [" ".join("abc"), " ".join(f"w{i}" for i in range(40))])))
+    out = {r.rule: (r.n_failed, r.n_only, r.n_kept_without) for r in quality.ablation(rows).collect()}
+    assert out["few_words"] == (1, 0, 1) and out["short_words"] == (1, 0, 1)
+    rows = quality.apply_policy(quality.ledger(docs(spark, ["one two three", " ".join(f"w{i}" for i in range(40))])))
+    out = {r.rule: (r.n_failed, r.n_only, r.n_kept_without) for r in quality.ablation(rows).collect()}
+    assert out["few_words"] == (1, 1, 2) and out["echoes"] == (0, 0, 1)
+
+
+def test_quality_of_odd_rows(spark):
+    long_ = " ".join(f"w{i}" for i in range(60_000))
+    rows = docs(spark, [long_, "a b", "a b"]).withColumn("doc_id", F.lit(None).cast("bigint")).withColumns({c: F.lit(1) for c in ("n_words", "words", "m", "rule_mask", "kept")})
+    out = quality.apply_policy(quality.ledger(rows)).collect()
+    assert sorted((r.n_words, r.n_repeat_words, r.base_failed) for r in out) == [(2, 0, True), (2, 0, True), (60_000, 0, False)]
 
 
 def fill(sizes, weights, most):
@@ -230,5 +243,11 @@ def test_chat_edges(spark):
     assert out[2].n_common == 1 and out[2].chosen == "" == out[2].rejected and out[2].prompt == "<|unknown|>\n<|end|>\n"
     assert out[3].rejected == "" and out[3].chosen_loss == [] and out[4].chosen == ""
     assert out[5].chosen.index("a<") < out[5].chosen.index("b<")
+    assert [out[i].degenerate for i in (1, 2, 3, 4)] == [False, True, True, True]
+    null = lambda rows: spark.createDataFrame([(None, *r, 7) for r in rows], schema).withColumns({c: F.lit(1) for c in ("_c", "_r", "_key", "prompt", "n_common")})
+    long_ = "x" * 500_000
+    pair = chat.preference_pairs(null([(0, "user", "q"), (1, "assistant", long_)]), null([(0, "user", "q"), (1, "assistant", "b"), (1, "assistant", "b")])).collect()
+    assert [(r.pair_id, r.n_common, r.degenerate, len(r.chosen)) for r in pair] == [(None, 1, False, 500_000 + len("<|assistant|>\n<|end|>\n"))]
+    assert pair[0].rejected.count("b<") == 2
     empty = spark.createDataFrame([], schema)
     assert chat.preference_pairs(empty, empty).count() == 0
