@@ -45,6 +45,9 @@ def test_codewords_are_apart():
         code = langid.codewords(n)
         apart = (code.shape[1] - code @ code.T) / 2 + np.eye(n) * 99
         assert len(code) == n and apart.min() >= 1
+    for n in (40, 120, 300):  # a wrong bit or two of many languages is made good
+        code = langid.codewords(n)
+        assert ((code.shape[1] - code @ code.T) / 2 + np.eye(n) * 99).min() >= 5
 
 
 def test_language_held_out(spark, sf_dir):
@@ -66,6 +69,14 @@ def test_language_edges(spark):
     one = langid.fit(rows.filter("lang = 'en'"))
     assert {r.lang_pred for r in langid.predict(rows, one).collect()} == {"en", "und"}
     assert langid.predict(rows.limit(0), model).count() == 0
+    clash = rows.withColumns({c: F.lit(3) for c in ("lang_pred", "score", "ambiguous", "_found", "texts")})
+    out = langid.predict(clash.unionByName(clash), model, ("doc_id", "_text")).collect()
+    assert len(out) == 14 and len({(r.doc_id, r.lang_pred, r.score, r._text) for r in out}) == 7
+    left = rows.filter(langid.language_of(rows, model) != "und")
+    assert left.columns == rows.columns and sorted(r.doc_id for r in left.collect()) == [0, 1, 5, 6]
+    same = langid.fit(docs(spark, [("one text", "en"), ("one text", "de")]))
+    tie = langid.predict(docs(spark, ["one text", "the cat " * 200_000]), same).collect()
+    assert tie[0].lang_pred == "de" and tie[0].ambiguous and len(tie) == 2
 
 
 SYLLABLES = ["an", "the", "or", "ing", "re", "th", "er", "on"]
@@ -157,10 +168,34 @@ def test_tokens_equal_the_library(spark, tokenizer):
         t = texts[r.doc_id] or ""
         assert (r.n_bytes, r.n_tokens) == (len(t.encode()), len(library.encode(t, add_special_tokens=False))), t
     assert tokencount.count_tokens(rows.limit(0), tokenizer).count() == 0
+    odd = spark.createDataFrame([(None, "a b", "x"), (1, "a b", "x"), (1, "a b", "x"), (2, "ab " * 300_000, "y"), (3, "z" * 60_000, "y")], "doc_id bigint, text string, _text string")
+    out = sorted((r.doc_id or 0, r.n_tokens) for r in tokencount.count_tokens(odd, tokenizer).collect())
+    size = lambda t: len(library.encode(t, add_special_tokens=False))
+    assert out == [(0, 2), (1, 2), (1, 2), (2, size("ab " * 300_000)), (3, size("z" * 60_000))]
+
+
+def test_tokens_on_the_table(spark, sf_dir, tokenizer):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer)
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    for r in queries.op9_tokencount(spark, sf_dir).collect():
+        assert r.n_tokens == len(library.encode(texts[r.doc_id], add_special_tokens=False)) and r.n_bytes == len(texts[r.doc_id].encode())
+
+
+def test_other_tokenizers_are_refused(tmp_path, tokenizer):
+    import json
+
+    told = json.load(open(tokenizer))
+    told["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "t.json").write_text(json.dumps(told))
+    with pytest.raises(ValueError, match="pre-tokenizer"):
+        tokencount._loaded(str(tmp_path / "t.json"))
 
 
 def test_cache_is_bounded(tokenizer):
     lengths = tokencount.Lengths(tokencount._loaded(tokenizer)[0].encode, {}, most=3)
+    assert lengths["x" * 1000] and not lengths.seen
     assert [lengths[f"w{i}"] for i in range(10)] and len(lengths.seen) <= 3
 
 
