@@ -23,11 +23,8 @@ def _holding(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any text in a language go."""
-    learned = docs.filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
-    others = [c for c in docs.columns if c != "text"]  # as one column, so that no name can clash with a result's
-    rows = docs.select("text", F.struct(*others).alias("_others"))
-    found = langid.predict(rows, langid.fit(learned), ("text", "_others")).filter(F.col("lang_pred") != langid.UNKNOWN)
-    return found.select(*["text" if c == "text" else F.col("_others")[c].alias(c) for c in docs.columns])
+    found = langid.language_of(docs, langid.fit(docs.filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)))
+    return docs.filter(found != langid.UNKNOWN)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
