@@ -8,19 +8,21 @@ range of the archive, without extraction.
 Of records with equal payloads of at least ``least`` bytes the one with the smallest page_id is a response, the others
 are revisits that refer to it and carry its digest and length but no payload.
 
-Scale: digests meet in a shuffle of small rows (pre-aggregated, so a payload that a third of all pages share is a row
-for each task), pages meet their role in one shuffle, each task writes archives of bounded size under names of its
-own and hands on only their paths; a lost executor's archives are written again and the old ones are referred to by
-nothing.
-
-Defined cases: a null html is an empty payload, a null url is empty; of rows with equal payload and equal smallest page_id all
-are responses; a null page_id comes after all others; extra columns are not read; an empty table writes no archive.
+Scale: digests are made in the JVM and meet in a shuffle of small rows (pre-aggregated, so a payload that a third of all pages
+share is a row for each task), pages meet their role in one shuffle, each task writes archives of bounded size under names of
+its own and hands on only their paths; archives are read by as many tasks as there are archives, READERS at most; a lost
+executor's archives are written again and the old ones are referred to by nothing.
+
+Defined cases: a null html is an empty payload, a null url is empty; a very long html is one record, in an archive that ends with
+it; of rows with equal payload and equal smallest page_id all are responses; a null page_id comes after all others; extra
+columns are not read, so their names don't matter; an empty table writes no archive.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import json
 import struct
 import uuid
@@ -33,10 +35,12 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import kept, shared_folder
+from .tables import kept, shared_folder, short_batches
 
 #: Bytes of records after which a task begins another archive.
 ARCHIVE_BYTES = 64 << 20
+#: The most tasks that read archives.
+READERS = 100_000
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: A revisit's profile and the date of all records, so that reruns write the same bytes.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -214,41 +218,25 @@ def write_archive(stream, rows: Iterator[tuple], most: int = ARCHIVE_BYTES) -> i
 
 # --- over tables
 
-_HASHED = "page_id bigint, url string, html string, digest string"
-
-
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        digests = [payload_digest((x.as_py() or "").encode()) for x in batch.column("html")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "html")), pa.array(digests, pa.string())], ["page_id", "url", "html", "digest"])
-
-
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        raw = [(x.as_py() or "").encode() for x in batch.column("html")]
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(map(payload_digest, raw), pa.string()), pa.array(map(len, raw), pa.int64())], ["page_id", "digest", "size"])
-
-
-def write(pages: DataFrame, folder: str | None = None, least: int = 0) -> DataFrame:
+def write(pages: DataFrame, folder: str | None = None, least: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes page_id, url and html of all pages to archives in a shared folder; returns their path and number of records."""
+    short_batches(pages.sparkSession)
     folder = folder or f"{shared_folder(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    pages = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html")
-    sums = pages.select("page_id", "html").mapInArrow(_digests, "page_id bigint, digest string, size bigint")
-    roles = kept(sums.distinct(), "digests")
+    digest = F.sha1(F.coalesce("html", F.lit(""))).alias("digest")  # hexadecimal here, base 32 in the records
+    whole = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html", digest)
+    roles = kept(whole.select("page_id", "digest", F.coalesce(F.octet_length("html"), F.lit(0)).alias("size")).distinct(), "digests")
     first = roles.groupBy("digest").agg(F.min("page_id").alias("first"))
     roles = roles.join(first, "digest").select(
         F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "first", ((F.col("size") >= least) & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("revisit")
     )
-    whole = pages.mapInArrow(_hashed, _HASHED)
     dealt = whole.join(roles, whole["page_id"].eqNullSafe(roles["_page"]) & (whole["digest"] == roles["_digest"])).select("page_id", "url", "html", "digest", "first", "revisit")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for batch in batches:
                 for page, url, html, digest, first_, revisit in zip(*(batch.column(i) for i in range(6)), strict=True):
-                    yield page.as_py(), url.as_py() or "", (html.as_py() or "").encode(), digest.as_py(), first_.as_py(), revisit.as_py()
-
-        import itertools
+                    own = base64.b32encode(bytes.fromhex(digest.as_py())).decode()
+                    yield page.as_py(), url.as_py() or "", (html.as_py() or "").encode(), own, first_.as_py(), revisit.as_py()
 
         left = rows()
         while (one := next(left, None)) is not None:
@@ -256,7 +244,7 @@ def write(pages: DataFrame, folder: str | None = None, least: int = 0) -> DataFr
             system, inner = file_system(path)
             system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
             with system.open_output_stream(inner) as stream:
-                n = write_archive(stream, itertools.chain([one], left))
+                n = write_archive(stream, itertools.chain([one], left), archive_bytes)
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], ["path", "records"])
 
     return kept(dealt.mapInArrow(task, "path string, records bigint"), "archives")
@@ -283,5 +271,6 @@ def read(archives: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in part], k) for c, k in zip(names, kinds, strict=True)], names)
 
     schema = "page_id bigint, url string, record_type string, payload binary, payload_bytes bigint, payload_digest string, refers_to bigint"
-    spread = archives.select("path").distinct().repartition("path")
+    paths = archives.select("path").distinct()
+    spread = paths.repartition(max(1, min(READERS, paths.count())))  # a number, so that small rows aren't gathered in one task
     return spread.mapInArrow(task, schema)

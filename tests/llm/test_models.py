@@ -217,6 +217,28 @@ def test_archive_round_trip(spark):
     assert warc.write(pages.limit(0)).count() == 0
 
 
+def test_many_archives_are_read_by_many_tasks(spark):
+    rng = random.Random(9)
+    rows = [(i, f"u{i}", "".join(rng.choice("abcdefgh") for _ in range(3000)), i) for i in range(200)] + [(500, "v", "x" * 3_000_000, 0)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, digest int").withColumns({c: F.lit(0) for c in ("path", "records", "first", "size", "payload")})
+    archives = warc.write(pages, archive_bytes=20_000)
+    assert archives.count() >= 8 and archives.agg(F.sum("records")).first()[0] == 201
+    got = warc.read(archives).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(r.page_id for r in got) == sorted(r[0] for r in rows) and len({r.task for r in got}) >= 4
+    assert {r.page_id: r.payload_bytes for r in got}[500] == 3_000_000
+
+
+def test_archives_of_the_table(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
+    first = {}
+    for r in sorted(pages, key=lambda r: r.page_id):
+        first.setdefault(r.html or "", r.page_id)
+    for r in queries.op5_warc(spark, sf_dir).collect():
+        html = next(p.html or "" for p in pages if p.page_id == r.page_id)
+        assert (r.payload_bytes, r.payload_digest) == (len(html.encode()), base64.b32encode(hashlib.sha1(html.encode()).digest()).decode())
+        assert (r.record_type, r.refers_to) == (("response", None) if first[html] == r.page_id else ("revisit", first[html]))
+
+
 def test_repeated_rows_are_both_responses(spark):
     pages = spark.createDataFrame([(1, "u", "a"), (1, "u", "a"), (None, "u", "a")], "page_id bigint, url string, html string")
     got = sorted((r.page_id or 0, r.record_type, r.refers_to) for r in warc.read(warc.write(pages)).collect())
