@@ -1,28 +1,29 @@
 """Removal of repeated byte strings: a depth-limited radix sort of suffixes.
 
-Suffixes are ordered only through ``depth`` bytes and only as far as it takes to tell equal groups, which are exactly
-the repeated windows of that length.  The sort goes digit by digit, most significant first, and each pass sends on
-only what shares its digit with something else:
-
-1. First digit: the anchor.  A window's anchor is its least hashed k-gram.  Equal windows have equal anchors at equal
-   places, so windows whose anchor is nowhere else repeated are unique and gone.  Neighbouring windows share their
-   anchor; they travel as one run.
-2. Second digit: the whole run.  Runs of equal bytes hold the same windows; all but the earliest of equal runs are
-   repeated throughout.
-3. Third digit: the core.  Of the runs that share an anchor but are not equal as a whole (at the edges of a repeated
-   passage, or around a common line), windows by thirds of the anchor's places have bytes in common, 78 of 100; only
-   thirds whose core some other run has are sent on.
-4. Last digit: the window itself.
-
-Hashes are 64 bits each and used in independent pairs (128 bits) wherever they decide.
-
-Scale: one row for about 24 bytes of text is shuffled, by the anchor's hash.  Before that each task removes the repeats
-that it sees itself, so a passage that a third of all documents share has a row for each batch and not for each
-document.  Text is shuffled once; the runs at edges and, in the end, the spans meet it in the same partitions.
-
-Defined cases: null texts are empty; texts shorter than the depth lose nothing; documents without doc_id lose nothing and
-make no other lose anything; rows repeated with the same doc_id are one document and get the same result; extra columns are
-not read; an empty table gives an empty one.
+Suffixes are ordered by their bytes through ``depth`` and no further, most significant digit first: passes over digits of
+eight bytes, at depth 0, 8, 16 and so on, each of which sends on only the groups of two or more.  What is still together
+after the last digit are exactly the repeated windows; all but the earliest of a group are removed.  Bytes decide, not hashes.
+
+Suffixes come to the sort in buckets, and neighbours travel together:
+
+1. Sampling.  A window's anchor is its least hashed k-gram.  Equal windows have equal anchors at equal places, so windows whose
+   anchor is nowhere else are single and gone before the sort.  Neighbouring windows with one anchor are a run, a row of some
+   numbers.  A task first takes out runs that are equal to an earlier one of its own (by two 64-bit hashes).
+2. Dealing.  The bytes of the runs that are left are packed by bucket, the hash of what all their windows have in common: at
+   first the anchor.
+3. Buckets that are too large for one task, such as that of a line that a third of all documents hold in different
+   surroundings, are dealt again by longer common parts: a run is cut into thirds of the places that an anchor can have, ninths,
+   and so on, down to single windows, whose bucket is that of their whole bytes and needs no more room than its distinct ones.
+4. Sorting, as above, bucket by bucket.  Whole runs are sorted first, so that the windows of equal runs are sorted once.
+
+Scale: one row for about 24 bytes of text is shuffled in step 1, and a task sends one row for each anchor and FLUSH_BYTES of text
+at most; runs that it knows to share an anchor are spread over all tasks.  Packed bytes are compressed.  Text is shuffled twice,
+to meet its runs and its spans.  No step gathers more than MOST_BYTES of a bucket.
+
+Defined cases: null texts are empty; texts shorter than the depth lose nothing; very long texts are read in overlapping
+pieces; documents without doc_id lose nothing and make no other lose anything; rows repeated with the same doc_id are one
+document and get the same result; of strings that start at the same place of the same document all are the earliest; extra
+columns are not read and may have any name; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -37,13 +38,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .buffers import each_slice, mixed, span_hash
-from .tables import kept
+from .tables import discard, drop_shuffles, kept, short_batches
 
-DEPTH, GRAM = 100, 32
-#: Bytes of text after which a task removes the repeats that it has seen and sends the rest on.
-FLUSH_BYTES = 16 << 20
-#: Bits of a row's place for its windows and its anchor, and the anchor that marks a span of kind "covered".
-PLACE_BITS, COVERED = 12, (1 << 12) - 1
+DEPTH, GRAM, DIGIT = 100, 32, 8
+#: Bytes of text, and of runs, after which a task sends on what it has.
+FLUSH_BYTES, PACK_BYTES = 16 << 20, 8 << 20
+#: Bytes of runs in a bucket: so many on average, and at most in one task at a time.
+BUCKET_BYTES, MOST_BYTES = 1 << 20, 4 << 20
+#: Bytes of a very long text that are read at once.
+PIECE = 1 << 20
+#: Bits of a row's place for its windows and its anchor, and the anchors that mark a span that is covered and a mere mark.
+PLACE_BITS, COVERED, MARK = 12, (1 << 12) - 1, (1 << 12) - 2
 
 
 def leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -60,17 +65,27 @@ def leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
     return at[:n]
 
 
+def pieces(column: pa.Array, overlap: int, size: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(texts, bases, bytes, offsets) of slices; a very long text comes in pieces that overlap, each with its place in the text."""
+    for lo, hi, data, offsets in each_slice(column, size):
+        if hi - lo > 1 or len(data) <= 2 * size:
+            yield np.arange(lo, hi), np.zeros(hi - lo, np.int64), data, offsets
+        else:
+            for at in range(0, max(1, len(data) - overlap), size):
+                part = data[at : at + size + overlap]
+                yield np.array([lo]), np.array([at]), part, np.array([0, len(part)])
+
+
 def runs(data: np.ndarray, offsets: np.ndarray, depth: int = DEPTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(text, lo, hi, anchor, run, off, cores): windows lo..hi (both in) of a text that share an anchor.
+    """(text, lo, hi, anchor, run, off): windows lo..hi (both in) of a text that share an anchor.
 
-    anchor and run are the hashes of the anchor and of all bytes of the windows, off is the anchor's place after lo, and cores
-    has 21 bits of the hash of each third's core.  Places are relative to the text.
+    anchor and run are the hashes of the anchor and of all bytes of the windows, off is the anchor's place after lo.  Places are
+    relative to the text.
     """
     grams = mixed(span_hash(1).windows(span_hash(1).prefix(data), gram))
     least = leftmost_least(grams, depth - gram + 1)
     if not len(least):
-        none = np.zeros(0, np.int64)
-        return none, none, none, none, none, none, none
+        return (np.zeros(0, np.int64),) * 6
     lengths = np.diff(offsets)
     text = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)[: len(least)]
     place = np.arange(len(least))
@@ -81,23 +96,9 @@ def runs(data: np.ndarray, offsets: np.ndarray, depth: int = DEPTH, gram: int =
     last[:-1] &= new[1:] | ~valid[1:]
     lo, hi = np.flatnonzero(new), np.flatnonzero(last)
     whole = span_hash(2)
-    sums = whole.prefix(data)
-    run = mixed(whole.spans(sums, lo, hi + depth) + (least[lo] - lo).astype(np.uint64))
-    anchor = least[lo].astype(np.int64)
-    cores = np.zeros(len(lo), np.uint64)
-    for i, (near, far) in enumerate(thirds(depth, gram)):
-        inside = (anchor - lo >= near) & (anchor - hi <= far)
-        begin, end = anchor[inside] - near, anchor[inside] - far + depth
-        cores[inside] |= (mixed(whole.spans(sums, begin, end)) >> np.uint64(43)) << np.uint64(21 * i)
+    run = mixed(whole.spans(whole.prefix(data), lo, hi + depth) + (least[lo] - lo).astype(np.uint64))
     base = offsets[text[lo]]
-    return text[lo].astype(np.int64), lo - base, hi - base, grams[least[lo]].view(np.int64), run.view(np.int64), anchor - lo, cores.view(np.int64)
-
-
-def thirds(depth: int, gram: int) -> list[tuple[int, int]]:
-    """Ranges (both ends in) of the places that an anchor can have in a window."""
-    n = depth - gram + 1
-    cuts = [n * i // 3 for i in range(4)]
-    return [(a, b - 1) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
+    return text[lo].astype(np.int64), lo - base, hi - base, grams[least[lo]].view(np.int64), run.view(np.int64), least[lo].astype(np.int64) - lo
 
 
 def _repeated(key: np.ndarray, doc: np.ndarray, lo: np.ndarray) -> np.ndarray:
@@ -131,25 +132,39 @@ def _merged(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray
     return doc[begin], lo[begin], reach[np.append(begin[1:], len(doc)) - 1]
 
 
-_RUN = "anchor bigint, run bigint, doc_id bigint, place bigint, cores bigint"
+_RUN = "deal bigint, doc_id bigint, place bigint, more bigint"
 
 
-def _rows(anchor, run, doc, place, cores) -> pa.RecordBatch:
-    """place is lo, the windows after it and the anchor's offset in one number; a covered span has its end as run."""
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (anchor, run, doc, place, cores)], ["anchor", "run", "doc_id", "place", "cores"])
+def _rows(deal, doc, place, more) -> pa.RecordBatch:
+    """place is lo, the windows after it and the anchor's place in one number; more is a covered span's end, or 1 for a sure run."""
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (deal, doc, place, more)], ["deal", "doc_id", "place", "more"])
+
+
+def _anywhere(doc: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    return mixed((doc * np.int64(0x9E3779B1) + lo).view(np.uint64)).view(np.int64)
 
 
 def _sent(parts: list[tuple[np.ndarray, ...]], depth: int) -> Iterator[pa.RecordBatch]:
-    """Rows to compare with those of other tasks, and rows of spans that are repeats for certain."""
+    """Runs to meet those of other tasks by their anchor, runs that share one here already, and spans that are repeats for certain."""
     if not parts:
         return
-    anchor, run, doc, lo, hi, off, cores = (np.concatenate(x) for x in zip(*parts, strict=True))
-    old = _repeated(run ^ (anchor * np.int64(0x61C88647)), doc, lo)
+    anchor, run, doc, lo, hi, off = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((run, anchor))
+    key = np.empty(len(order), np.int64)  # a number for each pair of anchor and run
+    key[order] = np.cumsum(np.concatenate([[0], (anchor[order][1:] != anchor[order][:-1]) | (run[order][1:] != run[order][:-1])]))
+    old = _repeated(key, doc, lo)
     place = (lo << 2 * PLACE_BITS) | ((hi - lo) << PLACE_BITS) | off
-    yield _rows(*(x[~old] for x in (anchor, run, doc, place, cores)))
     d, a, b = _merged(doc[old], lo[old], hi[old] + depth)
     if len(d):
-        yield _rows(mixed((d * np.int64(0x9E3779B1) + a).view(np.uint64)).view(np.int64), b, d, (a << 2 * PLACE_BITS) | COVERED, np.zeros(len(d)))
+        yield _rows(_anywhere(d, a), d, (a << 2 * PLACE_BITS) | COVERED, b)
+    _, at, many = np.unique(anchor[~old], return_inverse=True, return_counts=True)
+    sure = many[at] > 1
+    left = [x[~old] for x in (anchor, doc, place, lo)]
+    yield _rows(*(x[~sure] for x in left[:3]), np.zeros(int((~sure).sum())))
+    if sure.any():
+        yield _rows(_anywhere(left[1][sure], left[3][sure]), left[1][sure], left[2][sure], np.ones(int(sure.sum())))
+        marks = np.unique(left[0][sure])
+        yield _rows(marks, np.zeros(len(marks)), np.full(len(marks), MARK), np.zeros(len(marks)))
 
 
 def _runs_of(depth: int, gram: int):
@@ -157,9 +172,9 @@ def _runs_of(depth: int, gram: int):
         parts, size = [], 0
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for lo, hi, data, offsets in each_slice(batch.column("text")):
-                text, a, b, anchor, run, off, cores = runs(data, offsets, depth, gram)
-                parts.append((anchor, run, ids[lo:hi][text], a, b, off, cores))
+            for texts, bases, data, offsets in pieces(batch.column("text"), depth - 1):
+                text, a, b, anchor, run, off = runs(data, offsets, depth, gram)
+                parts.append((anchor, run, ids[texts[text]], a + bases[text], b + bases[text], off))
                 size += len(data)
                 if size >= FLUSH_BYTES:
                     yield from _sent(parts, depth)
@@ -169,86 +184,265 @@ def _runs_of(depth: int, gram: int):
     return task
 
 
-def _windows_of(depth: int):
-    """Each window of the runs at edges, as a run of its own."""
+# --- buckets of packed runs
+
+_PACK = "bucket bigint, size bigint, runs binary"
+
+
+class Runs:
+    """Windows lo to lo + n - 1 of doc for each run, the anchor's place after lo, and the bytes of all windows."""
+
+    def __init__(self, doc: np.ndarray, lo: np.ndarray, n: np.ndarray, off: np.ndarray, data: np.ndarray, depth: int) -> None:
+        self.doc, self.lo, self.n, self.off, self.data, self.depth = doc, lo, n, off, data, depth
+        self.ends = np.cumsum(n + depth - 1)
+        self.starts = self.ends - (n + depth - 1)
+
+    def take(self, at: np.ndarray, first: np.ndarray | int = 0, n: np.ndarray | None = None) -> Runs:
+        """Of the runs at some places the n windows from the first on (all by default)."""
+        n = self.n[at] if n is None else n
+        data = self.data[_ranges(self.starts[at] + first, n + self.depth - 1)]
+        return Runs(self.doc[at], self.lo[at] + first, n, self.off[at] - first, data, self.depth)
+
+    def cells(self, width: int) -> tuple[Runs, np.ndarray]:
+        """The runs cut by cells of ``width`` places of the anchor, and the hash of what all windows of a cell have in common."""
+        far = self.off // width  # windows come in falling order of the anchor's place
+        parts = far - (self.off - self.n + 1) // width + 1
+        at = np.repeat(np.arange(len(self.n)), parts)
+        cell = far[at] - (np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts))
+        high = np.minimum(self.off[at], (cell + 1) * width - 1)
+        low = np.maximum(self.off[at] - self.n[at] + 1, cell * width)
+        anchor = self.starts[at] + self.off[at]
+        h = span_hash(2)
+        core = h.spans(h.prefix(self.data), anchor - cell * width, anchor - (cell + 1) * width + 1 + self.depth)
+        return self.take(at, self.off[at] - high, high - low + 1), mixed(core + cell.astype(np.uint64))
+
+    def pack(self) -> bytes:
+        numbers = [np.array([len(self.n)], np.int64), self.doc.astype(np.int64), self.lo.astype(np.int64), self.n.astype(np.int16), self.off.astype(np.int16)]
+        return b"".join([*(x.tobytes() for x in numbers), self.data.tobytes()])
+
+    @staticmethod
+    def unpack(raw: bytes, depth: int) -> Runs:
+        (k,) = np.frombuffer(raw, np.int64, 1)
+        doc, lo = np.frombuffer(raw, np.int64, 2 * k, 8).reshape(2, k)
+        n, off = np.frombuffer(raw, np.int16, 2 * k, 8 + 16 * k).reshape(2, k).astype(np.int64)
+        return Runs(doc, lo, n, off, np.frombuffer(raw, np.uint8, offset=8 + 20 * k), depth)
+
+    @staticmethod
+    def joined(parts: list[Runs]) -> Runs:
+        return Runs(*(np.concatenate([getattr(p, x) for p in parts]) for x in ("doc", "lo", "n", "off", "data")), parts[0].depth)
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All places of ranges, one after another."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def widths(depth: int, gram: int) -> list[int]:
+    """Widths of cells by level: all places that an anchor can have in a window, a third of them, and so on down to one."""
+    n, out = depth - gram + 1, [depth - gram + 1]
+    while out[-1] > 1:
+        out.append(-(-out[-1] // 3))
+    return out if n > 1 else [1]
+
+
+class _Packer:
+    """Gathers runs with their buckets and makes rows of them."""
+
+    def __init__(self, buckets: int, width: int) -> None:
+        self.buckets, self.width, self.parts, self.keys, self.size = buckets, width, [], [], 0
+
+    def add(self, found: Runs) -> Iterator[pa.RecordBatch]:
+        cut, key = found.cells(self.width)
+        self.parts.append(cut)
+        self.keys.append((key % np.uint64(self.buckets)).astype(np.int64))
+        self.size += len(cut.data)
+        if self.size >= PACK_BYTES:
+            yield from self.rows()
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if not self.parts:
+            return
+        whole, key = Runs.joined(self.parts), np.concatenate(self.keys)
+        self.parts, self.keys, self.size = [], [], 0
+        order = np.argsort(key, kind="stable")
+        edges = np.flatnonzero(np.diff(key[order])) + 1
+        codec, out = pa.Codec("zstd", 1), []
+        for at in np.split(order, edges):
+            raw = whole.take(at).pack()
+            out.append((int(key[at[0]]), len(raw), codec.compress(raw, asbytes=True)))
+            if len(out) == 1000:
+                yield pa.RecordBatch.from_pylist([dict(zip(("bucket", "size", "runs"), x, strict=True)) for x in out], _PACK_SCHEMA)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_pylist([dict(zip(("bucket", "size", "runs"), x, strict=True)) for x in out], _PACK_SCHEMA)
+
+
+_PACK_SCHEMA = pa.schema([("bucket", pa.int64()), ("size", pa.int64()), ("runs", pa.binary())])
+
+
+def _packed(depth: int, buckets: int, width: int):
+    """Packs the runs (column _runs) of texts."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = span_hash(1), span_hash(2)
-        parts, size = [], 0
+        packer = _Packer(buckets, width)
         for batch in batches:
-            spans = batch.column("_spans")
-            for i, (doc, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True)):
-                if not spans[i].is_valid:
-                    continue
+            for doc, text, found in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("_runs"), strict=True):
                 raw = np.frombuffer((text.as_py() or "").encode(), np.uint8)
-                lo, hi = (np.array(x, np.int64) for x in zip(*((s["lo"], s["hi"]) for s in spans[i].as_py()), strict=True))
-                hi = np.minimum(hi, len(raw) - depth)
-                lo, n = lo[hi >= lo], (hi - lo + 1)[hi >= lo]
-                at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                a, b = (mixed(h.spans(h.prefix(raw), at, at + depth)).view(np.int64) for h in (one, two))
-                none = np.zeros(len(at), np.int64)
-                parts.append((a, b, np.full(len(at), doc), at, at, none, none))
-                size += 24 * len(at)
-                if size >= FLUSH_BYTES:
-                    yield from _sent(parts, depth)
-                    parts, size = [], 0
-        yield from _sent(parts, depth)
+                lo, hi, off = (found.values.field(i).to_numpy() for i in range(3))
+                n = np.minimum(hi, len(raw) - depth) - lo + 1
+                lo, n, off = lo[n > 0], n[n > 0], off[n > 0]
+                for i in range(0, len(lo), PIECE // (2 * depth)):  # about a piece's bytes at once
+                    part = slice(i, i + PIECE // (2 * depth))
+                    data = raw[_ranges(lo[part], n[part] + depth - 1)]
+                    yield from packer.add(Runs(np.full(len(lo[part]), doc), lo[part], n[part], off[part], data, depth))
+        yield from packer.rows()
 
     return task
 
 
-def _placed(rows: DataFrame) -> DataFrame:
-    """Adds lo, hi, off and covered, so far by the tasks alone."""
-    width = F.shiftright("place", PLACE_BITS).bitwiseAND(F.lit(COVERED))
-    rows = rows.withColumn("off", F.col("place").bitwiseAND(F.lit(COVERED))).withColumn("lo", F.shiftright("place", 2 * PLACE_BITS))
-    return rows.withColumn("covered", F.col("off") == COVERED).withColumn("hi", F.when(F.col("covered"), F.col("run")).otherwise(F.col("lo") + width))
+def _dealt_again(depth: int, buckets: int, width: int):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = _Packer(buckets, width)
+        for batch in batches:
+            for size, raw in zip(batch.column("size").to_pylist(), batch.column("runs"), strict=True):
+                yield from packer.add(Runs.unpack(pa.Codec("zstd").decompress(raw.as_py(), size, asbytes=True), depth))
+        yield from packer.rows()
+
+    return task
+
+
+# --- sorting
+
+
+def equal_groups(data: np.ndarray, at: np.ndarray, group: np.ndarray, length: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """(places in at, group): the strings at some places of equal first group and equal bytes through their length.
+
+    Passes over digits of eight bytes, most significant first; each drops the strings that are alone.  Strings of one first group
+    have one length, which is given for each string or once for all.
+    """
+    left = np.argsort(group, kind="stable")
+    group = group[left]
+    length = np.broadcast_to(length, len(at))
+    padded = np.concatenate([data, np.zeros(DIGIT, np.uint8)])
+    digits = np.ndarray((len(data) + 1,), ">u8", padded, strides=(1,))  # the digit at each place
+    depth = 0
+    while True:
+        same = group[1:] == group[:-1]
+        many = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        left, group = left[many], group[many]
+        if not len(left) or depth >= int(length[left].max()):
+            break
+        # the last digit begins early, so that it ends where the string does; strings shorter than a digit are cut
+        rest = length[left] - depth
+        more = rest > 0
+        digit = digits[at[left] + np.where(rest < DIGIT, np.maximum(length[left] - DIGIT, 0), depth)].astype(np.uint64)
+        digit >>= (8 * np.maximum(DIGIT - length[left], 0)).astype(np.uint64)
+        digit[~more] = 0
+        order = np.argsort(digit, kind="stable")
+        order = order[np.argsort(group[order], kind="stable")]
+        left, group, digit = left[order], group[order], digit[order]
+        group = np.cumsum(np.concatenate([[0], (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])]))
+        depth += DIGIT
+    return left, group
+
+
+def sorted_runs(found: Runs) -> tuple[Runs, tuple[np.ndarray, ...]]:
+    """(the earliest of equal runs, spans that the others cover)."""
+    length = found.n + found.depth - 1
+    at, group = equal_groups(found.data, found.starts, length, length)
+    old = np.zeros(len(found.n), bool)
+    old[at] = _repeated(group, found.doc[at], found.lo[at])
+    return found.take(np.flatnonzero(~old)), (found.doc[old], found.lo[old], found.lo[old] + length[old])
+
+
+def sorted_windows(found: Runs) -> tuple[np.ndarray, ...]:
+    """Spans of the windows that have an equal earlier one."""
+    at = _ranges(found.starts, found.n)
+    doc, place = np.repeat(found.doc, found.n), _ranges(found.lo, found.n)
+    some, group = equal_groups(found.data, at, np.zeros(len(at), np.int64), found.depth)
+    old = some[_repeated(group, doc[some], place[some])]
+    return doc[old], place[old], place[old] + found.depth
+
+
+def _sorted(depth: int, most: int):
+    """Spans that are covered, from buckets in order."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def spans(found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in _merged(*found)], ["doc_id", "lo", "hi"])
+
+        now, parts, size = None, [], 0
+        for batch in batches:
+            for bucket, n, raw in zip(batch.column("bucket").to_pylist(), batch.column("size").to_pylist(), batch.column("runs"), strict=True):
+                if bucket != now and parts:
+                    first, covered = sorted_runs(Runs.joined(parts))
+                    yield spans(covered)
+                    yield spans(sorted_windows(first))
+                    parts, size = [], 0
+                now = bucket
+                parts.append(Runs.unpack(pa.Codec("zstd").decompress(raw.as_py(), n, asbytes=True), depth))
+                size += n
+                if size > most:  # a bucket of single windows: only the distinct ones are held
+                    first, covered = sorted_runs(Runs.joined(parts))
+                    yield spans(covered)
+                    parts, size = [first], len(first.data) // 2
+        if parts:
+            first, covered = sorted_runs(Runs.joined(parts))
+            yield spans(covered)
+            yield spans(sorted_windows(first))
+
+    return task
 
 
-def repeated_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
+def repeated_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, most_bytes: int = MOST_BYTES) -> DataFrame:
     """doc_id, lo, hi: half-open byte spans that are covered by repeated windows; spans may overlap.
 
-    docs: doc_id bigint, text and any other columns.
+    docs: doc_id bigint and text.
     """
-    gram = min(gram, depth)
-    if depth - gram >= COVERED:
-        raise ValueError("the depth may exceed the gram by 4094 at most")
-    long_ = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= depth))
-    equal, whole = W.partitionBy("anchor", "run"), W.partitionBy("anchor")
-    later = F.rank().over(equal.orderBy("doc_id", "place")) > 1
-    cells = thirds(depth, gram)
-    shared = []
-    for i in range(len(cells)):
-        core = W.partitionBy("anchor", F.shiftrightunsigned("cores", 21 * i).bitwiseAND(F.lit((1 << 21) - 1)))
-        shared.append(F.min("run").over(core) != F.max("run").over(core))
-    sorted_ = (
-        _placed(
-            long_.mapInArrow(_runs_of(depth, gram), _RUN)
-            .repartition("anchor")
-            .withColumn("_later", later)
-            .withColumn("_mixed", F.min("run").over(whole) != F.max("run").over(whole))
-            .filter(F.col("_later") | F.col("_mixed") | (F.col("place").bitwiseAND(F.lit(COVERED)) == COVERED))
-        )
-        .withColumn("hi", F.when(F.col("_later"), F.col("hi") + depth).otherwise(F.col("hi")))
-        .withColumn("covered", F.col("covered") | F.col("_later"))
-        .withColumns({f"_shared{i}": x for i, x in enumerate(shared)})
+    spark, gram = docs.sparkSession, min(gram, depth)
+    if depth - gram >= MARK:
+        raise ValueError("the depth may exceed the gram by 4093 at most")
+    docs = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= depth))
+    low = F.lit(COVERED).cast("bigint")
+    kind = F.col("place").bitwiseAND(low)
+    met = (
+        docs.mapInArrow(_runs_of(depth, gram), _RUN)
+        .withColumn("_many", F.count("*").over(W.partitionBy("deal")))
+        .filter((kind != MARK) & ((F.col("_many") > 1) | (kind == COVERED) | (F.col("more") == 1)))
     )
-    # what is left of a run that is not covered: its windows in the thirds that are shared, up to three ranges
-    parts = [
-        F.when(
-            F.col(f"_shared{i}"),
-            F.struct(F.greatest("lo", F.col("lo") + F.col("off") - far).alias("lo"), F.least("hi", F.col("lo") + F.col("off") - near).alias("hi")),
-        )
-        for i, (near, far) in enumerate(cells)
-    ]
-    ranges = F.when(F.col("covered"), F.array(F.struct("lo", "hi"))).otherwise(F.filter(F.array(*parts), lambda x: x.isNotNull() & (x["lo"] <= x["hi"])))
-    found = kept(sorted_.select("doc_id", "covered", F.inline(ranges)), "runs")
-    covered = found.filter("covered").select("doc_id", "lo", "hi")
-    edges = found.filter("NOT covered").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
-    # the same side as in removed(), all columns and a left join, so that its exchange is used again
-    windows = docs.join(edges, F.col("doc_id") == F.col("_doc"), "left").drop("_doc").mapInArrow(_windows_of(depth), _RUN)
-    again = _placed(windows.withColumn("_later", later)).filter(F.col("covered") | F.col("_later"))
-    last = again.select("doc_id", "lo", F.when(F.col("covered"), F.col("hi")).otherwise(F.col("lo") + depth).alias("hi"))
-    return covered.unionByName(last)
+    lo = F.shiftright("place", 2 * PLACE_BITS)
+    hi = F.when(kind == COVERED, F.col("more")).otherwise(lo + F.shiftright("place", PLACE_BITS).bitwiseAND(low))
+    found = kept(met.select("doc_id", lo.alias("lo"), hi.alias("hi"), kind.alias("off")), "runs")
+    del met
+    drop_shuffles(spark)
+    covered = found.filter(F.col("off") == COVERED).select("doc_id", "lo", "hi")
+    edges = found.filter(F.col("off") != COVERED)
+    total = edges.agg(F.coalesce(F.sum(F.col("hi") - F.col("lo") + depth), F.lit(0))).first()[0]
+    by_doc = edges.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("lo", "hi", "off")).alias("_runs"))
+    levels = widths(depth, gram)
+    texts = docs.join(by_doc, F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "_runs")
+    packed = kept(texts.mapInArrow(_packed(depth, -(-total // bucket_bytes) or 1, levels[0]), _PACK), "packed")
+    del texts
+    drop_shuffles(spark)
+    spans = covered
+    for i, _ in enumerate(levels):
+        sizes = packed.groupBy("bucket").agg(F.sum("size").alias("_size")).filter(F.col("_size") > most_bytes)
+        large = kept(sizes, "large") if i + 1 < len(levels) else None
+        over = large.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0] if large else 0
+        fits = packed.join(large.select("bucket"), "bucket", "left_anti") if over else packed
+        done = fits.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sorted(depth, most_bytes), "doc_id bigint, lo bigint, hi bigint")
+        spans = spans.unionByName(kept(done, "spans"))
+        again = None
+        if over:
+            rest = packed.join(large.select("bucket"), "bucket", "left_semi")
+            again = kept(rest.mapInArrow(_dealt_again(depth, -(-over // bucket_bytes), levels[i + 1]), _PACK), "packed")
+        discard(packed)
+        if not over:
+            break
+        packed = again
+    drop_shuffles(spark)
+    return spans
 
 
 def _cut(keep_text: bool, keep: tuple[str, ...]):
@@ -281,6 +475,7 @@ def removed(docs: DataFrame, depth: int = DEPTH, keep_text: bool = False, keep:
 
     kept_text leaves out the bytes of a character that a span cuts in two; it is null where the text is.
     """
+    short_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *keep)
     spans = repeated_spans(texts, depth).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.select("doc_id", *keep).schema.fields)

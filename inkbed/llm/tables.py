@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -23,7 +24,23 @@ def kept(rows: DataFrame, name: str = "table") -> DataFrame:
     spark = rows.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    out = spark.read.schema(rows.schema).parquet(path)
+    out.kept_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables that kept() made and nothing reads any more."""
+    for t in tables:
+        if t is not None:
+            place = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.kept_path)
+            place.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished queries now, and not when the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 #: Rows of a batch that is sent to a Python worker, in operators on whole texts.

@@ -5,6 +5,8 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +49,53 @@ def test_suffixes_by_hand(spark, depth):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == cut_by_hand(pairs, depth)
 
 
+@pytest.mark.parametrize("bucket,most", [(50, 400), (1 << 20, 2000)])
+def test_suffixes_in_buckets_that_are_too_large(spark, bucket, most):
+    """A line shorter than the depth in many surroundings makes buckets that are dealt again, down to single windows."""
+    rng = random.Random(bucket)
+    word = lambda n: "".join(rng.choice("abcdef ") for _ in range(n))
+    line, passage = word(70), word(130)
+    texts = [word(40) + line + word(40) for _ in range(60)] + [word(rng.randrange(9)) + passage[rng.randrange(20) :] + line for _ in range(60)] + [passage * 3] * 20
+    pairs = list(enumerate(texts))
+    table = docs(spark, pairs).repartition(5).select("doc_id", "text")
+    want = cut_by_hand(pairs, 100)
+    for few in (1, 4):
+        spans = suffixes.repeated_spans(table.coalesce(few), 100, 32, bucket, most).collect()
+        cover = defaultdict(set)
+        for r in spans:
+            cover[r.doc_id].update(range(r.lo, r.hi))
+        assert {i: len(cover[i]) for i, _ in pairs} == {i: want[i][1] for i, _ in pairs}
+
+
+def test_equal_groups_by_hand():
+    rng = random.Random(5)
+    for length in (1, 3, 8, 12, 100):
+        raw = bytes(rng.choice(b"ab") if rng.random() < 0.9 else 99 for _ in range(900)) + b"abc" * 80
+        at = np.arange(len(raw) - length + 1)
+        data = np.frombuffer(raw, np.uint8)
+        got, group = suffixes.equal_groups(data, at, np.zeros(len(at), np.int64), length)
+        assert list(group) == sorted(group)
+        found = defaultdict(set)
+        for i, g in zip(got.tolist(), group.tolist(), strict=True):
+            found[g].add(i)
+        want = defaultdict(set)
+        for i in at.tolist():
+            want[raw[i : i + length]].add(i)
+        assert sorted(map(sorted, found.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
+        if length >= 8:  # and they come in the order of their bytes
+            firsts = [raw[min(found[g]) :][:length] for g in sorted(found)]
+            assert firsts == sorted(firsts)
+
+
+def test_runs_of_pieces_are_those_of_the_whole():
+    rng = random.Random(6)
+    text = "".join(rng.choice("abcd é") for _ in range(5000))
+    windows = lambda parts: sorted((int(texts[t]), int(bases[t]) + p) for texts, bases, data, offsets in parts for t, a, b, *_ in zip(*suffixes.runs(data, offsets)) for p in range(a, b + 1))  # noqa: E731, B905
+    column = pa.array(["x" * 150, text, None, "y" * 99, "z" * 101])
+    whole = windows(suffixes.pieces(column, 99))
+    assert whole == windows(suffixes.pieces(column, 99, 300)) and len(whole) == 51 + len(text.encode()) - 99 + 2
+
+
 def test_suffixes_edges(spark):
     assert suffixes.removed(docs(spark, [])).count() == 0
     rng = random.Random(1)
