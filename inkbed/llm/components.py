@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import kept
+from .tables import discard, kept
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -19,6 +19,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     pairs = links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL")
     both = kept(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
     labels = kept(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")), "labels")
+    last = labels
     while True:
         near = both.join(labels.select(F.col("u").alias("v"), F.col("label").alias("_near")), "v").groupBy("u").agg(F.min("_near").alias("_near"))
         own = labels.join(near, "u").select("u", F.col("label").alias("_old"), F.least("label", "_near").alias("label"), "_near")
@@ -26,7 +27,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = own.drop("_near").unionByName(hooked).groupBy("u").agg(F.max("_old").alias("_old"), F.min("label").alias("label"))
         jump = labels.select(F.col("u").alias("label"), F.col("label").alias("_next"))
         after = kept(least.join(jump, "label").select("u", "_old", F.least("label", "_next").alias("label")), "labels")
-        changed = after.filter(F.col("label") != F.col("_old")).limit(1).count()
-        labels = after.select("u", "label")
+        changed = not after.filter(F.col("label") != F.col("_old")).isEmpty()
+        discard(last)
+        last, labels = after, after.select("u", "label")
         if not changed:
+            discard(both)
             return labels.select(F.col("u").alias("node"), F.col("label").alias("component"))

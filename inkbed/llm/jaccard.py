@@ -13,17 +13,21 @@ numbers (100 * intersection >= percent * union):
    one, so they meet under pairs of shingles, which are far more selective.  Heavy sets are found by scanning inverted
    lists of single shingles.  The boundary is where the number of subsets outgrows the length of the lists, summed over
    the sets of each size.
-5. Lists.  Each entry of a list is first compared with its neighbour by size and with the list's most copied set, its hub.
-   Links make components; then whatever has a hub in common but not yet a component is compared, entries of a group's largest
-   component only with others, in tiles of bounded size.  So a group of near copies costs rows in proportion to its size and all links between components are found.
+5. Lists.  Each entry of a list is first compared with the list's most copied set, its hub, and with its neighbour by size
+   (long lists in parts).  Links make components; then whatever has a hub in common but not yet a component is compared, where
+   sizes allow a link: entries of a group's largest component only with others, in tiles of bounded size.  So a group of near
+   copies costs rows in proportion to its size and all links between components are found.  A set's prefix holds a shingle of
+   a common template only if less than a quarter of its shared shingles are rarer, so what meets there has most in common.
 
-Scale: shuffles carry a share of the shingles' hashes (once), prefixes of the sets that are left, and the sets of candidate
-pairs.  Tasks send at most two rows for a shingle that many documents share.
+Scale: shuffles carry a share of the shingles' hashes (once), prefixes of the sets that are left, the sets themselves where they
+are more than can be sent to all tasks, and the sets of candidate pairs, never texts.  Tasks send at most two rows for a
+shingle that many documents share; hubs are found by partial aggregation, and long lists are read in parts by several tasks.
 
 Defined cases: null and empty texts have no shingles and link with nothing; texts of fewer words than a shingle have one, their
-whole sequence; documents without doc_id are in their class but never its name; repeated rows are a class of their own copies;
-extra columns are not read; empty tables give empty ones.  Hashes are 64 bits: classes of 10**9 different texts meet a collision
-with a chance of some 3 %.
+whole sequence; very long texts are slices of their own; documents without doc_id are in their class but never its name; rows of
+one doc_id with different texts are different sets, repeated rows are one; ties between hubs go to the least class; extra columns
+are not read, so their names don't matter; empty tables give empty ones.  Hashes are 64 bits: classes of 10**9 different
+texts meet a collision with a chance of some 3 %.
 """
 
 from __future__ import annotations
@@ -39,19 +43,21 @@ from pyspark.sql import types as T
 
 from .buffers import LOWER_BYTE, each_slice, mixed, sorted_distinct, span_hash, word_spans
 from .components import components
-from .tables import kept
+from .tables import discard, kept, short_batches
 
 WORDS, PERCENT = 5, 75
 #: Share of all shingles whose uniqueness is counted, and counters of the sketch (4 bytes each).
 UNIQUE_SHARE, COUNTERS = 0.36, 1 << 18
 #: Blocks in which the counters are added up, and groups of tasks in the first step.
 BLOCKS, SALTS = 16, 256
-FLUSH_ROWS = 1 << 20
+FLUSH_ROWS = 1 << 18
 BROADCAST_ROWS = 1_000_000
-#: Largest size of a set that is considered as light.
-LIGHT_MOST = 48
-#: Entries of a tile's two sides, about.
-ONE_BLOCK, OTHER_BLOCK = 256, 2048
+#: Largest size of a set that is considered as light: beyond, a set has over twice as many subsets as shingles.
+LIGHT_MOST = 64
+#: Entries of a list that one task reads at once, about.
+LIST_BLOCK = 1000
+#: Entries of a tile's two sides, and shingles of the second, about.
+ONE_BLOCK, OTHER_BLOCK, TILE_SHINGLES = 256, 2048, 1 << 20
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,18 +132,11 @@ def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, offsets in each_slice(batch.column("text")):
-            of, h, _ = shingles(data, offsets)
+            of, h, whole = shingles(data, offsets)
             cuts = np.searchsorted(of, np.arange(hi - lo + 1)) * 8
             raw = h.tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("class").slice(lo, hi - lo),
-                    batch.column("copies").slice(lo, hi - lo),
-                    pa.array(np.diff(cuts) // 8),
-                    pa.array([raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
-                ],
-                ["node", "copies", "n", "shingles"],
-            )
+            sets = pa.array([raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(whole.view(np.int64)), pa.array(np.diff(cuts) // 8), sets], ["doc_id", "class", "n", "shingles"])
 
 
 def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,17 +338,23 @@ def _tile(percent: int):
 def _tiles(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Compares the entries of a group that are outside its largest component with all of it, in tiles of bounded size.
 
-    Rows grow with the entries times the number of blocks, not with the pairs.
+    Sets of linked sizes are in the same size class or in neighbouring ones.  Rows grow with the entries times the number of
+    blocks, not with the pairs.
     """
-    ones, others = F.ceil((F.col("_all") - F.col("_most")) / ONE_BLOCK), F.ceil(F.col("_all") / OTHER_BLOCK)
-    one = open_.filter("part != _largest").select(
-        "hub", "node", "part", F.lit(True).alias("one"), F.pmod(F.xxhash64("node"), ones).alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), others - 1)).alias("j")
-    )
-    other = open_.select(
-        "hub", "node", "part", F.lit(False).alias("one"), F.explode(F.sequence(F.lit(0).cast("bigint"), ones - 1)).alias("i"), F.pmod(F.xxhash64("node"), others).alias("j")
+    own = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).cast("int") if percent < 100 else F.col("n").cast("int")
+    near = F.array(own - 1, own, own + 1) if percent < 100 else F.array(own)
+    one = open_.filter("part != _largest").select("hub", "node", "part", F.explode(near).alias("size"))
+    other = open_.select("hub", "node", "part", "n", own.alias("size"))
+    counts = other.groupBy("hub", "size").agg(F.count("*").alias("_others"), F.sum("n").alias("_n")).join(one.groupBy("hub", "size").agg(F.count("*").alias("_ones")), ["hub", "size"])
+    blocks = kept(
+        counts.select("hub", "size", F.ceil(F.col("_ones") / ONE_BLOCK).alias("_i"), F.ceil(F.greatest(F.col("_others") / OTHER_BLOCK, F.col("_n") / TILE_SHINGLES)).alias("_j")), "blocks"
     )
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    one = one.join(blocks, ["hub", "size"]).select("hub", "size", "node", "part", F.lit(True).alias("one"), block("_i").alias("i"), upto("_j").alias("j"))
+    other = other.drop("n").join(blocks, ["hub", "size"]).select("hub", "size", "node", "part", F.lit(False).alias("one"), upto("_i").alias("i"), block("_j").alias("j"))
     whole = one.unionByName(other).join(sets.select("node", "n", "shingles"), "node")
-    return whole.groupBy("hub", "i", "j").applyInPandas(_tile(percent), "a bigint, b bigint").distinct()
+    return whole.groupBy("hub", "size", "i", "j").applyInPandas(_tile(percent), "a bigint, b bigint").distinct()
 
 
 def classes_and_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -357,6 +362,7 @@ def classes_and_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFram
 
     Links are as many as it takes to connect all that is connected; copies are links of their class.
     """
+    short_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     profiles = kept(texts.mapInArrow(_profiles, "doc_id bigint, class bigint, n bigint"), "profiles")
     unique = (
@@ -364,7 +370,9 @@ def classes_and_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFram
         .groupBy("h").agg(F.min("class").alias("class"), F.max("class").alias("_last")).filter("class = _last")
         .groupBy("class").agg(F.count("*").alias("unique"))
     )
-    classes = profiles.groupBy("class").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.count("*").alias("copies"))
+    named = profiles.groupBy("class", "doc_id").agg(F.max("n").alias("n"), F.count("*").alias("rows"))
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "rows")))
+    classes = named.groupBy("class").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.sum("rows").alias("copies"), first["rows"].alias("rows"))
     classes = kept(classes.join(unique, "class", "left").withColumn("unique", F.coalesce("unique", F.lit(0))), "classes")
     left = classes.filter((F.col("n") > 0) & F.col("least").isNotNull() & (100 * (F.col("n") - F.col("unique")) >= percent * F.col("n")))
     wanted = left.select(F.col("least").alias("doc_id"), "class", "copies")
@@ -372,29 +380,29 @@ def classes_and_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFram
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
         some = texts.join(F.broadcast(left.select(F.col("least").alias("doc_id")).distinct()), "doc_id", "left_semi")
-    # a doc_id may be repeated, with the same text or another
-    sets = some.mapInArrow(_classed, "doc_id bigint, text string, class bigint").join(wanted, ["doc_id", "class"]).dropDuplicates(["doc_id", "class"])
-    sets = kept(sets.select("class", "copies", "text").mapInArrow(_sets, "node bigint, copies bigint, n bigint, shingles binary"), "sets")
+    sets = some.mapInArrow(_sets, "doc_id bigint, class bigint, n bigint, shingles binary").join(wanted, ["doc_id", "class"])
+    sets = sets.select(F.col("class").alias("node"), "copies", "n", "shingles")
+    if not left.filter("rows > 1").isEmpty():  # the same row more than once
+        sets = sets.dropDuplicates(["node"])
+    whole = kept(sets, "sets")
+    sets = whole
     owned = sets.select("node", "shingles").mapInArrow(_owned, "h bigint, class bigint").groupBy("h").agg(F.min("class").alias("node"), F.max("class").alias("_last"))
     alone = owned.filter("node = _last").groupBy("node").agg(F.collect_list("h").alias("unique"))
     shared = sets.join(alone, "node", "left").select("node", "copies", "n", "shingles", "unique")
     sets = kept(shared.mapInArrow(_without_unique(percent), "node bigint, copies bigint, n bigint, shared bigint, shingles binary"), "shared")
     counts = docs.sparkSession.sparkContext.broadcast(sketch(sets))  # COUNTERS * 4 bytes
     light = boundary(_costs(sets, counts, percent))
-    lists = sets.mapInArrow(_postings(counts, light, percent), "key bigint, node bigint, copies bigint, n bigint, shared bigint")
-    whole = W.partitionBy("key")
-    top = F.max(F.struct("copies", (-F.col("n")).alias("n"), F.bitwise_not("node").alias("node"), "shared")).over(whole)
-    before = F.lag(F.struct("n", "node", "shared")).over(whole.orderBy("n", "node"))
+    discard(whole)
+    postings = kept(sets.mapInArrow(_postings(counts, light, percent), "key bigint, node bigint, copies bigint, n bigint, shared bigint"), "postings")
+    top = F.max(F.struct("copies", (-F.col("n")).alias("n"), F.bitwise_not("node").alias("node"), "shared"))
+    tops = postings.groupBy("key").agg(top.alias("_top"), F.count("*").alias("_many")).filter("_many > 1")
+    hub = F.struct((-F.col("_top.n")).alias("n"), F.bitwise_not("_top.node").alias("node"), F.col("_top.shared").alias("shared"))
+    tops = kept(tops.select("key", hub.alias("hub"), F.ceil(F.col("_many") / LIST_BLOCK).alias("_parts")), "tops")
     own = F.struct("n", "node", "shared")
-    lists = kept(
-        lists.withColumn("_top", top)
-        .withColumn("hub", F.struct((-F.col("_top.n")).alias("n"), F.bitwise_not("_top.node").alias("node"), F.col("_top.shared").alias("shared")))
-        .withColumn("before", before)
-        .withColumn("_after", F.lead("node").over(whole.orderBy("n", "node")))
-        .filter("before IS NOT NULL OR _after IS NOT NULL")
-        .select("key", own.alias("x"), "hub", "before"),
-        "lists",
-    )
+    lists = postings.join(tops, "key").withColumn("_salt", F.pmod(F.xxhash64("node"), F.col("_parts")))
+    before = F.lag(own).over(W.partitionBy("key", "_salt").orderBy("n", "node"))
+    lists = kept(lists.select("key", own.alias("x"), "hub", before.alias("before")), "lists")
+    discard(postings, tops)
 
     def fits(x: str, y: str):
         """Sizes, and shingles that any other set has, which allow a link."""
@@ -408,12 +416,14 @@ def classes_and_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFram
     links = _linked(first, sets, percent)
     parts = components(links).select(F.col("node").alias("_node"), F.col("component").alias("part"))
     # everything that shares a list is in the group of the list's hub
-    groups = lists.select(F.col("hub.node").alias("hub"), F.col("x.node").alias("node")).distinct()
-    groups = groups.join(parts, F.col("node") == F.col("_node"), "left").select("hub", "node", F.coalesce("part", "node").alias("part"))
+    groups = lists.select(F.col("hub.node").alias("hub"), F.col("x.node").alias("node"), F.col("x.n").alias("n")).distinct()
+    groups = groups.join(parts, F.col("node") == F.col("_node"), "left").select("hub", "node", "n", F.coalesce("part", "node").alias("part"))
     per_part = groups.groupBy("hub", "part").agg(F.count("*").alias("_many"))
-    largest = per_part.groupBy("hub").agg(F.max(F.struct("_many", "part")).alias("_l"), F.sum("_many").alias("_all"), F.count("*").alias("_parts")).filter("_parts > 1")
-    open_ = kept(groups.join(largest.select("hub", F.col("_l.part").alias("_largest"), F.col("_l._many").alias("_most"), "_all"), "hub"), "open")
+    largest = per_part.groupBy("hub").agg(F.max(F.struct("_many", "part")).alias("_l"), F.count("*").alias("_parts")).filter("_parts > 1")
+    largest = kept(largest.select("hub", F.col("_l.part").alias("_largest")), "largest")
+    open_ = kept(groups.join(largest, "hub"), "open")
     more = kept(_tiles(open_, sets, percent), "links")
+    discard(first, lists, largest, open_, sets)
     return profiles.join(classes.select("class", "least"), "class"), links.unionByName(more)
 
 
