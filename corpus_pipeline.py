@@ -3,8 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its rows are written as Parquet in the shared folder and read
 again as the next stage's docs.  All but the last return the columns of their docs.
 
-Defined cases: an empty table passes through all stages as an empty one; extra columns travel on; documents without doc_id
-are neither copies' representatives nor cut, and are mixed like others.
+Defined cases: an empty table passes through all stages as an empty one; extra columns, of whatever name, travel on; documents
+without doc_id are neither copies' representatives nor cut, are judged by their own text, and are mixed like others; null and
+empty texts go in the first stage; rows of one doc_id with different texts are different documents, repeated rows are one from
+the second stage on; very long texts are treated whole.
 """
 
 from __future__ import annotations
@@ -53,9 +55,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are contaminated by a benchmark item go."""
-    judged = decontamination.judge(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    ids = kept(judged.filter("contaminated").select(F.col("doc_id").alias("_id")).distinct(), "contaminated")
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_anti")
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
