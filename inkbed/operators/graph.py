@@ -130,6 +130,24 @@ def cycles(edges: DataFrame) -> DataFrame:
     return edges.groupBy("graph").applyInPandas(walk, "graph bigint, cycle bigint, path string, length bigint")
 
 
+def cyclic_nodes(edges: DataFrame, source: str, target: str) -> DataFrame:
+    """N-06: node: what is on a cycle, or on a way from one cycle to another.
+
+    Each round takes away the edges that begin where none ends, or end where none begins, until nothing changes: a number of rounds
+    that grows with the longest tail, and no gathering of a graph in one task.
+    """
+    ensure_checkpoints(edges.sparkSession)
+    left = edges.select(F.col(source).alias("a"), F.col(target).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL").distinct().checkpoint()
+    n = left.count()
+    while True:
+        ends, begins = left.select(F.col("b").alias("a")).distinct(), left.select(F.col("a").alias("b")).distinct()
+        left = left.join(ends, "a", "left_semi").join(begins, "b", "left_semi").select("a", "b").checkpoint()
+        now = left.count()
+        if now == n:
+            return left.select(F.col("a").alias("node")).distinct()
+        n = now
+
+
 def label_components(links: DataFrame) -> DataFrame:
     """N-02: node and component (least node) of undirected links (a, b); checkpoints each round.
 

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import base, graph_queries, match_queries, review_queries, text_queries  # noqa: F401  they register themselves
+from . import base, graph_queries, match_queries, record_queries, review_queries, text_queries  # noqa: F401  they register themselves
 
 QUERIES, ORACLES = base.QUERIES, base.ORACLES
