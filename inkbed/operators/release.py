@@ -68,7 +68,7 @@ def gaps(releases: DataFrame, records: DataFrame) -> DataFrame:
         (F.col("_gaps").isNull(), "gap_record_unreadable"),
         (F.size("_gaps") > 0, "sections_missing"),
     )
-    return rows.select("release", F.when(F.col("_gaps").isNotNull(), F.size("_gaps")).otherwise(0).cast("bigint").alias("n_gaps"), reason.alias("reason"))
+    return rows.select("release", F.when(first == "[", F.coalesce(F.size("_gaps"), F.lit(0))).otherwise(0).cast("bigint").alias("n_gaps"), reason.alias("reason"))
 
 
 def transmissions(releases: DataFrame, log: DataFrame, manifests: DataFrame) -> DataFrame:
