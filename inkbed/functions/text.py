@@ -145,3 +145,119 @@ def inverted_index_text(index: Column) -> Column:
     """C-12: the text of a map from word to places; words of one place in word order."""
     entries = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
     return F.array_join(F.transform(F.sort_array(entries), lambda s: s["w"]), " ")
+
+
+def type_normal(kind: Column, x: Column) -> Column:
+    """C-05: the normal form by object type."""
+    return F.when(kind.isin("equation", "displaymath"), equation_normal(x)).when(kind == "citation", citation_normal(x)).when(kind == "label", F.trim(x)).otherwise(collapse_space(x))
+
+
+#: Characters that TeX takes as commands, and their escapes.
+TEX_ESCAPES = (("\\", "\\textbackslash{}"), ("&", "\\&"), ("%", "\\%"), ("$", "\\$"), ("#", "\\#"), ("_", "\\_"), ("{", "\\{"), ("}", "\\}"), ("~", "\\textasciitilde{}"), ("^", "\\textasciicircum{}"))
+
+
+def tex_escape(x: Column) -> Column:
+    """C-13: each special character escaped once."""
+    marks = dict(TEX_ESCAPES)
+    return F.array_join(F.transform(F.split(x, ""), lambda c: F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in marks.items() for v in kv]), c), c)), "")
+
+
+def markdown_cell(x: Column) -> Column:
+    """C-13: a table cell: bars escaped, line breaks to blanks."""
+    return F.replace(F.replace(x, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+
+
+def url_escape(x: Column) -> Column:
+    """C-13: the characters of an address that TeX takes as commands."""
+    return F.replace(F.replace(F.replace(x, F.lit("%"), F.lit("\\%")), F.lit("#"), F.lit("\\#")), F.lit("_"), F.lit("\\_"))
+
+
+def ascii_only(x: Column) -> Column:
+    """C-13: characters beyond ASCII are left out."""
+    return F.regexp_replace(x, "[^\\x00-\\x7F]", "")
+
+
+def term_words(x: Column) -> Column:
+    """C-15: runs of word characters."""
+    return F.regexp_count(F.coalesce(x, F.lit("")), F.lit("[A-Za-z0-9_]+")).cast("bigint")
+
+
+def term_normal(x: Column) -> Column:
+    """C-24: lower case, trimmed, without a possessive ending."""
+    return F.regexp_replace(F.trim(F.lower(x)), "'s$", "")
+
+
+def term_occurrences(x: Column, term: str) -> Column:
+    """C-25: occurrences of a whole term, in any case, its words apart by any white space."""
+    import re
+
+    body = "\\s+".join(re.sub(r"([^A-Za-z0-9])", r"\\\1", w) for w in term.split())
+    return F.regexp_count(F.coalesce(x, F.lit("")), F.lit(f"(?i)(?<![A-Za-z0-9]){body}(?![A-Za-z0-9])")).cast("bigint")
+
+
+def line_of(x: Column, offset: Column) -> Column:
+    """C-26: the line (from 1) in which an offset lies."""
+    left = F.substring(x, F.lit(1), offset.cast("int"))
+    return (F.length(left) - F.length(F.replace(left, F.lit("\n"), F.lit(""))) + 1).cast("bigint")
+
+
+def line_context(x: Column, line: Column, reach: int = 2) -> Column:
+    """C-28: the lines (from 1) around one, itself left out, joined."""
+    lines = F.split(x, "\n")
+    near = F.filter(F.transform(lines, lambda t, i: F.struct((i + 1).alias("n"), t.alias("t"))), lambda s: (F.abs(s["n"] - line) <= reach) & (s["n"] != line))
+    return F.array_join(F.transform(near, lambda s: s["t"]), "\n")
+
+
+def exempt_digits(x: Column) -> Column:
+    """C-34: distinct digits of a matched text."""
+    return F.array_distinct(F.regexp_extract_all(x, F.lit("([0-9])"), F.lit(1)))
+
+
+def preamble(x: Column) -> Column:
+    """C-36: what stands before the document begins; all of it if it doesn't."""
+    return F.substring_index(x, "\\begin{document}", 1)
+
+
+def postamble(x: Column) -> Column:
+    """C-36: from the document's end on; empty if it doesn't end."""
+    at = F.instr(x, "\\end{document}")
+    return F.when(at > 0, F.substring(x, at, F.length(x))).otherwise("")
+
+
+def body(x: Column) -> Column:
+    """C-36: what stands between the document's begin and end; empty without them."""
+    return F.regexp_extract(x, "(?s)\\\\begin\\{document\\}(.*?)\\\\end\\{document\\}", 1)
+
+
+def main_route(x: Column) -> Column:
+    """C-40: the text before the appendix."""
+    return F.substring_index(x, "\\appendix", 1)
+
+
+def chapter_label(x: Column, number: Column) -> Column:
+    """C-45: number and title of a piece that begins with a chapter or section."""
+    title = F.regexp_extract(x, "^\\\\(?:chapter|section)\\{([^}]*)\\}", 1)
+    return F.format_string("%02d %s", number.cast("int"), F.when(title == "", "front matter").otherwise(title))
+
+
+def citations_and_words(x: Column) -> Column:
+    """C-20: distinct citations in first-seen order, joined, and the number of words."""
+    return F.struct(F.array_join(citation_keys(x), ",").alias("citations"), word_count(x).alias("words"))
+
+
+def prefixed(columns: list[str], keep: list[str], review: list[str], prefix: str = "generated_") -> list[Column]:
+    """C-39: all columns but the kept ones under a prefix, and blank cells for a review."""
+    return [F.col(c).alias(c if c in keep else prefix + c) for c in columns] + [F.lit("").alias(c) for c in review]
+
+
+def prose(x: Column) -> Column:
+    """C-23: the prose of a block: display mathematics and citations become MATHDISP and CITEMARK, commands go, their texts stay."""
+    out = F.regexp_replace(x, "(?s)\\\\begin\\{(equation|align|gather|multline)\\*?\\}.*?\\\\end\\{\\1\\*?\\}", " MATHDISP ")
+    out = F.regexp_replace(out, "(?s)\\\\\\[.*?\\\\\\]|\\$\\$.*?\\$\\$", " MATHDISP ")
+    out = F.regexp_replace(out, "(?s)\\$[^$]*\\$|\\\\\\(.*?\\\\\\)", " ")
+    out = F.regexp_replace(out, "\\\\(?:label|ref|eqref|pageref|cref|autoref|input|include|includegraphics|bibliography\\w*)\\*?(?:\\[[^\\]]*\\])?\\{[^}]*\\}", " ")
+    out = F.regexp_replace(out, "\\\\cite[a-zA-Z*]*\\s*(?:\\[[^\\]]*\\]\\s*)?\\{[^}]*\\}", " CITEMARK ")
+    for _ in range(3):
+        out = F.regexp_replace(out, "\\\\(?:emph|textbf|textit|texttt|mbox|text|underline)\\{([^{}]*)\\}", " $1 ")
+    out = F.regexp_replace(out, "\\\\[A-Za-z]+\\*?(?:\\[[^\\]]*\\])?(?:\\{[^{}]*\\})?", " ")
+    return F.regexp_replace(out, "[{}~]", " ")

@@ -44,37 +44,41 @@ def nearest_greedy(a: DataFrame, b: DataFrame, keys: list[str], most: int) -> Da
                 del free[q]
         return pd.DataFrame(out, columns=[*keys, "a_id", "b_id", "distance"])
 
-    right_side = b.select(*keys, F.col("id").alias("r_id"), F.col("at").alias("r_at"))
-    return a.groupBy(*keys).cogroup(right_side.groupBy(*keys)).applyInPandas(match, schema)
+    right_side = b.select(*[F.col(k).alias(f"r_{k}") for k in keys], F.col("id").alias("r_id"), F.col("at").alias("r_at"))
+    return a.groupBy(*keys).cogroup(right_side.groupBy(*[f"r_{k}" for k in keys])).applyInPandas(match, schema)
 
 
 def correspondence(a: DataFrame, b: DataFrame, most: int = 1000) -> DataFrame:
     """X-08: key, object_type, a_start, b_start, status of the objects of two versions.
 
-    Equal normal forms meet k by k (unchanged, or explained_change where only the raw form differs); of the rest, objects of a
-    type meet by rank of place if nearer than ``most`` (substantive_change); what is left is removed or added.
-    Objects: key, object_type, normal, raw, start.
+    Equal normal forms meet k by k (unchanged, or explained_change where only the raw form differs); of the rest each object takes, in
+    order, the nearest free one of its type that is nearer than ``most`` (substantive_change); what is left is removed or added.
+    Objects: key, object_type, normal, raw, start.  Only the rest of one key and type is gathered in a task.
     """
-    keys = ["key", "object_type", "normal"]
+    keys, group = ["key", "object_type", "normal"], ["key", "object_type"]
     number = F.row_number().over(W.partitionBy(*keys).orderBy("start"))
     x = a.select(*keys, F.col("raw").alias("a_raw"), F.col("start").alias("a_start"), number.alias("k"))
     y = b.select(*keys, F.col("raw").alias("b_raw"), F.col("start").alias("b_start"), number.alias("k"))
     both = x.join(y, [*keys, "k"], "full")
-    same = both.filter("a_start IS NOT NULL AND b_start IS NOT NULL").select(
-        "key", "object_type", "a_start", "b_start", F.when(F.col("a_raw") == F.col("b_raw"), "unchanged").otherwise("explained_change").alias("status")
-    )
-    place = lambda c: F.row_number().over(W.partitionBy("key", "object_type").orderBy(c))
-    old = both.filter("b_start IS NULL").select("key", "object_type", "a_start", place("a_start").alias("r"))
-    new = both.filter("a_start IS NULL").select("key", "object_type", "b_start", place("b_start").alias("r"))
-    rest = old.join(new, ["key", "object_type", "r"], "full")
-    near = F.abs(F.col("a_start") - F.col("b_start")) < most
-    changed = rest.filter(near).select("key", "object_type", "a_start", "b_start", F.lit("substantive_change").alias("status"))
-    far = ~F.coalesce(near, F.lit(False))
-    removed = rest.filter(far & F.col("a_start").isNotNull()).select("key", "object_type", "a_start", F.lit(None).cast("bigint").alias("b_start"), F.lit("removed").alias("status"))
-    added = rest.filter(far & F.col("b_start").isNotNull()).select("key", "object_type", F.lit(None).cast("bigint").alias("a_start"), "b_start", F.lit("added").alias("status"))
+    status = F.when(F.col("a_raw") == F.col("b_raw"), "unchanged").otherwise("explained_change")
+    same = both.filter("a_start IS NOT NULL AND b_start IS NOT NULL").select(*group, "a_start", "b_start", status.alias("status"))
+    old = both.filter("b_start IS NULL").select(*group, F.col("a_start").cast("bigint").alias("id"), F.col("a_start").cast("bigint").alias("at"))
+    new = both.filter("a_start IS NULL").select(*group, F.col("b_start").cast("bigint").alias("id"), F.col("b_start").cast("bigint").alias("at"))
+    near = nearest_greedy(old, new, group, most)
+    changed = near.select(*group, F.col("a_id").alias("a_start"), F.col("b_id").alias("b_start"), F.lit("substantive_change").alias("status"))
+    left = lambda rows, side: rows.join(near.select(*group, F.col(side).alias("id")), [*group, "id"], "left_anti")
+    none = F.lit(None).cast("bigint")
+    removed = left(old, "a_id").select(*group, F.col("id").alias("a_start"), none.alias("b_start"), F.lit("removed").alias("status"))
+    added = left(new, "b_id").select(*group, none.alias("a_start"), F.col("id").alias("b_start"), F.lit("added").alias("status"))
     return same.unionByName(changed).unionByName(removed).unionByName(added)
 
 
+def resolved(found: DataFrame, least: float = 0.5) -> DataFrame:
+    """X-09: adds confidence (0.7 for matches by place alone, else 1) and makes what is under ``least`` unresolved."""
+    confidence = F.when(F.col("status") == "substantive_change", 0.7).otherwise(1.0)
+    return found.withColumn("confidence", confidence).withColumn("status", F.when(F.col("confidence") < least, "unresolved").otherwise(F.col("status")))
+
+
 def first_filled(field: Column, order: Column) -> Column:
     """The first value that isn't empty, in order."""
     filled = field.isNotNull() & (field.cast("string") != "")
@@ -93,16 +97,24 @@ def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def token_jaccard(a: DataFrame, b: DataFrame, a_id: str, b_id: str, least: float) -> DataFrame:
-    """J-12, C-10: pairs of token sets whose Jaccard similarity is at least ``least``, through an inverted index.
+    """J-12, C-10: pairs of token sets whose Jaccard similarity is at least ``least``.
 
-    a and b have an id and an array column tokens of distinct tokens; empty sets match nothing.
+    a and b have an id and an array column tokens of distinct tokens; empty sets match nothing.  Tokens are put in one order, rare
+    ones first; similar sets share a token within their first n - ceil(least * n) + 1, so only those meet in an index, and common
+    words in none; then whole sets are compared.
     """
-    x = a.select(a_id, F.size("tokens").alias("_n"), F.explode("tokens").alias("token"))
-    y = b.select(b_id, F.size("tokens").alias("_m"), F.explode("tokens").alias("token"))
-    sized = (F.least("_n", "_m") >= least * F.greatest("_n", "_m"))
-    shared = x.join(y, "token").filter(sized).groupBy(a_id, b_id, "_n", "_m").agg(F.count("*").alias("_both"))
-    score = F.col("_both") / (F.col("_n") + F.col("_m") - F.col("_both"))
-    return shared.select(a_id, b_id, score.alias("similarity")).filter(F.col("similarity") >= least)
+    x, y = a.select(F.col(a_id).alias("_a"), "tokens"), b.select(F.col(b_id).alias("_b"), "tokens")
+    often = x.select(F.explode("tokens").alias("token")).unionByName(y.select(F.explode("tokens").alias("token"))).groupBy("token").agg(F.count("*").alias("_often"))
+
+    def prefix(rows: DataFrame, key: str) -> DataFrame:
+        ranked = rows.select(key, F.size("tokens").alias("_n"), F.explode("tokens").alias("token")).join(often, "token")
+        place = F.row_number().over(W.partitionBy(key).orderBy("_often", "token"))
+        return ranked.withColumn("_p", place).filter(F.col("_p") <= F.col("_n") - F.ceil(F.col("_n") * least - 1e-9) + 1).select("token", key, "_n")
+
+    met = prefix(x, "_a").join(prefix(y, "_b").withColumnRenamed("_n", "_m"), "token").filter(F.least("_n", "_m") >= least * F.greatest("_n", "_m"))
+    pairs = met.select("_a", "_b").distinct().join(x.withColumnRenamed("tokens", "_x"), "_a").join(y.withColumnRenamed("tokens", "_y"), "_b")
+    score = F.size(F.array_intersect("_x", "_y")) / F.size(F.array_union("_x", "_y"))
+    return pairs.select(F.col("_a").alias(a_id), F.col("_b").alias(b_id), score.alias("similarity")).filter(F.col("similarity") >= least)
 
 
 def added_sentences(pairs: DataFrame) -> DataFrame:

@@ -42,20 +42,28 @@ def exemplar_position(values: DataFrame, by: str, value: str) -> DataFrame:
     return per.withColumn("_all", overall.scalar()).select(by, "median", "least", "greatest", ratio(F.col("median"), F.col("_all")).alias("relative"))
 
 
-def introductions(tokens: DataFrame, key: str) -> DataFrame:
+def placed_paragraphs(paragraphs: DataFrame, key: str) -> DataFrame:
+    """W-19: paragraphs (key, paragraph, words: array) with base, the running number of their first word; only their sizes are sorted."""
+    before = W.partitionBy(key).orderBy("paragraph").rowsBetween(W.unboundedPreceding, -1)
+    return paragraphs.withColumn("base", F.coalesce(F.sum(F.size("words")).over(before), F.lit(0)).cast("bigint"))
+
+
+def introductions(placed: DataFrame, key: str) -> DataFrame:
     """W-10: the first use of each term: key, term, paragraph, offset, uses."""
-    first = F.min(F.struct("paragraph", "offset"))
+    tokens = placed.select(key, "paragraph", "base", F.posexplode("words").alias("_p", "term"))
+    first = F.min(F.struct((F.col("base") + F.col("_p")).alias("offset"), "paragraph"))
     return tokens.groupBy(key, "term").agg(first.alias("_f"), F.count("*").alias("uses")).select(key, "term", F.col("_f.paragraph").alias("paragraph"), F.col("_f.offset").alias("offset"), "uses")
 
 
-def pacing(tokens: DataFrame, key: str, reach: int = 1500, burst: int = 3) -> DataFrame:
+def pacing(paragraphs: DataFrame, key: str, reach: int = 1500, burst: int = 3) -> DataFrame:
     """A-13, W-09, W-11: pacing of the introduction of terms in each document.
 
-    tokens: key, paragraph, offset (running over the document), term.  Live load of a paragraph is the number of terms
-    introduced within ``reach`` before its end; a burst is a paragraph with ``burst`` introductions or more.
+    paragraphs: key, paragraph, words (array of terms).  Live load of a paragraph is the number of terms introduced within ``reach``
+    before its end; a burst is a paragraph with ``burst`` introductions or more.  Words are exploded once.
     """
-    first = introductions(tokens, key)
-    ends = tokens.groupBy(key, "paragraph").agg(F.max("offset").alias("at"))
+    placed = placed_paragraphs(paragraphs, key)
+    first = introductions(placed, key)
+    ends = placed.filter(F.size("words") > 0).select(key, "paragraph", (F.col("base") + F.size("words") - 1).alias("at"))
     per = first.groupBy(key, "paragraph").agg(F.count("*").alias("new"))
     events = first.select(key, F.col("offset").alias("at"), F.lit(1).alias("intro"), F.lit(0).alias("mark")).unionByName(ends.select(key, "at", F.lit(0).alias("intro"), F.lit(1).alias("mark")))
     load = F.sum("intro").over(W.partitionBy(key).orderBy("at").rangeBetween(-reach, 0))

@@ -88,6 +88,26 @@ def expand_includes(files: DataFrame, includes: DataFrame, root: str, most: int
     return found.drop("_seen")
 
 
+def expand_text(files: DataFrame, root: str, pattern: str = "\\\\input\\{[^}]*\\}") -> DataFrame:
+    """S-21, S-22: one row, path and text of ``root`` with included files (files: path, text) in the place of what names them.
+
+    A file is not entered within itself: such an include, and one of a file that isn't there, becomes a line break.  Texts are cut at their
+    includes; pieces have even places and files odd ones, so that the paths of places sort all pieces in reading order.
+    """
+    from .segment import matches
+
+    found = matches(files, "path", "text", pattern)
+    nth = F.row_number().over(W.partitionBy("path").orderBy("start"))
+    includes = found.select("path", (nth * 2 - 1).alias("place"), F.regexp_extract("raw", "\\{([^}]*)\\}", 1).alias("target"))
+    reached = expand_includes(files.select("path"), includes, root)
+    pieces = files.select("path", F.posexplode(F.split("text", pattern)).alias("_i", "piece"))
+    own = reached.join(pieces, "path").select(F.concat("ordinal", F.format_string("/%06d", F.col("_i") * 2)).alias("o"), "piece")
+    named = reached.join(includes, "path").select(F.concat("ordinal", F.format_string("/%06d", "place")).alias("o"))
+    lost = named.join(reached.select(F.col("ordinal").alias("o")), "o", "left_anti").select("o", F.lit("\n").alias("piece"))
+    whole = own.unionByName(lost).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "piece"))), lambda x: x["piece"]), "").alias("text"))
+    return whole.select(F.lit(root).alias("path"), "text")
+
+
 def mutation_safety(units: DataFrame, before: DataFrame, after: DataFrame, baseline: DataFrame) -> DataFrame:
     """U-04: concepts of a unit that a rewrite drops, and ones it adds that neither unit nor baseline has."""
     lost = before.join(after, ["unit", "concept"], "left_anti").select("unit", "concept", F.lit("deletion").alias("problem"))

@@ -64,3 +64,12 @@ def section_ranges(lines: DataFrame, key: str, is_heading) -> DataFrame:
     number = F.sum("_h").over(every.orderBy("line_no").rowsBetween(W.unboundedPreceding, 0))
     placed = marked.withColumn("section", F.greatest(number, F.lit(1)))  # what is before the first heading belongs to its section
     return placed.groupBy(key, "section").agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"))
+
+
+def matches(rows: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
+    """key, raw, start: each match of a pattern without groups, with its place; the text between matches tells where they are."""
+    parts = F.arrays_zip(F.split(text, pattern).alias("gap"), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)).alias("raw"))
+    found = rows.select(key, F.posexplode(parts).alias("_i", "_m")).select(key, "_i", F.col("_m.gap").alias("_gap"), F.col("_m.raw").alias("raw"))
+    size = F.length("_gap") + F.coalesce(F.length("raw"), F.lit(0))
+    end = F.sum(size).over(W.partitionBy(key).orderBy("_i"))
+    return found.withColumn("start", end - F.coalesce(F.length("raw"), F.lit(0))).filter("raw IS NOT NULL").select(key, "raw", "start")

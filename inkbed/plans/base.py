@@ -32,7 +32,7 @@ def manuscripts(docs: DataFrame) -> DataFrame:
     m = F.col("doc_id") % 5
     new_cite = F.when(m == 1, F.concat(bs, F.lit("cite{x"), F.col("source"), F.lit("}"))).when(m == 2, F.concat(bs, F.lit("cite{ "), F.col("source"), F.lit("}"))).otherwise(cite)
     new_label = F.when(m == 0, F.lit("")).when(m == 3, F.concat(label, F.lit(" "), bs, F.lit("label{extra}"))).otherwise(label)
-    tail = lambda c, l: F.concat(F.lit("\n\nSee "), c, F.lit(" "), l, F.lit("."))
+    tail = lambda c, l: F.concat(F.lit("\n\nSee "), c, F.lit(" "), l, F.lit(", again "), cite, F.lit("."))
     return docs.select("doc_id", F.concat(head, body, tail(cite, label)).alias("tex"), F.concat(head, body, tail(new_cite, new_label)).alias("revised"))
 
 
@@ -43,9 +43,9 @@ m AS (
          chr(92) || 'cite{' || source || '}' AS cite, chr(92) || 'label{d' || doc_id || '}' AS lab, doc_id % 5 AS k, source FROM documents
 ),
 ms AS (
-  SELECT doc_id, base || cite || ' ' || lab || '.' AS tex,
+  SELECT doc_id, base || cite || ' ' || lab || ', again ' || cite || '.' AS tex,
          base || CASE k WHEN 1 THEN chr(92) || 'cite{x' || source || '}' WHEN 2 THEN chr(92) || 'cite{ ' || source || '}' ELSE cite END || ' '
-         || CASE k WHEN 0 THEN '' WHEN 3 THEN lab || ' ' || chr(92) || 'label{extra}' ELSE lab END || '.' AS revised FROM m
+         || CASE k WHEN 0 THEN '' WHEN 3 THEN lab || ' ' || chr(92) || 'label{extra}' ELSE lab END || ', again ' || cite || '.' AS revised FROM m
 )"""
 
 #: Lines with offsets in SQL: l(doc_id, line_no, start, "end", line).

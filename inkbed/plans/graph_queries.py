@@ -91,9 +91,10 @@ def _sharing(lines):
 
 @query("unit_binpack")
 def unit_binpack(t):
-    """N-09: documents of each source packed in order."""
-    rows = t("documents").select(F.col("source").alias("grp"), F.col("doc_id").alias("pos"), F.col("doc_id").alias("item"), F.regexp_count("text", F.lit("[^ \\n]+")).cast("bigint").alias("words"))
-    return graph.pack_units(rows, 2000)
+    """N-09, A-19: lines of each document packed in order into units of an estimated 200 words."""
+    lines = segment.line_spans(t("documents"))
+    rows = lines.select(F.col("doc_id").cast("string").alias("grp"), F.col("line_no").alias("pos"), F.col("line_no").alias("item"), F.regexp_count("line", F.lit("[^ \\n]+")).cast("bigint").alias("words"))
+    return graph.pack_units(rows, 200)
 
 
 @query("html_list_items")

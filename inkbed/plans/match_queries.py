@@ -14,28 +14,32 @@ from .base import LINES, MANUSCRIPTS, manuscripts, query
 _BS = "\\\\"
 
 
+_OBJECT = "\\\\(?:cite|label)\\{[^}]*\\}"
+
+
 def _objects(rows, column):
-    """Citations and labels of a manuscript column with normal forms and places (the k-th match of a type)."""
-    raw = F.regexp_extract_all(column, F.lit("(\\\\(?:cite|label)\\{[^}]*\\})"), F.lit(1))
-    placed = rows.select(F.col("doc_id").alias("key"), F.col(column).alias("_t"), F.posexplode(raw).alias("_i", "raw"))
+    """Citations and labels of a manuscript column with normal forms and places."""
+    found = segment.matches(rows.select(F.col("doc_id").alias("key"), column), "key", column, _OBJECT)
     kind = F.when(F.col("raw").startswith("\\cite"), "citation").otherwise("label")
     normal = F.regexp_replace(F.regexp_extract("raw", "\\{([^}]*)\\}", 1), "[ \\t]+", "")
-    return placed.select("key", kind.alias("object_type"), normal.alias("normal"), "raw", (F.instr("_t", F.col("raw")) - 1).cast("bigint").alias("start"))
+    return found.select("key", kind.alias("object_type"), normal.alias("normal"), "raw", "start")
 
 
 _OBJ = f"""
 {MANUSCRIPTS},
-oa AS (SELECT doc_id AS key, tex AS t, unnest(regexp_extract_all(tex, '{_BS}(?:cite|label)\\{{[^}}]*\\}}')) AS raw FROM ms),
-ob AS (SELECT doc_id AS key, revised AS t, unnest(regexp_extract_all(revised, '{_BS}(?:cite|label)\\{{[^}}]*\\}}')) AS raw FROM ms),
-a AS (SELECT key, CASE WHEN raw LIKE '%cite{{%' THEN 'citation' ELSE 'label' END AS ty, regexp_replace(regexp_extract(raw, '\\{{([^}}]*)\\}}', 1), '[ \\t]+', '', 'g') AS normal, raw, strpos(t, raw) - 1 AS start FROM oa),
-b AS (SELECT key, CASE WHEN raw LIKE '%cite{{%' THEN 'citation' ELSE 'label' END AS ty, regexp_replace(regexp_extract(raw, '\\{{([^}}]*)\\}}', 1), '[ \\t]+', '', 'g') AS normal, raw, strpos(t, raw) - 1 AS start FROM ob),
+o AS (SELECT key, t, v, raw, row_number() OVER (PARTITION BY key, v, raw ORDER BY i) AS nth FROM (SELECT key, t, v, unnest(r) AS raw, unnest(range(len(r))) AS i FROM (
+  SELECT doc_id AS key, t, v, regexp_extract_all(t, '{_BS}(?:cite|label)\\{{[^}}]*\\}}') AS r FROM (SELECT doc_id, tex AS t, 0 AS v FROM ms UNION ALL SELECT doc_id, revised, 1 FROM ms)))),
+ab AS (SELECT key, v, CASE WHEN raw LIKE '%cite{{%' THEN 'citation' ELSE 'label' END AS ty, regexp_replace(regexp_extract(raw, '\\{{([^}}]*)\\}}', 1), '[ \\t]+', '', 'g') AS normal, raw,
+  list_filter(range(1, length(t) + 1), lambda p: substr(t, p, length(raw)) = raw)[nth] - 1 AS start FROM o),
+a AS (SELECT * FROM ab WHERE v = 0), b AS (SELECT * FROM ab WHERE v = 1),
 x AS (SELECT *, row_number() OVER (PARTITION BY key, ty, normal ORDER BY start) AS k FROM a),
 y AS (SELECT *, row_number() OVER (PARTITION BY key, ty, normal ORDER BY start) AS k FROM b),
 f AS (SELECT coalesce(x.key, y.key) AS key, coalesce(x.ty, y.ty) AS ty, x.raw AS ra, y.raw AS rb, x.start AS sa, y.start AS sb, coalesce(x.normal, y.normal) AS normal, coalesce(x.k, y.k) AS k
       FROM x FULL JOIN y ON x.key = y.key AND x.ty = y.ty AND x.normal = y.normal AND x.k = y.k),
-old AS (SELECT key, ty, sa, row_number() OVER (PARTITION BY key, ty ORDER BY sa) AS r FROM f WHERE sb IS NULL),
-new AS (SELECT key, ty, sb, row_number() OVER (PARTITION BY key, ty ORDER BY sb) AS r FROM f WHERE sa IS NULL),
-g AS (SELECT coalesce(old.key, new.key) AS key, coalesce(old.ty, new.ty) AS ty, sa, sb, coalesce(abs(sa - sb) < 1000, false) AS near FROM old FULL JOIN new ON old.key = new.key AND old.ty = new.ty AND old.r = new.r),
+old AS (SELECT key, ty, sa FROM f WHERE sb IS NULL), new AS (SELECT key, ty, sb FROM f WHERE sa IS NULL),
+near AS (SELECT key, ty, sa, sb, row_number() OVER (PARTITION BY key, ty, sa ORDER BY abs(sa - sb), sb) AS r FROM old JOIN new USING (key, ty) WHERE abs(sa - sb) < 1000),
+g AS (SELECT key, ty, sa, sb, true AS near FROM near WHERE r = 1 UNION ALL SELECT key, ty, sa, NULL, false FROM old WHERE (key, ty, sa) NOT IN (SELECT key, ty, sa FROM near)
+  UNION ALL SELECT key, ty, NULL, sb, false FROM new WHERE (key, ty, sb) NOT IN (SELECT key, ty, sb FROM near WHERE r = 1)),
 c AS (
   SELECT key, ty, sa, sb, CASE WHEN ra = rb THEN 'unchanged' ELSE 'explained_change' END AS status FROM f WHERE sa IS NOT NULL AND sb IS NOT NULL
   UNION ALL SELECT key, ty, sa, sb, 'substantive_change' FROM g WHERE near
@@ -61,6 +65,14 @@ def correspondence_status(t):
     return matching.correspondence(*_versions(t)).withColumnRenamed("key", "doc_id")
 
 
+@query("resolved_correspondence", f"""
+WITH {_OBJ} SELECT key AS doc_id, ty AS object_type, CASE WHEN status = 'substantive_change' THEN 'unresolved' ELSE status END AS status, CASE WHEN status = 'substantive_change' THEN 0.7 ELSE 1.0 END::DOUBLE AS confidence, count(*)::BIGINT AS n FROM c GROUP BY ALL""")
+def resolved_correspondence(t):
+    """X-09: matches by place alone have a confidence of 0.7; under the least one asked for they are unresolved."""
+    out = matching.resolved(matching.correspondence(*_versions(t)), 0.75)
+    return out.groupBy(F.col("key").alias("doc_id"), "object_type", "status", "confidence").agg(F.count("*").alias("n"))
+
+
 @query("retention_rate", f"""
 WITH {_OBJ} SELECT ty AS object_type, count(sa)::BIGINT AS frozen, count(*) FILTER (WHERE status IN ('unchanged', 'explained_change'))::BIGINT AS preserved,
 round(count(*) FILTER (WHERE status IN ('unchanged', 'explained_change')) / count(sa), 6) AS retention FROM c GROUP BY ty""")
@@ -373,6 +385,42 @@ def latex_partition(t):
     )
 
 
+_PARTS = (
+    ("heading", "\\section{D}"), ("whitespace", "\n\n"), ("prose", "{}"), ("whitespace", "\n\n"), ("float", "\\begin{verbatim}50% $x \\section{no}\\end{verbatim}"),
+    ("whitespace", "\n"), ("comment", "% a $ note \\begin{equation}\n"), ("float", "\\begin{tabular}{c}\\begin{tabular}{c}y\\end{tabular}\\end{tabular}"), ("math", "$$z$$"), ("prose", " costs 5\\% or $5 and"), ("whitespace", "\n\n"),
+    ("math", "\\begin{alignat*}{2}a&b\\end{alignat*}"), ("command", "\\begin{align}"), ("prose", " never ended"), ("whitespace", "\n\n"), ("heading", "\\subparagraph{E}"), ("bibliography", "\\begin{thebibliography}{9}x\\end{thebibliography}"),
+)
+_SQL_PARTS = ", ".join("{{'kind': '{}', 'part': {}}}".format(k, "src" if x == "{}" else "'" + x.replace("\n", "' || chr(10) || '") + "'") for k, x in _PARTS)
+
+
+def _composed(t):
+    parts = [F.concat(F.lit("s "), "source") if x == "{}" else F.lit(x) for _, x in _PARTS]
+    return t("documents").select("doc_id", F.concat(*parts).alias("tex"))
+
+
+@query("scanner_regions", f"""
+WITH p AS (SELECT doc_id, unnest(ps) AS p, unnest(range(len(ps))) AS i FROM (SELECT doc_id, [{_SQL_PARTS}] AS ps FROM (SELECT doc_id, 's ' || source AS src FROM documents)))
+SELECT doc_id, p.kind AS kind, (sum(length(p.part)) OVER w - length(p.part))::BIGINT AS start, (sum(length(p.part)) OVER w)::BIGINT AS "end" FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY i)""")
+def scanner_regions(t):
+    """G-01 to G-05: kinds and places of the regions of files that are composed of known parts."""
+    return latex.partition(_composed(t)).select("doc_id", "kind", "start", "end")
+
+
+@query("scanner_abstentions", "SELECT doc_id, c AS construct FROM documents, (SELECT unnest(['$', chr(92) || 'begin{align}']) AS c)")
+def scanner_abstentions(t):
+    """G-03: what the same files open and never close."""
+    return latex.abstentions(_composed(t)).select("doc_id", "construct")
+
+
+@query("object_manifest", f"""
+WITH {MANUSCRIPTS}, o AS (SELECT doc_id, 'cite' AS k, chr(92) || 'cite{{' || s || '}}' AS raw, s AS normal FROM (SELECT doc_id, source AS s FROM documents) UNION ALL SELECT doc_id, 'label', chr(92) || 'label{{d' || doc_id || '}}', chr(92) || 'label{{d' || doc_id || '}}' FROM documents)
+SELECT doc_id, CASE k WHEN 'cite' THEN 'citation' ELSE 'label' END AS object_type, normal, left(sha256(raw), 16) AS hash, CASE k WHEN 'cite' THEN 2 ELSE 1 END::BIGINT AS occurrences, count(*)::BIGINT AS n FROM o, (SELECT unnest([1, 2]) AS j) WHERE j = 1 OR k = 'cite' GROUP BY ALL""")
+def object_manifest(t):
+    """G-14, G-18: the manuscripts' protected objects."""
+    found = latex.object_manifest(manuscripts(t("documents")).select("doc_id", "tex"))
+    return found.groupBy("doc_id", "object_type", "normal", "hash", "occurrences").agg(F.count("*").alias("n"))
+
+
 @query("parser_agreement", f"WITH {MANUSCRIPTS} SELECT 1.0::DOUBLE AS agreement")
 def parser_agreement(t):
     """G-13: the scanner against regular expressions on citations and labels."""

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import base, graph_queries, match_queries, record_queries, release_queries, review_queries, text_queries  # noqa: F401  they register themselves
+from . import audit_queries, base, graph_queries, match_queries, record_queries, release_queries, review_queries, scalar_queries, text_queries  # noqa: F401  they register themselves
 
 QUERIES, ORACLES = base.QUERIES, base.ORACLES

@@ -92,6 +92,20 @@ def include_listing(t):
     return planning.expand_includes(*_includes(t), "f1")
 
 
+@query("expanded_text", """
+WITH RECURSIVE r(n, o) AS (SELECT 1::BIGINT, '' UNION ALL SELECT doc_id, o || format('/{:06d}', (doc_id % 4) * 2 + 1) FROM documents JOIN r ON doc_id // 4 = n AND doc_id > 3),
+p AS (SELECT o || format('/{:06d}', k * 2) AS o, CASE k WHEN 0 THEN 'b' || n || ' ' WHEN 4 THEN ' e' || n ELSE '+' END AS piece FROM r, (SELECT unnest(range(5)) AS k)),
+m AS (SELECT o || format('/{:06d}', k * 2 + 1) AS o, chr(10) AS piece FROM r, (SELECT unnest(range(4)) AS k) WHERE n * 4 + k NOT IN (SELECT doc_id FROM documents))
+SELECT 'f1' AS path, sha256(string_agg(piece, '' ORDER BY o)) AS text FROM (SELECT * FROM p UNION ALL SELECT * FROM m)""")
+def expanded_text(t):
+    """S-21, S-22: file n includes 4 n to 4 n + 3; those that don't exist become line breaks."""
+    name = lambda k: F.concat(F.lit("\\input{f"), (F.col("doc_id") * 4 + k).cast("string"), F.lit("}"))
+    n = F.col("doc_id").cast("string")
+    text = F.concat(F.lit("b"), n, F.lit(" "), name(0), F.lit("+"), name(1), F.lit("+"), name(2), F.lit("+"), name(3), F.lit(" e"), n)
+    files = t("documents").select(F.concat(F.lit("f"), n).alias("path"), text.alias("text"))
+    return planning.expand_text(files, "f1").select("path", F.sha2("text", 256).alias("text"))
+
+
 @query("file_census", """
 WITH e AS (SELECT regexp_extract(url, '^https?://([^/]*)', 1) AS host, regexp_extract(url, '^https?://[^/]*/([^/?]*)', 1) AS top FROM pages),
 c AS (SELECT host, top, count(*) AS n FROM e GROUP BY host, top), r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY n DESC, top) AS r FROM c) SELECT host, top, n::BIGINT AS n FROM r WHERE r <= 5""")

@@ -234,16 +234,14 @@ tok AS (SELECT doc_id, paragraph, term, row_number() OVER (PARTITION BY doc_id O
 intro AS (SELECT doc_id, term, min(ofs) AS ofs, arg_min(paragraph, ofs) AS paragraph, count(*) AS uses FROM tok GROUP BY ALL)"""
 
 
-def _tokens(t):
+def _words(t):
     lines = segment.line_spans(t("documents"))
-    words = lines.select("doc_id", F.col("line_no").alias("paragraph"), F.posexplode(F.regexp_extract_all(F.lower("line"), F.lit("([a-z]{3,})"), F.lit(1))).alias("pos", "term"))
-    offset = F.row_number().over(W.partitionBy("doc_id").orderBy("paragraph", "pos")) - 1
-    return words.withColumn("offset", offset.cast("bigint")).select("doc_id", "paragraph", "offset", "term")
+    return lines.select("doc_id", F.col("line_no").alias("paragraph"), F.regexp_extract_all(F.lower("line"), F.lit("([a-z]{3,})"), F.lit(1)).alias("words"))
 
 
 @query("first_use", f"WITH {_TOKENS} SELECT doc_id, count(*)::BIGINT AS terms, sum(ofs)::BIGINT AS ofs_sum, sum(paragraph)::BIGINT AS paragraph_sum, max(uses)::BIGINT AS max_uses FROM intro GROUP BY doc_id")
 def first_use(t):
-    first = metrics.introductions(_tokens(t), "doc_id")
+    first = metrics.introductions(metrics.placed_paragraphs(_words(t), "doc_id"), "doc_id")
     return first.groupBy("doc_id").agg(F.count("*").alias("terms"), F.sum("offset").alias("ofs_sum"), F.sum("paragraph").alias("paragraph_sum"), F.max("uses").alias("max_uses"))
 
 
@@ -259,7 +257,7 @@ bu AS (SELECT doc_id, count(*) AS ps, count(*) FILTER (WHERE n >= 3) AS bs, coal
 SELECT doc_id, words::BIGINT AS words, terms::BIGINT AS terms, round(words / terms, 6) AS words_per_term, round(1000.0 * terms / words, 6)::DOUBLE AS intro_per_1000, round(single / terms, 6) AS singleton_share,
        round(mu, 6) AS mean_uses, round(bs / ps, 6) AS burst_share, mb::BIGINT AS max_burst, round(a, 6) AS load_mean, round(p, 6) AS load_p95 FROM su JOIN bu USING (doc_id) JOIN lo USING (doc_id)""")
 def pacing_metrics(t):
-    p = metrics.pacing(_tokens(t), "doc_id")
+    p = metrics.pacing(_words(t), "doc_id")
     return p.select(*[F.round(c, 6).alias(c) if k == "double" else F.col(c) for c, k in p.dtypes])
 
 

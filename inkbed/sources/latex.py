@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Environments by kind.
-MATH = ("equation", "align", "gather", "eqnarray", "multline", "displaymath", "math")
-FLOATS = ("figure", "table")
+MATH = ("equation", "align", "gather", "eqnarray", "multline", "displaymath", "math", "alignat", "flalign", "split", "IEEEeqnarray")
+FLOATS = ("figure", "table", "tabular", "tabularx", "longtable", "tikzpicture", "algorithm", "algorithmic", "lstlisting", "verbatim", "Verbatim", "minted", "listing")
 BIBLIOGRAPHY = ("thebibliography",)
-HEADINGS = ("part", "chapter", "section", "subsection", "subsubsection", "paragraph")
+HEADINGS = ("part", "chapter", "section", "subsection", "subsubsection", "paragraph", "subparagraph")
 CITATIONS = ("cite", "citep", "citet", "citeauthor", "citeyear", "parencite", "textcite")
 
 _BEGIN = re.compile(r"\\begin\{([A-Za-z]+\*?)\}")
@@ -66,9 +66,12 @@ def regions(text: str) -> list[tuple[int, int, str]]:
             end = at + len(mark)
             while (end := text.find(mark, end)) >= 0 and text[end - 1] == "\\":
                 end += 1
-            end = len(text) if end < 0 else end + len(mark)
-            if mark == "$$":  # mathematics in a line stays in its prose
-                found.append((at, end, "math"))
+            if end < 0:  # never closed: it hides nothing
+                end = at + len(mark)
+            else:
+                end += len(mark)
+                if mark == "$$":  # mathematics in a line stays in its prose
+                    found.append((at, end, "math"))
         elif c == "\\":
             if m := _BEGIN.match(text, at):
                 name, base = m[1], m[1].rstrip("*")
@@ -79,8 +82,11 @@ def regions(text: str) -> list[tuple[int, int, str]]:
                 found.append((at, end, kind))
             elif text.startswith("\\[", at):
                 end = text.find("\\]", at)
-                end = len(text) if end < 0 else end + 2
-                found.append((at, end, "math"))
+                if end < 0:
+                    end = at + 2
+                else:
+                    end += 2
+                    found.append((at, end, "math"))
             elif (m := _HEADING.match(text, at)) and (end := group_end(text, m.end() - 1)) > 0:
                 found.append((at, end, "heading"))
             elif m := _COMMAND.match(text, at):
@@ -112,6 +118,32 @@ def regions(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def unclosed(text: str) -> list[tuple[int, str, str]]:
+    """(start, construct, reason) of environments, display and inline mathematics that a scan finds opened and never closed."""
+    out, at = [], 0
+    for start, end, kind in regions(text):
+        at = start
+        if kind == "command" and (m := _BEGIN.match(text, start)) and environment_end(text, m[1], m.end()) < 0:
+            out.append((start, f"\\begin{{{m[1]}}}", "environment is never closed"))
+        elif kind == "prose":
+            while at < end:
+                if text[at] == "\\":
+                    if text.startswith("\\[", at):
+                        out.append((at, "\\[", "mathematics is never closed"))
+                    at += 2
+                elif text[at] == "$":
+                    mark = "$$" if text.startswith("$$", at) else "$"
+                    close = at + len(mark)
+                    while (close := text.find(mark, close)) >= 0 and text[close - 1] == "\\":
+                        close += 1
+                    if close < 0:
+                        out.append((at, mark, "mathematics is never closed"))
+                    at = at + len(mark) if close < 0 else close + len(mark)
+                else:
+                    at += 1
+    return out
+
+
 def align_rows(body: str) -> list[str]:
     """G-08: rows of an aligned display, split outside braces; all of it unless two rows or more have labels."""
     rows, depth, start, at = [], 0, 0, 0
@@ -144,9 +176,11 @@ def objects(text: str) -> list[tuple[str, str, int, int]]:
             else:
                 out.append(("equation", text[m.start() : end], m.start(), end))
     out += [("displaymath", m[0], m.start(), m.end()) for m in re.finditer(r"\\\[.*?\\\]", text, re.S)]
-    for m in re.finditer(r"\\begin\{(table\*?)\}", text):
-        if (end := environment_end(text, m[1], m.end())) > 0:
+    inside = 0
+    for m in re.finditer(r"\\begin\{((?:table\*?|tabular\*?|tabularx|longtable))\}", text):
+        if m.start() >= inside and (end := environment_end(text, m[1], m.end())) > 0:  # a table within a table is part of it
             out.append(("table", text[m.start() : end], m.start(), end))
+            inside = end
     out += [("citation", m[0], m.start(), m.end()) for m in re.finditer(r"\\(?:" + "|".join(CITATIONS) + r")\*?(?:\[[^\]]*\])*\{[^}]*\}", text)]
     out += [("label", m[0], m.start(), m.end()) for m in re.finditer(r"\\label\{[^}]*\}", text)]
     return sorted(out, key=lambda x: (x[2], x[3], x[0]))
@@ -165,6 +199,32 @@ def partition(files: DataFrame, key: str = "doc_id", text: str = "tex") -> DataF
     return files.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(scan, f"`{key}` {kind}, start bigint, end bigint, kind string, region string")
 
 
+def abstentions(files: DataFrame, key: str = "doc_id", text: str = "tex") -> DataFrame:
+    """G-03: key, start, construct, reason of what is opened and never closed; its text is covered by the partition all the same."""
+    import pandas as pd
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(k, *x) for k, t in zip(f["k"], f["t"], strict=True) for x in unclosed(t or "")]
+            yield pd.DataFrame(rows, columns=[key, "start", "construct", "reason"])
+
+    kind = files.select(key).schema[0].dataType.simpleString()
+    return files.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(scan, f"`{key}` {kind}, start bigint, construct string, reason string")
+
+
+def object_manifest(files: DataFrame, key: str = "doc_id", text: str = "tex") -> DataFrame:
+    """G-14, G-18: protected objects with line, normal form and content hash, an identity of file, type and range, and how often their
+    content occurs in the file."""
+    from pyspark.sql import Window as W
+
+    from inkbed.functions.text import line_of, type_normal
+
+    found = protected_objects(files, key, text).join(files.select(F.col(key).alias("_k"), F.col(text).alias("_t")), F.col(key) == F.col("_k"))
+    rows = found.withColumn("line", line_of(F.col("_t"), F.col("start"))).withColumn("normal", type_normal(F.col("object_type"), F.col("raw"))).withColumn("hash", F.substring(F.sha2("raw", 256), 1, 16))
+    identity = F.substring(F.sha2(F.concat_ws("|", F.col(key).cast("string"), "object_type", F.col("start").cast("string"), F.col("end").cast("string")), 256), 1, 16)
+    return rows.select(key, "object_type", "start", "end", "line", "normal", "hash", identity.alias("object_id"), F.count("*").over(W.partitionBy(key, "object_type", "hash")).alias("occurrences"))
+
+
 def protected_objects(files: DataFrame, key: str = "doc_id", text: str = "tex") -> DataFrame:
     """G-09 to G-11: key, object_type, raw, start, end."""
     import pandas as pd

@@ -168,18 +168,126 @@ def html_lists(pages: DataFrame, key: str = "page_id") -> DataFrame:
     return pages.select(F.col(key).alias("k"), F.col("html").alias("h")).mapInPandas(parse, f"{key} bigint, pos bigint, url string, title string, authors string, year string")
 
 
+#: Control files of an import folder, which hold no records.
+CONTROL_FILES = ("screening_review.csv", "evidence_review.csv", "review_packet_manifest.json")
+FILE_FIELDS = ("kind", "file", "status", "error", "sha256")
+
+
+def parse_import(name: str, raw: bytes) -> list[dict[str, str]]:
+    """The records of one export: a CSV with its own header, a JSON list (or an object's list called records), or BibTeX."""
+    import csv
+    import io
+    import json
+
+    text, suffix = raw.decode("utf-8"), name.lower().rsplit(".", 1)[-1]
+    if suffix == "json":
+        found = json.loads(text)
+        found = found if isinstance(found, list) else found.get("records", [])
+        if not isinstance(found, list):
+            raise ValueError("export must contain a list of records")
+        return [r if isinstance(r, dict) else {"title": str(r)} for r in found]
+    if suffix in ("bib", "bibtex"):
+        return [{**e, "authors": e.get("author", ""), "identifier": e.get("eprint", "")} for e in bibtex_entries(text)]
+    return list(csv.DictReader(io.StringIO(text, newline="")))
+
+
+def _imported(spark: SparkSession, folder: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows of records and files, sidecars).  A file is a row and is parsed by itself."""
+    import pandas as pd
+
+    whole = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "content")
+    sidecars = whole.filter(F.col("file").endswith(".meta.json")).select(F.regexp_replace("file", "\\.meta\\.json$", "").alias("of"), F.decode("content", "UTF-8").alias("meta"))
+    wanted = F.lower("file").rlike("[.](json|csv|bib|bibtex)$") & ~F.col("file").endswith(".meta.json") & ~F.col("file").startswith("README") & ~F.col("file").isin(*CONTROL_FILES)
+
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import hashlib
+
+        for f in frames:
+            out = []
+            for name, raw in zip(f["file"], f["content"], strict=True):
+                digest = hashlib.sha256(raw).hexdigest()
+                try:
+                    records = parse_import(name, bytes(raw))
+                except Exception as e:  # the file's failure is a row of the ledger
+                    out.append(("file", name, "parse-error", str(e)[:200], digest, *[None] * len(fields)))
+                    continue
+                out.append(("file", name, "imported", "", digest, *[None] * len(fields)))
+                out += [("record", name, "", "", digest, *[None if r.get(x) is None else str(r[x]) for x in fields]) for r in records]
+            yield pd.DataFrame(out, columns=[*FILE_FIELDS, *[f"f_{x}" for x in fields]], dtype=object)
+
+    schema = ", ".join(f"`{c}` string" for c in [*FILE_FIELDS, *[f"f_{x}" for x in fields]])
+    return whole.filter(wanted).select("file", "content").mapInPandas(parse, schema), sidecars
+
+
+def _with_sidecar(rows: DataFrame, sidecars: DataFrame) -> DataFrame:
+    """Adds meta: the sidecar named after the file, else that named after its stem."""
+    exact, loose = sidecars.select(F.col("of").alias("_e"), F.col("meta").alias("_me")), sidecars.select(F.col("of").alias("_s"), F.col("meta").alias("_ms"))
+    stem = F.regexp_replace("file", "\\.[A-Za-z]+$", "")
+    return rows.join(exact, F.col("file") == F.col("_e"), "left").join(loose, stem == F.col("_s"), "left").withColumn("meta", F.coalesce("_me", "_ms")).drop("_e", "_s", "_me", "_ms")
+
+
 def imports(spark: SparkSession, folder: str, fields: list[str]) -> DataFrame:
     """S-06, U-12: records of all CSV, JSON and BibTeX files of a folder, with their file and the sidecar's database.
 
-    A sidecar is named after the file (x.csv.meta.json) or its stem (x.meta.json); the first goes before.
+    A sidecar is named after the file (x.csv.meta.json) or its stem (x.meta.json); the first goes before.  Each CSV has its own
+    header.  Control files are no exports; files that can't be read give no records, but a row in import_ledger().
     """
-    schema = ", ".join(f"{f}:string" for f in fields)
-    whole = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True).select("value", F.regexp_extract(F.input_file_name(), "([^/]+)$", 1).alias("file"))
-    sidecars = whole.filter(F.col("file").endswith(".meta.json")).select(F.regexp_replace("file", "\\.meta\\.json$", "").alias("of"), F.get_json_object("value", "$.database").alias("database"))
-    from_json = whole.filter(F.col("file").endswith(".json") & ~F.col("file").endswith(".meta.json")).select("file", F.explode(_listed("value", schema)).alias("r")).select("file", *[f"r.{f}" for f in fields])
-    table = spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true").csv(folder, header=True, multiLine=True, escape='"').withColumn("file", F.regexp_extract(F.input_file_name(), "([^/]+)$", 1))
-    from_csv = table.select("file", *[F.col(f) if f in table.columns else F.lit(None).cast("string").alias(f) for f in fields])
-    found = from_json.unionByName(from_csv)
-    stem = F.regexp_replace("file", "\\.[A-Za-z]+$", "")
-    exact, loose = sidecars.select(F.col("of").alias("_e"), F.col("database").alias("_de")), sidecars.select(F.col("of").alias("_s"), F.col("database").alias("_ds"))
-    return found.join(exact, F.col("file") == F.col("_e"), "left").join(loose, stem == F.col("_s"), "left").select("file", *fields, F.coalesce("_de", "_ds").alias("database"))
+    rows, sidecars = _imported(spark, folder, fields)
+    found = _with_sidecar(rows.filter("kind = 'record'"), sidecars)
+    return found.select("file", *[F.col(f"f_{f}").alias(f) for f in fields], F.get_json_object("meta", "$.database").alias("database"))
+
+
+def import_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """S-06: file, status, records, provenance_complete and error of each export: a file that can't be read is no abort, but a row."""
+    rows, sidecars = _imported(spark, folder, ["title"])
+    counts = rows.filter("kind = 'record'").groupBy(F.col("file").alias("_f")).agg(F.count("*").alias("records"))
+    met = _with_sidecar(rows.filter("kind = 'file'"), sidecars).join(counts, F.col("file") == F.col("_f"), "left")
+    told = F.get_json_object("meta", "$.sha256")
+    hash_ok = told.isNull() | (F.lower(told) == F.col("sha256"))
+    has = lambda *paths: F.coalesce(*[F.nullif(F.trim(F.get_json_object("meta", f"$.{p}")), F.lit("")) for p in paths]).isNotNull()
+    complete = F.coalesce(hash_ok & has("database", "source_database") & has("source_url", "url") & has("retrieved_at", "accessed_at") & has("query_or_filter", "query"), F.lit(False))
+    status = F.when((F.col("status") == "imported") & ~hash_ok, "imported-provenance-incomplete").otherwise(F.col("status"))
+    return met.select("file", status.alias("status"), F.coalesce("records", F.lit(0)).alias("records"), complete.alias("provenance_complete"), "error")
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """K-06: rows at the end of a log; what is there stays."""
+    rows.write.mode("append").json(path)
+
+
+def replace(rows: DataFrame, path: str, suffix: str) -> None:
+    """K-05, K-09: an explicit replacement: the old folder moves aside under a suffix, the new one is written beside it and renamed."""
+    spark = rows.sparkSession
+    place = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    staging = f"{path.rstrip('/')}.staging"
+    rows.write.mode("overwrite").parquet(staging)
+    if fs.exists(place(path)):
+        if fs.exists(place(path + suffix)):
+            raise FileExistsError(path + suffix)
+        fs.rename(place(path), place(path + suffix))
+    fs.rename(place(staging), place(path))
+
+
+def report(rows: DataFrame, title: str, columns: list[str]) -> str:
+    """K-08: a Markdown table of a small aggregate."""
+    from inkbed.functions.text import markdown_cell
+
+    cells = rows.select(*[markdown_cell(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in columns]).collect()
+    lines = [f"# {title}", "", "| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns)]
+    return "\n".join([*lines, *("| " + " | ".join(r) + " |" for r in cells)]) + "\n"
+
+
+def publishable(files: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
+    """K-10: the files (path) whose name is on the allow list."""
+    return files.filter(F.regexp_extract("path", "([^/]+)$", 1).isin(*allowed))
+
+
+def save(rows: DataFrame, path: str, by: str) -> None:
+    """K-11: rows partitioned by a key; the partitions that they have are replaced, others stay."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """K-11: what save() wrote."""
+    return spark.read.parquet(path)
