@@ -76,3 +76,9 @@ def repeats(rows: DataFrame, by: list[str], order: str, signature: str) -> DataF
     nth = F.row_number().over(w)
     before = F.lag(signature).over(W.partitionBy(*by).orderBy(order))
     return rows.withColumn("nth", nth.cast("bigint")).withColumn("seen_before", F.col("nth") > 1).withColumn("no_op", F.coalesce(before == F.col(signature), F.lit(False)))
+
+
+def capped(rows: DataFrame, by: list[str], order: str, most: int) -> DataFrame:
+    """W-16: rows of repeats() with stop: the cap of ``most`` cycles, else a signature that was there before, else null."""
+    place = F.row_number().over(W.partitionBy(*by).orderBy(order))
+    return rows.withColumn("stop", F.when(place > most, "cycle cap").when(F.col("seen_before"), "repeated signature"))

@@ -113,3 +113,34 @@ def mutation_safety(units: DataFrame, before: DataFrame, after: DataFrame, basel
     lost = before.join(after, ["unit", "concept"], "left_anti").select("unit", "concept", F.lit("deletion").alias("problem"))
     new = after.join(before, ["unit", "concept"], "left_anti").join(baseline, "concept", "left_anti").select("unit", "concept", F.lit("addition").alias("problem"))
     return lost.unionByName(new).join(units, "unit", "left_semi")
+
+
+def rewrite_mutations(units: DataFrame, before: DataFrame, after: DataFrame, baseline: DataFrame, outputs: DataFrame, least: int = 10) -> DataFrame:
+    """U-04: mutation_safety(), concepts that are mentioned only (after has mapping), and outputs (unit, text) of fewer than ``least`` characters."""
+    moved = mutation_safety(units, before.select("unit", "concept"), after.select("unit", "concept").distinct(), baseline)
+    mentioned = after.filter("mapping = 'mention_only'").select("unit", "concept", F.lit("mention_only").alias("problem"))
+    short = units.join(outputs, "unit", "left").filter(F.length(F.trim(F.coalesce("text", F.lit("")))) < least).select("unit", F.lit(None).cast(before.schema["concept"].dataType).alias("concept"), F.lit("truncation").alias("problem"))
+    return moved.unionByName(mentioned).unionByName(short)
+
+
+def revision_failures(rows: DataFrame, key: str, old: str, new: str, protected: list[str], exempt: tuple[str, ...] = ()) -> DataFrame:
+    """U-07: key, failure, what: citations, protected texts and numbers (but for exempt digits) that a revision drops, first-person words that
+    it brings; an empty revision has no other failure."""
+    found = lambda c, p: F.array_distinct(F.regexp_extract_all(F.col(c), F.lit(f"({p})"), F.lit(1)))
+    numbers = lambda c: F.array_distinct(F.filter(F.transform(F.regexp_extract_all(F.col(c), F.lit("([0-9][0-9,.{}\\\\]*[0-9]|[0-9])"), F.lit(1)), lambda n: F.regexp_replace(n, "[{},\\\\]", "")), lambda n: (F.length(n) > 1) | ~n.isin(*exempt, "")))
+    person = lambda c: F.array_distinct(F.regexp_extract_all(F.col(c), F.lit("(?i)\\b(we|us|our|I|me|my)\\b"), F.lit(1)))
+    held = F.filter(F.array(*map(F.lit, protected)).cast("array<string>"), lambda x: F.contains(F.col(old), x) & ~F.contains(F.col(new), x))
+    empty = F.trim(F.col(new)) == ""
+    cases = [
+        ("dropped citation", F.array_except(found(old, "\\\\cite\\{[^}]+\\}"), found(new, "\\\\cite\\{[^}]+\\}"))),
+        ("removed protected object", held),
+        ("dropped number", F.array_except(numbers(old), numbers(new))),
+        ("introduced first person", F.array_except(person(new), person(old))),
+    ]
+    each = F.flatten(F.array(*[_named(name, c) for name, c in cases]))
+    all_ = F.when(empty, F.array(F.struct(F.lit("empty revision").alias("failure"), F.lit("").alias("what")))).otherwise(each)
+    return rows.select(key, F.inline(all_))
+
+
+def _named(name: str, found: Column) -> Column:
+    return F.transform(found, lambda x: F.struct(F.lit(name).alias("failure"), x.alias("what")))

@@ -66,6 +66,29 @@ def section_ranges(lines: DataFrame, key: str, is_heading) -> DataFrame:
     return placed.groupBy(key, "section").agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"))
 
 
+def section_structure(lines: DataFrame, key: str) -> DataFrame:
+    """C-38, J-20: sections and subsections of a file's lines (key, line_no from 1, line) with inclusive line ranges.
+
+    key, title, first_line, last_line, parent (null for a section).  The first section begins at line 1; a file without a section is one,
+    "(entire file)".  A subsection belongs to the section in whose lines it starts and ends with it at the latest; one before all sections
+    belongs to none and is left out.
+    """
+    n = lines.groupBy(key).agg(F.max("line_no").alias("_n"))
+    head = lambda name: F.regexp_extract("line", "\\\\" + name + "\\{([^}]+)\\}", 1)
+    heads = lines.select(key, "line_no", head("section").alias("_s"), head("subsection").alias("_u")).filter("_s != '' OR _u != ''")
+    secs = heads.filter("_s != ''").withColumn("_next", F.lead("line_no").over(W.partitionBy(key).orderBy("line_no"))).join(n, key)
+    secs = secs.select(key, F.trim("_s").alias("title"), F.col("line_no").alias("_at"), F.coalesce(F.col("_next") - 1, "_n").alias("last_line"))
+    none = F.lit(None).cast("string")
+    first = F.when(F.row_number().over(W.partitionBy(key).orderBy("_at")) == 1, F.lit(1)).otherwise(F.col("_at"))
+    sections = secs.select(key, "title", first.cast("bigint").alias("first_line"), F.col("last_line").cast("bigint").alias("last_line"), none.alias("parent"))
+    whole = n.join(secs.select(key).distinct(), key, "left_anti").select(key, F.lit("(entire file)").alias("title"), F.lit(1).cast("bigint").alias("first_line"), F.col("_n").cast("bigint").alias("last_line"), none.alias("parent"))
+    marks = heads.filter("_s = ''").select(key, F.trim("_u").alias("title"), F.col("line_no").alias("_at"))
+    held = marks.join(secs.select(F.col(key).alias("_k"), F.col("title").alias("parent"), F.col("_at").alias("_from"), F.col("last_line").alias("_to")), (F.col(key) == F.col("_k")) & F.col("_at").between(F.col("_from"), F.col("_to")))
+    end = F.lead("_at").over(W.partitionBy(key, "_from").orderBy("_at")) - 1
+    subs = held.select(key, "title", F.col("_at").cast("bigint").alias("first_line"), F.coalesce(end, "_to").cast("bigint").alias("last_line"), "parent")
+    return sections.unionByName(whole).unionByName(subs)
+
+
 def matches(rows: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
     """key, raw, start: each match of a pattern without groups, with its place; the text between matches tells where they are."""
     parts = F.arrays_zip(F.split(text, pattern).alias("gap"), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)).alias("raw"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from inkbed.operators import graph
+from inkbed.operators import graph, segment
 from inkbed.sources import records
 from inkbed.streaming import events as E
 

@@ -430,9 +430,9 @@ def parser_agreement(t):
 
 
 @query("merged_objects", f"""
-WITH {_OBJ} SELECT DISTINCT key AS doc_id, ty AS object_type, substr(sha256(trim(regexp_replace(raw, '[ \\t\\n\\r]+', ' ', 'g'))), 1, 16) AS hash, 'regex+scanner' AS parser_source FROM b""")
+WITH {_OBJ} SELECT key AS doc_id, ty AS object_type, substr(sha256(trim(regexp_replace(raw, '[ \\t\\n\\r]+', ' ', 'g'))), 1, 16) AS hash, 'regex+scanner' AS parser_source, max(start)::BIGINT AS start FROM b GROUP BY ALL""")
 def merged_objects(t):
     m = manuscripts(t("documents"))
     by_regex = _objects(m, "revised").withColumnRenamed("key", "doc_id").select("doc_id", "object_type", "raw", "start")
     by_scan = latex.protected_objects(m, "doc_id", "revised").select("doc_id", "object_type", "raw", "start")
-    return latex.merge_parsers(by_scan, by_regex, "scanner", "regex").select("doc_id", "object_type", "hash", "parser_source")
+    return latex.merge_parsers(by_scan, by_regex, "scanner", "regex").select("doc_id", "object_type", "hash", "parser_source", "start")

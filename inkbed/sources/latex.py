@@ -248,11 +248,17 @@ def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def merge_parsers(a: DataFrame, b: DataFrame, a_name: str, b_name: str) -> DataFrame:
-    """G-12: objects of two parsers, one row for each file, type and collapsed form, with the parsers that found it."""
+    """G-12: objects of two parsers, one row for each file, type and collapsed form, with the parsers that found it.
+
+    Of objects that occur more than once the last one stands for labels, citations and whatever the first parser found; for equations and
+    displays that only the second parser found, the first one does.
+    """
     from inkbed.functions.text import collapse_space
 
     both = a.withColumn("parser", F.lit(a_name)).unionByName(b.withColumn("parser", F.lit(b_name)))
     form = F.substring(F.sha2(collapse_space(F.col("raw")), 256), 1, 16)
-    return both.withColumn("hash", form).groupBy("doc_id", "object_type", "hash").agg(
-        F.array_join(F.sort_array(F.collect_set("parser")), "+").alias("parser_source"), F.min("start").alias("start"), F.min_by("raw", "start").alias("raw")
-    )
+    own, any_ = F.when(F.col("parser") == a_name, F.col("start")), F.col("start")
+    last = F.col("object_type").isin("label", "citation") | F.max(own).isNotNull()
+    best = F.when(F.col("object_type").isin("label", "citation"), F.max(any_)).when(F.max(own).isNotNull(), F.max(own)).otherwise(F.min(any_))
+    raw = F.when(last, F.max_by("raw", "start")).otherwise(F.min_by("raw", "start"))
+    return both.withColumn("hash", form).groupBy("doc_id", "object_type", "hash").agg(F.array_join(F.sort_array(F.collect_set("parser")), "+").alias("parser_source"), best.alias("start"), raw.alias("raw"))

@@ -291,3 +291,44 @@ def save(rows: DataFrame, path: str, by: str) -> None:
 def load(spark: SparkSession, path: str) -> DataFrame:
     """K-11: what save() wrote."""
     return spark.read.parquet(path)
+
+
+def manifest_objects(rows: DataFrame, key: str, json: str) -> DataFrame:
+    """S-04: the five lists of a protected-object manifest stacked: key, object_type, hash, content, line."""
+    kinds = {"equations": "equation", "labels": "label", "citations": "citation", "displaymath": "displaymath", "tables": "table"}
+    own = rows.select(key, F.from_json(json, ", ".join(f"{n} ARRAY<STRUCT<hash: STRING, content: STRING, line: BIGINT>>" for n in kinds)).alias("m"))
+    none = F.array().cast("array<struct<hash:string,content:string,line:bigint>>")
+    tagged = [_tagged(F.coalesce(f"m.{n}", none), k) for n, k in kinds.items()]
+    return own.select(key, F.inline(F.concat(*tagged)))
+
+
+def _tagged(found, kind: str):
+    return F.transform(found, lambda x: F.struct(F.lit(kind).alias("object_type"), x["hash"].alias("hash"), x["content"].alias("content"), x["line"].alias("line")))
+
+
+def json_page(rows: DataFrame, key: str, json: str, terms: tuple[str, ...]) -> DataFrame:
+    """S-10: key, title, year of the records of JSON pages (results) whose title or abstract holds one of the terms."""
+    found = rows.select(key, F.explode(F.from_json(json, "results ARRAY<STRUCT<title: STRING, displaydate: STRING, abstract: STRING>>")["results"]).alias("r"))
+    text = F.lower(F.concat_ws(" ", "r.title", "r.abstract"))
+    wanted = found.filter(F.exists(F.array(*map(F.lit, terms)), lambda w: F.contains(text, w)))
+    return wanted.select(key, F.coalesce("r.title", F.lit("")).alias("title"), F.regexp_extract(F.coalesce("r.displaydate", F.lit("")), "\\b((?:19|20)[0-9]{2})\\b", 1).alias("year"))
+
+
+def html_anchors(pages: DataFrame, key: str, pattern: str) -> DataFrame:
+    """S-09: url, title, key of links (pattern: address and title as groups); of an address the first link wins."""
+    both = F.arrays_zip(F.regexp_extract_all("html", F.lit(pattern), F.lit(1)).alias("u"), F.regexp_extract_all("html", F.lit(pattern), F.lit(2)).alias("t"))
+    links = pages.select(key, F.posexplode(both).alias("_i", "x"))
+    first = F.min(F.struct(F.col(key).alias("k"), "_i", F.trim("x.t").alias("t")))
+    return links.groupBy(F.col("x.u").alias("url")).agg(first.alias("_f")).select("url", F.col("_f.t").alias("title"), F.col("_f.k").alias(key))
+
+
+def file_census(files: DataFrame, by: str, top: int = 5) -> DataFrame:
+    """S-24: files, test files and the commonest suffixes (by count, then name) of each group of paths."""
+    from pyspark.sql import Window as W
+
+    name = F.regexp_extract("path", "([^/]+)$", 1)
+    suffix = F.lower(F.regexp_extract(name, "^.+(\\.[^.]+)$", 1))
+    own = files.select(by, suffix.alias("_s"), (F.contains(F.lower(name), F.lit("test")) | F.col("path").rlike("(^|/)tests/")).alias("_t"))
+    counts = own.filter("_s != ''").groupBy(by, "_s").agg(F.count("*").alias("_n")).withColumn("_r", F.row_number().over(W.partitionBy(by).orderBy(F.desc("_n"), "_s"))).filter(F.col("_r") <= top)
+    listed = counts.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("_r", "_s", "_n"))).alias("_l")).select(by, F.array_join(F.transform("_l", lambda x: F.concat(x["_s"], F.lit(":"), x["_n"].cast("string"))), ", ").alias("languages"))
+    return own.groupBy(by).agg(F.count("*").alias("files"), F.count_if("_t").alias("tests")).join(listed, by, "left")
