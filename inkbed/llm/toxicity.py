@@ -27,6 +27,7 @@ or none all scores are 0; an empty table gives an empty one.
 from __future__ import annotations
 
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -179,7 +180,7 @@ def text_decisions(data: np.ndarray, offsets: np.ndarray, model: Model) -> np.nd
     while at < len(of):  # pieces of bounded size together
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE, "right")) - 1)
         s, starts = sequence(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
-        found = np.maximum.reduceat(span_decisions(s, model.table, model.bias)[0], starts - 1)
+        found = np.maximum.reduceat(span_decisions(s, model.table, model.bias)[0], starts - PAD + 1)
         np.maximum.at(out, of[at:to], found)
         at = to
     return out
@@ -242,11 +243,12 @@ def _copies(docs: list[np.ndarray]) -> np.ndarray:
     least = []
     for padded in docs:
         s = padded[PAD - 1 : len(padded) - PAD + 1]
-        h, n = np.zeros(max(0, len(s) - 11), np.uint64), len(s)
+        n = max(0, len(s) - 11)
+        h = np.zeros(n, np.uint64)
         for j in range(12):
-            h = h * np.uint64(0x100000001B3) + s[j : n - 11 + j].astype(np.uint64)
+            h = h * np.uint64(0x100000001B3) + s[j : j + n].astype(np.uint64)
         h *= np.uint64(0x9E3779B97F4A7C15)
-        least.append(int((h ^ (h >> np.uint64(32))).min()) if len(h) else hash(s.tobytes()))
+        least.append(int((h ^ (h >> np.uint64(32))).min()) if n else zlib.crc32(s.tobytes()))
     _, at, counts = np.unique(np.array([x & (2**63 - 1) for x in least]), return_inverse=True, return_counts=True)
     return counts[at]
 
@@ -260,7 +262,7 @@ def _first_weights(docs: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray
     n = np.maximum(pos + neg, 1e-9)
     seen = np.clip(pos / n, 1e-9, 1 - 1e-9)
     gain = n * (seen * np.log(seen / base) + (1 - seen) * np.log((1 - seen) / (1 - base)))
-    return np.where((pos > base * n) & (gain > np.log(len(docs)) / 2), gain, 0.0)
+    return np.where((pos > base * n) & (gain > np.log(max(2.0, weight.sum())) / 2), gain, 0.0)
 
 
 def stretched(s: np.ndarray, rng: np.random.Generator) -> list[np.ndarray]:

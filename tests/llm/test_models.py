@@ -129,6 +129,18 @@ def test_toxicity_of_odd_texts(insults):
     assert len(scores(insults, ["dumbo"] * 3)) == 3
 
 
+def test_toxicity_of_neighbours(insults):
+    """A score is that of the text alone."""
+    texts = ["an the", "dumbo", "", "or scumbag", None, "re", "moronic", "th"]
+    assert scores(insults, texts).tolist() == [float(scores(insults, [t])[0]) for t in texts]
+
+
+def test_toxicity_learns_from_texts_of_any_size():
+    short = ["", "a", "dumbo", "the or", "the dumbo an", "7", "one two thr", "one two thre", "you dumbo", "an the or ing re th er on"] * 4
+    model = toxicity.train(short, np.array([int("dumbo" in t) for t in short]))
+    assert (scores(model, ["dumbo", "an the", "", "x dumbo y"]) >= 0.5).tolist() == [True, False, False, True]
+
+
 def test_toxicity_held_out(spark):
     """Folds that are not learned from, on the tables."""
     sf = "/root/testdata/sf0.01"
