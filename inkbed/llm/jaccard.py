@@ -357,8 +357,8 @@ def _tiles(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return whole.groupBy("hub", "size", "i", "j").applyInPandas(_tile(percent), "a bigint, b bigint").distinct()
 
 
-def classes_and_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(profiles, links): doc_id, class, n and least (the class's least doc_id) of every document; linked classes (a, b).
+def classes_and_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(profiles, classes, links): doc_id, class and n of every document; class and least (its least doc_id); linked classes (a, b).
 
     Links are as many as it takes to connect all that is connected; copies are links of their class.
     """
@@ -424,18 +424,19 @@ def classes_and_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFram
     open_ = kept(groups.join(largest, "hub"), "open")
     more = kept(_tiles(open_, sets, percent), "links")
     discard(first, lists, largest, open_, sets)
-    return profiles.join(classes.select("class", "least"), "class"), links.unionByName(more)
+    return profiles, classes.select("class", "least"), links.unionByName(more)
 
 
 def grouped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """For each document: doc_id, class, n_shingles, part (the least class that links lead to) and component_id."""
-    profiles, links = classes_and_links(docs, percent)
+    profiles, classes, links = classes_and_links(docs, percent)
     found = components(links).select(F.col("node").alias("class"), F.col("component").alias("part"))
-    named = found.join(profiles.select("class", "least").distinct(), "class")
-    found = found.join(named.groupBy("part").agg(F.min("least").alias("_least")), "part")
-    rows = profiles.join(found, "class", "left")
-    own = F.when(F.col("n") > 0, F.coalesce("_least", "least")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", "class", F.col("n").alias("n_shingles"), F.coalesce("part", "class").alias("part"), own.alias("component_id"))
+    least = kept(found.join(classes, "class").groupBy("part").agg(F.min("least").alias("_least")), "least")
+    found = kept(found.join(least, "part"), "named")
+    # written before the join with all documents, so that a class of many copies can be split there
+    names = kept(classes.join(found, "class", "left").select("class", F.coalesce("part", "class").alias("part"), F.coalesce("_least", "least").alias("_least")), "names")
+    own = F.when(F.col("n") > 0, F.col("_least")).otherwise(F.col("doc_id"))
+    return profiles.join(names, "class").select("doc_id", "class", F.col("n").alias("n_shingles"), "part", own.alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

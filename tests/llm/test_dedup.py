@@ -269,3 +269,28 @@ def test_near_duplicates_with_repeated_and_missing_ids(spark, sf_dir):
     assert [(i, t.removesuffix(" end")) for i, t in got] == want
     rows = jaccard.near_duplicates(docs(spark, pairs)).collect()
     assert sorted(r.component_id for r in rows if r.doc_id == 8) == [3, 8, 8] and {r.component_id for r in rows if r.doc_id in (5, 6)} == {5}
+
+
+def test_very_long_texts(spark):
+    """Texts that are read in pieces or slices of their own give what short ones give."""
+    rng = random.Random(8)
+    words = [f"{rng.randrange(10**6)}" for _ in range(330_000)]
+    long_ = " ".join(words)
+    assert len(long_) > 2 * suffixes.PIECE
+    pairs = [(1, long_), (2, "x " + long_), (3, " ".join(words[1000:1040])), (4, "short one")]
+    table = docs(spark, pairs)
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(table).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+    cut = {r.doc_id: (r.n_removed, r.n_spans) for r in suffixes.removed(table).collect()}
+    assert cut == {1: (0, 0), 2: (len(long_), 1), 3: (len(pairs[2][1]), 1), 4: (0, 0)}
+
+
+def test_pipeline_of_documents_without_ids(spark, sf_dir):
+    """Documents without doc_id go through all stages and are judged by their own text."""
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").filter("length(text) > 200").first().text
+    clean = "the cat sat on the mat and the dog lay at the door of the house by the sea"
+    out = docs(spark, [(None, item), (None, clean), (None, None), (1, clean + " again"), (1, "an other text of the same number with some more words in it")])
+    for name, stage in corpus_pipeline.STAGES:
+        out = corpus_pipeline.kept(stage(spark, out, sf_dir))
+    rows = out.collect()
+    assert sorted((r.doc_id or 0, r.size) for r in rows) == [(0, 19), (1, 13), (1, 20)]
