@@ -143,3 +143,43 @@ def _free(text: str, raw: str, line: int | None, starts: list[int], taken: set[i
         return None
     taken.add(at)
     return at
+
+
+def text_rules(rows: DataFrame, key: str, text: str, rules: list[tuple[str, str, object]]) -> DataFrame:
+    """V-21: key, name, ok of each rule (name, kind, argument) on the text before its appendix.
+
+    Kinds: headings (all of them are chapters or sections), require and forbid (phrases, in any case and spacing), forbid_pattern, at_most
+    ((pattern, n)), words ((least, most), prose words), cited (all cited keys are among them).  A null text passes nothing.
+    """
+    from inkbed.functions import text as T
+
+    own = rows.select(key, T.main_route(F.col(text)).alias("_t"))
+    flat = F.lower(T.collapse_space(F.col("_t")))
+    heads = F.regexp_extract_all("_t", F.lit("(?m)^\\\\(?:chapter|section)\\{([^}]*)\\}"), F.lit(1))
+    holds = lambda phrases: [F.contains(flat, F.lit(p.lower())) for p in phrases]
+
+    def all_of(found: list[Column]) -> Column:
+        out = F.lit(True)
+        for c in found:
+            out = out & c
+        return out
+
+    def check(kind: str, x) -> Column:
+        if kind == "headings":
+            return F.size(F.array_except(F.array(*map(F.lit, x)), heads)) == 0
+        if kind == "require":
+            return all_of(holds(x))
+        if kind == "forbid":
+            return all_of([~c for c in holds(x)])
+        if kind == "forbid_pattern":
+            return ~F.col("_t").rlike(x)
+        if kind == "at_most":
+            return F.regexp_count("_t", F.lit(x[0])) <= x[1]
+        if kind == "words":
+            return T.prose_word_count(F.col("_t")).between(*x)
+        if kind == "cited":
+            return F.size(F.array_except(T.citation_keys(F.col("_t")), F.array(*map(F.lit, x)).cast("array<string>"))) == 0
+        raise ValueError(f"no such kind of rule: {kind}")
+
+    found = F.array(*[F.struct(F.lit(n).alias("name"), F.coalesce(check(k, x), F.lit(False)).alias("ok")) for n, k, x in rules])
+    return own.select(key, F.inline(found))

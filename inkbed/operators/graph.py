@@ -6,6 +6,8 @@ greedy packing) runs for one graph at a time in a worker; everything else is joi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -171,18 +173,22 @@ def label_components(links: DataFrame) -> DataFrame:
 def pack_units(rows: DataFrame, most: float) -> DataFrame:
     """N-09, A-19: units in order; a unit closes when the next item would take its estimate (words * 1.5) over ``most``.
 
-    rows: grp, pos, item, words.  Greedy, so each group is one task's.
+    rows: grp, pos, item, words.  Greedy, so a group is a row with a sorted list, of which a worker takes many at once; groups should be
+    documents or jobs, not whole sources.
     """
     import pandas as pd
 
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        unit, words, units = 0, 0, []
-        frame = frame.sort_values(["pos", "item"], kind="stable")
-        for w in frame["words"]:
-            if words and int((words + w) * 1.5) > most:
-                unit, words = unit + 1, 0
-            words += w
-            units.append(unit)
-        return frame.assign(unit=units)[["grp", "unit", "pos", "item", "words"]]
-
-    return rows.groupBy("grp").applyInPandas(pack, "grp string, unit bigint, pos bigint, item bigint, words bigint")
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for grp, items in zip(f["grp"], f["_l"], strict=True):
+                unit, words = 0, 0
+                for x in items:
+                    if words and int((words + x["words"]) * 1.5) > most:
+                        unit, words = unit + 1, 0
+                    words += x["words"]
+                    out.append((grp, unit, x["pos"], x["item"], x["words"]))
+            yield pd.DataFrame(out, columns=["grp", "unit", "pos", "item", "words"])
+
+    listed = rows.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("pos", "item", "words"))).alias("_l"))
+    return listed.mapInPandas(pack, "grp string, unit bigint, pos bigint, item bigint, words bigint")

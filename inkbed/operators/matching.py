@@ -20,32 +20,37 @@ def kth_match(a: DataFrame, b: DataFrame, keys: list[str], order: str = "start")
 def nearest_greedy(a: DataFrame, b: DataFrame, keys: list[str], most: int) -> DataFrame:
     """J-13: one to one, in a's order: each takes the nearest b of its keys that is free and nearer than ``most``; ties: the earlier b.
 
-    a and b have keys, id and at.  Greedy choice needs the order, so each group of keys is one task's.
+    a and b have keys, id and at.  Greedy choice needs the order, so each group of keys is a row of two sorted lists, of which a worker
+    takes many at once.  Groups that lack a side are gone before.
     """
     import pandas as pd
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in a.select(*keys).schema.fields] + ["a_id bigint", "b_id bigint", "distance bigint"])
+    listed = lambda rows, name: rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("at").alias("a"), F.col("id").alias("i")))).alias(name))
+    kinds = a.select(*keys).schema.fields
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kinds] + ["a_id bigint", "b_id bigint", "distance bigint"])
 
-    def match(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def match(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import bisect
 
-        if left.empty or right.empty:
-            return pd.DataFrame([], columns=[*keys, "a_id", "b_id", "distance"])
-        free = sorted(zip(right["r_at"].tolist(), right["r_id"].tolist(), strict=True))
-        out = []
-        for at, i in sorted(zip(left["at"].tolist(), left["id"].tolist(), strict=True)):
-            p = bisect.bisect_left(free, (at,))
-            near = [(abs(free[q][0] - at), free[q][0], q) for q in (p - 1, p) if 0 <= q < len(free)]
-            if near and (best := min(near))[0] < most:
-                q = best[2]
-                while q and free[q - 1][0] == free[q][0]:
-                    q -= 1
-                out.append((*key, i, free[q][1], best[0]))
-                del free[q]
-        return pd.DataFrame(out, columns=[*keys, "a_id", "b_id", "distance"])
-
-    right_side = b.select(*[F.col(k).alias(f"r_{k}") for k in keys], F.col("id").alias("r_id"), F.col("at").alias("r_at"))
-    return a.groupBy(*keys).cogroup(right_side.groupBy(*[f"r_{k}" for k in keys])).applyInPandas(match, schema)
+        for f in frames:
+            out = []
+            for *key, left, right in zip(*(f[c] for c in [*keys, "_l", "_r"]), strict=True):
+                free = [(x["a"], x["i"]) for x in right]
+                for x in left:
+                    at = x["a"]
+                    p = bisect.bisect_left(free, (at,))
+                    near = [(abs(free[q][0] - at), free[q][0], q) for q in (p - 1, p) if 0 <= q < len(free)]
+                    if near and (best := min(near))[0] < most:
+                        q = best[2]
+                        while q and free[q - 1][0] == free[q][0]:
+                            q -= 1
+                        out.append((*key, x["i"], free[q][1], best[0]))
+                        del free[q]
+            yield pd.DataFrame(out, columns=[*keys, "a_id", "b_id", "distance"])
+
+    renamed = listed(b, "_r").select(*[F.col(k).alias(f"_{k}") for k in keys], "_r")
+    same = [F.col(k) == F.col(f"_{k}") for k in keys]
+    return listed(a, "_l").join(renamed, same).select(*keys, "_l", "_r").mapInPandas(match, schema)
 
 
 def correspondence(a: DataFrame, b: DataFrame, most: int = 1000) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkbed.functions import text as T
-from inkbed.operators import gates, intervals, matching, planning, readiness, segment
+from inkbed.operators import audit, gates, intervals, matching, planning, readiness, segment
 from inkbed.sources import latex, records
 
 from .base import LINES, MANUSCRIPTS, manuscripts, query
@@ -201,3 +201,20 @@ def unit_words(t):
 def objects_by_type(t):
     """A-02: counts by type."""
     return latex.protected_objects(manuscripts(t("documents"))).groupBy("object_type").agg(F.count("*").alias("n"))
+
+
+@query("document_rules", """
+WITH d AS (SELECT doc_id, doc_id % 8 AS k FROM documents), n AS (SELECT unnest(['headings', 'require', 'forbid', 'pattern', 'template', 'words', 'cited']) AS name, unnest(range(7)) AS i) SELECT doc_id, name, k <> i AS ok FROM d, n""")
+def document_rules(t):
+    """V-21: seven kinds of rules on texts of which each breaks one or none."""
+    b, k = "\\", F.col("doc_id") % 8
+    part = lambda i, good, bad: F.when(k == i, F.lit(bad)).otherwise(F.lit(good))
+    text = F.concat(
+        part(0, f"{b}chapter{{One}}\n{b}section{{Two}}\n", f"{b}chapter{{One}}\n"), part(1, "The  Claim\nholds. ", "It holds. "), part(2, "plain ", "Search\nevents: "), part(3, "done ", "WP3 "), part(4, "so so ", "so so so "),
+        F.when(k == 5, F.lit("")).otherwise(F.repeat(F.lit("word "), F.lit(20))), part(6, f"{b}cite{{a, b}}", f"{b}cite{{a, c}}"), F.lit(f"{b}appendix WP4 search events {b}cite{{z}}"),
+    )
+    rules = [
+        ("headings", "headings", ["One", "Two"]), ("require", "require", ["the claim holds"]), ("forbid", "forbid", ["search events:"]), ("pattern", "forbid_pattern", "\\bWP[0-9]"),
+        ("template", "at_most", ("\\bso\\b", 2)), ("words", "words", (20, 60)), ("cited", "cited", ["a", "b"]),
+    ]
+    return audit.text_rules(t("documents").select("doc_id", text.alias("x")), "doc_id", "x", rules)

@@ -182,3 +182,23 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     batch = E.tumbling(spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")))
     assert spark.table("tumbling").agg(F.sum("n")).first()[0] == batch.agg(F.sum("n")).first()[0]
     assert spark.table("tumbling").count() == batch.count()
+
+
+def test_other_streams_equal_batch(spark, sf_dir, tmp_path):
+    """Sliding windows, sessions and deduplication over a folder of two files that overlap."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    folder = str(tmp_path / "events")
+    events.filter("event_id % 2 = 0").coalesce(1).write.parquet(folder)
+    events.filter("event_id % 3 = 0").coalesce(1).write.mode("append").parquet(folder)
+    read = lambda: E.read_events(spark, folder, 1)
+    batch = spark.read.parquet(folder)
+    late = "3650 days"
+
+    def run(rows, name, mode):
+        q = rows.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return spark.table(name)
+
+    assert run(E.sliding(read(), late=late), "sliding", "complete").agg(F.count("*"), F.sum("n")).first() == E.sliding(batch).agg(F.count("*"), F.sum("n")).first()
+    assert run(E.user_sessions(read(), late=late), "sessions", "complete").agg(F.count("*"), F.sum("n")).first() == E.user_sessions(batch).agg(F.count("*"), F.sum("n")).first()
+    assert run(E.deduplicated(read(), late=late), "once", "append").count() == E.deduplicated(batch).count() < batch.count()
