@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer text is a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 #: False for the white space that separates words: space and 0x09 to 0x0D.
 WORD_BYTE = np.ones(256, bool)

@@ -46,7 +46,7 @@ FLUSH_BYTES, PACK_BYTES = 16 << 20, 8 << 20
 #: Bytes of runs in a bucket: so many on average, and at most in one task at a time.
 BUCKET_BYTES, MOST_BYTES = 1 << 20, 4 << 20
 #: Bytes of a very long text that are read at once.
-PIECE = 1 << 20
+PIECE = 1 << 19
 #: Bits of a row's place for its windows and its anchor, and the anchors that mark a span that is covered and a mere mark.
 PLACE_BITS, COVERED, MARK = 12, (1 << 12) - 1, (1 << 12) - 2
 

@@ -51,7 +51,7 @@ SPANS = {1: (7, 14, 24), 2: (4, 7), 3: (4, 7)}
 NONE, BLANK, BITS = 0, 1, 6
 PAD = max(step * (sizes[-1] + 2) for step, sizes in SPANS.items()) + 2 * STEPS[-1]
 #: Bytes of a very long text that are read at once, and how far pieces overlap.
-PIECE, OVERLAP = 1 << 20, 1 << 12
+PIECE, OVERLAP = 1 << 19, 1 << 12
 #: (second symbol's place, third one's, weight): all of them for the text as it is, neighbours for every second or third symbol.
 PATTERNS = {step: [(a, a + b, DECAY ** (a + b - 2)) for a in STEPS for b in STEPS] if step == 1 else [(1, 2, 1.0)] for step in SPANS}
 
