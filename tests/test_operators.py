@@ -1,4 +1,5 @@
 import random
+import re
 import shutil
 
 from pyspark.sql import functions as F
@@ -202,3 +203,44 @@ def test_other_streams_equal_batch(spark, sf_dir, tmp_path):
     assert run(E.sliding(read(), late=late), "sliding", "complete").agg(F.count("*"), F.sum("n")).first() == E.sliding(batch).agg(F.count("*"), F.sum("n")).first()
     assert run(E.user_sessions(read(), late=late), "sessions", "complete").agg(F.count("*"), F.sum("n")).first() == E.user_sessions(batch).agg(F.count("*"), F.sum("n")).first()
     assert run(E.deduplicated(read(), late=late), "once", "append").count() == E.deduplicated(batch).count() < batch.count()
+
+
+def test_queries_without_sql_by_hand(spark, sf_dir):
+    """On the tables: greedy matches, packed units, split trees and list items."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("user_id", "event_id", "event_type", "CAST(unix_micros(CAST(ts AS TIMESTAMP)) / 1000 AS BIGINT) AS at").collect()
+    want = set()
+    for user in {r.user_id for r in events}:
+        of = lambda kind: sorted((r.at, r.event_id) for r in events if r.user_id == user and r.event_type == kind)  # noqa: B023, E731
+        free = of("view")
+        for at, i in of("click"):
+            best = min(((abs(a - at), a, j) for a, j in free), default=None)
+            if best and best[0] < 600_000:
+                want.add((user, i, best[2], best[0]))
+                free.remove(best[1:])
+    assert {tuple(r) for r in registry.QUERIES["nearest_match"](spark, sf_dir).collect()} == want
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    units, leaves = set(), {}
+    for i, text in texts.items():
+        unit, total = 0, 0
+        lines = (text or "").split("\n")
+        for n, line in enumerate(lines):
+            words = len(re.findall("[^ \n]+", line))
+            if total and int((total + words) * 1.5) > 200:
+                unit, total = unit + 1, 0
+            total += words
+            units.add((str(i), unit, n, n, words))
+        sizes = [len(x) + (n < len(lines) - 1) for n, x in enumerate(lines)]
+
+        def split(part, leaf, depth, i=i, sizes=sizes):
+            if depth == 3 or len(part) == 1 or sum(sizes[n] for n in part) <= 1500:
+                leaves[(i, leaf)] = (len(part), sum(sizes[n] for n in part))
+                return
+            for half in (0, 1):
+                split([n for at, n in enumerate(part) if at * 2 // len(part) == half], f"{leaf}{half}", depth + 1)
+
+        split(list(range(len(lines))), "", 0)
+    assert {tuple(r) for r in registry.QUERIES["unit_binpack"](spark, sf_dir).collect()} == units
+    assert {(r.doc_id, r.leaf): (r["lines"], r.chars) for r in registry.QUERIES["split_tree_leaves"](spark, sf_dir).collect()} == leaves
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
+    items = sorted((p.page_id, u, t) for p in pages for u, t in re.findall(r'<li><a href="([^"]*)">([^<]+)</a></li>', p.html or ""))
+    assert sorted((r.page_id, r.url, r.title) for r in registry.QUERIES["html_list_items"](spark, sf_dir).collect()) == items
