@@ -32,7 +32,7 @@ def object_normal_forms(t):
 
 
 @query("escaped_texts", """
-SELECT doc_id, 'a' || chr(92) || '_b' || chr(92) || '%' || chr(92) || '{' || source || chr(92) || '}' || chr(92) || 'textbackslash{}' AS tex, source || chr(92) || '| x' AS cell, 'http://e/' || source || chr(92) || '%20' || chr(92) || '_' AS url, regexp_replace(left(text, 200), '[^' || chr(1) || '-' || chr(127) || ']', '', 'g') AS ascii FROM documents""")
+SELECT doc_id, 'a' || chr(92) || '_b' || chr(92) || '%' || chr(92) || '{' || source || chr(92) || '}' || chr(92) || 'textbackslash{}' AS tex, source || chr(92) || '| x' AS cell, 'http://e/' || source || chr(92) || '%20' || chr(92) || '_' AS url, sha256(regexp_replace(text, '[^' || chr(1) || '-' || chr(127) || ']', '', 'g')) AS ascii FROM documents""")
 def escaped_texts(t):
     """C-13."""
     return t("documents").select(
@@ -40,7 +40,7 @@ def escaped_texts(t):
         T.tex_escape(F.concat(F.lit("a_b%{"), "source", F.lit("}\\"))).alias("tex"),
         T.markdown_cell(F.concat("source", F.lit("|\nx"))).alias("cell"),
         T.url_escape(F.concat(F.lit("http://e/"), "source", F.lit("%20_"))).alias("url"),
-        T.ascii_only(F.substring("text", 1, 200)).alias("ascii"),
+        F.sha2(T.ascii_only(F.col("text")), 256).alias("ascii"),
     )
 
 

@@ -100,8 +100,8 @@ def test_levels_with_cycles(spark):
     assert {(r.node, r.level) for r in rows} == {(0, 0), (4, 1)}
 
 
-def test_order_components_by_hand(spark, sf_dir, tmp_path):
-    """All of lineitem, and a fixture of several components with orders and parts that the filter of span_components leaves out."""
+def test_span_components_by_hand(spark, sf_dir, tmp_path):
+    """All of lineitem, and a fixture of several components."""
     for lines in (spark.read.parquet(f"{sf_dir}/lineitem.parquet"), spark.createDataFrame([(1, 2), (900, 2), (900, 3), (7, 3), (500, 4), (501, 4), (600, 5)], "l_orderkey bigint, l_partkey bigint")):
         path = f"{tmp_path}/{len(lines.columns)}"
         lines.write.parquet(f"{path}/lineitem.parquet")
@@ -117,7 +117,7 @@ def test_order_components_by_hand(spark, sf_dir, tmp_path):
             one, other = find((1, r.l_partkey)), find((0, r.l_orderkey))
             root[max(one, other)] = min(one, other)  # orders sort before parts
         want = {x[1]: find(x)[1] for x in root if not x[0]}
-        got = registry.QUERIES["order_components"](spark, path).collect()
+        got = registry.QUERIES["span_components"](spark, path).collect()
         assert len(got) == len(want) and {r.node: r.component for r in got} == want
 
 
