@@ -118,4 +118,36 @@ SELECT pair_id, n_common::BIGINT AS n_common, coalesce(prompt, '') AS prompt, co
 FROM n LEFT JOIN p USING (pair_id) LEFT JOIN c USING (pair_id) LEFT JOIN j USING (pair_id)
 """
 
-ORACLES = {"op1_quality": OP1, "quality_ablation": ABLATION, "op2_mixing": OP2, "op7_decontamination": OP7, "op8_chat": OP8}
+OP11 = f"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {WORD}) AS w FROM documents),
+least AS (SELECT text, min(doc_id) AS first FROM w GROUP BY text),
+good AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+d AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         (CASE WHEN len(w) < 200 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END)
+         || (CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 2 * length(text) THEN 'C' ELSE '' END)
+         || (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN w.doc_id > first THEN 'E' ELSE '' END) AS failed
+  FROM w JOIN least USING (text) LEFT JOIN good ON good.doc_id = w.doc_id
+),
+h AS (SELECT part, failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM d GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a JOIN f b ON b.x <> a.x JOIN f c ON c.x NOT IN (a.x, b.x) JOIN f d ON d.x NOT IN (a.x, b.x, c.x) JOIN f e ON e.x NOT IN (a.x, b.x, c.x, d.x)
+),
+steps AS (SELECT filter_order, s::INT AS step, substr(filter_order, s, 1) AS letter, substr(filter_order, 1, s - 1) AS before FROM orders, range(1, 6) r(s)),
+masks AS (SELECT DISTINCT failed FROM h),
+told AS (
+  SELECT filter_order, step, letter, failed, contains(failed, letter) AS fails, failed = letter AS alone,
+         length(translate(failed, before, '')) < length(failed) AS gone FROM steps CROSS JOIN masks
+),
+o AS (
+  SELECT part, filter_order, step, letter, sum(CASE WHEN NOT gone AND NOT fails THEN n ELSE 0 END) AS kept, sum(CASE WHEN NOT gone AND fails THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN gone AND fails THEN n ELSE 0 END) AS redundant, sum(CASE WHEN alone THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN NOT gone AND fails THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN NOT gone AND fails THEN toxic ELSE 0 END) AS toxic_lost
+  FROM told JOIN h USING (failed) GROUP BY ALL
+)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM o
+"""
+
+ORACLES = {"op1_quality": OP1, "quality_ablation": ABLATION, "op2_mixing": OP2, "op7_decontamination": OP7, "op8_chat": OP8, "op11_filteraudit": OP11}

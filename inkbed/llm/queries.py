@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, jaccard, langid, mixing, quality, suffixes, tokencount, toxicity, warc
+from . import chat, decontamination, filteraudit, jaccard, langid, mixing, nested, quality, sharding, suffixes, tokencount, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +85,19 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, ("doc_id", "held_out"))
 
 
+def op11_filteraudit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shuffled(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.clicks_schema(_table(spark, sf_dir, "clicks"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "quality_ablation": quality_ablation,
@@ -97,4 +110,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_tokencount": op9_tokencount,
     "op10_langid": op10_langid,
+    "op11_filteraudit": op11_filteraudit,
+    "op12_sharding": op12_sharding,
+    "op13_nested": op13_nested,
 }
