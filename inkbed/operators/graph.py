@@ -1,17 +1,19 @@
 """Dependency graphs: edges, levels, order checks, exact topological order, cycles, components, greedy packing.
 
-Edges are (graph, dependent, prerequisite).  What depends on the order of choices (the smallest ready node first,
-greedy packing) runs for one graph at a time in a worker; everything else is joins.
+Edges are (graph, dependent, prerequisite).  A graph may be of any size: what depends on the order of choices (the smallest ready node
+first, a depth-first walk) runs for one component at a time in a worker; everything else is joins.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkbed.session import ensure_checkpoints
+from inkbed.session import ensure_checkpoints, written
+
+from .ordered import running
+from .scc import strong_components
 
 
 def array_edges(concepts: DataFrame, graph: str, node: str, prerequisites: str) -> DataFrame:
@@ -67,87 +69,101 @@ def order_violations(edges: DataFrame, positions: DataFrame, strict: bool = Fals
 
 
 def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """N-03: position of each node, the smallest ready one first; a graph with a cycle has none; edges to unknown nodes don't count."""
+    """N-03: position of each node, the smallest ready one first; a graph with a cycle has none; edges to unknown nodes don't count.
+
+    Weak components are ordered alone, each by a heap.  A heap over all of them is a merge of their orders, which always takes the least
+    head; a node that stands behind a greater one of its component follows that one at once.  So the whole order is that of the
+    running maximum in the component, and positions are ranks in one distributed sort.  No task has more than a component.
+    """
     import pandas as pd
 
     def order(key: tuple, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         import heapq
 
-        known = set(n["node"].tolist())
-        needs = {x: 0 for x in known}
-        gives: dict = {x: [] for x in known}
-        for d, p in set(zip(e["dependent"].tolist(), e["prerequisite"].tolist(), strict=True)):
-            if d in known and p in known:
-                needs[d] += 1
-                gives[p].append(d)
+        needs = dict.fromkeys(n["node"].tolist(), 0)
+        gives: dict = {x: [] for x in needs}
+        for d, p in zip(e["dependent"].tolist(), e["prerequisite"].tolist(), strict=True):
+            needs[d] += 1
+            gives[p].append(d)
         ready = [x for x, k in needs.items() if not k]
         heapq.heapify(ready)
-        out = []
+        out, peak = [], None
         while ready:
             x = heapq.heappop(ready)
-            out.append(x)
+            peak = x if peak is None else max(peak, x)
+            out.append((key[0], x, peak, len(out)))
             for d in gives[x]:
                 needs[d] -= 1
                 if not needs[d]:
                     heapq.heappush(ready, d)
-        rows = [(key[0], x, i) for i, x in enumerate(out)] if len(out) == len(known) else []
-        return pd.DataFrame(rows, columns=["graph", "node", "position"])
-
-    return nodes.groupBy("graph").cogroup(edges.groupBy("graph")).applyInPandas(order, "graph bigint, node bigint, position bigint")
+        if len(out) < len(needs):
+            out = [(key[0], None, None, None)]
+        return pd.DataFrame(out, columns=["graph", "node", "peak", "at"]).astype({"node": "Int64", "peak": "Int64", "at": "Int64"})
+
+    known = nodes.select("graph", "node").filter("graph IS NOT NULL AND node IS NOT NULL").distinct().transform(written)
+    ends = lambda c: known.select("graph", F.col("node").alias(c))
+    met = edges.select("graph", "dependent", "prerequisite").distinct().join(ends("dependent"), ["graph", "dependent"], "left_semi").join(ends("prerequisite"), ["graph", "prerequisite"], "left_semi").transform(written)
+    pair = lambda c: F.struct(F.col("graph"), F.col(c).alias("node"))
+    labels = label_components(met.select(pair("dependent").alias("a"), pair("prerequisite").alias("b")))
+    linked = labels.select("node.graph", "node.node", F.col("component.node").alias("component")).transform(written)
+    own = met.join(linked.select("graph", F.col("node").alias("dependent"), "component"), ["graph", "dependent"]).transform(written)
+    placed = linked.groupBy("graph", "component").cogroup(own.groupBy("graph", "component")).applyInPandas(order, "graph bigint, node bigint, peak bigint, at bigint").transform(written)
+    alone = known.join(linked, ["graph", "node"], "left_anti").select("graph", "node", F.col("node").alias("peak"), F.lit(0).cast("bigint").alias("at"))
+    cyclic = placed.filter("node IS NULL").select("graph").distinct()
+    rows = placed.filter("node IS NOT NULL").unionByName(alone).join(cyclic, "graph", "left_anti")
+    return running(rows, ["graph"], ["peak", "at"], {"position": F.lit(1)}).select("graph", "node", (F.col("position") - 1).alias("position"))
 
 
 def cycles(edges: DataFrame) -> DataFrame:
-    """N-05: one cycle for each back edge of a depth-first walk with sorted roots and children, each set of nodes once."""
+    """N-04, N-05: one cycle for each back edge of a depth-first walk from the least node with sorted children, each set of nodes once.
+
+    Every cycle lies in one strongly connected component, so components are walked alone, in order of their least nodes; no task has more
+    than a component.  (A walk over the whole graph may enter a component by another node and then names its cycles from there.)
+    """
     import pandas as pd
 
     def walk(key: tuple, e: pd.DataFrame) -> pd.DataFrame:
         gives: dict = {}
-        for d, p in set(zip(e["dependent"].tolist(), e["prerequisite"].tolist(), strict=True)):
+        for d, p in zip(e["dependent"].tolist(), e["prerequisite"].tolist(), strict=True):
             gives.setdefault(d, []).append(p)
         for x in gives.values():
             x.sort()
+        root = min(gives)
         done, seen, out = set(), set(), []
-        for root in sorted(gives):
-            if root in done:
-                continue
-            path, at, stack = [root], {root: 0}, [iter(gives[root])]
-            while stack:
-                child = next(stack[-1], None)
-                if child is None:
-                    stack.pop()
-                    last = path.pop()
-                    del at[last]
-                    done.add(last)
-                elif child in at:
-                    loop = path[at[child] :]
-                    if frozenset(loop) not in seen:
-                        seen.add(frozenset(loop))
-                        out.append((key[0], len(out), "->".join(map(str, [*loop, child])), len(loop)))
-                elif child not in done:
-                    path.append(child)
-                    at[child] = len(path) - 1
-                    stack.append(iter(gives.get(child, ())))
-        return pd.DataFrame(out, columns=["graph", "cycle", "path", "length"])
-
-    return edges.groupBy("graph").applyInPandas(walk, "graph bigint, cycle bigint, path string, length bigint")
+        path, at, stack = [root], {root: 0}, [iter(gives[root])]
+        while stack:
+            child = next(stack[-1], None)
+            if child is None:
+                stack.pop()
+                last = path.pop()
+                del at[last]
+                done.add(last)
+            elif child in at:
+                loop = path[at[child] :]
+                if frozenset(loop) not in seen:
+                    seen.add(frozenset(loop))
+                    out.append((key[0], root, len(out), "->".join(map(str, [*loop, child])), len(loop)))
+            elif child not in done:
+                path.append(child)
+                at[child] = len(path) - 1
+                stack.append(iter(gives[child]))
+        return pd.DataFrame(out, columns=["graph", "least", "k", "path", "length"])
+
+    rows = edges.select("graph", "dependent", "prerequisite").filter("graph IS NOT NULL AND dependent IS NOT NULL AND prerequisite IS NOT NULL").distinct().transform(written)
+    name = lambda c: F.concat_ws(":", F.col("graph").cast("string"), F.col(c).cast("string"))
+    tied = strong_components(rows.select(name("dependent").alias("a"), name("prerequisite").alias("b")), "a", "b")
+    own = rows.withColumns({"_d": name("dependent"), "_p": name("prerequisite")})
+    part = lambda c, as_: tied.select(F.col("node").alias(c), F.col("component").alias(as_))
+    inside = own.join(part("_d", "_x"), "_d").join(part("_p", "_y"), "_p").filter("_x = _y").select("graph", "_x", "dependent", "prerequisite")
+    loops = rows.filter("dependent = prerequisite").join(inside.select("graph", "dependent").distinct(), ["graph", "dependent"], "left_anti")
+    found = inside.unionByName(loops.select("graph", name("dependent").alias("_x"), "dependent", "prerequisite")).groupBy("graph", "_x").applyInPandas(walk, "graph bigint, least bigint, k bigint, path string, length bigint")
+    return running(found, ["graph"], ["least", "k"], {"cycle": F.lit(1)}).select("graph", (F.col("cycle") - 1).alias("cycle"), "path", "length")
 
 
 def cyclic_nodes(edges: DataFrame, source: str, target: str) -> DataFrame:
-    """N-06: node: what is on a cycle, or on a way from one cycle to another.
-
-    Each round takes away the edges that begin where none ends, or end where none begins, until nothing changes: a number of rounds
-    that grows with the longest tail, and no gathering of a graph in one task.
-    """
-    ensure_checkpoints(edges.sparkSession)
-    left = edges.select(F.col(source).alias("a"), F.col(target).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL").distinct().checkpoint()
-    n = left.count()
-    while True:
-        ends, begins = left.select(F.col("b").alias("a")).distinct(), left.select(F.col("a").alias("b")).distinct()
-        left = left.join(ends, "a", "left_semi").join(begins, "b", "left_semi").select("a", "b").checkpoint()
-        now = left.count()
-        if now == n:
-            return left.select(F.col("a").alias("node")).distinct()
-        n = now
+    """N-06: node: what is on a cycle: a member of a strongly connected component of two nodes or more, or with an edge to itself."""
+    loops = edges.filter(F.col(source) == F.col(target)).select(F.col(source).alias("node"))
+    return strong_components(edges, source, target).select("node").unionByName(loops).distinct()
 
 
 def label_components(links: DataFrame) -> DataFrame:
@@ -173,22 +189,43 @@ def label_components(links: DataFrame) -> DataFrame:
 def pack_units(rows: DataFrame, most: float) -> DataFrame:
     """N-09, A-19: units in order; a unit closes when the next item would take its estimate (words * 1.5) over ``most``.
 
-    rows: grp, pos, item, words.  Greedy, so a group is a row with a sorted list, of which a worker takes many at once; groups should be
-    documents or jobs, not whole sources.
+    rows: grp, pos, item, words (none negative; null is 0); adds unit.  Where the next unit begins depends only on the words before a unit:
+    that number's successor is the greatest running sum within reach, or the next one if a single item is too long.  Successors are
+    found in buckets of running sums, and the ones that follow 0 by pointer doubling, in a logarithmic number of rounds.  A group
+    of any size is spread over all tasks.
     """
-    import pandas as pd
-
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for grp, items in zip(f["grp"], f["_l"], strict=True):
-                unit, words = 0, 0
-                for x in items:
-                    if words and int((words + x["words"]) * 1.5) > most:
-                        unit, words = unit + 1, 0
-                    words += x["words"]
-                    out.append((grp, unit, x["pos"], x["item"], x["words"]))
-            yield pd.DataFrame(out, columns=["grp", "unit", "pos", "item", "words"])
-
-    listed = rows.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("pos", "item", "words"))).alias("_l"))
-    return listed.mapInPandas(pack, "grp string, unit bigint, pos bigint, item bigint, words bigint")
+    reach = (2 * (int(most) + 1) - 1) // 3  # the most words whose estimate isn't over
+    width = max(reach, 1 << 16)
+    rows = rows.withColumns({"grp": F.struct("grp"), "_w": F.coalesce("words", F.lit(0))})  # null groups meet, too
+    summed = running(rows, ["grp"], ["pos", "item", "_w"], {"_upto": F.col("_w"), "_at": F.lit(1)}).transform(written)
+
+    zero = summed.select("grp", F.lit(0).cast("bigint").alias("v"))
+    values = summed.select("grp", F.col("_upto").alias("v")).unionByName(zero).distinct().withColumn("_bucket", F.floor(F.col("v") / width)).transform(written)
+    buckets = values.groupBy("grp", "_bucket").agg(F.min("v").alias("_least"), F.max("v").alias("_greatest"))
+    in_order = W.partitionBy("grp").orderBy("_bucket")
+    buckets = buckets.select("grp", "_bucket", F.lead("_least").over(in_order).alias("_after"), "_greatest").transform(written)
+    # the greatest value up to v + reach: in that bucket, or the greatest of the one before, where v is
+    asked = values.select("grp", "v", (F.col("v") + reach).alias("_at")).withColumn("_bucket", F.floor(F.col("_at") / width))
+    both = values.select("grp", F.lit(None).cast("bigint").alias("v"), F.col("v").alias("_at"), "_bucket", F.col("v").alias("_found")).unionByName(asked.withColumn("_found", F.lit(None).cast("bigint")))
+    near = F.last("_found", ignorenulls=True).over(W.partitionBy("grp", "_bucket").orderBy("_at", F.col("v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0))
+    ends = both.withColumn("_near", near).filter("v IS NOT NULL").select("grp", "v", "_near", F.floor(F.col("v") / width).alias("_bucket"))
+    following = F.lead("v").over(W.partitionBy("grp", "_bucket").orderBy("v"))
+    stepped = values.withColumn("_next", following).join(ends.select("grp", "v", "_near"), ["grp", "v"]).join(buckets, ["grp", "_bucket"])
+    farthest = F.coalesce("_near", "_greatest")
+    single = farthest <= F.col("v")
+    jump = stepped.select("grp", "v", F.when(single, F.coalesce("_next", "_after")).otherwise(farthest).alias("to"), single.alias("single")).filter("to IS NOT NULL").transform(written)
+
+    reached, far, step = zero.distinct().withColumn("unit", F.lit(0).cast("bigint")).transform(written), jump.select("grp", "v", "to").transform(written), 1
+    while True:
+        more = reached.join(far, ["grp", "v"]).select("grp", F.col("to").alias("v"), (F.col("unit") + step).alias("unit")).transform(written)
+        if more.isEmpty():
+            break
+        reached, step = reached.unionByName(more).transform(written), 2 * step
+        far = far.join(far.select("grp", F.col("v").alias("to"), F.col("to").alias("_to")), ["grp", "to"]).select("grp", "v", F.col("_to").alias("to")).transform(written)
+
+    # a unit begins with the first item that adds to the words before it; behind an item that is too long, with the very next one
+    begins = reached.join(jump, ["grp", "v"]).select("grp", F.col("to").alias("_before"), "single")
+    items = summed.withColumn("_before", F.col("_upto") - F.col("_w")).groupBy("grp", "_before").agg(F.min("_at").alias("_any"), F.min(F.when(F.col("_w") > 0, F.col("_at"))).alias("_word"))
+    starts = begins.join(items, ["grp", "_before"]).select("grp", F.when(F.col("single"), F.col("_any")).otherwise(F.col("_word")).alias("_at"), F.lit(1).alias("_start")).filter("_at IS NOT NULL")
+    marked = summed.select("grp", "pos", "item", "words", "_at").join(starts, ["grp", "_at"], "left")
+    return running(marked, ["grp"], ["_at"], {"unit": F.coalesce("_start", F.lit(0))}).select("grp.grp", F.col("unit").cast("bigint").alias("unit"), "pos", "item", "words")

@@ -1,7 +1,7 @@
 """Interval algebra: coverage, gaps, sessions, containment and overlap joins, merged length.
 
-Joins on ranges are equi-joins on bins, so no plan has a cross product: a range of bounded length falls into few
-bins, and pairs that meet in several bins are kept in the bin of the later start only.
+Joins on ranges are equi-joins on the nodes of a segment tree, so no plan has a cross product, and a range of any length is a few
+rows; pairs that meet in several nodes are kept in one.
 """
 
 from __future__ import annotations
@@ -41,16 +41,63 @@ def sessions(rows: DataFrame, key: str, order: list[str], distance: Column, most
     return rows.withColumn("_new", new).withColumn("session", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
 
 
-def _binned(ranges: DataFrame, width: int, name: str) -> DataFrame:
-    return ranges.withColumn(name, F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.greatest(F.col("end") - 1, F.col("start"))) / width))))
+def _in_cells(ranges: DataFrame, width: int) -> DataFrame:
+    """Adds _from and _to: the cells [_from, _to) of ``width`` that a range touches (an empty one: the cell of its start)."""
+    return ranges.withColumns({"_from": F.floor(F.col("start") / width), "_to": F.floor(F.greatest(F.col("end") - 1, F.col("start")) / width) + 1})
+
+
+def _deepest(cells: DataFrame) -> int:
+    """The greatest level that a range's cover has."""
+    return int(cells.agg(F.max(F.floor(F.log2(F.col("_to") - F.col("_from"))))).first()[0] or 0)
+
+
+def cover(levels: int) -> Column:
+    """The fewest dyadic nodes (level, at) that make up the cells [_from, _to): at most two of each level."""
+
+    def of(k: Column) -> Column:
+        first, last = -F.call_function("shiftright", -F.col("_from"), k), F.call_function("shiftright", F.col("_to"), k)
+        node = lambda at: F.struct(k.alias("level"), at.alias("at"))
+        left = F.when((first < last) & (first % 2 != 0), F.array(node(first)))
+        right = F.when((first < last) & (last % 2 != 0), F.array(node(last - 1)))
+        return F.concat(F.coalesce(left, F.array().cast("array<struct<level:int,at:bigint>>")), F.coalesce(right, F.array().cast("array<struct<level:int,at:bigint>>")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), of))
+
+
+def above(levels: int) -> Column:
+    """The dyadic nodes that the cells [_from, _to) meet and don't fill, up to a level: at most two of each."""
+
+    def of(k: Column) -> Column:
+        shifted = lambda x: F.call_function("shiftright", x, k)
+        first, last = shifted(F.col("_from")), shifted(F.col("_to") - 1)
+        size = F.call_function("shiftleft", F.lit(1).cast("bigint"), k)
+        part = lambda at: (at * size < F.col("_from")) | ((at + 1) * size > F.col("_to"))
+        node = lambda at: F.struct(k.alias("level"), at.alias("at"))
+        none = F.array().cast("array<struct<level:int,at:bigint>>")
+        return F.concat(F.when(part(first), F.array(node(first))).otherwise(none), F.when(part(last) & (last != first), F.array(node(last))).otherwise(none))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), of))
 
 
 def overlaps(a: DataFrame, b: DataFrame, key: str, width: int, a_id: str, b_id: str) -> DataFrame:
-    """J-10, J-11: pairs of ranges of one key that overlap; columns key, a_id, b_id, begin, finish."""
-    x = _binned(a.select(key, F.col(a_id).alias("_a"), "start", "end"), width, "_bin").select(key, "_bin", "_a", F.col("start").alias("_s"), F.col("end").alias("_e"))
-    y = _binned(b.select(key, F.col(b_id).alias("_b"), "start", "end"), width, "_bin").select(key, "_bin", "_b", F.col("start").alias("_t"), F.col("end").alias("_f"))
-    met = x.join(y, [key, "_bin"]).filter((F.col("_s") < F.col("_f")) & (F.col("_t") < F.col("_e")))
-    once = met.filter(F.col("_bin") == F.floor(F.greatest("_s", "_t") / width))
+    """J-10, J-11: pairs of ranges of one key that overlap; columns key, a_id, b_id, begin, finish.
+
+    Ranges become nodes of a segment tree over cells of ``width``: at most two of a level make up a range of any length, and at most two
+    of a level are above them.  Two ranges overlap where a node of the one is, or lies above, a node of the other; each pair is
+    kept at the one such node that holds the later start.  So a range is some 2 log(length / width) rows, and as many as the other
+    side's ranges have levels.  Keys with many ranges are spread by nodes; what all ranges of a key meet in is met by few.
+    """
+    x = _in_cells(a.select(key, F.col(a_id).alias("_a"), F.col("start").alias("_s"), F.col("end").alias("_e"), "start", "end"), width).drop("start", "end")
+    y = _in_cells(b.select(key, F.col(b_id).alias("_b"), F.col("start").alias("_t"), F.col("end").alias("_f"), "start", "end"), width).drop("start", "end")
+    deep_x, deep_y = _deepest(x), _deepest(y)
+    nodes = lambda rows, of, own: rows.select(key, *own, F.explode(of).alias("_n")).select(key, *own, F.col("_n.level").alias("_level"), F.col("_n.at").alias("_at"))
+    xs, ys = ("_a", "_s", "_e"), ("_b", "_t", "_f")
+    own_or_above = F.concat(F.filter(cover(deep_y), lambda n: n["level"] <= deep_x), above(deep_x))
+    one = nodes(x, cover(deep_x), xs).join(nodes(y, own_or_above, ys), [key, "_level", "_at"])
+    two = nodes(x, above(deep_y), xs).join(nodes(y, cover(deep_y), ys), [key, "_level", "_at"])
+    met = one.unionByName(two).filter((F.col("_s") < F.col("_f")) & (F.col("_t") < F.col("_e")))
+    cell = F.floor(F.greatest("_s", "_t") / width)
+    once = met.filter(F.call_function("shiftright", cell, F.col("_level")) == F.col("_at"))
     return once.select(key, F.col("_a").alias(a_id), F.col("_b").alias(b_id), F.greatest("_s", "_t").alias("begin"), F.least("_e", "_f").alias("finish"))
 
 

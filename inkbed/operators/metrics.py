@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordered import quantiles
+
 
 def ratio(part: Column, whole: Column, empty: float = 0.0) -> Column:
     """part / whole, or ``empty`` where whole is 0."""
@@ -36,10 +38,15 @@ def status_ledger(rows: DataFrame, source: str, status: str) -> DataFrame:
 
 
 def exemplar_position(values: DataFrame, by: str, value: str) -> DataFrame:
-    """A-14: median, least and greatest of a value for each group, and the median over the overall one."""
-    per = values.groupBy(by).agg(F.percentile(value, F.lit(0.5)).alias("median"), F.min(value).alias("least"), F.max(value).alias("greatest"))
-    overall = values.agg(F.percentile(value, F.lit(0.5)).alias("_all"))
-    return per.withColumn("_all", overall.scalar()).select(by, "median", "least", "greatest", ratio(F.col("median"), F.col("_all")).alias("relative"))
+    """A-14: median, least and greatest of a value for each group, and the median over the overall one (null where there is no value).
+
+    Medians come from ranks of the sorted values, so a group may be of any size; nulls don't count.
+    """
+    bounds = values.groupBy(by).agg(F.min(value).alias("least"), F.max(value).alias("greatest"))
+    medians = quantiles(values, [by], value, {"median": 0.5}).withColumnRenamed(by, "_by")
+    per = bounds.join(medians, F.col(by).eqNullSafe(F.col("_by")), "left")
+    overall = quantiles(values, [], value, {"_all": 0.5})
+    return per.withColumn("_all", overall.select("_all").scalar()).select(by, "median", "least", "greatest", ratio(F.col("median"), F.col("_all")).alias("relative"))
 
 
 def placed_paragraphs(paragraphs: DataFrame, key: str) -> DataFrame:
@@ -59,7 +66,8 @@ def pacing(paragraphs: DataFrame, key: str, reach: int = 1500, burst: int = 3) -
     """A-13, W-09, W-11: pacing of the introduction of terms in each document.
 
     paragraphs: key, paragraph, words (array of terms).  Live load of a paragraph is the number of terms introduced within ``reach``
-    before its end; a burst is a paragraph with ``burst`` introductions or more.  Words are exploded once.
+    before its end; a burst is a paragraph with ``burst`` introductions or more.  Words are exploded once.  A load is at most ``reach`` + 1, which bounds the
+    buffer of its percentile; loads of one document are summed in one window.
     """
     placed = placed_paragraphs(paragraphs, key)
     first = introductions(placed, key)

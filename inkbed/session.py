@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -33,3 +34,23 @@ def ensure_checkpoints(spark: SparkSession) -> None:
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             folder = f"{tempfile.gettempdir()}/inkbed-checkpoints"
         context.setCheckpointDir(folder)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path, not there yet, in the folder that the driver and all executors share."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"file://{tempfile.gettempdir()}/inkbed-checkpoints"
+    return f"{folder.rstrip('/')}/inkbed-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def written(rows: DataFrame, name: str = "table") -> DataFrame:
+    """The same rows from a table in the shared folder.
+
+    Unlike checkpoint() it also forgets what the optimizer knew of the rows: in loops, constraints that rounds hand on grow without end.
+    """
+    path = new_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
