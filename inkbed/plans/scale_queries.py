@@ -12,7 +12,7 @@ from .base import query
 #: In blocks of ten: three documents form a ring, from which a path leads to the next block's ring.
 _RINGS = """
 d AS (SELECT doc_id AS n, doc_id % 10 AS k FROM documents),
-e AS (SELECT n AS a, CASE k WHEN 0 THEN n + 3 WHEN 3 THEN n + 6 WHEN 6 THEN n - 6 END AS b FROM d WHERE k IN (0, 3, 6) UNION ALL SELECT n, n + 1 FROM d WHERE k IN (6, 7, 8, 9))"""
+e AS (SELECT n AS a, CASE k WHEN 6 THEN n - 6 ELSE n + 3 END AS b FROM d WHERE k IN (0, 3, 6) UNION ALL SELECT n, n + 1 FROM d WHERE k IN (6, 7, 8, 9))"""
 
 
 def _rings(t):
@@ -30,8 +30,7 @@ def ring_components(t):
 
 
 @query("ring_nodes", f"""
-WITH RECURSIVE {_RINGS}, w(start, n, hops) AS (SELECT a, b, 1 FROM e UNION SELECT start, b, hops + 1 FROM w JOIN e ON w.n = e.a WHERE hops < 3 AND start <> n)
-SELECT DISTINCT start AS node FROM w WHERE start = n""")
+WITH {_RINGS} SELECT DISTINCT x.a AS node FROM e x JOIN e y ON y.a = x.b JOIN e z ON z.a = y.b WHERE z.b = x.a""")
 def ring_nodes(t):
     """N-06 on one graph of all documents: a node is on a cycle if three steps lead back to it."""
     return graph.cyclic_nodes(_rings(t), "a", "b")
@@ -47,9 +46,9 @@ def ring_cycles(t):
 
 
 @query("whole_order", """
-WITH d AS (SELECT doc_id AS n, doc_id // 8 AS block, doc_id * 5 % 8 AS at FROM documents),
-p AS (SELECT n, at, max(n) OVER (PARTITION BY block ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS peak FROM d)
-SELECT n AS node, (row_number() OVER (ORDER BY peak, at) - 1)::BIGINT AS position FROM p""")
+WITH d AS (SELECT doc_id AS n, doc_id // 8 AS block, doc_id * 5 % 8 AS spot FROM documents),
+p AS (SELECT n, spot, max(n) OVER (PARTITION BY block ORDER BY spot ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS peak FROM d)
+SELECT n AS node, (row_number() OVER (ORDER BY peak, spot) - 1)::BIGINT AS position FROM p""")
 def whole_order(t):
     """N-03: one graph of all documents, the smallest ready one first: chains of eight in an order that isn't that of the ids."""
     nodes = t("documents").select(F.lit(0).cast("bigint").alias("graph"), F.col("doc_id").alias("node"))
