@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from inkbed.functions.text import canonical
+
 from .readiness import blockers, union
 
 #: Schemas of the record types (Spark DDL) and the fields that a record must have.
@@ -89,7 +91,7 @@ def component_digest(rows: DataFrame, by: str, key: str, columns: list[str]) ->
 
     Rows are hashed where they are; only hashes are gathered, for each baseline.
     """
-    one = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
+    one = F.sha2(canonical(*(F.col(c) for c in columns)), 256)
     hashes = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), one.alias("h")))), lambda x: x["h"]), "")
     return rows.groupBy(by).agg(F.count("*").alias("n"), F.sha2(hashes, 256).alias("digest"))
 

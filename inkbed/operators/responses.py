@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkbed.functions.text import canonical
+
 _CONCEPT = "ARRAY<STRUCT<concept_id: STRING, proposition: STRING, concept_type: STRING, source_span_ids: ARRAY<STRING>, confidence: DOUBLE>>"
 #: What a field is where the answer leaves it out.
 DEFAULTS = {"concept_type": "definition", "confidence": 0.8}
@@ -56,6 +58,6 @@ def latest_attempt(rows: DataFrame, most: int) -> DataFrame:
 
 def freeze(rows: DataFrame, by: str, key: str, columns: list[str], accepted: Column) -> DataFrame:
     """M-13: rows, accepted rows and a canonical hash of each inventory; only hashes are gathered, for each inventory."""
-    one = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
+    one = F.sha2(canonical(*(F.col(c) for c in columns)), 256)
     hashes = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), one.alias("h")))), lambda x: x["h"]), "")
     return rows.groupBy(by).agg(F.count("*").alias("n"), F.count_if(accepted).alias("accepted"), F.sha2(hashes, 256).alias("signature"))

@@ -58,3 +58,8 @@ l AS (SELECT doc_id, line_no::BIGINT AS line_no, line, size, (sum(size) OVER (PA
 
 #: The bibliographic form of text in SQL.
 BIB = "trim(regexp_replace(replace(lower(coalesce(text, '')), '&', ' and '), '[^a-z0-9]+', ' ', 'g'))"
+
+
+def canonical_sql(*values: str) -> str:
+    """The text of functions.text.canonical in SQL."""
+    return " || ".join(f"coalesce(length(({v})::VARCHAR) || ':' || ({v})::VARCHAR || ';', 'null;')" for v in values)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from inkbed.operators import bundles, gates, graph, readiness
 
-from .base import query
+from .base import canonical_sql, query
 from .bundle import BUNDLE, Bundle
 
 
@@ -93,8 +93,11 @@ def readiness_(t):
     return gates.roll_up(found, ran, ["dependency_integrity", "obligation_presence", "baseline_frozen", "span_coverage"])
 
 
+_SPAN = canonical_sql("span_id", "start", '"end"', "disposition")
+
+
 @query("frozen_baseline", f"""
-WITH {BUNDLE}, a AS (SELECT doc_id, count(*) AS n, sha256(string_agg(sha256(span_id || '|' || start || '|' || "end" || '|' || disposition), '' ORDER BY span_id)) AS digest, sum("end" - start) AS covered FROM sp GROUP BY doc_id)
+WITH {BUNDLE}, a AS (SELECT doc_id, count(*) AS n, sha256(string_agg(sha256({_SPAN}), '' ORDER BY span_id)) AS digest, sum("end" - start) AS covered FROM sp GROUP BY doc_id)
 SELECT 'baseline' AS "check", doc_id::VARCHAR AS locator, 'component count mismatch' AS reason FROM a WHERE doc_id % 8 = 1 UNION ALL SELECT 'baseline', doc_id::VARCHAR, 'component hash mismatch' FROM a WHERE doc_id % 8 = 2
 UNION ALL SELECT 'baseline', doc_id::VARCHAR, 'covered bytes mismatch' FROM a WHERE doc_id % 8 = 3""")
 def frozen_baseline(t):
@@ -107,7 +110,7 @@ def frozen_baseline(t):
 
 
 @query("component_digests", f"""
-WITH {BUNDLE} SELECT doc_id, count(*)::BIGINT AS n, sha256(string_agg(sha256(span_id || '|' || start || '|' || "end" || '|' || disposition), '' ORDER BY span_id)) AS digest FROM sp GROUP BY doc_id""")
+WITH {BUNDLE} SELECT doc_id, count(*)::BIGINT AS n, sha256(string_agg(sha256({_SPAN}), '' ORDER BY span_id)) AS digest FROM sp GROUP BY doc_id""")
 def component_digests(t):
     """V-28: hash of each baseline's spans in order."""
     return bundles.component_digest(Bundle(t).spans, "doc_id", "span_id", ["span_id", "start", "end", "disposition"])

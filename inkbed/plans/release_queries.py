@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from inkbed.operators import release, responses, reviews
 
-from .base import query
+from .base import canonical_sql, query
 
 
 def _releases(t):
@@ -211,8 +211,8 @@ def latest_attempt(t):
     return responses.latest_attempt(t("conversations").selectExpr("conv_id AS unit", "turn AS attempt", "role AS result"), 2)
 
 
-@query("freeze_signatures", """
-SELECT lang AS baseline, count(*)::BIGINT AS n, count(*) FILTER (WHERE quality = 1)::BIGINT AS accepted, sha256(string_agg(sha256(doc_id || '|' || coalesce(quality::VARCHAR, '')), '' ORDER BY doc_id)) AS signature FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang""")
+@query("freeze_signatures", f"""
+SELECT lang AS baseline, count(*)::BIGINT AS n, count(*) FILTER (WHERE quality = 1)::BIGINT AS accepted, sha256(string_agg(sha256({canonical_sql("doc_id", "quality")}), '' ORDER BY doc_id)) AS signature FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang""")
 def freeze_signatures(t):
     """M-13: counts and canonical hash of each inventory."""
     return responses.freeze(t("documents").join(t("labels"), "doc_id", "left").select(F.col("lang").alias("baseline"), "doc_id", "quality"), "baseline", "doc_id", ["doc_id", "quality"], F.col("quality") == 1)

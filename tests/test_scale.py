@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from inkbed.operators import graph, intervals, merkle, metrics, ordered, scc
+from inkbed.operators import bundles, graph, intervals, merkle, metrics, ordered, responses, scc
 from inkbed.plans import registry
 from inkbed.session import new_folder
 
@@ -188,3 +188,12 @@ def test_row_digests_tell_values_apart(spark):
     assert rows.select(merkle.row_digest(["x", "y"])).distinct().count() == 5
 
 
+
+
+def test_digests_of_records_tell_fields_and_nulls_apart(spark):
+    rows = [(1, 1, "a|b", "c"), (2, 1, "a", "b|c"), (3, 1, None, "c"), (4, 1, "", "c"), (5, 1, "null;", "c"), (6, 1, "1:a;", ""), (7, 1, "a", "1:;"), (8, 1, "a|b", "c")]
+    df = spark.createDataFrame(rows, "base bigint, k bigint, x string, y string")
+    digests = {r.base: r.digest for r in bundles.component_digest(df, "base", "k", ["x", "y"]).collect()}
+    assert digests[1] == digests[8] and len(set(digests.values())) == 7
+    signed = {r.base: r.signature for r in responses.freeze(df, "base", "k", ["x", "y"], F.lit(True)).collect()}
+    assert len(set(signed.values())) == 7
