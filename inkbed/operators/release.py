@@ -24,11 +24,12 @@ def first_reason(*cases: tuple[Column, str]) -> Column:
     return out
 
 
-def correspondence(releases: DataFrame, manifests: DataFrame, objects: DataFrame, drafts: DataFrame, preserved: DataFrame, omissions: DataFrame, assemblies: DataFrame) -> DataFrame:
-    """V-11: seven conditions.
+def correspondence(releases: DataFrame, manifests: DataFrame, objects: DataFrame, drafts: DataFrame, preserved: DataFrame, omissions: DataFrame, assemblies: DataFrame, assembled: DataFrame | None = None) -> DataFrame:
+    """V-11: eight conditions.
 
     manifests: release, manifest_hash, current_hash, agreement; objects: release, hash; drafts: release, draft; preserved: release, hash;
-    omissions: release, hash, approved; assemblies: release, assembly, vs_source, vs_drafts (the last by name counts, none is no block).
+    omissions: release, hash, approved; assemblies: release, assembly, vs_source, vs_drafts (the last by name counts); assembled: release,
+    for each assembled file: a release that has files but no record of an assembly is blocked, one without files isn't.
     """
     total = objects.select("release", "hash").distinct()
     kept = total.join(preserved.select("release", "hash").distinct(), ["release", "hash"], "left_semi").groupBy("release").agg(F.count("*").alias("_kept"))
@@ -38,7 +39,8 @@ def correspondence(releases: DataFrame, manifests: DataFrame, objects: DataFrame
     last = assemblies.groupBy("release").agg(F.max(F.struct("assembly", "vs_source", "vs_drafts")).alias("_last"))
     own = manifests.withColumn("_manifest", F.lit(True))
     rows = releases.select("release").distinct()
-    for t in (own, total, kept, drafted, open_, last):
+    files = releases.select("release").limit(0) if assembled is None else assembled.select("release").distinct()
+    for t in (own, total, kept, drafted, open_, last, files.withColumn("_files", F.lit(True))):
         rows = rows.join(t, "release", "left")
     rate = F.coalesce("_kept", F.lit(0)) / F.col("_total")
     has = F.col("_last").isNotNull()
@@ -49,6 +51,7 @@ def correspondence(releases: DataFrame, manifests: DataFrame, objects: DataFrame
         (F.col("_drafted").isNull(), "no_draft_manifests"),
         (F.col("_open").isNotNull(), "unapproved_dispositions"),
         (F.coalesce(rate < DRAFT_RATE, F.lit(False)), "low_identity_preservation"),
+        (~has & F.col("_files").isNotNull(), "no_assembly_manifest"),
         (has & (F.col("_last.vs_source").isNull() | F.col("_last.vs_drafts").isNull()), "assembly_manifest_incomplete"),
         (has & F.coalesce(F.col("_last.vs_drafts") < ASSEMBLY_RATE, F.lit(False)), "assembly_correspondence"),
         (has & F.coalesce(F.col("_last.vs_source") < SOURCE_RATE, F.lit(False)), "source_correspondence"),
@@ -82,16 +85,21 @@ def transmissions(releases: DataFrame, log: DataFrame, manifests: DataFrame) ->
 
 
 def preflight(releases: DataFrame, records: DataFrame) -> DataFrame:
-    """V-14: the latest preflight (release, preflight_id, findings, status, exit_code) is there and clean."""
-    last = records.groupBy("release").agg(F.max(F.struct("preflight_id", "findings", "status", "exit_code")).alias("_p"))
+    """V-14: the latest preflight (release, preflight_id, findings, status, exit_code) is there and clean.
+
+    A record whose findings, status and exit code are all null couldn't be read; one such record of a release blocks it.
+    """
+    empty = F.col("findings").isNull() & F.col("status").isNull() & F.col("exit_code").isNull()
+    last = records.groupBy("release").agg(F.max(F.struct("preflight_id", "findings", "status", "exit_code")).alias("_p"), F.bool_or(empty).alias("_empty"))
     rows = releases.select("release").distinct().join(last, "release", "left")
     reason = first_reason(
+        (F.coalesce("_empty", F.lit(False)), "preflight_unreadable"),
         (F.col("_p").isNull(), "no_preflight_run"),
         (F.coalesce("_p.findings", F.lit(0)) > 0, "unresolved_preflight_findings"),
         (F.coalesce("_p.status", F.lit("pass")) != "pass", "preflight_not_passed"),
         (F.coalesce("_p.exit_code", F.lit(0)) != 0, "preflight_not_passed"),
     )
-    return rows.select("release", F.col("_p.preflight_id").alias("preflight_id"), reason.alias("reason"))
+    return rows.select("release", F.when(~F.coalesce("_empty", F.lit(False)), F.col("_p.preflight_id")).alias("preflight_id"), reason.alias("reason"))
 
 
 def presence(releases: DataFrame, markers: DataFrame, files: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from inkbed.operators import bundles, graph, intervals, merkle, metrics, ordered, responses, scc
+from inkbed.operators import bundles, graph, intervals, merkle, metrics, ordered, release, responses, scc
 from inkbed.plans import registry
 from inkbed.session import new_folder
 
@@ -197,3 +197,19 @@ def test_digests_of_records_tell_fields_and_nulls_apart(spark):
     assert digests[1] == digests[8] and len(set(digests.values())) == 7
     signed = {r.base: r.signature for r in responses.freeze(df, "base", "k", ["x", "y"], F.lit(True)).collect()}
     assert len(set(signed.values())) == 7
+
+
+def test_release_gates_block_what_could_not_be_read(spark):
+    releases = spark.createDataFrame([(i,) for i in range(5)], "release bigint")
+    runs = [(0, "p1", 0, "pass", 0), (1, "p1", None, None, None), (2, "p1", None, None, None), (2, "p2", 0, "pass", 0), (3, "p1", 0, None, None)]
+    found = release.preflight(releases, spark.createDataFrame(runs, "release bigint, preflight_id string, findings int, status string, exit_code int")).collect()
+    assert {r.release: r.reason for r in found} == {0: None, 1: "preflight_unreadable", 2: "preflight_unreadable", 3: None, 4: "no_preflight_run"}
+    manifests = spark.createDataFrame([(i, "h", "h", 1.0) for i in range(3)], "release bigint, manifest_hash string, current_hash string, agreement double")
+    one = spark.createDataFrame([(i, "x") for i in range(3)], "release bigint, hash string")
+    drafts = spark.createDataFrame([(i, "d") for i in range(3)], "release bigint, draft string")
+    omissions = spark.createDataFrame([], "release bigint, hash string, approved boolean")
+    assemblies = spark.createDataFrame([(1, "a", 1.0, 1.0)], "release bigint, assembly string, vs_source double, vs_drafts double")
+    args = (releases.filter("release < 3"), manifests, one, drafts, one, omissions, assemblies)
+    files = spark.createDataFrame([(0,), (0,), (1,)], "release bigint")
+    assert {r.release: r.reason for r in release.correspondence(*args, files).collect()} == {0: "no_assembly_manifest", 1: None, 2: None}
+    assert {r.reason for r in release.correspondence(*args).collect()} == {None}
