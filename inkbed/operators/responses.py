@@ -52,8 +52,8 @@ def check_rewrites(answers: DataFrame, required: DataFrame, least: int = 10) ->
 
 
 def latest_attempt(rows: DataFrame, most: int) -> DataFrame:
-    """M-08: the result of each unit's last attempt (unit, attempt, result), retries beyond ``most`` not counted."""
-    return rows.filter(F.col("attempt") <= most).groupBy("unit").agg(F.max("attempt").cast("bigint").alias("attempts_to"), F.max_by("result", "attempt").alias("result"))
+    """M-08: the result of each unit's last attempt (unit, attempt, result), retries beyond ``most`` not counted; of two of one number the greatest result."""
+    return rows.filter(F.col("attempt") <= most).groupBy("unit").agg(F.max("attempt").cast("bigint").alias("attempts_to"), F.max(F.struct("attempt", "result"))["result"].alias("result"))
 
 
 def freeze(rows: DataFrame, by: str, key: str, columns: list[str], accepted: Column) -> DataFrame:

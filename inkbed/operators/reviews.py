@@ -23,8 +23,9 @@ def assess_briefs(rows: DataFrame, key: str, json: str, critical: list[str], wis
 
 
 def session_outcomes(sessions: DataFrame, cycles: DataFrame, most: int) -> DataFrame:
-    """A-24, M-07: outcome of each session (session) from its last cycle (session, cycle, outcome); none is a timeout, as is the last of ``most``."""
-    last = cycles.groupBy("session").agg(F.count("*").alias("cycles"), F.max_by("outcome", "cycle").alias("_last"))
+    """A-24, M-07: outcome of each session (session) from its last cycle (session, cycle, outcome); none is a timeout, as is the last of ``most``;
+    of two cycles of one number the greatest outcome counts."""
+    last = cycles.groupBy("session").agg(F.count("*").alias("cycles"), F.max(F.struct("cycle", "outcome"))["outcome"].alias("_last"))
     rows = sessions.join(last, "session", "left").withColumn("cycles", F.coalesce("cycles", F.lit(0)).cast("bigint"))
     outcome = F.when(F.col("_last").isNull(), "timeout").when(F.col("_last").isin("converged", "oscillating"), F.col("_last")).when(F.col("cycles") >= most, "timeout").otherwise("unresolvable")
     return rows.select("session", "cycles", outcome.alias("outcome"), F.coalesce(F.col("_last") == "converged", F.lit(False)).alias("acceptable"))
@@ -87,8 +88,8 @@ def identity_summary(rows: DataFrame) -> DataFrame:
 
 def latest_by_name(wanted: DataFrame, drafts: DataFrame) -> DataFrame:
     """J-16: for each wanted section (index, stem) the draft of that stem in the newest run (drafts: run, stem, path), else, if every run has
-    one draft only, the one of its index in order of runs."""
-    newest = drafts.groupBy("stem").agg(F.max_by("path", "run").alias("_path"))
+    one draft only, the one of its index in order of runs; of two drafts of one run and stem the last path by name."""
+    newest = drafts.groupBy("stem").agg(F.max(F.struct("run", "path"))["path"].alias("_path"))
     single = drafts.groupBy("run").agg(F.count("*").alias("_n"), F.min("path").alias("_only"))
     all_single = single.agg(F.coalesce(F.max("_n") == 1, F.lit(False)).alias("ok"))
     by_place = single.withColumn("_i", F.row_number().over(W.partitionBy(F.lit(1)).orderBy("run")) - 1).select("_i", "_only")  # one row for each run

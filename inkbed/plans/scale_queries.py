@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from inkbed.operators import graph, intervals, merkle, ordered, segment
 from inkbed.session import new_folder
+from inkbed.sources import records
 
 from .base import query
 
@@ -108,3 +109,13 @@ def tree_diff(t):
     merkle.write(d.filter("doc_id % 103 != 3"), "doc_id", ["doc_id", "text"], paths[0], depth)
     merkle.write(d.filter("doc_id % 107 != 5").withColumn("text", F.expr(_REVISED)), "doc_id", ["doc_id", "text"], paths[1], depth)
     return merkle.diff(spark, *paths, depth)
+
+
+@query("published_version", "SELECT doc_id, length(coalesce(text, ''))::BIGINT AS chars, 2::BIGINT AS version FROM documents WHERE doc_id % 5 <> 0")
+def published_version(t):
+    """K-02, K-05, K-09: two versions of a table are published in the shared folder; the pointer names the second."""
+    d = t("documents").select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("chars"))
+    path = new_folder(d.sparkSession, "published")
+    records.publish(d.withColumn("version", F.lit(1).cast("bigint")), path)
+    records.publish(d.filter("doc_id % 5 != 0").withColumn("version", F.lit(2).cast("bigint")), path)
+    return records.current(d.sparkSession, path)

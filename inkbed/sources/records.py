@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import time
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -269,6 +271,51 @@ def replace(rows: DataFrame, path: str, suffix: str) -> None:
     fs.rename(place(staging), place(path))
 
 
+POINTER = "CURRENT"
+
+
+def _point(spark: SparkSession, path: str, version: str) -> None:
+    """Makes a version the current one: the pointer is written aside and renamed over the old one in one step of the file system."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    aside, pointer = hadoop.Path(f"{path}/.{version}"), hadoop.Path(f"{path}/{POINTER}")
+    out = aside.getFileSystem(conf).create(aside, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    over = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    over[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+    context = hadoop.FileContext.getFileContext(aside.getFileSystem(conf).getUri(), conf)
+    context.rename(aside, pointer, over)
+
+
+def publish(rows: DataFrame, path: str) -> str:
+    """K-02, K-03, K-05, K-09: a new version of a table, whole or not at all: its folder is written first, the pointer to it last.
+
+    Readers see the old version until the pointer changes and the new one from then on; what stops in between leaves the old one and a
+    folder that nothing points to.  Earlier versions stay until expire() takes them.  Of two writers the last to point wins.
+    """
+    version = f"v-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    rows.write.parquet(f"{path}/{version}")
+    _point(rows.sparkSession, path, version)
+    return version
+
+
+def current(spark: SparkSession, path: str, version: str | None = None) -> DataFrame:
+    """The published rows: of the version that the pointer names now, or of a given one."""
+    return spark.read.parquet(f"{path}/{version or spark.read.text(f'{path}/{POINTER}').first()[0]}")
+
+
+def expire(spark: SparkSession, path: str, keep: int = 1) -> list[str]:
+    """Deletes all but the current version and the ``keep`` newest older ones; newer folders, which a writer may be at, stay."""
+    now = spark.read.text(f"{path}/{POINTER}").first()[0]
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    older = sorted(f.getPath().getName() for f in fs.listStatus(place) if f.isDirectory() and f.getPath().getName().startswith("v-") and f.getPath().getName() < now)
+    gone = older[: max(0, len(older) - keep)]
+    for v in gone:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{v}"), True)
+    return gone
+
+
 def report(rows: DataFrame, title: str, columns: list[str]) -> str:
     """K-08: a Markdown table of a small aggregate."""
     from inkbed.functions.text import markdown_cell
