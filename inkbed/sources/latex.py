@@ -16,11 +16,18 @@ MATH = ("equation", "align", "gather", "eqnarray", "multline", "displaymath", "m
 FLOATS = ("figure", "table", "tabular", "tabularx", "longtable", "tikzpicture", "algorithm", "algorithmic", "lstlisting", "verbatim", "Verbatim", "minted", "listing")
 BIBLIOGRAPHY = ("thebibliography",)
 HEADINGS = ("part", "chapter", "section", "subsection", "subsubsection", "paragraph", "subparagraph")
+BIBLIOGRAPHY_COMMANDS = ("bibliography", "bibliographystyle", "printbibliography", "addbibresource", "nocite")
+COMMANDS = (
+    "documentclass", "usepackage", "input", "include", "includeonly", "newcommand", "renewcommand", "providecommand", "DeclareMathOperator", "newenvironment",
+    "renewenvironment", "newtheorem", "setlength", "addtolength", "setcounter", "addtocounter", "pagestyle", "thispagestyle", "geometry", "hypersetup", "definecolor",
+    "graphicspath", "label", "maketitle", "tableofcontents", "listoffigures", "listoftables", "appendix", "clearpage", "newpage", "pagebreak", "noindent", "centering",
+    "raggedright", "small", "footnotesize", "normalsize", "large", "Large", "huge", "Huge",
+)
 CITATIONS = ("cite", "citep", "citet", "citeauthor", "citeyear", "parencite", "textcite")
 
 _BEGIN = re.compile(r"\\begin\{([A-Za-z]+\*?)\}")
 _HEADING = re.compile(r"\\(" + "|".join(HEADINGS) + r")\*?(?:\[[^\]]*\])?\{")
-_COMMAND = re.compile(r"\\(documentclass|usepackage|input|include|newcommand|bibliographystyle|bibliography|maketitle|appendix|end)\b\*?")
+_COMMAND = re.compile(r"\\(" + "|".join((*COMMANDS, *BIBLIOGRAPHY_COMMANDS, "end")) + r")(?![A-Za-z])\*?")
 _BLANK = re.compile(r"\n[ \t]*\n\s*")
 
 
@@ -96,7 +103,7 @@ def regions(text: str) -> list[tuple[int, int, str]]:
                     if after <= end:
                         break
                     end = after
-                found.append((at, end, "command"))
+                found.append((at, end, "bibliography" if m[1] in BIBLIOGRAPHY_COMMANDS else "command"))
             else:
                 end = at + 2
         else:

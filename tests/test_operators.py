@@ -36,6 +36,23 @@ def test_text_functions(spark):
     assert one(spark, T.equation_normal(F.lit("a %c\n  b"))) == "a b"
 
 
+def test_prose_by_hand(spark):
+    cases = {
+        "a \\emph{b \\textbf{c \\mbox{d \\texttt{e}}}} f": "a b c d e f",
+        "\\begin{align*}x\\end{align*} \\[y\n\\]$$z$$ $u$ \\(v\\) w": "MATHDISP MATHDISP MATHDISP w",
+        "see \\citep [p.~2]{k, l} and \\cite{m}\\label{x}, \\ref{y}~z": "see CITEMARK and CITEMARK , z",
+        "\\footnote{not {read} on} \\item {but} this \\small and\\includegraphics[w=1]{f}": "but this and",
+        "5\\% of $5 and \\[ never \\begin{equation} closed": "5\\% of $5 and \\[ never closed",
+        "$$": "", "": "", "\\": "\\", "{{}": "", "a\u00e9\n\nb": "a\u00e9 b",
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "x string")
+    assert {r.x: " ".join(r.y.split()) for r in rows.select("x", T.prose(F.col("x")).alias("y")).collect()} == cases
+    long_ = "\\emph{" * 200 + "x" + "}" * 200 + " y {" * 20_000 + "\\cite{k}" * 5_000
+    got = one(spark, T.prose(F.lit(long_))).split()
+    assert got[0] == "x" and got.count("y") == 20_000 and got.count("CITEMARK") == 5_000
+    assert one(spark, T.prose(F.lit(None).cast("string"))) is None
+
+
 def test_scanner_tiles_any_text():
     rng = random.Random(3)
     parts = ["word ", "\n\n", "% c\n", "\\%", "$x$", "$$y$$", "\\[z\\]", "\\section{A {b}}", "\\begin{equation}e\\label{q}\\end{equation}", "\\begin{odd}", "\\end{odd}", "{", "}", "\\cite{k}", "é"]

@@ -27,6 +27,16 @@ def test_scanner_environments():
     assert ("heading", "\\subparagraph{x}") in kinds("\\subparagraph{x} y")
 
 
+def test_scanner_commands():
+    for name in latex.COMMANDS:
+        assert kinds(f"\\{name}[o]{{a {{b}}}}{{c}} d") == [("command", f"\\{name}[o]{{a {{b}}}}{{c}}"), ("prose", " d")]
+        assert kinds(f"\\{name}zz{{a}} d") == [("prose", f"\\{name}zz{{a}} d")]
+    for name in latex.BIBLIOGRAPHY_COMMANDS:
+        assert kinds(f"\\{name}{{a}}\n\nd") == [("bibliography", f"\\{name}{{a}}"), ("whitespace", "\n\n"), ("prose", "d")]
+    assert kinds("\\newcommand*{\\x}[2]{#1 {#2}}\n\\input{a") == [("command", "\\newcommand*{\\x}[2]{#1 {#2}}"), ("whitespace", "\n"), ("command", "\\input"), ("prose", "{a")]
+    assert kinds("as \\emph{one} and \\citep{k} say") == [("prose", "as \\emph{one} and \\citep{k} say")]
+
+
 def test_scanner_of_what_is_never_closed():
     text = "pay $5 now\n% note\n\\section{S}\nend"
     assert [k for k, _ in kinds(text)] == ["prose", "comment", "heading", "prose"]
