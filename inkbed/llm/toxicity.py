@@ -2,14 +2,16 @@
 
 Strings are spans of sentences, blanks included.  Text is read as symbols: letters (A-Z in lower case, accents taken off) and
 blanks; punctuation, digits, symbols and characters of no width are left out, so "d.u*m_b​o" is the string "dumbo".  The
-kernel compares the subsequences of three symbols that two strings share, with up to two other symbols after either of the
-first two, each at a cost.  So letters that are inserted ("dxuxmxbxo"), or blanks ("d u m b o", "du mbo"), and endings
-that were never seen cost weight but hide nothing.
+kernel compares the subsequences of three symbols that two strings share.  In a plain span, up to two other symbols may stand
+after either of the first two, each at a cost; so a letter or a blank that is inserted somewhere, or an ending that was never
+seen, costs weight but hides nothing.  In a span with regular gaps, one to three other letters, of any kind, stand between
+the symbols all the way through a word ("dxuymzbqo"), or a blank does ("d u m b o"); the word's own begin and end
+are symbols of it.  Such spans have a bias of their own, since a text has more of them.
 
 Documents' labels say only that some sentence is toxic, so training alternates (multiple instances): fit on the spans that
 score highest in each labelled document, and choose them again.  The first choice takes the subsequences that toxic documents
-have oftener than others, near copies counted once.  Spans with inserted letters and blanks are learned from beside the plain
-ones, of both labels.
+have oftener than others, near copies counted once.  The later rounds learn from spans with letters and blanks inserted at random
+beside the plain ones, of both labels.
 
 The kernel's values against the landmarks, whitened (Nyström), are the features of a linear SVM.  Its decision is linear in the
 landmarks' subsequences, so the fitted machine folds into one weight for each subsequence (a table of 1 MB), and a text's
@@ -43,22 +45,26 @@ from .tables import short_batches
 #: Labelled rows of either label in training, and the characters that such a row may have.
 ROWS, ROW_CHARS = 1200, 20_000
 LANDMARKS, ROUNDS = 400, 6
+#: The first rounds choose among plain spans alone; the later ones learn from stretched ones, too.
+PLAIN = 3
 #: Steps from a symbol of a subsequence to the next one, and what each symbol that is left out costs.
 STEPS, DECAY = (1, 2, 3), 0.75
-#: Lengths of spans in subsequences that begin there, for the text as it is and for every second or third symbol of it.
-SPANS = {1: (7, 14, 24), 2: (4, 7), 3: (4, 7)}
+#: Lengths of spans in subsequences that begin there, for the text as it is and for every second, third or fourth letter of its words.
+SPANS = {1: (7, 14, 24), 2: (4, 6, 9), 3: (4, 6, 9), 4: (4, 6, 9)}
 #: Symbols are numbers below 64: none, blank, a to z, and other letters by their code point.
 NONE, BLANK, BITS = 0, 1, 6
 PAD = max(step * (sizes[-1] + 2) for step, sizes in SPANS.items()) + 2 * STEPS[-1]
+#: Symbols before and after a span that its subsequences with regular gaps look at.
+MARGIN = max(SPANS) + 1
 #: Bytes of a very long text that are read at once, and how far pieces overlap.
 PIECE, OVERLAP = 1 << 19, 1 << 12
-#: (second symbol's place, third one's, weight): all of them for the text as it is, neighbours for every second or third symbol.
-PATTERNS = {step: [(a, a + b, DECAY ** (a + b - 2)) for a in STEPS for b in STEPS] if step == 1 else [(1, 2, 1.0)] for step in SPANS}
+#: (second symbol's place, third one's, weight) in the text as it is.
+PATTERNS = [(a, a + b, DECAY ** (a + b - 2)) for a in STEPS for b in STEPS]
 
 
 def _norm(step: int, length: int) -> float:
     """A span's norm, by its kind and length alone."""
-    return (length * sum(w * w for *_, w in PATTERNS[step])) ** 0.5
+    return (length * (sum(w * w for *_, w in PATTERNS) if step == 1 else 1.0)) ** 0.5
 
 
 @lru_cache(maxsize=1)
@@ -120,6 +126,7 @@ class Model:
     bias: float
     slope: float
     offset: float
+    spaced: float = 0.0  # what the bias of spans with regular gaps has beside the plain ones'
 
     def score(self, decisions: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * decisions + self.offset, -40, 40)))
@@ -128,31 +135,56 @@ class Model:
 EMPTY = Model(np.zeros(1 << 3 * BITS, np.float32), 0.0, 0.0, -40.0)
 
 
-def _filled(s: np.ndarray, step: int) -> np.ndarray:
-    """True where what stands after a symbol, up to the step, is what stands after the next one, too: it fills gaps."""
-    n = max(0, len(s) - 2 * step)
-    own = np.ones(n, bool)
-    for j in range(1, step):
-        own &= s[j : j + n] == s[j + step : j + step + n]
-    return own
+def _spaced(s: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """(subsequence, whether there is one) around each letter: itself and the letters a step before and after it in its word.
 
-
-def span_decisions(s: np.ndarray, table: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(decision, step, length) of the best span that begins at each place."""
+    Where the word begins or ends there, a blank stands for the letter beyond; what lies between is any letters.  At a step of two,
+    letters that stand alone between blanks are a word of their own, too.
+    """
+    n = len(s)
+    around = np.zeros(n + 2 * MARGIN, np.uint8)
+    around[MARGIN : MARGIN + n] = s
+    at = lambda k: around[MARGIN + k : MARGIN + k + n]
+    letter = lambda k: at(k) > BLANK
+    sides = []
+    for sign in (-1, 1):
+        edge = ~letter(sign)
+        inside = ~edge
+        for k in range(2, step + 1):
+            inside &= letter(sign * k)
+        sides.append((edge, inside, at(sign * step)))
+    (first, left, a), (last, right, c) = sides
+    own = letter(0) & (first | left) & (last | right) & ~(first & last)
+    a, c = np.where(first, np.uint8(BLANK), a), np.where(last, np.uint8(BLANK), c)
+    if step == 2:
+        alone = letter(0) & (at(-1) == BLANK) & (at(1) == BLANK)
+        before, after = letter(-2) & ~letter(-3) & alone, letter(2) & ~letter(3) & alone
+        own |= before | after
+        a, c = np.where(before, at(-2), a), np.where(after, at(2), c)
+    return (a.astype(np.int32) << 2 * BITS) | (s.astype(np.int32) << BITS) | c, own
+
+
+def span_decisions(s: np.ndarray, table: np.ndarray, bias: float, spaced: float = 0.0, plain: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(decision, step, length) of the best span (with plain: one without regular gaps) that begins at each place."""
     wide = s.astype(np.int32)
     high, middle = wide << 2 * BITS, wide << BITS
     best, steps, length = np.full(len(s), -np.inf, np.float32), np.ones(len(s), np.int8), np.zeros(len(s), np.int8)
     for step, sizes in SPANS.items():
+        if plain and step > 1:
+            break
         rows = -(-len(s) // step)
         here = np.zeros(rows * step, np.float32)
-        for first, second, w in PATTERNS[step]:
-            n = max(0, len(s) - step * second)
-            found = table[high[:n] | middle[step * first : step * first + n] | wide[step * second : step * second + n]]
-            here[:n] += found * (np.float32(w) if step == 1 else _filled(s, step))
+        if step == 1:
+            for first, second, w in PATTERNS:
+                n = max(0, len(s) - second)
+                here[:n] += table[high[:n] | middle[first : first + n] | wide[second : second + n]] * np.float32(w)
+        else:
+            keys, own = _spaced(s, step)
+            here[: len(s)] = table[keys] * own
         sums = np.zeros((rows + 1, step))
         np.cumsum(here.reshape(rows, step), axis=0, out=sums[1:])
         for size in sizes:
-            own = ((sums[size:] - sums[: rows + 1 - size]) / _norm(step, size) + bias).reshape(-1)[: len(s)].astype(np.float32)
+            own = ((sums[size:] - sums[: rows + 1 - size]) / _norm(step, size) + bias + spaced * (step > 1)).reshape(-1)[: len(s)].astype(np.float32)
             better = own > best[: len(own)]
             best[: len(own)][better] = own[better]
             steps[: len(own)][better] = step
@@ -180,7 +212,7 @@ def text_decisions(data: np.ndarray, offsets: np.ndarray, model: Model) -> np.nd
     while at < len(of):  # pieces of bounded size together
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE, "right")) - 1)
         s, starts = sequence(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
-        found = np.maximum.reduceat(span_decisions(s, model.table, model.bias)[0], starts - PAD + 1)
+        found = np.maximum.reduceat(span_decisions(s, model.table, model.bias, model.spaced)[0], starts - PAD + 1)
         np.maximum.at(out, of[at:to], found)
         at = to
     return out
@@ -192,20 +224,20 @@ def text_decisions(data: np.ndarray, offsets: np.ndarray, model: Model) -> np.nd
 def _features(step: int, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(subsequences, values) of a span of symbols, with what its subsequences reach, read in steps."""
     if step > 1:
-        return _keys(s, step, 2 * step)[::step][: len(s)], _filled(s, step)[::step] / _norm(step, max(1, len(s) // step - 2))
-    parts = [(_keys(s, a, b), w) for a, b, w in PATTERNS[1]]
+        keys, own = (x[MARGIN : len(s) - MARGIN : step] for x in _spaced(s, step))
+        return keys[own], np.full(int(own.sum()), 1 / _norm(step, max(1, len(keys))))
+    parts = [(_keys(s, a, b), w) for a, b, w in PATTERNS]
     return np.concatenate([k for k, _ in parts]), np.concatenate([np.full(len(k), w) for k, w in parts]) / _norm(1, max(1, len(s) - 2))
 
 
-def _dense(spans: list[tuple[int, np.ndarray]], columns: np.ndarray) -> np.ndarray:
+def _dense(features: list[tuple[np.ndarray, np.ndarray]], columns: np.ndarray) -> np.ndarray:
     """The kernel's features of spans, in the given subsequences only."""
-    out = np.zeros((len(spans), len(columns)), np.float32)
-    for i, (step, s) in enumerate(spans):
-        keys, values = _features(step, s)
-        at = np.minimum(np.searchsorted(columns, keys), len(columns) - 1)
-        hit = columns[at] == keys
-        np.add.at(out[i], at[hit], values[hit])
-    return out
+    row = np.repeat(np.arange(len(features)), [len(k) for k, _ in features])
+    keys, values = np.concatenate([k for k, _ in features]), np.concatenate([v for _, v in features])
+    at = np.minimum(np.searchsorted(columns, keys), len(columns) - 1)
+    hit = columns[at] == keys
+    out = np.bincount(row[hit] * len(columns) + at[hit], values[hit], len(features) * len(columns))
+    return out.reshape(len(features), len(columns)).astype(np.float32)
 
 
 def _svm(x: np.ndarray, y: np.ndarray, share: np.ndarray, steps: int = 500, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -266,39 +298,64 @@ def _first_weights(docs: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray
 
 
 def stretched(s: np.ndarray, rng: np.random.Generator) -> list[np.ndarray]:
-    """The string with one letter, two letters or a blank after each of its letters, and with one of them anywhere; padded."""
+    """The string with one to three letters, the same or different ones, or a blank after each of its letters, and with one of them anywhere; padded."""
     out = []
-    for fill in ([int(rng.integers(2, 28))], [int(x) for x in rng.integers(2, 28, 2)], [BLANK]):
+    for many in (1, 2, 3, 0):
+        fixed = rng.integers(2, 28, many) if rng.random() < 0.3 else None
         parts = []
         for i, c in enumerate(s):
             parts.append(c)
             if c > BLANK and i + 1 < len(s) and s[i + 1] > BLANK:
-                parts += fill
+                parts.extend(([BLANK] if not many else rng.integers(2, 28, many) if fixed is None else fixed))
         out.append(parts)
     cut = int(rng.integers(1, max(2, len(s) - 1)))
     out.append([*s[:cut], int(rng.choice([BLANK, int(rng.integers(2, 28))])), *s[cut:]])
     return [np.concatenate([np.zeros(PAD, np.uint8), np.array(x, np.uint8), np.zeros(PAD, np.uint8)]) for x in out]
 
 
-def _top(s: np.ndarray, table: np.ndarray, many: int) -> list[tuple[int, np.ndarray]]:
-    """The best spans of a padded document that lie apart: (step, symbols)."""
-    best, steps, length = span_decisions(s, table, 0.0)
+def _together(strings: list[np.ndarray], table: np.ndarray, bias: float = 0.0, spaced: float = 0.0, plain: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
+    """The span decisions of each padded string; many short ones are computed at once."""
+    at = 0
+    while at < len(strings):
+        to, size = at, 0
+        while to < len(strings) and (to == at or size + len(strings[to]) <= PIECE):
+            size += len(strings[to])
+            to += 1
+        ends = np.cumsum([len(x) for x in strings[at:to]])
+        found = span_decisions(np.concatenate(strings[at:to]), table, bias, spaced, plain)
+        for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            yield tuple(x[a:b] for x in found)
+        at = to
+
+
+def _top(strings: list[np.ndarray], table: np.ndarray, spaced: float = 0.0, plain: bool = False, many: int = 1) -> list[list[tuple[int, np.ndarray]]]:
+    """The best spans of each padded string that lie apart: (step, symbols)."""
     out = []
-    for _ in range(many):
-        i = int(best.argmax())
-        if not np.isfinite(best[i]) or not length[i]:
-            break
-        step = int(steps[i])
-        out.append((step, s[i : i + step * (int(length[i]) + 2)]))
-        best[max(0, i - PAD) : i + PAD] = -np.inf
+    for s, (best, steps, length) in zip(strings, _together(strings, table, 0.0, spaced, plain), strict=True):
+        own = []
+        for _ in range(many):
+            i = int(best.argmax())
+            if not np.isfinite(best[i]) or not length[i]:
+                break
+            step, size = int(steps[i]), int(length[i])
+            if step == 1:
+                own.append((1, s[i : i + size + 2]))
+            else:  # with margins, whole by the padding
+                a, b = i - MARGIN, i + step * (size - 1) + 1 + MARGIN
+                own.append((step, np.concatenate([np.zeros(max(0, -a), np.uint8), s[max(0, a) : b], np.zeros(max(0, b - len(s)), np.uint8)])))
+            best[max(0, i - PAD) : i + PAD] = -np.inf
+        out.append(own)
     return out
 
 
-def _around(s: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """The symbols of a padded document's best plain span."""
-    n = int(span_decisions(s, table, 0.0)[0].argmax())
-    part = s[max(0, n - 2) : n + SPANS[1][0] + 4]
-    return part[part != NONE]
+def _around(strings: list[np.ndarray], table: np.ndarray) -> list[np.ndarray]:
+    """The symbols of each padded document's best plain span."""
+    out = []
+    for s, (best, *_) in zip(strings, _together(strings, table, plain=True), strict=True):
+        n = int(best.argmax())
+        part = s[max(0, n - 2) : n + SPANS[1][0] + 4]
+        out.append(part[part != NONE])
+    return out
 
 
 def train(texts: list[str | None], toxic: np.ndarray) -> Model:
@@ -312,36 +369,40 @@ def train(texts: list[str | None], toxic: np.ndarray) -> Model:
         raw = np.frombuffer((t or "").encode(), np.uint8)
         docs.append(sequence(raw, np.array([0, len(raw)]))[0])
     weight = 1 / _copies(docs)
-    table, bias = _first_weights(docs, toxic, weight).astype(np.float32), 0.0
+    table, bias, spaced = _first_weights(docs, toxic, weight).astype(np.float32), 0.0, 0.0
     if not table.any():
         return EMPTY
     clean = [int(i) for i in np.flatnonzero(toxic == 0) if len(docs[i]) > 2 * PAD + 4]
     down: list[tuple[int, np.ndarray]] = []
     boost, best = weight.copy(), (np.inf, EMPTY)
     for turn in range(ROUNDS):
+        plain = turn < PLAIN
         up, share = [], []
-        for i in np.flatnonzero(toxic == 1):
-            for x in [docs[i], *stretched(_around(docs[i], table), rng)]:
-                up += _top(x, table, 1)
-                share += [boost[i] if x is docs[i] else boost[i] / 3] * (len(up) - len(share))
-        for i in clean:
-            down += _top(docs[i], table, 1 if turn else 2)
+        bad = [int(i) for i in np.flatnonzero(toxic == 1)]
+        for i, part in zip(bad, _around([docs[i] for i in bad], table), strict=True):
+            forms = [docs[i]] if plain else [docs[i], *stretched(part, rng)]
+            for n, own in enumerate(_top(forms, table, spaced, plain)):
+                up += own
+                share += [boost[i] if not n else boost[i] / 4] * len(own)
+        down += [x for own in _top([docs[i] for i in clean], table, spaced, plain, 1 if turn else 2) for x in own]
+        forms = []
         for i in rng.choice(clean, min(len(clean), 800), replace=False) if clean else []:  # any spans of clean documents, and stretched ones
             at = int(rng.integers(PAD - 1, len(docs[i]) - PAD))
             part = docs[i][at : at + SPANS[1][1]]
             down.append((1, docs[i][at : at + int(rng.choice(SPANS[1])) + 2]))
-            for x in stretched(part[part != NONE], rng):
-                down += _top(x, table, 1)
+            forms += [] if plain else stretched(part[part != NONE], rng)
+        down += [x for own in _top(forms, table, spaced) for x in own]
         down = list({(step, d.tobytes()): (step, d) for step, d in down}.values())
         if not up:
             return EMPTY
         if len(down) > 9000:
             down = [down[i] for i in rng.permutation(len(down))[:9000]]
         # landmarks: spans of toxic documents, and of the others those that look most like them and any
-        likely = np.argsort([-float((table[k] * v).sum()) for k, v in (_features(*z) for z in down)], kind="stable")
-        marks = [up[i] for i in rng.permutation(len(up))[: LANDMARKS // 2]] + [down[i] for i in likely[: LANDMARKS // 4]]
-        marks += [down[i] for i in rng.permutation(len(down))[: LANDMARKS // 4]]
-        columns = np.unique(np.concatenate([_features(*z)[0] for z in marks]))
+        spans = [_features(*z) for z in up + down]
+        likely = len(up) + np.argsort([-float((table[k] * v).sum()) for k, v in spans[len(up) :]], kind="stable")
+        chosen = [*rng.permutation(len(up))[: LANDMARKS // 2], *likely[: LANDMARKS // 4], *(len(up) + rng.permutation(len(down))[: LANDMARKS // 4])]
+        marks = [spans[i] for i in chosen]
+        columns = np.unique(np.concatenate([k for k, _ in marks]))
         columns = columns[((columns & 63) != NONE) & ((columns >> BITS & 63) != NONE) & (columns >> 2 * BITS != NONE)]
         if not len(columns):
             return EMPTY
@@ -349,20 +410,21 @@ def train(texts: list[str | None], toxic: np.ndarray) -> Model:
         val, vec = np.linalg.eigh(c.astype(np.float64) @ c.T)
         good = val > 1e-6 * max(val.max(), 1e-12)
         white = vec[:, good] / np.sqrt(val[good])
-        spans = up + down
         x = np.vstack([_dense(spans[i : i + 500], columns) @ c.T for i in range(0, len(spans), 500)]).astype(np.float64) @ white
+        x = np.hstack([x, np.array([[float(step > 1)] for step, _ in up + down])])
         y = np.where(np.arange(len(spans)) < len(up), 1.0, -1.0)
         many = np.concatenate([share, np.ones(len(down))])
         part = many / np.where(y > 0, 2 * many[y > 0].sum(), 2 * max(1.0, many[y < 0].sum()))
         w, bias = _svm(x, y, part)
         table = np.zeros(1 << 3 * BITS, np.float32)
-        table[columns] = c.T @ (white @ w)
-        top = np.array([max(bias, span_decisions(d, table, bias)[0].max()) for d in docs])
+        table[columns] = c.T @ (white @ w[:-1])
+        spaced = float(w[-1])
+        top = np.array([max(bias, found[0].max()) for found in _together(docs, table, bias, spaced, plain)])
         slope, offset = _curve(top, toxic.astype(float))
         wrong = (slope * top + offset >= 0) != (toxic == 1)
         rate = wrong[toxic == 1].mean() + wrong[toxic == 0].mean()
-        if rate <= best[0]:
-            best = rate, Model(table, bias, slope, offset)
+        if rate <= best[0] and not plain:
+            best = rate, Model(table, bias, slope, offset, spaced)
         boost = np.where((toxic == 1) & (top < 0.8), 2 * boost, boost)  # a toxic document that isn't told counts more from now on
     return best[1]
 

@@ -119,6 +119,37 @@ def test_toxicity_leaves_gapped_clean_words(insults, context):
     assert [x for x, s in zip(forms, found, strict=True) if s >= 0.5] == []
 
 
+def filled(word, many, rng):
+    """The word with ``many`` random letters between any two of its letters."""
+    return "".join(c + "".join(chr(rng.randrange(97, 123)) for _ in range(many)) for c in word[:-1]) + word[-1]
+
+
+@pytest.mark.parametrize("many", [1, 2, 3])
+@pytest.mark.parametrize("context", ["{}", "an the {} or re"])
+def test_toxicity_reads_over_different_letters(insults, context, many):
+    rng = random.Random(9)
+    bad = [context.format(filled(w, many, rng)) for w in ("dumbo", "scumbag", "moronic") for _ in range(20)]
+    assert (scores(insults, bad) >= 0.5).mean() >= 0.9
+    assert (scores(insults, [context.format("xxx".join(w)) for w in ("dumbo", "scumbag", "moronic")]) >= 0.5).all()
+    clean = [context.format(filled(w, many, rng)) for w in ("anthe", "theorer", "reingth", "thingore", "oneranon") for _ in range(12)]
+    assert (scores(insults, clean) >= 0.5).mean() <= 0.02
+
+
+ENGLISH = """The music and harmony of summer filled the garden. | We walked along the river and talked about the weather. | Music and harmony and summer
+The committee approved the budget for next year. | She bought three loaves of bread and some cheese. | The spectrum of light was measured in the laboratory.
+He scored twice in the second half of the match. | Please read the manual before you install the program. | The train to London leaves at half past seven.
+Children played football in the park until sunset. | Our results show a significant improvement over the baseline. | The stomach and the muscles of the abdomen
+The recipe needs two eggs, flour, sugar and a little milk. | Paintings by local artists hang in the museum lobby. | Documentation of the numerous boxes
+A customer ordered a lamp and a wooden table. | Heavy rain is expected in the north on Friday. | The teacher explained how volcanoes form."""
+
+
+def test_toxicity_leaves_ordinary_english(spark):
+    sf = "/root/testdata/sf0.01"
+    model = toxicity.fit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet").filter("crc32(CAST(doc_id AS STRING)) % 5 != 0"))
+    lines = [x.strip() for line in ENGLISH.splitlines() for x in line.split("|")]
+    assert [x for x, s in zip(lines, scores(model, lines), strict=True) if s >= 0.5] == []
+
+
 def test_toxicity_of_odd_texts(insults):
     clean = " ".join(SYLLABLES) + " "
     long_ = clean * (3 * toxicity.PIECE // len(clean))
