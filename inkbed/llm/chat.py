@@ -17,6 +17,7 @@ names don't matter; empty tables give no rows.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .columns import let
@@ -32,6 +33,19 @@ def conversations(turns: DataFrame, key: str, name: str) -> DataFrame:
     return whole.select(key, F.transform("_turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias(name))
 
 
+def last_replaced_by_first(turns: DataFrame, key: str, by: str = "assistant") -> DataFrame:
+    """key, turn, role and text of conversations up to the last turn of ``by``, whose text is that of their first turn of ``by``.
+
+    First and last go by turn, role and text, so equal numbers have a defined order and only one row is replaced; a conversation
+    without such a turn has no rows.
+    """
+    role, text = F.coalesce("role", F.lit("unknown")), F.coalesce("text", F.lit(""))
+    rows = turns.select(key, "turn", role.alias("role"), text.alias("text"), F.row_number().over(W.partitionBy(key).orderBy("turn", role, text)).alias("_at"))
+    own, whole = F.when(F.col("role") == by, F.col("_at")), W.partitionBy(key)
+    rows = rows.withColumn("_last", F.max(own).over(whole)).withColumn("_first", F.min_by("text", own).over(whole))
+    return rows.filter("_at <= _last").select(key, "turn", "role", F.when(F.col("_at") == F.col("_last"), F.col("_first")).otherwise(F.col("text")).alias("text"))
+
+
 def _head(turn: Column) -> Column:
     return F.concat(F.lit(OPEN), turn["role"], F.lit(MIDDLE))
 

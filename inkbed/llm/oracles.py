@@ -93,10 +93,10 @@ WITH t AS (
   SELECT conv_id AS pair_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, turn,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS i FROM conversations
 ),
-s AS (SELECT conv_id AS pair_id, max(turn) AS last, arg_min(text, turn) AS said FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+s AS (SELECT pair_id, max(i) AS last, arg_min(text, i) AS said FROM t WHERE role = 'assistant' GROUP BY pair_id),
 r AS (
   SELECT pair_id, role, text, row_number() OVER (PARTITION BY pair_id ORDER BY turn NULLS FIRST, role, text) AS i FROM
-  (SELECT pair_id, turn, role, CASE WHEN turn = last THEN coalesce(said, '') ELSE text END AS text FROM t JOIN s USING (pair_id) WHERE turn <= last)
+  (SELECT pair_id, turn, role, CASE WHEN t.i = last THEN said ELSE text END AS text FROM t JOIN s USING (pair_id) WHERE t.i <= last)
 ),
 diff AS (
   SELECT pair_id, min(i) FILTER (WHERE t.role IS DISTINCT FROM r.role OR t.text IS DISTINCT FROM r.text) AS cut, max(i) AS n

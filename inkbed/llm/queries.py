@@ -58,12 +58,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked as degenerate.
     """
     turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
-    said = turns.filter("role = 'assistant'").groupBy(F.col("pair_id").alias("_id")).agg(F.max("turn").alias("_last"), F.min_by("text", "turn").alias("_first"))
-    rejected = (
-        turns.join(said, turns["pair_id"].eqNullSafe(said["_id"]))
-        .filter("turn <= _last")
-        .select("pair_id", "turn", "role", F.when(F.col("turn") == F.col("_last"), F.col("_first")).otherwise(F.col("text")).alias("text"))
-    )
+    rejected = chat.last_replaced_by_first(turns, "pair_id")
     pairs = chat.preference_pairs(turns, rejected)
     ranges = lambda c: F.array_join(F.transform(c, lambda r: F.concat_ws("-", r["from"], r["to"])), ",")
     return pairs.withColumn("chosen_loss", ranges("chosen_loss")).withColumn("rejected_loss", ranges("rejected_loss"))

@@ -251,3 +251,18 @@ def test_chat_edges(spark):
     assert pair[0].rejected.count("b<") == 2
     empty = spark.createDataFrame([], schema)
     assert chat.preference_pairs(empty, empty).count() == 0
+
+
+def test_last_turn_of_equal_numbers(spark):
+    """One row is replaced, the last by turn, role and text, in whatever order rows come."""
+    schema = "k bigint, turn int, role string, text string"
+    rows = [(1, 0, "assistant", "B"), (1, 0, "assistant", "A"), (1, 1, "user", "q"), (1, 2, "assistant", "y"), (1, 2, "assistant", "z"), (1, 2, "user", "u"), (2, 0, "user", "only")]
+    rows += [(3, None, "assistant", None), (3, 1, None, "x"), (3, 1, "assistant", "w"), (None, 1, "assistant", "n"), (None, 1, "assistant", "n")]
+    want = [(None, 1, "assistant", "n"), (None, 1, "assistant", "n"), (1, 0, "assistant", "A"), (1, 0, "assistant", "B"), (1, 1, "user", "q"), (1, 2, "assistant", "A"), (1, 2, "assistant", "y")]
+    want += [(3, None, "assistant", ""), (3, 1, "assistant", "")]
+    for given in (rows, rows[::-1]):
+        got = chat.last_replaced_by_first(spark.createDataFrame(given, schema), "k").collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    long_ = spark.createDataFrame([(1, 0, "assistant", "x" * 500_000), (1, 1, "assistant", "y")], schema)
+    assert sorted(len(r.text) for r in chat.last_replaced_by_first(long_, "k").collect()) == [500_000, 500_000]
+    assert chat.last_replaced_by_first(long_.limit(0), "k").count() == 0
