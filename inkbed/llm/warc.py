@@ -225,7 +225,7 @@ def write(pages: DataFrame, folder: str | None = None, least: int = 0, archive_b
     digest = F.sha1(F.coalesce("html", F.lit(""))).alias("digest")  # hexadecimal here, base 32 in the records
     whole = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html", digest)
     roles = kept(whole.select("page_id", "digest", F.coalesce(F.octet_length("html"), F.lit(0)).alias("size")).distinct(), "digests")
-    first = roles.groupBy("digest").agg(F.min("page_id").alias("first"))
+    first = kept(roles.groupBy("digest").agg(F.min("page_id").alias("first")), "first-pages")  # as a table, so that a join may split a hot digest
     roles = roles.join(first, "digest").select(
         F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "first", ((F.col("size") >= least) & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("revisit")
     )
