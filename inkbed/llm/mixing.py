@@ -14,8 +14,8 @@ for each slot than few; the schedule meets the blocks by (source, number), which
 each source, and for each source and bucket, are gathered.
 
 Defined cases: a null source is a source of its own, last in order; null and empty texts have size 0 and are taken 0 words; a
-very long text is many blocks of many slots; repeated rows, and rows without doc_id, are laid out one after another, those of
-one hash in order of size; extra columns are not carried, so their names don't matter; an empty table gives an empty mix.
+very long text is many blocks of many slots; repeated rows are laid out one after another, those of one hash in order of size;
+rows without doc_id are shuffled by their texts; extra columns are not carried, so their names don't matter; an empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -42,8 +42,9 @@ BROADCAST_SOURCES = 100_000
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size (words of the text)."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
+    """doc_id, source, size (words of the text) and _own, the digest of a text without doc_id, by which it is shuffled."""
+    own = F.when(F.col("doc_id").isNull(), F.md5("text"))
+    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), own.alias("_own"))
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes: int = MAX_PASSES) -> DataFrame:
@@ -95,12 +96,12 @@ def bucket_digits(rows: int, most: int = 20_000) -> int:
 def layout(sized: DataFrame, ranks: DataFrame, digits: int) -> DataFrame:
     """Documents on their source's line of words, in shuffled order: adds rank and start.
 
-    The order is that of md5(doc_id), whatever the number of buckets, which are its first hex digits.
+    The order is that of md5(doc_id), of the text where there is none, whatever the number of buckets, which are its first hex digits.
     """
     same = sized["source"].eqNullSafe(ranks["source"])
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    key = F.coalesce(F.md5(F.col("doc_id").cast("string")), "_own", F.lit(""))
     rows = sized.join(ranks, same).drop(ranks["source"]).withColumn("_key", key).withColumn("_bucket", F.substring("_key", 1, digits))
-    return _prefix(rows, ["rank"], "_bucket", [F.col("_key"), F.col("size")], F.col("size"), "start").drop("_bucket", "_key")
+    return _prefix(rows, ["rank"], "_bucket", [F.col("_key"), F.col("size")], F.col("size"), "start").drop("_bucket", "_key", "_own")
 
 
 def schedule(targets_: DataFrame, slots: int, buckets: int) -> DataFrame:
@@ -133,11 +134,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes: int = M
 
 
 def taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes: int = MAX_PASSES, block: int = BLOCK) -> DataFrame:
-    """For each document: doc_id, source, size, source_size, target and taken, the words that the mix takes of it."""
+    """For each document: doc_id, source, size, source_size, target and taken, the words that the mix takes of it.
+
+    Where the schedule puts them: pieces (0 if nothing is taken), first_slot and last_slot (null then).
+    """
     pieces, placed = _mixed(docs, weights, max_passes, block)
-    sums = pieces.groupBy("rank", "start").agg(F.sum(F.col("to") - F.col("from")).alias("taken"))  # a place is one document's
-    empty = placed.filter("size = 0").withColumn("taken", F.lit(0).cast("bigint"))
-    columns = ["doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken")]
+    sums = pieces.groupBy("rank", "start").agg(  # a place is one document's
+        F.sum(F.col("to") - F.col("from")).alias("taken"), F.count("*").alias("pieces"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot")
+    )
+    none = F.lit(None).cast("bigint")
+    empty = placed.filter("size = 0").withColumns({"taken": none, "pieces": none, "first_slot": none, "last_slot": none})
+    counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("taken", "pieces")]
+    columns = ["doc_id", "source", "size", "source_size", "target", *counts, "first_slot", "last_slot"]
     return placed.filter("size > 0").join(sums, ["rank", "start"], "left").select(*columns).unionByName(empty.select(*columns))
 
 

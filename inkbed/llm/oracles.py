@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .mixing import BLOCK, CIRCLE, GOLDEN_STEP
+
 WORD = "'[^\\x20\\x09-\\x0D]+'"
 
 LEDGER = f"""
@@ -40,7 +42,7 @@ SELECT rule, count(*) FILTER (WHERE rule_mask >> bit & 1 = 1)::BIGINT AS n_faile
 """
 
 OP2 = f"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, {WORD})), 0)::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, {WORD})), 0)::BIGINT AS size, CASE WHEN doc_id IS NULL THEN md5(text) END AS own FROM documents),
 t AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS rank FROM d GROUP BY source),
 w AS (SELECT *, CASE rank % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM t),
 l AS (
@@ -57,12 +59,38 @@ words AS (
   (SELECT *, round(sum(target) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS upto FROM goal)
 ),
 placed AS (
-  SELECT doc_id, size, source_size, target, words,
-         sum(size) OVER (PARTITION BY rank ORDER BY md5(coalesce(doc_id::VARCHAR, '')), size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS start
+  SELECT doc_id, size, rank, source_size, target, words,
+         (sum(size) OVER (PARTITION BY rank ORDER BY coalesce(md5(doc_id::VARCHAR), own, ''), size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size)::BIGINT AS start
   FROM d JOIN words ON d.source IS NOT DISTINCT FROM words.source
+),
+total AS (SELECT ((coalesce(sum(size), 0) + {BLOCK - 1}) // {BLOCK})::BIGINT AS n FROM d),
+ends AS (SELECT rank, sum(target) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM goal WHERE target > 0),
+rounded AS (SELECT rank, round(upto / max(upto) OVER () * {CIRCLE})::BIGINT AS upto FROM ends),
+shares AS (SELECT rank, lag(upto, 1, 0) OVER (ORDER BY rank) AS since, upto FROM rounded),
+points AS (SELECT slot, slot * {GOLDEN_STEP} % {CIRCLE} AS point FROM (SELECT unnest(range(n)) AS slot FROM total)),
+dealt AS (SELECT slot, rank, row_number() OVER (PARTITION BY rank ORDER BY slot) - 1 AS k FROM points JOIN shares ON point >= since AND point < upto),
+lacks AS (
+  SELECT rank, coalesce(had, 0) AS had, greatest((words + {BLOCK - 1}) // {BLOCK} - coalesce(had, 0), 0)::BIGINT AS lack
+  FROM words LEFT JOIN (SELECT rank, count(*) AS had FROM dealt GROUP BY rank) USING (rank)
+),
+later AS (SELECT *, coalesce(sum(lack) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS earlier FROM lacks),
+slots AS (
+  SELECT slot, rank, k FROM dealt
+  UNION ALL SELECT n + earlier + i, rank, had + i FROM (SELECT *, unnest(range(lack)) AS i FROM later), total
+),
+lines AS (
+  SELECT rank, start, pass * source_size + start AS since, least(pass * source_size + start + size, words) AS upto
+  FROM placed, (SELECT unnest([0, 1, 2]) AS pass) WHERE size > 0 AND pass * source_size + start < words
+),
+spread AS (
+  SELECT l.rank, l.start, sum((upto - 1) // {BLOCK} - since // {BLOCK} + 1) AS pieces, min(a.slot) AS first_slot, max(b.slot) AS last_slot
+  FROM lines l JOIN slots a ON a.rank = l.rank AND a.k = since // {BLOCK} JOIN slots b ON b.rank = l.rank AND b.k = (upto - 1) // {BLOCK} GROUP BY ALL
 )
 SELECT doc_id, size, source_size, target,
-       CASE WHEN size = 0 THEN 0 ELSE size * (words // source_size) + greatest(0, least(size, words % source_size - start)) END::BIGINT AS taken FROM placed
+       CASE WHEN size = 0 THEN 0 ELSE size * (words // source_size) + greatest(0, least(size, words % source_size - p.start)) END::BIGINT AS taken,
+       CASE WHEN size = 0 THEN 0 ELSE coalesce(pieces, 0) END::BIGINT AS pieces,
+       CASE WHEN size > 0 THEN first_slot END AS first_slot, CASE WHEN size > 0 THEN last_slot END AS last_slot
+FROM placed p LEFT JOIN spread s ON s.rank = p.rank AND s.start = p.start
 """
 
 ITEM_WORD = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"

@@ -23,7 +23,7 @@ def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.taken(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.taken(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "pieces", "first_slot", "last_slot")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

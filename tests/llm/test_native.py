@@ -120,6 +120,10 @@ def test_mixing_edges(spark):
     assert sorted((r.size, r.taken) for r in long_) == [(2, 6), (300_000, 299_996)]
     rows = docs(spark, ["a b", "c"]).withColumn("doc_id", F.lit(None).cast("bigint")).withColumns({c: F.lit(1) for c in ("rank", "size", "target", "k", "goal")})
     assert sorted(r.taken for r in mixing.taken(rows).collect()) == [1, 2]
+    many = docs(spark, [f"a{i} b" for i in range(3000)]).withColumn("doc_id", F.lit(None).cast("bigint"))
+    assert sorted(r.first_slot for r in mixing.taken(many).collect()) == sorted(i * 2 // 256 for i in range(3000))
+    spread = mixing.sizes(many).select(F.substring("_own", 1, 2).alias("b")).groupBy("b").count().collect()
+    assert len(spread) > 200 and max(r["count"] for r in spread) < 60  # rows without doc_id aren't one bucket
     pieces = mixing.mix(docs(spark, ["a b c", "d e"], {0: "x", 1: "y"})).collect()
     assert all(0 <= p["from"] < p["to"] for p in pieces)
 
@@ -133,6 +137,9 @@ def test_mixing_of_small_sources(spark):
         pieces = mixing.mix(docs(spark, texts, sources), block=block).collect()
         assert sum(r.taken for r in rows) == sum(r.size for r in rows)
         words, slots = Counter(), Counter()
+        for r in rows:
+            own = [p.slot for p in pieces if p.doc_id == r.doc_id]
+            assert (r.pieces, r.first_slot, r.last_slot) == (len(own), min(own, default=None), max(own, default=None))
         for p in pieces:
             assert 0 <= p["from"] < p["to"] <= len(texts[p.doc_id].split()) and p["pass"] < 3
             words.update((p["pass"], p.doc_id, i) for i in range(p["from"], p["to"]))
