@@ -33,6 +33,34 @@ def parse_concepts(rows: DataFrame) -> DataFrame:
     return none.unionByName(filled)
 
 
+_VERDICT = "ARRAY<STRUCT<concept_id: STRING, verdict: STRING, reconstruction: STRING, comparison: STRING, confidence: DOUBLE, evidence_span_ids: ARRAY<STRING>>>"
+
+
+def critic_verdicts(rows: DataFrame) -> DataFrame:
+    """M-03: answers of the reconstruction critic (window_id, abstention, text) as window_id, concept_id, verdict, confidence, evidence (spans).
+
+    A field that is left out has its default: an empty id, unresolved, 0.5, no spans.  An answer that abstains, is no JSON or no array gives no
+    verdict, so that its concepts stay unjudged (critic_gaps).
+    """
+    fine = F.col("abstention").isNull() & (_shape(F.col("text")) == "array")
+    found = rows.filter(fine).select("window_id", F.explode(F.from_json("text", _VERDICT)).alias("v"))
+    default = lambda c, v: F.coalesce(f"v.{c}", F.lit(v)).alias(c)
+    evidence = F.coalesce(F.size("v.evidence_span_ids"), F.lit(0))
+    return found.select("window_id", default("concept_id", ""), default("verdict", "unresolved"), default("confidence", 0.5), F.greatest(evidence, F.lit(0)).cast("bigint").alias("evidence"))
+
+
+def critic_gaps(concepts: DataFrame, verdicts: DataFrame, accepted: tuple[str, ...] = ("supported",)) -> DataFrame:
+    """M-03: concepts (window_id, concept_id) that aren't confirmed: reason unjudged, or the verdicts that are not accepted, sorted and joined.
+
+    Of several verdicts on one concept any that isn't accepted counts: the gate fails closed.
+    """
+    bad = F.array_sort(F.collect_set(F.when(~F.col("verdict").isin(*accepted), F.col("verdict"))))
+    judged = verdicts.groupBy("window_id", "concept_id").agg(bad.alias("_bad"))
+    rows = concepts.select("window_id", "concept_id").join(judged, ["window_id", "concept_id"], "left")
+    reason = F.when(F.col("_bad").isNull(), "unjudged").when(F.size("_bad") > 0, F.array_join("_bad", ","))
+    return rows.select("window_id", "concept_id", reason.alias("reason")).filter("reason IS NOT NULL")
+
+
 def check_rewrites(answers: DataFrame, required: DataFrame, least: int = 10) -> DataFrame:
     """M-05: answers (unit_id, abstention, text) for units with concepts to map (required: unit_id, concept_id): unit_id, reason, acceptable.
 

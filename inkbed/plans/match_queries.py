@@ -188,14 +188,15 @@ def critic_calibration(t):
 
 @query("reader_scores", """
 WITH s AS (SELECT source, doc_id % 2 AS v, unnest([quality, toxic + 1, quality * 3]) AS score, unnest(['clarity', 'tone', 'depth']) AS dim FROM documents JOIN labels USING (doc_id))
-SELECT dim, coalesce(round(avg(CASE WHEN score > 0 AND v = 0 THEN score END), 6), 0) AS original, coalesce(round(avg(CASE WHEN score > 0 AND v = 1 THEN score END), 6), 0) AS revised, count(*) FILTER (WHERE score > 0)::BIGINT AS n FROM s GROUP BY dim""")
+SELECT dim, coalesce(round(avg(CASE WHEN score > 0 AND v = 0 THEN score END), 6), 0) AS original, coalesce(round(avg(CASE WHEN score > 0 AND v = 1 THEN score END), 6), 0) AS revised,
+       round(coalesce(avg(CASE WHEN score > 0 AND v = 1 THEN score END), 0) - coalesce(avg(CASE WHEN score > 0 AND v = 0 THEN score END), 0), 6) AS improvement, count(*) FILTER (WHERE score > 0)::BIGINT AS n FROM s GROUP BY dim""")
 def reader_scores(t):
-    """A-09 to A-11: means of scores over 0 by dimension and version."""
+    """A-09 to A-11: means of scores over 0 by dimension and version, and what the revision gained."""
     rows = t("documents").join(t("labels"), "doc_id").select(
         (F.col("doc_id") % 2).alias("v"), F.inline(F.array(*[F.struct(F.lit(n).alias("dim"), x.cast("int").alias("score")) for n, x in (("clarity", F.col("quality")), ("tone", F.col("toxic") + 1), ("depth", F.col("quality") * 3))]))
     )
-    mean = lambda v: F.coalesce(F.round(F.avg(F.when((F.col("score") > 0) & (F.col("v") == v), F.col("score"))), 6), F.lit(0.0))
-    return rows.groupBy("dim").agg(mean(0).alias("original"), mean(1).alias("revised"), F.count_if(F.col("score") > 0).alias("n"))
+    mean = lambda v: F.coalesce(F.avg(F.when((F.col("score") > 0) & (F.col("v") == v), F.col("score"))), F.lit(0.0))
+    return rows.groupBy("dim").agg(F.round(mean(0), 6).alias("original"), F.round(mean(1), 6).alias("revised"), F.round(mean(1) - mean(0), 6).alias("improvement"), F.count_if(F.col("score") > 0).alias("n"))
 
 
 @query("running_budget", """

@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Environments by kind.
@@ -269,3 +269,44 @@ def merge_parsers(a: DataFrame, b: DataFrame, a_name: str, b_name: str) -> DataF
     best = F.when(F.col("object_type").isin("label", "citation"), F.max(any_)).when(F.max(own).isNotNull(), F.max(own)).otherwise(F.min(any_))
     raw = F.when(last, F.max_by("raw", "start")).otherwise(F.min_by("raw", "start"))
     return both.withColumn("hash", form).groupBy("doc_id", "object_type", "hash").agg(F.array_join(F.sort_array(F.collect_set("parser")), "+").alias("parser_source"), best.alias("start"), raw.alias("raw"))
+
+
+def register_table_functions(spark: SparkSession) -> None:
+    """G-01, G-03, G-08 to G-11 for SQL: latex_regions, latex_abstentions and latex_objects, called laterally for each row.
+
+    ``SELECT f.doc_id, r.* FROM files f, LATERAL latex_regions(f.tex, 'prose,heading') r``.  The second argument is optional and constant: kinds
+    (or object types) to keep, split by commas; it is checked when the query is analysed, as is that the text is a string.  Null texts have no rows.
+    """
+    from pyspark.sql.functions import udtf
+    from pyspark.sql.types import LongType, StringType, StructType
+    from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
+
+    def table_function(scan, names: list[str], kind: int):
+        """A table function of scan(text), whose rows have ``names``, filtered by the column at place ``kind``."""
+        schema = StructType()
+        for n in names:
+            schema = schema.add(n, LongType() if n in ("start", "end") else StringType())
+
+        class Scanned:
+            @staticmethod
+            def analyze(text: AnalyzeArgument, kinds: AnalyzeArgument | None = None) -> AnalyzeResult:
+                if text.dataType != StringType():
+                    raise ValueError("the text has to be a string")
+                if kinds is not None and not (kinds.isConstantExpression and isinstance(kinds.value, str)):
+                    raise ValueError("kinds have to be a constant string")
+                return AnalyzeResult(schema)
+
+            def eval(self, text, kinds=None):
+                wanted = {k.strip() for k in kinds.split(",")} if kinds else None
+                for row in scan(text) if text is not None else ():
+                    if wanted is None or row[kind] in wanted:
+                        yield row
+
+        return udtf(Scanned)
+
+    def spelled(text: str):
+        return [(s, e, kind, text[s:e]) for s, e, kind in regions(text)]
+
+    spark.udtf.register("latex_regions", table_function(spelled, ["start", "end", "kind", "region"], 2))
+    spark.udtf.register("latex_abstentions", table_function(unclosed, ["start", "construct", "reason"], 1))
+    spark.udtf.register("latex_objects", table_function(objects, ["object_type", "raw", "start", "end"], 0))

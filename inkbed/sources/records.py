@@ -72,7 +72,7 @@ def bibtex_entries(text: str) -> list[dict[str, str]]:
     """S-07: entries with kind, key and fields; values in braces, quotes or bare; DOI and arXiv number from the note."""
     starts = list(_ENTRY.finditer(text))
     out = []
-    for m, after in zip(starts, [*starts[1:], None], strict=True):
+    for m, after in zip(starts, [*starts[1:], None], strict=False):  # a text may have no entry
         body = text[m.end() : after.start() if after else len(text)]
         entry = {"kind": m[1].lower(), "key": m[2]}
         at = 0
@@ -116,6 +116,53 @@ def bibtex(files: DataFrame, text: str = "value") -> DataFrame:
     return files.select(F.col(text).alias("t")).mapInPandas(parse, ", ".join(f"{x} string" for x in fields))
 
 
+def bibtex_files(spark: SparkSession, path: str) -> DataFrame:
+    """S-07: the entries of BibTeX files of any size, plain or gzipped; columns of bibtex().
+
+    An entry begins with @ at the begin of a line, and the text reader takes that as the separator of its rows: a large plain file is
+    read by many tasks, and an entry that crosses the edge of a split belongs to the task in whose split it begins.  Entries that begin
+    within a line are read with the one before; a value with a line that begins with @ ends there.
+    """
+    rows = spark.read.option("lineSep", "\n@").text(path)
+    # the first row of a file still has its @
+    return bibtex(rows.select(F.when(F.col("value").startswith("@"), F.col("value")).otherwise(F.concat(F.lit("@"), "value")).alias("value")))
+
+
+#: Terms of the bibliography's filter, in normal form.
+EXPORT_TERMS = ("writing", "feedback", "revision", "human ai", "language model", "essay", "creative", "authoring")
+
+
+def selected_bibliography(entries: DataFrame, database: str, terms: tuple[str, ...] = EXPORT_TERMS) -> DataFrame:
+    """S-11: entries whose title in normal form holds a term, in the columns of an export; entries without title are left out."""
+    from inkbed.functions.text import bibliographic, collapse_space
+
+    title, held = bibliographic(F.col("title")), F.lit(False)
+    for term in terms:
+        held = held | title.contains(term)
+    filled = [F.coalesce(c, F.lit("")).alias(c) for c in ("year", "doi", "url")]
+    return entries.filter((title != "") & held).select("title", collapse_space(F.coalesce("author", F.lit(""))).alias("authors"), *filled, F.lit("").alias("abstract"), F.lit(database).alias("database"))
+
+
+def export_bibliography(entries: DataFrame, out: str, database: str, source: str, terms: tuple[str, ...] = EXPORT_TERMS) -> DataFrame:
+    """S-11: writes the selected entries as CSV at ``out`` in order of year and title key, and a sidecar at ``out``.meta, a row of JSON,
+    which is written last: database, source, filter, record_count and a hash of the export's rows in any order.  Returns the sidecar.
+
+    The sort is by ranges, so the files in order of their names are the order; no record is capped.
+    """
+    from inkbed.functions.text import canonical, title_key
+
+    spark, columns = entries.sparkSession, ["title", "authors", "year", "doi", "url", "abstract", "database"]
+    rows = selected_bibliography(entries, database, terms)
+    rows.orderBy("year", title_key(F.col("title")), "title", "authors").write.option("header", True).option("escape", '"').option("emptyValue", "").csv(out)
+    back = spark.read.schema(", ".join(f"{c} string" for c in columns)).option("header", True).option("escape", '"').option("multiLine", True).csv(out).na.fill("")
+    halves = F.sha2(canonical(*map(F.col, columns)), 256)
+    part = lambda at: F.sum(F.conv(F.substring(halves, at, 8), 16, 10).cast("decimal(20,0)"))  # noqa: E731  sums don't depend on the order
+    digest = F.sha2(F.concat_ws(",", *(F.coalesce(part(at), F.lit(0)).cast("string") for at in range(1, 64, 8))), 256)
+    sidecar = back.agg(F.lit(database).alias("database"), F.lit(source).alias("source"), F.lit("title contains " + ", ".join(terms)).alias("filter"), F.count("*").alias("record_count"), digest.alias("rows_sha256"))
+    sidecar.coalesce(1).write.json(f"{out}.meta")
+    return spark.read.schema(sidecar.schema).json(f"{out}.meta")
+
+
 def html_items(html: str) -> list[tuple[str, str, str, str]]:
     """S-08: (url, title, authors, year) of list items with a link; items without link or title are left out."""
     from html.parser import HTMLParser
