@@ -65,6 +65,7 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 _ENTRY = re.compile(r"@([A-Za-z]+)\s*\{\s*([^,\s]+)\s*,")
+_BRACE = re.compile(r"[{}]")
 _FIELD = re.compile(r"([A-Za-z][\w-]*)\s*=\s*")
 
 
@@ -79,11 +80,11 @@ def bibtex_entries(text: str) -> list[dict[str, str]]:
         while f := _FIELD.search(body, at):
             at = f.end()
             if body[at : at + 1] == "{":
-                depth, end = 0, at
-                while end < len(body):
-                    depth += {"{": 1, "}": -1}.get(body[end], 0)
-                    end += 1
+                depth, end = 0, len(body)
+                for brace in _BRACE.finditer(body, at):
+                    depth += 1 if brace[0] == "{" else -1
                     if not depth:
+                        end = brace.end()
                         break
                 value, at = body[at + 1 : end - 1], end
             elif body[at : at + 1] == '"':
