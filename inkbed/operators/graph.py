@@ -6,15 +6,22 @@ first, a depth-first walk) runs for one component at a time in a worker; everyth
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from inkbed.session import ensure_checkpoints, written
 
 from .ordered import running
 from .scc import strong_components
 
+#: The most links that a worker takes at once.
+MOST_LINKS = 1_000_000
+
 
 def array_edges(concepts: DataFrame, graph: str, node: str, prerequisites: str) -> DataFrame:
     """N-01: one edge for each prerequisite."""
@@ -166,11 +173,81 @@ def cyclic_nodes(edges: DataFrame, source: str, target: str) -> DataFrame:
     return strong_components(edges, source, target).select("node").unionByName(loops).distinct()
 
 
-def label_components(links: DataFrame) -> DataFrame:
-    """N-02: node and component (least node) of undirected links (a, b); checkpoints each round.
-
-    Labels travel, hook the node that the old label names, and jump; they only fall, so rounds go on until none changes.
+def _stars(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the least one of its component among the links (a, b): roots hook to the least neighbour, then all jump."""
+    label = np.arange(n)
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            return label
+        low = np.minimum(x, y)
+        np.minimum.at(label, x, low)
+        np.minimum.at(label, y, low)
+        while not (label[label] == label).all():
+            label = label[label]
+
+
+def label_components(links: DataFrame, most: int = MOST_LINKS) -> DataFrame:
+    """N-02: node and component (least node) of undirected links (a, b); fields of structs aren't null, links with a null don't count.
+
+    Workers take ranges of the links, ``most`` at a time, and name the least node of each component in them.  Nodes that several workers name
+    link what they are named by; those links are the next level, until one worker takes all of them.  Where a level leaves more than three
+    quarters of the links, the rest is done in rounds of joins.
     """
+    links = links.filter("a IS NOT NULL AND b IS NOT NULL").select("a", "b").transform(written)
+    return _labelled(links, links.count(), most)
+
+
+def _labelled(links: DataFrame, n: int, most: int) -> DataFrame:
+    import pandas as pd
+
+    kind = links.schema["a"].dataType
+    fields = [f.name for f in kind.fields] if isinstance(kind, StructType) else None
+    flat = lambda c: [F.col(f"{c}.{f}").alias(f"{c}{i}") for i, f in enumerate(fields)] if fields else [F.col(c).alias(f"{c}0")]
+    size = len(fields or "a")
+    kinds = [f.dataType.simpleString() for f in kind.fields] if fields else [kind.simpleString()]
+    whole = lambda c: F.struct(*(F.col(f"{c}{i}").alias(f) for i, f in enumerate(fields))) if fields else F.col(f"{c}0")
+
+    def named(frame: pd.DataFrame) -> pd.DataFrame:
+        ends = [frame[[f"{c}{i}" for i in range(size)]].set_axis(range(size), axis=1) for c in "ab"]
+        both = pd.concat(ends, ignore_index=True)
+        if size == 1:
+            codes, _ = pd.factorize(both[0], sort=True)
+        else:
+            codes = both.groupby(list(range(size)), sort=True).ngroup().to_numpy()
+        count = int(codes.max()) + 1
+        at = np.empty(count, dtype=np.int64)
+        at[codes] = np.arange(len(codes))
+        label = _stars(codes[: len(frame)], codes[len(frame) :], count)
+        own, root = both.iloc[at].reset_index(drop=True), both.iloc[at[label]].reset_index(drop=True)
+        return pd.concat([own, root], axis=1).set_axis([f"{c}{i}" for c in "ur" for i in range(size)], axis=1)
+
+    def shrink(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept, rows = [], 0
+        for f in frames:
+            kept.append(f)
+            rows += len(f)
+            if rows >= most:
+                yield named(pd.concat(kept, ignore_index=True))
+                kept, rows = [], 0
+        if rows:
+            yield named(pd.concat(kept, ignore_index=True))
+
+    schema = ", ".join(f"{c}{i} {k}" for c in "ur" for i, k in enumerate(kinds))
+    rows = links.repartition(1) if n <= most else links.repartitionByRange("a")
+    stars = rows.select(*flat("a"), *flat("b")).mapInPandas(shrink, schema).select(whole("u").alias("node"), whole("r").alias("root"))
+    if n <= most:
+        return stars.select("node", F.col("root").alias("component")).transform(written)
+    hubs = stars.withColumn("hub", F.min("root").over(W.partitionBy("node"))).transform(written)
+    above = hubs.filter("root != hub").select(F.col("hub").alias("a"), F.col("root").alias("b")).distinct().transform(written)
+    m = above.count()
+    first = hubs.select("node", "hub").distinct()
+    upper = (_labelled(above, m, most) if 4 * m <= 3 * n else _by_rounds(above)).select(F.col("node").alias("hub"), "component")
+    return first.join(upper, "hub", "left").select("node", F.coalesce("component", "hub").alias("component")).transform(written)
+
+
+def _by_rounds(links: DataFrame) -> DataFrame:
+    """The same in rounds of joins: labels travel, hook the node that the old label names, and jump; they only fall, so rounds go on until none changes."""
     ensure_checkpoints(links.sparkSession)
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct().checkpoint()
     labels = both.groupBy("u").agg(F.least("u", F.min("v")).alias("label")).checkpoint()

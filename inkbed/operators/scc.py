@@ -1,23 +1,36 @@
 """Strongly connected components of a directed graph of any size.
 
-Each round cuts the graph up by colours: a node's colour is the least of the nodes that reach it, in a random order that changes by the
-round, and no component has two colours.  Colours travel along edges and jump (the colour of one's colour reaches one, too), so
-that a long way takes a logarithmic number of steps.  Of a colour with more than ``most`` edges the nodes that reach its first node are
-a component, and the rest goes on; what a colour's own backward colours tell apart is cut, too, so that the expected number of rounds is
-logarithmic.  Colours of fewer edges are finished by workers, each alone.  Nothing but whether something is left reaches the driver.
+Each level deals the nodes to blocks by ranges of their order, of some ``most`` edges.  A worker shrinks a block: its own components become
+one node each, and a node that no edge to another block touches goes where that adds no edge (what leads to it leads on to what it leads
+to), which keeps what reaches what.  The graph that is left goes to the next level, in fewer blocks, until one block holds it all; then
+the blocks are opened again, where nodes of one component further up are one.  Each edge is shuffled a fixed number of times a level.
+
+Where a level takes less than a quarter of the edges away (nodes without any order that the edges follow), the rest is cut up by colours: a
+node's colour is the least of the nodes that reach it, in a random order that changes by the round, and no component has two colours.
+Colours travel along edges and jump (the colour of one's colour reaches one, too).  Of a colour with more than ``most`` edges the nodes
+that reach its first node are a component, and the rest goes on; what a colour's own backward colours tell apart is cut, too, so that the
+expected number of rounds is logarithmic.  Colours of fewer edges are finished by workers, each alone.  Nothing but numbers of edges and
+whether something is left reaches the driver.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkbed.session import written
 
-#: The most edges of a colour that one worker finishes.
+#: The most edges that one worker takes: of a colour, and on average of a block.
 MOST_EDGES = 50_000
 
+#: A block with more edges inside, times ``most``, isn't shrunk at this level.
+WIDEST = 20
+
+#: A node with more neighbours stays, so that taking nodes out takes linear time.
+BUSIEST = 64
+
 
 def _colours(edges: DataFrame, source: str, target: str, seed: int) -> DataFrame:
     """u and colour (struct of hash and node): the first of the nodes that reach u by edges, u included."""
@@ -33,13 +46,8 @@ def _colours(edges: DataFrame, source: str, target: str, seed: int) -> DataFrame
             return colours
 
 
-def _finish(frame: pd.DataFrame) -> pd.DataFrame:
-    """Components of more than one node among the edges (a, b) of a colour, by one walk with a stack of open nodes."""
-    codes, names = pd.factorize(pd.concat([frame["a"], frame["b"]]), sort=True)
-    n, k = len(names), len(frame)
-    gives: list[list[int]] = [[] for _ in range(n)]
-    for x, y in zip(codes[:k].tolist(), codes[k:].tolist(), strict=True):
-        gives[x].append(y)
+def _owners(n: int, gives: list[list[int]]) -> list[int]:
+    """For each of n nodes the least node of its component, by one walk with a stack of open nodes."""
     number, low, owner, place, opened, count = [-1] * n, [0] * n, [-1] * n, [0] * n, [], 0
 
     def enter(x: int) -> None:
@@ -73,11 +81,85 @@ def _finish(frame: pd.DataFrame) -> pd.DataFrame:
                     least = min(members)
                     for y in members:
                         owner[y] = least
+    return owner
+
+
+def _coded(*columns: pd.Series) -> tuple[list[np.ndarray], pd.Index]:
+    """Columns of nodes as places in the sorted list of their nodes, and that list."""
+    codes, names = pd.factorize(pd.concat(columns, ignore_index=True), sort=True)
+    return np.split(codes, np.cumsum([len(c) for c in columns])[:-1]), names
+
+
+def _listed(n: int, a: np.ndarray, b: np.ndarray) -> list[list[int]]:
+    gives: list[list[int]] = [[] for _ in range(n)]
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        gives[x].append(y)
+    return gives
+
+
+def _finish(frame: pd.DataFrame) -> pd.DataFrame:
+    """Components of more than one node among the edges (a, b) of a colour."""
+    (a, b), names = _coded(frame["a"], frame["b"])
+    owner = _owners(len(names), _listed(len(names), a, b))
     sizes = pd.Series(owner).value_counts()
-    rows = [(names[x], names[owner[x]]) for x in range(n) if sizes[owner[x]] > 1]
+    rows = [(names[x], names[owner[x]]) for x in range(len(names)) if sizes[owner[x]] > 1]
     return pd.DataFrame(rows, columns=["node", "component"])
 
 
+def _shrunk(edges: pd.DataFrame, border: pd.DataFrame) -> pd.DataFrame:
+    """Edges (a, b) that are left of a block, and (a, null, a's node in them) for the nodes on its border."""
+    (a, b, edge), names = _coded(edges["a"], edges["b"], border["a"])
+    n = len(names)
+    owner = _owners(n, _listed(n, a, b))
+    outer = {owner[x] for x in edge.tolist()}
+    gives: dict[int, set[int]] = {}
+    comes: dict[int, set[int]] = {}
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        x, y = owner[x], owner[y]
+        if x != y:
+            gives.setdefault(x, set()).add(y)
+            comes.setdefault(y, set()).add(x)
+    todo = [x for x in set(gives) | set(comes) if x not in outer]
+    while todo:
+        x = todo.pop()
+        if x not in gives and x not in comes:
+            continue
+        into, out = comes.get(x, ()), gives.get(x, ())
+        if into and out and (len(into) * len(out) > len(into) + len(out) or len(into) + len(out) > BUSIEST):
+            continue
+        comes.pop(x, None)
+        gives.pop(x, None)
+        for u in into:
+            gives[u].discard(x)
+            gives[u] |= out if out else set()
+        for v in out:
+            comes[v].discard(x)
+            comes[v] |= into if into else set()
+        todo += [y for y in (*into, *out) if y not in outer]
+    rows = [(names[x], names[y], None) for x, ys in gives.items() for y in ys]
+    rows += [(names[x], None, names[owner[x]]) for x in set(edge.tolist())]
+    return pd.DataFrame(rows, columns=["a", "b", "own"], dtype=object)
+
+
+def _opened(edges: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
+    """Components of more than one node of a block, where nodes with one mark are in one; what has a mark keeps it as its component."""
+    (a, b, marked), names = _coded(edges["a"], edges["b"], marks["a"])
+    tied = pd.DataFrame({"x": marked, "c": marks["component"].to_numpy()}).sort_values(["c", "x"], kind="stable")
+    x, c = tied["x"].to_numpy(), tied["c"].to_numpy()
+    first = np.ones(len(x), bool)
+    first[1:] = c[1:] != c[:-1]
+    # a ring through the nodes of each mark: to the next one, and from the last one to the first
+    start = np.flatnonzero(first)
+    following = np.arange(1, len(x) + 1)
+    following[np.append(start[1:], len(x))[: len(start)] - 1] = start
+    n = len(names)
+    owner = np.array(_owners(n, _listed(n, np.concatenate([a, x]), np.concatenate([b, x[following]]))), dtype=np.int64)
+    sizes = np.bincount(owner, minlength=n)
+    mark = dict(zip(owner[x].tolist(), c, strict=True))
+    rows = [(names[y], mark[o] if o in mark else names[o]) for y, o in enumerate(owner.tolist()) if o in mark or sizes[o] > 1]
+    return pd.DataFrame(rows, columns=["node", "component"], dtype=object)
+
+
 def strong_components(edges: DataFrame, source: str, target: str, most: int = MOST_EDGES) -> DataFrame:
     """node and component (its least node) of the components of two nodes and more; edges from or to null and loops don't count.
 
@@ -85,6 +167,37 @@ def strong_components(edges: DataFrame, source: str, target: str, most: int = MO
     """
     a, b = F.col(source), F.col(target)
     left = edges.select(a.alias("a"), b.alias("b")).filter("a IS NOT NULL AND b IS NOT NULL AND a != b").distinct().transform(written)
+    found = _by_blocks(left, left.count(), most)
+    least = found.groupBy("component").agg(F.min("node").alias("_least"))
+    return found.join(least, "component").select("node", F.col("_least").alias("component"))
+
+
+def _by_blocks(left: DataFrame, n: int, most: int) -> DataFrame:
+    """node and component (any of its nodes) of distinct edges (a, b)."""
+    kind = left.schema["a"].dataType.simpleString()
+    if n <= most:
+        return left.withColumn("_c", F.lit(0)).groupBy("_c").applyInPandas(_finish, f"node {kind}, component {kind}").transform(written)
+    nodes = left.select("a").unionByName(left.select(F.col("b").alias("a"))).distinct()
+    block = nodes.repartitionByRange(-(-n // most), "a").select("a", F.spark_partition_id().alias("block")).transform(written)
+    dealt = left.join(block.withColumnRenamed("block", "_a"), "a").join(block.select(F.col("a").alias("b"), F.col("block").alias("_b")), "b").transform(written)
+    sizes = dealt.filter("_a = _b").groupBy("_a").agg(F.count("*").alias("_n"))
+    wide = sizes.filter(F.col("_n") > WIDEST * most).select("_a")
+    inside = dealt.filter("_a = _b").join(wide, "_a", "left_anti").select(F.col("_a").alias("block"), "a", "b").transform(written)
+    crossing = dealt.filter("_a != _b").unionByName(dealt.filter("_a = _b").join(wide, "_a", "left_semi").select(*dealt.columns)).transform(written)
+    border = crossing.select("a", F.col("_a").alias("block")).unionByName(crossing.select(F.col("b").alias("a"), F.col("_b").alias("block"))).distinct().transform(written)
+    shrunk = inside.groupBy("block").cogroup(border.groupBy("block")).applyInPandas(_shrunk, f"a {kind}, b {kind}, own {kind}").transform(written)
+    own = shrunk.filter("own IS NOT NULL").select("a", "own")
+    part = lambda c: own.select(F.col("a").alias(c), F.col("own").alias(f"_o{c}"))
+    mapped = crossing.select("a", "b").join(part("a"), "a").join(part("b"), "b").select(F.col("_oa").alias("a"), F.col("_ob").alias("b")).filter("a != b").distinct()
+    above = mapped.unionByName(shrunk.filter("b IS NOT NULL").select("a", "b")).transform(written)
+    m = above.count()
+    upper = _by_blocks(above, m, most) if 4 * m <= 3 * n else _by_colours(above, most)
+    marks = own.join(upper.select(F.col("node").alias("own"), "component"), "own").join(block, "a").select("block", "a", "component")
+    return inside.groupBy("block").cogroup(marks.groupBy("block")).applyInPandas(_opened, f"node {kind}, component {kind}").transform(written)
+
+
+def _by_colours(left: DataFrame, most: int) -> DataFrame:
+    """The same by colours, for edges that no order of the nodes keeps together."""
     node = left.schema["a"].dataType
     found, seed = None, 0
     put = lambda rows: rows if found is None else found.unionByName(rows)
