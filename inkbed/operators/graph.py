@@ -124,15 +124,12 @@ def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def cycles(edges: DataFrame) -> DataFrame:
     """N-04, N-05: one cycle for each back edge of a depth-first walk from the least node with sorted children, each set of nodes once.
 
-    Every cycle lies in one strongly connected component, so components are walked alone, in order of their least nodes; no task has more
+    Every cycle lies in one strongly connected component, so components are walked alone, one after the other in sorted rows; no task holds more
     than a component.  (A walk over the whole graph may enter a component by another node and then names its cycles from there.)
     """
     import pandas as pd
 
-    def walk(key: tuple, e: pd.DataFrame) -> pd.DataFrame:
-        gives: dict = {}
-        for d, p in zip(e["dependent"].tolist(), e["prerequisite"].tolist(), strict=True):
-            gives.setdefault(d, []).append(p)
+    def walk(graph: int, gives: dict) -> list[tuple]:
         for x in gives.values():
             x.sort()
         root = min(gives)
@@ -149,12 +146,27 @@ def cycles(edges: DataFrame) -> DataFrame:
                 loop = path[at[child] :]
                 if frozenset(loop) not in seen:
                     seen.add(frozenset(loop))
-                    out.append((key[0], root, len(out), "->".join(map(str, [*loop, child])), len(loop)))
+                    out.append((graph, root, len(out), "->".join(map(str, [*loop, child])), len(loop)))
             elif child not in done:
                 path.append(child)
                 at[child] = len(path) - 1
                 stack.append(iter(gives[child]))
-        return pd.DataFrame(out, columns=["graph", "least", "k", "path", "length"])
+        return out
+
+    def walks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        listed = lambda rows: pd.DataFrame(rows, columns=["graph", "least", "k", "path", "length"])
+        at, gives, out = None, {}, []
+        for f in frames:
+            for g, x, d, p in zip(*(f[c].tolist() for c in ("graph", "_x", "dependent", "prerequisite")), strict=True):
+                if (g, x) != at:
+                    if gives:
+                        out += walk(at[0], gives)
+                    at, gives = (g, x), {}
+                gives.setdefault(d, []).append(p)
+            yield listed(out)
+            out = []
+        if gives:
+            yield listed(walk(at[0], gives))
 
     rows = edges.select("graph", "dependent", "prerequisite").filter("graph IS NOT NULL AND dependent IS NOT NULL AND prerequisite IS NOT NULL").distinct().transform(written)
     name = lambda c: F.concat_ws(":", F.col("graph").cast("string"), F.col(c).cast("string"))
@@ -163,7 +175,8 @@ def cycles(edges: DataFrame) -> DataFrame:
     part = lambda c, as_: tied.select(F.col("node").alias(c), F.col("component").alias(as_))
     inside = own.join(part("_d", "_x"), "_d").join(part("_p", "_y"), "_p").filter("_x = _y").select("graph", "_x", "dependent", "prerequisite")
     loops = rows.filter("dependent = prerequisite").join(inside.select("graph", "dependent").distinct(), ["graph", "dependent"], "left_anti")
-    found = inside.unionByName(loops.select("graph", name("dependent").alias("_x"), "dependent", "prerequisite")).groupBy("graph", "_x").applyInPandas(walk, "graph bigint, least bigint, k bigint, path string, length bigint")
+    found = inside.unionByName(loops.select("graph", name("dependent").alias("_x"), "dependent", "prerequisite")).repartition("graph", "_x").sortWithinPartitions("graph", "_x")
+    found = found.mapInPandas(walks, "graph bigint, least bigint, k bigint, path string, length bigint")
     return running(found, ["graph"], ["least", "k"], {"cycle": F.lit(1)}).select("graph", (F.col("cycle") - 1).alias("cycle"), "path", "length")
 
 
