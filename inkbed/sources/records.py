@@ -133,6 +133,10 @@ def bibtex_files(spark: SparkSession, path: str) -> DataFrame:
 EXPORT_TERMS = ("writing", "feedback", "revision", "human ai", "language model", "essay", "creative", "authoring")
 
 
+#: Characters of a title key by which an export is dealt to tasks; keys that begin with the same ones stay together.
+RANGE_CHARS = 64
+
+
 def selected_bibliography(entries: DataFrame, database: str, terms: tuple[str, ...] = EXPORT_TERMS) -> DataFrame:
     """S-11: entries whose title in normal form holds a term, in the columns of an export; entries without title are left out."""
     from inkbed.functions.text import bibliographic, collapse_space
@@ -154,7 +158,9 @@ def export_bibliography(entries: DataFrame, out: str, database: str, source: str
 
     spark, columns = entries.sparkSession, ["title", "authors", "year", "doi", "url", "abstract", "database"]
     rows = selected_bibliography(entries, database, terms)
-    rows.orderBy("year", title_key(F.col("title")), "title", "authors").write.option("header", True).option("escape", '"').option("emptyValue", "").csv(out)
+    # ranges are cut by a sample on the driver, which gets the keys' first characters only, whole titles may be long
+    ranges = rows.repartitionByRange("year", F.substring(title_key(F.col("title")), 1, RANGE_CHARS))
+    ranges.sortWithinPartitions("year", title_key(F.col("title")), "title", "authors").write.option("header", True).option("escape", '"').option("emptyValue", "").csv(out)
     back = spark.read.schema(", ".join(f"{c} string" for c in columns)).option("header", True).option("escape", '"').option("multiLine", True).csv(out).na.fill("")
     halves = F.sha2(canonical(*map(F.col, columns)), 256)
     part = lambda at: F.sum(F.conv(F.substring(halves, at, 8), 16, 10).cast("decimal(20,0)"))  # noqa: E731  sums don't depend on the order
