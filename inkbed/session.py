@@ -54,3 +54,13 @@ def written(rows: DataFrame, name: str = "table") -> DataFrame:
     path = new_folder(rows.sparkSession, name)
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+#: Rows of a batch that is sent to a Python worker, where rows hold whole texts.
+TEXT_ROWS = 256
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Where the session has Spark's default of 10,000 rows for Arrow batches, sets one that fits whole texts."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))

@@ -11,6 +11,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkbed.session import short_batches
+
 #: Environments by kind.
 MATH = ("equation", "align", "gather", "eqnarray", "multline", "displaymath", "math", "alignat", "flalign", "split", "IEEEeqnarray")
 FLOATS = ("figure", "table", "tabular", "tabularx", "longtable", "tikzpicture", "algorithm", "algorithmic", "lstlisting", "verbatim", "Verbatim", "minted", "listing")
@@ -193,30 +195,40 @@ def objects(text: str) -> list[tuple[str, str, int, int]]:
     return sorted(out, key=lambda x: (x[2], x[3], x[0]))
 
 
-def partition(files: DataFrame, key: str = "doc_id", text: str = "tex") -> DataFrame:
-    """G-01 to G-07: key, start, end, kind, text of the regions of each file."""
+#: Characters of the texts whose rows a worker gives back at once.
+SCAN_CHARS = 1 << 20
+
+
+def _scanned(files: DataFrame, key: str, text: str, scan, columns: str) -> DataFrame:
+    """key and the ``columns`` of scan(text), for some MB of texts at a time, however many rows they have and a task reads."""
     import pandas as pd
 
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(k, s, e, kind, t[s:e]) for k, t in zip(f["k"], f["t"], strict=True) for s, e, kind in regions(t or "")]
-            yield pd.DataFrame(rows, columns=[key, "start", "end", "kind", "region"])
+    names = [key, *(c.split()[0] for c in columns.split(", "))]
 
+    def scanned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows, read = [], 0
+            for k, t in zip(f["k"], f["t"], strict=True):
+                rows += [(k, *x) for x in scan(t or "")]
+                read += len(t or "")
+                if read >= SCAN_CHARS:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, read = [], 0
+            yield pd.DataFrame(rows, columns=names)
+
+    short_batches(files.sparkSession)
     kind = files.select(key).schema[0].dataType.simpleString()
-    return files.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(scan, f"`{key}` {kind}, start bigint, end bigint, kind string, region string")
+    return files.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(scanned, f"`{key}` {kind}, {columns}")
 
 
-def abstentions(files: DataFrame, key: str = "doc_id", text: str = "tex") -> DataFrame:
-    """G-03: key, start, construct, reason of what is opened and never closed; its text is covered by the partition all the same."""
-    import pandas as pd
+def partition(files: DataFrame, key: str = "doc_id", text: str = "tex") -> DataFrame:
+    """G-01 to G-07: key, start, end, kind, text of the regions of each file."""
+    return _scanned(files, key, text, lambda t: ((s, e, kind, t[s:e]) for s, e, kind in regions(t)), "start bigint, end bigint, kind string, region string")
 
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(k, *x) for k, t in zip(f["k"], f["t"], strict=True) for x in unclosed(t or "")]
-            yield pd.DataFrame(rows, columns=[key, "start", "construct", "reason"])
 
-    kind = files.select(key).schema[0].dataType.simpleString()
-    return files.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(scan, f"`{key}` {kind}, start bigint, construct string, reason string")
+def abstentions(files: DataFrame, key: str = "doc_id", text: str = "tex") -> DataFrame:
+    """G-03: key, start, construct, reason of what is opened and never closed; its text is covered by the partition all the same."""
+    return _scanned(files, key, text, unclosed, "start bigint, construct string, reason string")
 
 
 def object_manifest(files: DataFrame, key: str = "doc_id", text: str = "tex") -> DataFrame:
@@ -234,15 +246,7 @@ def object_manifest(files: DataFrame, key: str = "doc_id", text: str = "tex") ->
 
 def protected_objects(files: DataFrame, key: str = "doc_id", text: str = "tex") -> DataFrame:
     """G-09 to G-11: key, object_type, raw, start, end."""
-    import pandas as pd
-
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(k, *x) for k, t in zip(f["k"], f["t"], strict=True) for x in objects(t or "")]
-            yield pd.DataFrame(rows, columns=[key, "object_type", "raw", "start", "end"])
-
-    kind = files.select(key).schema[0].dataType.simpleString()
-    return files.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(scan, f"`{key}` {kind}, object_type string, raw string, start bigint, end bigint")
+    return _scanned(files, key, text, objects, "object_type string, raw string, start bigint, end bigint")
 
 
 def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
