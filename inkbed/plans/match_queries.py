@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkbed.functions import text as T
 from inkbed.operators import gates, intervals, matching, metrics, patching, segment
+from inkbed.session import written
 from inkbed.sources import latex
 
 from .base import LINES, MANUSCRIPTS, manuscripts, query
@@ -121,7 +122,7 @@ SELECT a.l_orderkey, a.i::BIGINT AS a_id, b.i::BIGINT AS b_id, greatest(a.s, b.s
 def overlapping_ranges(t):
     day = F.unix_date(F.to_date("l_shipdate")).cast("bigint")
     number = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "start")).cast("bigint")
-    rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", day.alias("start"), (day + 5 + F.col("l_linenumber")).alias("end")).withColumn("a_id", number)
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", day.alias("start"), (day + 5 + F.col("l_linenumber")).alias("end")).withColumn("a_id", number).transform(written)
     met = intervals.overlaps(rows, rows.withColumnRenamed("a_id", "b_id"), "l_orderkey", 30, "a_id", "b_id")
     return met.filter("a_id < b_id")
 
