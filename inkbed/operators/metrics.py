@@ -56,35 +56,47 @@ def placed_paragraphs(paragraphs: DataFrame, key: str) -> DataFrame:
 
 
 def introductions(placed: DataFrame, key: str) -> DataFrame:
-    """W-10: the first use of each term: key, term, paragraph, offset, uses."""
+    """W-10: the first use of each term: key, term, paragraph, offset, uses.
+
+    Words are numbered in the order of paragraphs, so the least paragraph and the least offset of a term are those of its first use; both are
+    single values, which Spark adds up by hashes, without a sort of all words.
+    """
     tokens = placed.select(key, "paragraph", "base", F.posexplode("words").alias("_p", "term"))
-    first = F.min(F.struct((F.col("base") + F.col("_p")).alias("offset"), "paragraph"))
-    return tokens.groupBy(key, "term").agg(first.alias("_f"), F.count("*").alias("uses")).select(key, "term", F.col("_f.paragraph").alias("paragraph"), F.col("_f.offset").alias("offset"), "uses")
+    first = tokens.groupBy(key, "term").agg(F.min("paragraph").alias("paragraph"), F.min(F.col("base") + F.col("_p")).alias("offset"), F.count("*").alias("uses"))
+    return first.select(key, "term", "paragraph", "offset", "uses")
 
 
 def pacing(paragraphs: DataFrame, key: str, reach: int = 1500, burst: int = 3) -> DataFrame:
     """A-13, W-09, W-11: pacing of the introduction of terms in each document.
 
-    paragraphs: key, paragraph, words (array of terms).  Live load of a paragraph is the number of terms introduced within ``reach``
-    before its end; a burst is a paragraph with ``burst`` introductions or more.  Words are exploded once.  A load is at most ``reach`` + 1, which bounds the
-    buffer of its percentile; loads of one document are summed in one window.
+    paragraphs: key, paragraph, words (array of terms); rows without a key don't count.  Live load of a paragraph is the number of terms
+    introduced within ``reach`` before its end; a burst is a paragraph with ``burst`` introductions or more.  Words are shuffled and exploded once,
+    by key, and all that follows stays in these partitions: an entry behind a paragraph's words stands for its end, so ends and first uses come
+    from one table.  A load is a running sum of the terms introduced by an end less those out of reach there (rows that only documents longer than
+    ``reach`` have).  It is at most ``reach`` + 1, which bounds the buffer of its percentile.
     """
-    placed = placed_paragraphs(paragraphs, key)
-    first = introductions(placed, key)
-    ends = placed.filter(F.size("words") > 0).select(key, "paragraph", (F.col("base") + F.size("words") - 1).alias("at"))
-    per = first.groupBy(key, "paragraph").agg(F.count("*").alias("new"))
-    events = first.select(key, F.col("offset").alias("at"), F.lit(1).alias("intro"), F.lit(0).alias("mark")).unionByName(ends.select(key, "at", F.lit(0).alias("intro"), F.lit(1).alias("mark")))
-    load = F.sum("intro").over(W.partitionBy(key).orderBy("at").rangeBetween(-reach, 0))
-    loads = events.withColumn("load", load).filter("mark = 1").groupBy(key).agg(F.avg("load").alias("load_mean"), F.percentile("load", F.lit(0.95)).alias("load_p95"))
-    sums = first.groupBy(key).agg(F.count("*").alias("terms"), F.sum("uses").alias("words"), F.count_if(F.col("uses") == 1).alias("_single"), F.avg("uses").alias("mean_uses"))
-    bursts = ends.join(per, [key, "paragraph"], "left").groupBy(key).agg(
-        F.count("*").alias("paragraphs"), F.count_if(F.col("new") >= burst).alias("_bursts"), F.coalesce(F.max("new"), F.lit(0)).alias("max_burst")
+    n, at = F.size("words"), F.col("base") + F.col("_p")
+    placed = placed_paragraphs(paragraphs.filter(F.col(key).isNotNull()), key).withColumn("_last", F.sum(n).over(W.partitionBy(key)) - 1).filter(n > 0)
+    tokens = placed.select(key, "paragraph", "base", "_last", (F.col("base") + n - 1).alias("_end"), F.posexplode(F.concat("words", F.array(F.lit(None).cast("string")))).alias("_p", "_term"))
+    closes = F.when(at > F.col("_end"), F.col("paragraph"))  # null for words
+    gone = F.when(at + reach < F.col("_last"), at + reach + 1)  # the first place that a term used here is out of reach of
+    first = tokens.groupBy(key, "_term", closes.alias("_closes")).agg(F.min("_end").alias("_end"), F.min(gone).alias("_gone"), F.count("*").alias("_uses"))
+    word = F.col("_closes").isNull()
+    met = first.groupBy(key, "_end", F.when(word, F.col("_gone")).alias("_gone")).agg(
+        F.count_if(word).alias("new"), F.sum(F.when(word, F.col("_uses")).otherwise(0)).alias("words"), F.count_if(word & (F.col("_uses") == 1)).alias("single"), F.count_if(~word).alias("ends")
+    )
+    names, none = ("new", "words", "single", "ends"), F.lit(0).cast("bigint")
+    come = F.struct(F.col("_end").alias("at"), *names, none.alias("old"))
+    go = F.struct(F.col("_gone").alias("at"), *(none.alias(c) for c in names), F.col("new").alias("old"))
+    events = met.select(key, F.inline(F.when(F.col("_gone").isNull(), F.array(come)).otherwise(F.array(come, go))))
+    events = events.groupBy(key, "at").agg(*(F.sum(c).alias(c) for c in (*names, "old")))
+    load = F.sum(F.col("new") - F.col("old")).over(W.partitionBy(key).orderBy("at").rowsBetween(W.unboundedPreceding, 0))
+    is_end = F.col("ends") > 0
+    sums = events.withColumn("_load", F.when(is_end, load)).groupBy(key).agg(
+        F.sum("words").alias("words"), F.sum("new").alias("terms"), F.sum("single").alias("_single"), F.count_if(is_end).alias("_ends"), F.count_if(is_end & (F.col("new") >= burst)).alias("_bursts"),
+        F.max("new").alias("max_burst"), F.avg("_load").alias("load_mean"), F.percentile("_load", F.lit(0.95)).alias("load_p95"),
     )
-    return (
-        sums.join(bursts, key)
-        .join(loads, key)
-        .select(
-            key, "words", "terms", ratio(F.col("words"), F.col("terms")).alias("words_per_term"), ratio(1000.0 * F.col("terms"), F.col("words")).alias("intro_per_1000"),
-            ratio(F.col("_single"), F.col("terms")).alias("singleton_share"), "mean_uses", ratio(F.col("_bursts"), F.col("paragraphs")).alias("burst_share"), "max_burst", "load_mean", "load_p95",
-        )
+    return sums.select(
+        key, "words", "terms", ratio(F.col("words"), F.col("terms")).alias("words_per_term"), ratio(1000.0 * F.col("terms"), F.col("words")).alias("intro_per_1000"),
+        ratio(F.col("_single"), F.col("terms")).alias("singleton_share"), (F.col("words") / F.col("terms")).alias("mean_uses"), ratio(F.col("_bursts"), F.col("_ends")).alias("burst_share"), "max_burst", "load_mean", "load_p95",
     )
