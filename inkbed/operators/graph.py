@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from inkbed.session import ensure_checkpoints, written
 
@@ -22,6 +22,9 @@ from .scc import strong_components
 #: The most links that a worker takes at once.
 MOST_LINKS = 1_000_000
 
+#: Rows of a slice that a worker packs.
+SLICE_ROWS = 200_000
+
 
 def array_edges(concepts: DataFrame, graph: str, node: str, prerequisites: str) -> DataFrame:
     """N-01: one edge for each prerequisite."""
@@ -276,46 +279,108 @@ def _by_rounds(links: DataFrame) -> DataFrame:
             return labels.select(F.col("u").alias("node"), F.col("label").alias("component"))
 
 
-def pack_units(rows: DataFrame, most: float) -> DataFrame:
+def _breaks(words: np.ndarray, reach: int) -> list[tuple[int, int, int, bool]]:
+    """What a slice of a group's items does to a unit that is open before it, by the words in that unit: (least, left, units, stays).
+
+    The row of the greatest ``least`` that isn't over those words counts: ``units`` begin in the slice and the last one has ``left`` words at its end; where
+    the unit ``stays``, it has ``left`` words more.  An item begins a unit if the open one has words and would have more than ``reach`` with it.
+    """
+    upto = np.cumsum(words)
+    before, n = upto - words, len(words)
+    past = lambda v: np.searchsorted(upto, v, side="right")
+    following = np.maximum(past(before + reach), past(before) + 1).tolist()
+    left, units = (upto[-1] - before).tolist(), [1] * n
+    for j in range(n - 1, -1, -1):
+        if following[j] < n:
+            left[j], units[j] = left[following[j]], units[following[j]] + 1
+    found: list[tuple[int, int, int, bool]] = []
+    last = min(int(past(reach - 1)), n - 1)  # the farthest item that is the first to begin a unit, for an open one with a word
+    for i, least in enumerate(np.maximum(reach - upto[: last + 1] + 1, 1).tolist()):
+        row = (least, left[i], units[i], False)
+        if found and (found[-1][0] == least or found[-1][1:] == row[1:]):
+            row = (least, *found[-1][1:])
+            found.pop()
+        found.append(row)
+    if found[-1][0] > 1 or upto[-1] < reach:
+        found = [r for r in found if r[0] > reach - upto[-1]]
+        found.append((1, int(upto[-1]), 0, True))
+    i = max(int(past(reach)), int(past(0)) + 1)  # without a word the open unit takes the next item, however long
+    return [*found, (0, left[i], units[i], False) if i < n else (0, int(upto[-1]), 0, True)]
+
+
+def pack_units(rows: DataFrame, most: float, size: int = SLICE_ROWS) -> DataFrame:
     """N-09, A-19: units in order; a unit closes when the next item would take its estimate (words * 1.5) over ``most``.
 
-    rows: grp, pos, item, words (none negative; null is 0); adds unit.  Where the next unit begins depends only on the words before a unit:
-    that number's successor is the greatest running sum within reach, or the next one if a single item is too long.  Successors are
-    found in buckets of running sums, and the ones that follow 0 by pointer doubling, in a logarithmic number of rounds.  A group
-    of any size is spread over all tasks.
+    rows: grp, pos, item, words (whole numbers, none negative; null is 0); adds unit.  Rows are dealt to slices of some ``size`` by ranges of their order.
+    What a slice does to a unit that is open before it depends only on the words in that unit, of which few lead to different ends (units soon begin at
+    the same items, wherever the first one began).  So workers list that for the slices of groups that have several, the lists of a group are read in
+    order, a row for each slice and end, and then each slice is packed alone.  The work is linear, in a fixed number of shuffles, for a group of any size.
     """
+    import pandas as pd
+    import pyarrow as pa
+
     reach = (2 * (int(most) + 1) - 1) // 3  # the most words whose estimate isn't over
-    width = max(reach, 1 << 16)
-    rows = rows.withColumns({"grp": F.struct("grp"), "_w": F.coalesce("words", F.lit(0))})  # null groups meet, too
-    summed = running(rows, ["grp"], ["pos", "item", "_w"], {"_upto": F.col("_w"), "_at": F.lit(1)}).transform(written)
-
-    zero = summed.select("grp", F.lit(0).cast("bigint").alias("v"))
-    values = summed.select("grp", F.col("_upto").alias("v")).unionByName(zero).distinct().withColumn("_bucket", F.floor(F.col("v") / width)).transform(written)
-    buckets = values.groupBy("grp", "_bucket").agg(F.min("v").alias("_least"), F.max("v").alias("_greatest"))
-    in_order = W.partitionBy("grp").orderBy("_bucket")
-    buckets = buckets.select("grp", "_bucket", F.lead("_least").over(in_order).alias("_after"), "_greatest").transform(written)
-    # the greatest value up to v + reach: in that bucket, or the greatest of the one before, where v is
-    asked = values.select("grp", "v", (F.col("v") + reach).alias("_at")).withColumn("_bucket", F.floor(F.col("_at") / width))
-    both = values.select("grp", F.lit(None).cast("bigint").alias("v"), F.col("v").alias("_at"), "_bucket", F.col("v").alias("_found")).unionByName(asked.withColumn("_found", F.lit(None).cast("bigint")))
-    near = F.last("_found", ignorenulls=True).over(W.partitionBy("grp", "_bucket").orderBy("_at", F.col("v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0))
-    ends = both.withColumn("_near", near).filter("v IS NOT NULL").select("grp", "v", "_near", F.floor(F.col("v") / width).alias("_bucket"))
-    following = F.lead("v").over(W.partitionBy("grp", "_bucket").orderBy("v"))
-    stepped = values.withColumn("_next", following).join(ends.select("grp", "v", "_near"), ["grp", "v"]).join(buckets, ["grp", "_bucket"])
-    farthest = F.coalesce("_near", "_greatest")
-    single = farthest <= F.col("v")
-    jump = stepped.select("grp", "v", F.when(single, F.coalesce("_next", "_after")).otherwise(farthest).alias("to"), single.alias("single")).filter("to IS NOT NULL").transform(written)
-
-    reached, far, step = zero.distinct().withColumn("unit", F.lit(0).cast("bigint")).transform(written), jump.select("grp", "v", "to").transform(written), 1
-    while True:
-        more = reached.join(far, ["grp", "v"]).select("grp", F.col("to").alias("v"), (F.col("unit") + step).alias("unit")).transform(written)
-        if more.isEmpty():
-            break
-        reached, step = reached.unionByName(more).transform(written), 2 * step
-        far = far.join(far.select("grp", F.col("v").alias("to"), F.col("to").alias("_to")), ["grp", "to"]).select("grp", "v", F.col("_to").alias("to")).transform(written)
-
-    # a unit begins with the first item that adds to the words before it; behind an item that is too long, with the very next one
-    begins = reached.join(jump, ["grp", "v"]).select("grp", F.col("to").alias("_before"), "single")
-    items = summed.withColumn("_before", F.col("_upto") - F.col("_w")).groupBy("grp", "_before").agg(F.min("_at").alias("_any"), F.min(F.when(F.col("_w") > 0, F.col("_at"))).alias("_word"))
-    starts = begins.join(items, ["grp", "_before"]).select("grp", F.when(F.col("single"), F.col("_any")).otherwise(F.col("_word")).alias("_at"), F.lit(1).alias("_start")).filter("_at IS NOT NULL")
-    marked = summed.select("grp", "pos", "item", "words", "_at").join(starts, ["grp", "_at"], "left")
-    return running(marked, ["grp"], ["_at"], {"unit": F.coalesce("_start", F.lit(0))}).select("grp.grp", F.col("unit").cast("bigint").alias("unit"), "pos", "item", "words")
+    order = ["grp", "pos", "item", "_w"]
+    known = rows.select("grp", "pos", "item", "words", F.coalesce("words", F.lit(0)).cast("bigint").alias("_w")).transform(written)
+    dealt = known.repartitionByRange(max(1, -(-known.count() // size)), *order).withColumn("_slice", F.spark_partition_id()).transform(written)
+    spread = dealt.groupBy("grp").agg(F.min("_slice").alias("_first"), F.max("_slice").alias("_final")).filter("_first < _final").withColumnRenamed("grp", "_grp").transform(written)
+
+    def lists(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        listed = lambda at, parts: [(*at, *r) for r in _breaks(np.concatenate(parts), reach)]
+        at, parts = None, []
+        for f in frames:
+            out = []
+            for key, part in f.groupby(["_first", "_slice"], sort=False):
+                if key != at:
+                    if parts:
+                        out += listed(at, parts)
+                    at, parts = key, []
+                parts.append(part["_w"].to_numpy())
+            yield pd.DataFrame(out, columns=["_first", "_slice", "least", "left", "units", "stays"])
+        if parts:
+            yield pd.DataFrame(listed(at, parts), columns=["_first", "_slice", "least", "left", "units", "stays"])
+
+    def entered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, open_words, unit, best = (None, None), 0, 0, None
+        for f in frames:
+            out = []
+            for first, part, least, left, units, stays in zip(*(f[c].tolist() for c in f.columns), strict=True):
+                if (first, part) != at:
+                    if first != at[0]:
+                        open_words, unit = 0, 0
+                    else:
+                        open_words, unit = best[0] + (open_words if best[2] else 0), unit + best[1]
+                        out.append((part, open_words, unit))
+                    at = (first, part)
+                if least <= open_words:
+                    best = (left, units, stays)
+            yield pd.DataFrame(out, columns=["_in", "_open", "_unit"])
+
+    held = dealt.join(spread, F.col("grp").eqNullSafe(F.col("_grp"))).select("_first", "_slice", "pos", "item", "_w")
+    ends = held.repartition("_slice").sortWithinPartitions("_slice", "_first", "pos", "item", "_w").select("_first", "_slice", "_w")
+    ends = ends.mapInPandas(lists, "_first int, _slice int, least bigint, left bigint, units bigint, stays boolean")
+    entries = ends.repartition("_first").sortWithinPartitions("_first", "_slice", "least").mapInPandas(entered, "_in int, _open bigint, _unit bigint").transform(written)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, words, unit = None, 0, 0
+        for batch in batches:
+            column = lambda c: batch.column(c)  # noqa: B023, E731
+            begins, opened, numbered, out = column("_open").is_valid().to_pylist(), column("_open"), column("_unit"), []
+            for i, (part, new, w) in enumerate(zip(column("_slice").to_pylist(), column("_new").to_pylist(), column("_w").to_pylist(), strict=True)):
+                if part != at:
+                    at = part
+                    words, unit = (opened[i].as_py(), numbered[i].as_py()) if begins[i] else (0, 0)
+                elif new:
+                    words, unit = 0, 0
+                if words and words + w > reach:
+                    words, unit = w, unit + 1
+                else:
+                    words += w
+                out.append(unit)
+            yield pa.RecordBatch.from_arrays([column("grp"), pa.array(out, pa.int64()), column("pos"), column("item"), column("words")], names=["grp", "unit", "pos", "item", "words"])
+
+    before = F.lag("grp").over(W.partitionBy("_slice").orderBy(*order))
+    placed = dealt.join(entries, F.col("_slice") == F.col("_in"), "left").withColumn("_new", ~F.col("grp").eqNullSafe(before))
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    schema = StructType([StructField(c, LongType() if c == "unit" else kinds[c]) for c in ("grp", "unit", "pos", "item", "words")])
+    return placed.select("grp", "pos", "item", "words", "_w", "_slice", "_new", "_open", "_unit").mapInArrow(pack, schema)
