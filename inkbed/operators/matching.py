@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from inkbed.session import written
+
 
 def kth_match(a: DataFrame, b: DataFrame, keys: list[str], order: str = "start") -> DataFrame:
     """J-14: the k-th of equal objects of a meets the k-th of b: keys, k, a_start, b_start (null where one lacks)."""
@@ -104,20 +106,27 @@ def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def token_jaccard(a: DataFrame, b: DataFrame, a_id: str, b_id: str, least: float) -> DataFrame:
     """J-12, C-10: pairs of token sets whose Jaccard similarity is at least ``least``.
 
-    a and b have an id and an array column tokens of distinct tokens; empty sets match nothing.  Tokens are put in one order, rare
-    ones first; similar sets share a token within their first n - ceil(least * n) + 1, so only those meet in an index, and common
-    words in none; then whole sets are compared.
+    a and b have an id and an array column tokens of distinct tokens; empty sets match nothing; b is the larger side.  Sets of b that are too large for any
+    of a are gone first, and what is left is written once.  Tokens are put in one order: those of one side alone, then those of both sides, rare ones
+    first.  Similar sets share a token within their first n - ceil(least * n) + 1, so only those meet in an index, and only where enough tokens follow
+    in both; tokens of one side are but counted.  Then whole sets are compared.
     """
-    x, y = a.select(F.col(a_id).alias("_a"), "tokens"), b.select(F.col(b_id).alias("_b"), "tokens")
-    often = x.select(F.explode("tokens").alias("token")).unionByName(y.select(F.explode("tokens").alias("token"))).groupBy("token").agg(F.count("*").alias("_often"))
-
-    def prefix(rows: DataFrame, key: str) -> DataFrame:
-        ranked = rows.select(key, F.size("tokens").alias("_n"), F.explode("tokens").alias("token")).join(often, "token")
-        place = F.row_number().over(W.partitionBy(key).orderBy("_often", "token"))
-        return ranked.withColumn("_p", place).filter(F.col("_p") <= F.col("_n") - F.ceil(F.col("_n") * least - 1e-9) + 1).select("token", key, "_n")
-
-    met = prefix(x, "_a").join(prefix(y, "_b").withColumnRenamed("_n", "_m"), "token").filter(F.least("_n", "_m") >= least * F.greatest("_n", "_m"))
-    pairs = met.select("_a", "_b").distinct().join(x.withColumnRenamed("tokens", "_x"), "_a").join(y.withColumnRenamed("tokens", "_y"), "_b")
+    x = a.select(F.col(a_id).alias("_a"), "tokens", F.size("tokens").alias("_n")).transform(written)
+    fits = F.size("tokens") * least - 1e-9 <= x.agg(F.max("_n")).scalar()
+    y = b.select(F.col(b_id).alias("_b"), "tokens").filter(fits).select("_b", "tokens", F.size("tokens").alias("_m")).transform(written)
+    words = lambda rows, *keys: rows.select(*keys, F.explode("tokens").alias("token"))
+    of_x = words(x).groupBy("token").agg(F.count("*").alias("_x"))
+    often = words(y).join(of_x, "token").groupBy("token").agg((F.count("*") + F.max("_x")).alias("_often")).transform(written)
+
+    def prefix(rows: DataFrame, key: str, size: str, place: str) -> DataFrame:
+        shared, own, n = words(rows, key, size).join(often, "token"), W.partitionBy(key), F.col(size)
+        placed = shared.withColumn(place, n - F.count("*").over(own) + F.row_number().over(own.orderBy("_often", "token")))
+        return placed.filter(F.col(place) <= n - F.ceil(n * least - 1e-9) + 1).select("token", key, size, place)
+
+    met = prefix(x, "_a", "_n", "_i").join(prefix(y, "_b", "_m", "_j"), "token").filter(F.least("_n", "_m") >= least * F.greatest("_n", "_m") - 1e-9)
+    # the first token that two sets share has at least as many behind it as they need in common
+    enough = F.least(F.col("_n") - F.col("_i"), F.col("_m") - F.col("_j")) + 1 >= (F.col("_n") + F.col("_m")) * (least / (1 + least)) - 1e-9
+    pairs = met.filter(enough).select("_a", "_b").distinct().join(x.select("_a", F.col("tokens").alias("_x")), "_a").join(y.select("_b", F.col("tokens").alias("_y")), "_b")
     score = F.size(F.array_intersect("_x", "_y")) / F.size(F.array_union("_x", "_y"))
     return pairs.select(F.col("_a").alias(a_id), F.col("_b").alias(b_id), score.alias("similarity")).filter(F.col("similarity") >= least)
 
