@@ -10,7 +10,7 @@ node's colour is the least of the nodes that reach it, in a random order that ch
 Colours travel along edges and jump (the colour of one's colour reaches one, too).  Of a colour with more than ``most`` edges the nodes
 that reach its first node are a component, and the rest goes on; what a colour's own backward colours tell apart is cut, too, so that the
 expected number of rounds is logarithmic.  Colours of fewer edges are finished by workers, each alone.  Nothing but numbers of edges and
-whether something is left reaches the driver.
+whether something is left reaches the driver; no table of nodes, edges or colours is broadcast.
 """
 
 from __future__ import annotations
@@ -32,15 +32,20 @@ WIDEST = 20
 BUSIEST = 64
 
 
+def _met(rows: DataFrame, other: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join by shuffles.  Tables of nodes, edges or colours grow with the graph, and a broadcast goes through the driver, one more in each round."""
+    return rows.join(other.hint("merge"), on, how)
+
+
 def _colours(edges: DataFrame, source: str, target: str, seed: int) -> DataFrame:
     """u and colour (struct of hash and node): the first of the nodes that reach u by edges, u included."""
     nodes = edges.select(F.col(source).alias("u")).unionByName(edges.select(F.col(target).alias("u"))).distinct()
     colours = nodes.select("u", F.struct(F.xxhash64(F.lit(seed), "u").alias("h"), F.col("u").alias("n")).alias("colour")).transform(written)
     while True:
-        near = edges.join(colours.withColumnRenamed("u", source), source).groupBy(F.col(target).alias("u")).agg(F.min("colour").alias("_near"))
-        own = colours.join(near, "u", "left").select("u", F.col("colour").alias("_old"), F.least("colour", "_near").alias("colour"))
+        near = _met(edges, colours.withColumnRenamed("u", source), source).groupBy(F.col(target).alias("u")).agg(F.min("colour").alias("_near"))
+        own = _met(colours, near, "u", "left").select("u", F.col("colour").alias("_old"), F.least("colour", "_near").alias("colour"))
         jump = colours.select(F.col("u").alias("_n"), F.col("colour").alias("_next"))
-        after = own.join(jump, F.col("colour.n") == F.col("_n")).select("u", "_old", F.least("colour", "_next").alias("colour")).transform(written)
+        after = _met(own, jump, F.col("colour.n") == F.col("_n")).select("u", "_old", F.least("colour", "_next").alias("colour")).transform(written)
         colours = after.select("u", "colour")
         if after.filter("colour != _old").isEmpty():
             return colours
@@ -169,7 +174,7 @@ def strong_components(edges: DataFrame, source: str, target: str, most: int = MO
     left = edges.select(a.alias("a"), b.alias("b")).filter("a IS NOT NULL AND b IS NOT NULL AND a != b").distinct().transform(written)
     found = _by_blocks(left, left.count(), most)
     least = found.groupBy("component").agg(F.min("node").alias("_least"))
-    return found.join(least, "component").select("node", F.col("_least").alias("component"))
+    return _met(found, least, "component").select("node", F.col("_least").alias("component"))
 
 
 def _by_blocks(left: DataFrame, n: int, most: int) -> DataFrame:
@@ -179,7 +184,7 @@ def _by_blocks(left: DataFrame, n: int, most: int) -> DataFrame:
         return left.withColumn("_c", F.lit(0)).groupBy("_c").applyInPandas(_finish, f"node {kind}, component {kind}").transform(written)
     nodes = left.select("a").unionByName(left.select(F.col("b").alias("a"))).distinct()
     block = nodes.repartitionByRange(-(-n // most), "a").select("a", F.spark_partition_id().alias("block")).transform(written)
-    dealt = left.join(block.withColumnRenamed("block", "_a"), "a").join(block.select(F.col("a").alias("b"), F.col("block").alias("_b")), "b").transform(written)
+    dealt = _met(_met(left, block.withColumnRenamed("block", "_a"), "a"), block.select(F.col("a").alias("b"), F.col("block").alias("_b")), "b").transform(written)
     sizes = dealt.filter("_a = _b").groupBy("_a").agg(F.count("*").alias("_n"))
     wide = sizes.filter(F.col("_n") > WIDEST * most).select("_a")
     inside = dealt.filter("_a = _b").join(wide, "_a", "left_anti").select(F.col("_a").alias("block"), "a", "b").transform(written)
@@ -188,11 +193,11 @@ def _by_blocks(left: DataFrame, n: int, most: int) -> DataFrame:
     shrunk = inside.groupBy("block").cogroup(border.groupBy("block")).applyInPandas(_shrunk, f"a {kind}, b {kind}, own {kind}").transform(written)
     own = shrunk.filter("own IS NOT NULL").select("a", "own")
     part = lambda c: own.select(F.col("a").alias(c), F.col("own").alias(f"_o{c}"))
-    mapped = crossing.select("a", "b").join(part("a"), "a").join(part("b"), "b").select(F.col("_oa").alias("a"), F.col("_ob").alias("b")).filter("a != b").distinct()
+    mapped = _met(_met(crossing.select("a", "b"), part("a"), "a"), part("b"), "b").select(F.col("_oa").alias("a"), F.col("_ob").alias("b")).filter("a != b").distinct()
     above = mapped.unionByName(shrunk.filter("b IS NOT NULL").select("a", "b")).transform(written)
     m = above.count()
     upper = _by_blocks(above, m, most) if 4 * m <= 3 * n else _by_colours(above, most)
-    marks = own.join(upper.select(F.col("node").alias("own"), "component"), "own").join(block, "a").select("block", "a", "component")
+    marks = _met(_met(own, upper.select(F.col("node").alias("own"), "component"), "own"), block, "a").select("block", "a", "component")
     return inside.groupBy("block").cogroup(marks.groupBy("block")).applyInPandas(_opened, f"node {kind}, component {kind}").transform(written)
 
 
@@ -204,27 +209,28 @@ def _by_colours(left: DataFrame, most: int) -> DataFrame:
     while not left.isEmpty():
         # what nothing leads to, or leads nowhere, is on no cycle
         for _ in range(2):
-            left = left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
+            left = _met(_met(left, left.select(F.col("b").alias("a")).distinct(), "a", "left_semi"), left.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
         left = left.transform(written)
         forward = _colours(left, "a", "b", seed)
         one = lambda c, key: c.select(F.col("u").alias(key), F.col("colour").alias(f"_{key}"))
-        inside = left.join(one(forward, "a"), "a").join(one(forward, "b"), "b").filter("_a = _b").select("a", "b", F.col("_a").alias("_c")).transform(written)
-        sizes = inside.groupBy("_c").agg(F.count("*").alias("_n"))
-        small = inside.join(sizes.filter(F.col("_n") <= most), "_c").select("_c", "a", "b")
+        inside = _met(_met(left, one(forward, "a"), "a"), one(forward, "b"), "b").filter("_a = _b").select("a", "b", F.col("_a").alias("_c")).transform(written)
+        # at most one for each ``most`` edges; joined by shuffles, all edges of a wide colour would be one task's
+        wide = F.broadcast(inside.groupBy("_c").agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select("_c"))
+        small = inside.join(wide, "_c", "left_anti").select("_c", "a", "b")
         done = small.groupBy("_c").applyInPandas(_finish, f"node {node.simpleString()}, component {node.simpleString()}")
         found = put(done.transform(written))
-        large = inside.join(sizes.filter(F.col("_n") > most), "_c").select("a", "b", "_c").transform(written)
+        large = inside.join(wide, "_c").select("a", "b", "_c").transform(written)
         seed += 1
         if large.isEmpty():
             break
         # the same backwards inside of a colour: what reaches its first node is that node's component
         backward = _colours(large.select("a", "b"), "b", "a", seed - 1)
-        both = forward.withColumnRenamed("colour", "_f").join(backward.withColumnRenamed("colour", "_g"), "u").transform(written)
+        both = _met(forward.withColumnRenamed("colour", "_f"), backward.withColumnRenamed("colour", "_g"), "u").transform(written)
         own = both.filter("_f = _g").groupBy("_f").agg(F.min("u").alias("component"), F.count("*").alias("_n")).filter("_n > 1")
         found = put(both.filter("_f = _g").join(own, "_f").select(F.col("u").alias("node"), "component").transform(written))
         rest = both.filter("_f != _g")
         key = lambda k: rest.select(F.col("u").alias(k), F.struct("_f", "_g").alias(f"_{k}"))
-        left = large.join(key("a"), "a").join(key("b"), "b").filter("_a = _b").select("a", "b").transform(written)
+        left = _met(_met(large, key("a"), "a"), key("b"), "b").filter("_a = _b").select("a", "b").transform(written)
     if found is None:
         return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return found
