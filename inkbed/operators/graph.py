@@ -207,14 +207,85 @@ def label_components(links: DataFrame, most: int = MOST_LINKS) -> DataFrame:
     """N-02: node and component (least node) of undirected links (a, b); fields of structs aren't null, links with a null don't count.
 
     Workers take ranges of the links, ``most`` at a time, and name the least node of each component in them.  Nodes that several workers name
-    link what they are named by; those links are the next level, until one worker takes all of them.  Where a level leaves more than three
-    quarters of the links, the rest is done in rounds of joins.
+    link what they are named by; those links are the next level, until one worker takes all of them.  Where a level leaves more than half of
+    the links, their ends are far from each other in the order of nodes, and the next level comes by hooks (``_hooked``).
     """
     links = links.filter("a IS NOT NULL AND b IS NOT NULL").select("a", "b").transform(written)
     return _labelled(links, links.count(), most)
 
 
-def _labelled(links: DataFrame, n: int, most: int) -> DataFrame:
+def sharing(pairs: DataFrame, most: int = MOST_LINKS) -> DataFrame:
+    """N-02: node and component (least node) of nodes that share items; pairs: node, item (whole numbers), those with a null don't count.
+
+    Nodes and items are one graph, from which nodes go first: workers read neighbouring nodes with all their items, ``most`` pairs at a time, name the
+    least node (lead) and item (root) of each component in them, and link its items to the root.  Only items are left to be labelled.  If few of their
+    links are left, ranges of nodes were nearly components; if many, ids are scattered, ranges of items are no better, and hooks come first.
+    """
+    import pyarrow as pa
+
+    def named(node: np.ndarray, item: np.ndarray, begun: tuple[int, int] | None, ended: bool) -> pa.RecordBatch:
+        if begun:
+            node, item = np.append(begun[0], node), np.append(begun[1], item)
+        new = np.append(True, node[1:] != node[:-1])
+        nodes, place = node[new], np.cumsum(new) - 1
+        items, code = np.unique(item, return_inverse=True)
+        label = _stars(code, place + len(items), len(items) + len(nodes))
+        of = label[len(items) :]
+        least = np.empty(len(items), dtype=np.int64)
+        least[of[::-1]] = nodes[::-1]  # the last one that is put counts
+        upto = len(nodes) if ended else len(nodes) - 1  # the last node may go on
+        far = np.flatnonzero(label[: len(items)] != np.arange(len(items)))
+        lead = pa.array(np.append(least[of[:upto]], np.zeros(len(far), dtype=np.int64)), mask=np.arange(upto + len(far)) >= upto)
+        return pa.RecordBatch.from_arrays([pa.array(np.append(nodes[:upto], items[far])), lead, pa.array(np.append(items[of[:upto]], items[label[far]]))], names=["node", "lead", "root"])
+
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, rows, begun = [], 0, None
+        joined = lambda: [np.concatenate([x.column(i).to_numpy() for x in kept]) for i in (0, 1)]
+        for batch in batches:
+            if rows >= most:
+                node, item = joined()
+                yield named(node, item, begun, False)
+                kept, rows, begun = [], 0, (node[-1], item[-1])
+            if batch.num_rows:
+                kept.append(batch)
+                rows += batch.num_rows
+        if rows:
+            yield named(*joined(), begun, True)
+
+    pairs = pairs.select(F.col("node").cast("bigint"), F.col("item").cast("bigint")).filter("node IS NOT NULL AND item IS NOT NULL")
+    n = pairs.count()
+    dealt = pairs.repartitionByRange(_parts(n, most), "node").sortWithinPartitions("node")
+    found = dealt.mapInArrow(shrink, "node bigint, lead bigint, root bigint").transform(written)
+    links = found.filter("lead IS NULL").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    m = links.count()
+    labels = _labelled(links, m, most, 4 * m <= n).select(F.col("node").alias("root"), "component")
+    leads = found.filter("lead = node").select("lead", "root").join(labels, "root", "left").select("lead", F.coalesce("component", "root").alias("_part")).transform(written)
+    least = leads.groupBy("_part").agg(F.min("lead").alias("component"))
+    return found.filter("lead IS NOT NULL").select("node", "lead").join(leads.join(least, "_part").select("lead", "component"), "lead").select("node", "component")
+
+
+def _parts(n: int, most: int) -> int:
+    """Partitions of n rows that mostly stay under ``most``."""
+    return 5 * n // (4 * most) + 1
+
+
+def _labelled(links: DataFrame, n: int, most: int, near: bool = True) -> DataFrame:
+    """The same for n links that can be read again; near: ranges may be worth a try."""
+    if n > most and not near:
+        return _hooked(links, most)
+    if n <= most:
+        return _named(links.repartition(1), most).toDF("node", "component").transform(written)
+    stars = _named(links.repartitionByRange(_parts(n, most), "a"), most).toDF("node", "root")
+    hubs = stars.withColumn("hub", F.min("root").over(W.partitionBy("node"))).transform(written)
+    above = hubs.filter("root != hub").select(F.col("hub").alias("a"), F.col("root").alias("b")).distinct().transform(written)
+    m = above.count()
+    first = hubs.select("node", "hub").distinct()
+    upper = _labelled(above, m, most, 2 * m <= n).select(F.col("node").alias("hub"), "component")
+    return first.join(upper, "hub", "left").select("node", F.coalesce("component", "hub").alias("component")).transform(written)
+
+
+def _named(links: DataFrame, most: int) -> DataFrame:
+    """The nodes (u) of links that a worker reads together, ``most`` at a time, and the least node of their component in these links (r); structs by fields."""
     import pandas as pd
 
     kind = links.schema["a"].dataType
@@ -222,19 +293,16 @@ def _labelled(links: DataFrame, n: int, most: int) -> DataFrame:
     flat = lambda c: [F.col(f"{c}.{f}").alias(f"{c}{i}") for i, f in enumerate(fields)] if fields else [F.col(c).alias(f"{c}0")]
     size = len(fields or "a")
     kinds = [f.dataType.simpleString() for f in kind.fields] if fields else [kind.simpleString()]
-    whole = lambda c: F.struct(*(F.col(f"{c}{i}").alias(f) for i, f in enumerate(fields))) if fields else F.col(f"{c}0")
 
     def named(frame: pd.DataFrame) -> pd.DataFrame:
-        ends = [frame[[f"{c}{i}" for i in range(size)]].set_axis(range(size), axis=1) for c in "ab"]
-        both = pd.concat(ends, ignore_index=True)
-        if size == 1:
-            codes, _ = pd.factorize(both[0], sort=True)
-        else:
-            codes = both.groupby(list(range(size)), sort=True).ngroup().to_numpy()
-        count = int(codes.max()) + 1
-        at = np.empty(count, dtype=np.int64)
+        both = pd.concat([frame[[f"{c}{i}" for i in range(size)]].set_axis(range(size), axis=1) for c in "ab"], ignore_index=True)
+        codes, known = pd.factorize(both[0], sort=True)
+        for i in range(1, size):
+            more, values = pd.factorize(both[i], sort=True)
+            codes, known = pd.factorize(codes * len(values) + more, sort=True)
+        at = np.empty(len(known), dtype=np.int64)
         at[codes] = np.arange(len(codes))
-        label = _stars(codes[: len(frame)], codes[len(frame) :], count)
+        label = _stars(codes[: len(frame)], codes[len(frame) :], len(known))
         own, root = both.iloc[at].reset_index(drop=True), both.iloc[at[label]].reset_index(drop=True)
         return pd.concat([own, root], axis=1).set_axis([f"{c}{i}" for c in "ur" for i in range(size)], axis=1)
 
@@ -250,33 +318,25 @@ def _labelled(links: DataFrame, n: int, most: int) -> DataFrame:
             yield named(pd.concat(kept, ignore_index=True))
 
     schema = ", ".join(f"{c}{i} {k}" for c in "ur" for i, k in enumerate(kinds))
-    rows = links.repartition(1) if n <= most else links.repartitionByRange("a")
-    stars = rows.select(*flat("a"), *flat("b")).mapInPandas(shrink, schema).select(whole("u").alias("node"), whole("r").alias("root"))
-    if n <= most:
-        return stars.select("node", F.col("root").alias("component")).transform(written)
-    hubs = stars.withColumn("hub", F.min("root").over(W.partitionBy("node"))).transform(written)
-    above = hubs.filter("root != hub").select(F.col("hub").alias("a"), F.col("root").alias("b")).distinct().transform(written)
-    m = above.count()
-    first = hubs.select("node", "hub").distinct()
-    upper = (_labelled(above, m, most) if 4 * m <= 3 * n else _by_rounds(above)).select(F.col("node").alias("hub"), "component")
-    return first.join(upper, "hub", "left").select("node", F.coalesce("component", "hub").alias("component")).transform(written)
-
-
-def _by_rounds(links: DataFrame) -> DataFrame:
-    """The same in rounds of joins: labels travel, hook the node that the old label names, and jump; they only fall, so rounds go on until none changes."""
-    ensure_checkpoints(links.sparkSession)
-    both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct().checkpoint()
-    labels = both.groupBy("u").agg(F.least("u", F.min("v")).alias("label")).checkpoint()
-    while True:
-        near = both.join(labels.select(F.col("u").alias("v"), F.col("label").alias("_l")), "v").groupBy("u").agg(F.min("_l").alias("_l"))
-        own = labels.join(near, "u").select("u", F.col("label").alias("_old"), F.least("label", "_l").alias("label"), "_l")
-        hooked = own.select(F.col("_old").alias("u"), F.lit(None).alias("_old"), F.col("_l").alias("label"))
-        least = own.drop("_l").unionByName(hooked).groupBy("u").agg(F.max("_old").alias("_old"), F.min("label").alias("label"))
-        jump = labels.select(F.col("u").alias("label"), F.col("label").alias("_j"))
-        after = least.join(jump, "label").select("u", "_old", F.least("label", "_j").alias("label")).checkpoint()
-        labels = after.select("u", "label")
-        if not after.filter("label != _old").limit(1).count():
-            return labels.select(F.col("u").alias("node"), F.col("label").alias("component"))
+    whole = lambda c: F.struct(*(F.col(f"{c}{i}").alias(f) for i, f in enumerate(fields))) if fields else F.col(f"{c}0")
+    return links.select(*flat("a"), *flat("b")).mapInPandas(shrink, schema).select(whole("u").alias("u"), whole("r").alias("r"))
+
+
+def _hooked(links: DataFrame, most: int) -> DataFrame:
+    """The same for links between different nodes, wherever they are: each node that has a lesser neighbour hooks the least of them, and jumps until all
+    hooks reach nodes without one; what then links those, shrunk by workers, is the next level.  Every link loses an end, or goes."""
+    links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    up = links.groupBy("a").agg(F.min("b").alias("up")).transform(written)
+    moved = True
+    while moved:
+        after = up.join(up.select(F.col("a").alias("up"), F.col("up").alias("_next")), "up", "left").select("a", F.coalesce("_next", "up").alias("up"), F.col("_next").isNotNull().alias("_moved")).transform(written)
+        moved, up = not after.filter("_moved").isEmpty(), after.select("a", "up")
+    met = links.join(up.select("a", F.col("up").alias("_a")), "a").join(up.select(F.col("a").alias("b"), F.col("up").alias("_b")), "b", "left")
+    met = met.select(F.col("_a").alias("a"), F.coalesce("_b", "b").alias("b")).filter("a != b")
+    left = _named(met, most).toDF("a", "b").filter("a != b").transform(written)
+    tops = up.select(F.col("up").alias("node")).distinct().join(_labelled(left, left.count(), most), "node", "full").select("node", F.coalesce("component", "node").alias("component")).transform(written)
+    hung = up.join(tops.select(F.col("node").alias("up"), "component"), "up").select(F.col("a").alias("node"), "component")
+    return tops.unionByName(hung).transform(written)
 
 
 def _breaks(words: np.ndarray, reach: int) -> list[tuple[int, int, int, bool]]:

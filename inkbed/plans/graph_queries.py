@@ -71,14 +71,7 @@ def span_components(t):
 
     Closing all pairs in SQL would take the square of its orders, so there is none; tests compare it with brute force.
     """
-    return _sharing(t("lineitem"))
-
-
-def _sharing(lines):
-    """Orders and parts are nodes of one graph, orders the lesser ones: a line is a link, and a worker reads neighbouring orders with all their lines."""
-    side = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).cast("bigint").alias("id"))
-    links = lines.filter("l_orderkey IS NOT NULL AND l_partkey IS NOT NULL").select(side(0, "l_orderkey").alias("a"), side(1, "l_partkey").alias("b"))
-    return graph.label_components(links).filter("node.kind = 0").select("node.id", "component.id").toDF("node", "component")
+    return graph.sharing(t("lineitem").select(F.col("l_orderkey").alias("node"), F.col("l_partkey").alias("item")))
 
 
 @query("unit_binpack")
