@@ -331,7 +331,8 @@ def _hooked(links: DataFrame, most: int) -> DataFrame:
     while moved:
         after = up.join(up.select(F.col("a").alias("up"), F.col("up").alias("_next")), "up", "left").select("a", F.coalesce("_next", "up").alias("up"), F.col("_next").isNotNull().alias("_moved")).transform(written)
         moved, up = not after.filter("_moved").isEmpty(), after.select("a", "up")
-    met = links.join(up.select("a", F.col("up").alias("_a")), "a").join(up.select(F.col("a").alias("b"), F.col("up").alias("_b")), "b", "left")
+    met = links.join(up.select("a", F.col("up").alias("_a")), "a").filter("_a != b")  # else b is the root itself, which may have very many links
+    met = met.join(up.select(F.col("a").alias("b"), F.col("up").alias("_b")), "b", "left")
     met = met.select(F.col("_a").alias("a"), F.coalesce("_b", "b").alias("b")).filter("a != b")
     left = _named(met, most).toDF("a", "b").filter("a != b").transform(written)
     tops = up.select(F.col("up").alias("node")).distinct().join(_labelled(left, left.count(), most), "node", "full").select("node", F.coalesce("component", "node").alias("component")).transform(written)
